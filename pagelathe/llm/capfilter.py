@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.components import block_pairs, by_groups, components
+from pagelathe.llm.components import block_pairs, by_groups, components, each_group
 from pagelathe.llm.shared import materialize, rows_per_partition
 
 
@@ -194,7 +194,7 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, codes: Codes | None
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(to), pa.array(sums)], names=["a", "b", "links"])
 
     dealt = block_pairs(members, key, "pid", block).select(*key, "g0", "g1", "side", "pid", "times", "vector", "filters")
-    found = materialize(by_groups(dealt, [*key, "g0", "g1"], work, "a long, b long, links long", n))
+    found = materialize(by_groups(dealt, [*key, "g0", "g1"], each_group(work), "a long, b long, links long", n))
     comp = materialize(components(found.select("a", "b")))
     sums = found.groupBy(F.col("a").alias("q")).agg(F.sum("links").alias("links"))
     usable = units.select(F.col("pid").alias("u"))

@@ -65,8 +65,8 @@ def block_pairs(members: DataFrame, key: list[str], order: str, block: int) -> D
     return rows.withColumns({"g0": F.least("__mine", "__other"), "g1": F.greatest("__mine", "__other"), "side": (F.col("__mine") > F.col("__other")).cast("int")}).drop("__k", "__mine", "__other")
 
 
-def by_groups(rows: DataFrame, key: list[str], work: Callable[[pa.Table], pa.RecordBatch | None], schema: str, n: int) -> DataFrame:
-    """`work` on each group of rows of the same key: sorted runs of a partition, many small groups in each call's batch.
+def by_groups(rows: DataFrame, key: list[str], work: Callable[[pa.Table, list[int]], pa.RecordBatch | None], schema: str, n: int) -> DataFrame:
+    """`work` on runs of rows of the same key: a table and where its groups begin and end, many small groups a call.
 
     Groups must be small (see block_pairs); a grouped-map function would start a call for each.
     """
@@ -78,11 +78,13 @@ def by_groups(rows: DataFrame, key: list[str], work: Callable[[pa.Table], pa.Rec
                 continue
             table = pa.Table.from_batches([*rest, batch]).combine_chunks()
             cut = _runs(table, key)
-            yield from _each(table, cut[:-1], work)
+            if len(cut) > 2 and (got := work(table, cut[:-1])) is not None:
+                yield got
             rest = table.slice(cut[-2], cut[-1] - cut[-2]).to_batches()
         if rest:
             table = pa.Table.from_batches(rest).combine_chunks()
-            yield from _each(table, _runs(table, key), work)
+            if (got := work(table, [0, table.num_rows])) is not None:
+                yield got
 
     return rows.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
@@ -95,7 +97,11 @@ def _runs(table: pa.Table, key: list[str]) -> list[int]:
     return [0, *np.flatnonzero(new).tolist(), table.num_rows]
 
 
-def _each(table: pa.Table, cut: list[int], work: Callable) -> Iterator[pa.RecordBatch]:
-    out = [got for a, b in zip(cut, cut[1:], strict=False) if b - a > 1 and (got := work(table, a, b)) is not None]
-    if out:
-        yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+def each_group(work: Callable[[pa.Table, int, int], pa.RecordBatch | None]) -> Callable[[pa.Table, list[int]], pa.RecordBatch | None]:
+    """`work` on one group at a time, for by_groups."""
+
+    def run(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
+        out = [got for a, b in zip(cut, cut[1:], strict=False) if b - a > 1 and (got := work(table, a, b)) is not None]
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
+    return run
