@@ -57,3 +57,8 @@ def op10_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL for those of the queries that it can express."""
+    return {}
