@@ -43,8 +43,8 @@ PUNCTUATION, HIDING = _table(b".,;:!?\"'()[]{}*#-|/"), _table(b"0123456789@$!*")
 
 @dataclass(frozen=True)
 class Settings:
-    """`lexicon_rows` and `fit_rows`: most labelled rows that the lexicon and the trees are fitted on (those of least
-    hash); `lexicon_words`: most words learned. They bound the classifier, not what it scores."""
+    """`lexicon_rows` and `fit_rows`: about how many labelled rows at most the lexicon and the trees are fitted on (a
+    share by hash of the id); `lexicon_words`: most words learned. They bound the classifier, not what it scores."""
 
     lexicon_rows: int = 40_000
     fit_rows: int = 40_000
@@ -244,11 +244,14 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[dict[
     so that the trees see the lexicon as it does on new texts.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumnRenamed("doc_id", "__id")
-    rows = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("__id")).withColumn("fold", fold(F.col("doc_id")) % 5)
-    rows = rows.where("fold != 0")
-    pick = F.xxhash64("doc_id", F.lit("fit"))
-    train = rows.where("fold <= 2").orderBy(pick).limit(settings.lexicon_rows).select("doc_id", "text", "toxic")
-    train = materialize(train)
+    known = materialize(known.withColumn("fold", fold(F.col("__id")) % 5).where("fold != 0"))
+    lexicon, trees = F.col("fold") <= 2, F.col("fold") >= 3
+    sizes = known.agg(F.count_if(lexicon).alias("a"), F.count_if(trees).alias("b")).first()
+    # a share of the rows by hash, so that no task sorts them all; all rows while they are within the bound
+    drawn = lambda most, n: F.pmod(F.xxhash64("__id", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, n)))
+    chosen = known.where((lexicon & drawn(settings.lexicon_rows, sizes["a"])) | (trees & drawn(settings.fit_rows, sizes["b"])))
+    rows = materialize(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic", "fold"))
+    train = rows.where("fold <= 2")
     totals = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
     words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}]+)"), F.lit(1)))
@@ -258,8 +261,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[dict[
     chosen = seen.where(F.col("p") >= least).withColumn("odds", odds).where(F.col("odds") >= np.log(settings.odds))
     top = chosen.orderBy(F.col("p") * F.col("odds"), "w", ascending=[False, True]).limit(settings.lexicon_words).collect() if pos and neg else []
     learned = {r["w"]: float(r["odds"]) for r in top}
-    fit = rows.where("fold >= 3").orderBy(pick).limit(settings.fit_rows).select("doc_id", "text", "toxic", "fold")
-    table = measured(fit, learned, ["toxic", "fold"]).toPandas()
+    table = measured(rows.where("fold >= 3"), learned, ["toxic", "fold"]).toPandas()
     x = np.array(table["x"].tolist(), np.float64).reshape(len(table), len(FEATURES))
     y, side = table["toxic"].to_numpy(np.float64), table["fold"].to_numpy()
     # isotonic steps come from rows that the trees have not seen; the trees for use see all
