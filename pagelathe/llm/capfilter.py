@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.components import block_pairs, by_groups, components, each_group
-from pagelathe.llm.shared import materialize, rows_per_partition
+from pagelathe.llm.shared import bounded, materialize, rows_per_partition
 
 
 @dataclass(frozen=True)
@@ -122,7 +122,7 @@ def filtered(points: DataFrame, codes: Codes) -> DataFrame:
                         names=["pid", "label", "dim", "vector", "filters"],
                     )
 
-    return points.select("pid", "label", "embedding").mapInArrow(run, "pid long, label int, dim int, vector binary, filters array<int>")
+    return points.select("pid", "label", "embedding").mapInArrow(bounded(run), "pid long, label int, dim int, vector binary, filters array<int>")
 
 
 def group_links(x: np.ndarray, side: np.ndarray, lists: list[np.ndarray], f: int, least: float) -> tuple[np.ndarray, np.ndarray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import discard, materialize
+from pagelathe.llm.shared import KEY_ROWS, arrow_rows, bounded, discard, materialize
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -86,7 +86,8 @@ def by_groups(rows: DataFrame, key: list[str], work: Callable[[pa.Table, list[in
             if (got := work(table, [0, table.num_rows])) is not None:
                 yield got
 
-    return rows.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(run, schema)
+    arrow_rows(rows.sparkSession, KEY_ROWS)
+    return rows.repartition(n, *key).sortWithinPartitions(*key).mapInArrow(bounded(run), schema)
 
 
 def _runs(table: pa.Table, key: list[str]) -> list[int]:

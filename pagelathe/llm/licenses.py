@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagelathe.llm.license_rules import BASE, ordered
-from pagelathe.llm.shared import TO_LOWER, byte_view, slices, word_spans
+from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, slices, texts, word_spans
 from pagelathe.llm.trigrams import Postings, of_strings, trigrams_of
 
 #: By byte: whether it belongs to a word of this contract: digits, letters and what is not ASCII.
@@ -121,4 +121,4 @@ def scan(docs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.int64()), *(pa.array(c, t) for c, t in zip(rows, kinds, strict=True))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), SCHEMA)

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import byte_view, materialize, slices, word_codes, word_spans
+from pagelathe.llm.shared import bounded, byte_view, materialize, slices, texts, word_codes, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -126,7 +126,7 @@ def figures(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "host", "rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
                 )
 
-    return docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("doc_id", "source", "text").alias("rid"), "text").mapInArrow(run, FIGURES)
+    return texts(docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("doc_id", "source", "text").alias("rid"), "text")).mapInArrow(bounded(run), FIGURES)
 
 
 def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import TO_LOWER, byte_view, materialize, rows_per_partition, slices, word_codes, word_spans
+from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, rows_per_partition, slices, texts, word_codes, word_spans
 
 #: Bits of a bigram's hash within its part; a unigram's has all 64.
 PAIR_BITS = 40
@@ -117,7 +117,7 @@ def ask(docs: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for arrow in batches:
-            for part in slices(arrow, "text", 16 << 20):
+            for part in slices(arrow, "text", 8 << 20):
                 ids = part.column("doc_id")
                 batch = Batch.of(part.column("text"))
                 held = fold(ids, modulus) == left_out
@@ -137,7 +137,7 @@ def ask(docs: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFra
                 rows.append((-1 - name, name, TEXTS, pack(batch.ranks), pack(batch.bounds), pack_sorted(batch.hashes), ids.to_pylist()))
                 yield _rows(rows, ASKED)
 
-    return docs.select("doc_id", "text").mapInArrow(run, ASKED)
+    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), ASKED)
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -251,4 +251,4 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2) -> DataFrame:
                     names=[x.split()[0] for x in SCORES.split(", ")],
                 )
 
-    return gathered.where("batch != -1").select("doc_ids", "ranks", "bounds", "words", "pairs").mapInArrow(run, SCORES)
+    return gathered.where("batch != -1").select("doc_ids", "ranks", "bounds", "words", "pairs").mapInArrow(bounded(run), SCORES)

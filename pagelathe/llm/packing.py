@@ -13,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import TO_LOWER, byte_view, materialize, prefix_sum, rows_per_partition, slices, word_codes, word_spans
+from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, prefix_sum, rows_per_partition, slices, texts, word_codes, word_spans
 
 #: Characters that the tokenizer's normalizer leaves alone or lower-cases one by one; words with others take the long way.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 #: Entries after which a worker's memory of words starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> dict[int, str]:
@@ -102,7 +102,7 @@ def pieces(docs: DataFrame, name: str, size: int, end: int = 1, with_ids: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(name)
         for batch in batches:
-            for part in slices(batch, "text", 16 << 20):
+            for part in slices(batch, "text", 6 << 20):
                 ids, bounds = tok.flat(part.column("text"), end)
                 length = np.diff(bounds)
                 parts = (length + size - 1) // size
@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, name: str, size: int, end: int = 1, with_ids: bool =
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def match(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:

@@ -10,7 +10,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagelathe.llm.shared import byte_view, slices
+from pagelathe.llm.shared import bounded, byte_view, slices, texts
 from pagelathe.llm.trigrams import Postings, trigram_query, trigrams_of
 
 #: kind, pattern, whether letters match in either case, group whose length counts, its least length. The first three are the base.
@@ -107,7 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
@@ -134,4 +134,4 @@ def redacted(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
                     texts = pa.array([redact(t, s, mask) if s else t for t, s in zip(values, found, strict=True)], texts.type)
                 yield part.set_column(at, "text", texts)
 
-    return docs.mapInArrow(run, docs.schema)
+    return texts(docs).mapInArrow(bounded(run), docs.schema)

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 #: Words of most contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text handled at once by an Arrow function; a longer text makes a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -57,6 +58,41 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, at most: of whole texts (with long ones Spark's limit on bytes comes first), of keys.
+TEXT_ROWS, KEY_ROWS = 1000, 10_000
+
+
+def arrow_rows(spark: SparkSession, most: int) -> None:
+    """Sets the session's spark.sql.execution.arrow.maxRecordsPerBatch for the next Arrow function."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+
+
+def texts(df: DataFrame, *columns: str) -> DataFrame:
+    """The columns of df, to be read by an Arrow function in batches that fit beside an executor's heap."""
+    arrow_rows(df.sparkSession, TEXT_ROWS)
+    return df.select(*columns) if columns else df
+
+
+def bounded(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back: workers are used again, by other stages too."""
+
+    def inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        return
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

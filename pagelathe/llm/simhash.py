@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.components import block_pairs, by_groups, components
-from pagelathe.llm.shared import TO_LOWER, byte_view, materialize, rows_per_partition, slices, word_spans
+from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, rows_per_partition, slices, texts, word_spans
 
 BITS = 64
 
@@ -87,7 +87,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
                 fp = fingerprint_slice(part.column("text"), words, seed)[:, 0]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), "doc_id long, fp long")
 
 
 def pivots(count: int, lanes: int, seed: int = 5) -> np.ndarray:
@@ -233,7 +233,7 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
                 fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, lanes)
                 yield pa.RecordBatch.from_arrays([batch.column("pid"), batch.column("fp"), pa.array(list(sampled_keys(fp, n_tables, width)), pa.list_(pa.int64()))], names=["pid", "fp", "keys"])
 
-    rows = materialize(docs.select("doc_id", "text").mapInArrow(prints, "doc_id long, fp binary").withColumn("pid", F.xxhash64("fp")))
+    rows = materialize(texts(docs, "doc_id", "text").mapInArrow(bounded(prints), "doc_id long, fp binary").withColumn("pid", F.xxhash64("fp")))
     first = materialize(rows.groupBy("pid", "fp").agg(F.min("doc_id").alias("least")))
     refs = pivots(n_pivots, lanes)
 
@@ -243,7 +243,7 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
         pid = table.column("pid").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(pid[i]), pa.array(pid[j])], names=["a", "b"]) if len(i) else None
 
-    table = first.select("pid", "fp").mapInArrow(keys, "pid long, fp binary, keys array<long>").select("pid", "fp", F.posexplode("keys").alias("t", "key"))
+    table = first.select("pid", "fp").mapInArrow(bounded(keys), "pid long, fp binary, keys array<long>").select("pid", "fp", F.posexplode("keys").alias("t", "key"))
     dealt = block_pairs(table, ["t", "key"], "pid", block)
     links = by_groups(dealt.select("t", "key", "g0", "g1", "pid", "fp"), ["t", "key", "g0", "g1"], work, "a long, b long", rows_per_partition(docs))
     comp = materialize(components(links))

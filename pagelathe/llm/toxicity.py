@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from pagelathe.llm.shared import TO_LOWER, byte_view, materialize, slices, word_codes, word_spans
+from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, slices, texts, word_codes, word_spans
 
 #: Insults that any corpus in English has; the rest of the lexicon is learned (fixed values).
 INSULTS = frozenset(
@@ -281,7 +281,7 @@ def measured(rows: DataFrame, learned: dict[str, float], keep: list[str]) -> Dat
                 x = features(part.column("text"), learned)
                 yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*keep, "x"])
 
-    return rows.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return texts(rows, *dict.fromkeys([*keep, "text"])).mapInArrow(bounded(run), schema)
 
 
 def scored(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -301,5 +301,5 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings | None = None)
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(trees.score(features(part.column("text"), words)))], names=["doc_id", "score"])
 
-    out = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    out = texts(docs, "doc_id", "text").mapInArrow(bounded(run), "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import materialize, shared_dir
+from pagelathe.llm.shared import bounded, materialize, shared_dir, texts
 
 #: A file is closed once it has so many bytes; what one task holds does not grow with its input.
 FILE_BYTES = 32 << 20
@@ -136,7 +136,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
         if done:
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in done]), pa.array([c for _, c in done], pa.int64())], names=["path", "records"])
 
-    return materialize(with_roles(pages, least).mapInArrow(run, "path string, records long"))
+    return materialize(texts(with_roles(pages, least)).mapInArrow(bounded(run), "path string, records long"))
 
 
 RECORDS = "record_type string, record_id string, concurrent_to string, target_uri string, refers_to string, payload_digest string, http_bytes long, payload binary, fields string"
@@ -173,7 +173,7 @@ def read(files: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
                     yield _batch(rows)
 
     spread = files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "path")
-    return spread.mapInArrow(run, RECORDS)
+    return spread.mapInArrow(bounded(run), RECORDS)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
