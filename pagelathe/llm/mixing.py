@@ -34,8 +34,13 @@ def targets(sizes: DataFrame, share: float, most: float, weights: tuple[int, ...
     return one.select("source", "source_size", F.when(F.col("water").isNull() | (F.col("level") <= F.col("water")), F.col("most")).otherwise(F.col("weight") * F.col("water")).alias("target"))
 
 
-def queue(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, keep: list[str] | None = None) -> DataFrame:
-    """docs with size, source_size, target, before (words of its source's queue before it) and taken.
+def mix_key() -> Column:
+    """The place of a document in its source's shuffle."""
+    return F.xxhash64("doc_id", F.lit("mix"), "text")
+
+
+def queue(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
+    """(doc_id, mix_source, mix_key) of docs with size, source_size, target, before (words of its source's queue before it) and taken.
 
     Every source's documents are shuffled by a hash of their content; the queue holds each document `most` times, in
     rounds of the same order. A document's virtual finish time is the queue's words up to its end divided by the
@@ -46,10 +51,8 @@ def queue(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     Null text: size 0, nothing taken. Null source: the last source. Null doc_id: a row like others. Repeated rows are
     rows of their own, in any order among themselves. Empty table: no rows. All words zero: targets zero.
     """
-    keep = keep or ["doc_id"]
-    sized = docs.select(*keep, F.col("source").alias("__source"), word_count(F.col("text")).alias("size"), F.xxhash64("doc_id", F.lit("mix"), "text").alias("__shuffle"))
-    if keep == ["doc_id"]:
-        sized = materialize(sized)
+    sized = docs.select("doc_id", F.col("source").alias("__source"), word_count(F.col("text")).alias("size"), mix_key().alias("__shuffle"))
+    sized = materialize(sized)
     total = sized.groupBy("__source").agg(F.sum("size").alias("source_size")).withColumnRenamed("__source", "source")
     plan = materialize(targets(total, share, most, weights)).withColumnRenamed("source", "__named")
     order = [F.col("__shuffle"), F.col("doc_id"), F.col("size")]
@@ -59,7 +62,7 @@ def queue(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     rows = ranked.join(F.broadcast(plan) if small else plan, on)
     rounds = int(-(-most // 1))
     taken = sum((taken_in(F.lit(r)) for r in range(1, rounds)), taken_in(F.lit(0)))
-    return rows.withColumn("taken", taken).withColumnRenamed("__source", "mix_source").drop("__shuffle", "__named")
+    return rows.withColumn("taken", taken).withColumnRenamed("__source", "mix_source").withColumnRenamed("__shuffle", "mix_key").drop("__named")
 
 
 def taken_in(round_: Column) -> Column:
@@ -76,10 +79,29 @@ def mixture(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tup
     proportion. Documents without words are not in it.
     """
     columns = docs.columns
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)], F.col("doc_id"), F.col("source"), F.col("text"))
-    own = [f"__c{i}" for i in range(len(columns))]
-    rows = queue(plain, share, most, weights, keep=[*own, "doc_id"])
-    rows = rows.where("taken > 0").withColumn("__round", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
+    on = ["__id", "__key", "__copy"]
+    plan = queue(docs, share, most, weights).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("mix_key").alias("__key"), "taken", "size", "source_size", "before", "target")
+    plan = materialize(plan)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(columns)], F.col("doc_id").alias("__id"), mix_key().alias("__key"))
+    # rows that agree in id and text are told apart by a number; all others, nearly all, go straight to the join
+    again = materialize(docs.select(F.col("doc_id").alias("__id"), mix_key().alias("__key")).groupBy("__id", "__key").count().where("count > 1").drop("count"))
+    if again.isEmpty():
+        plan, rows = plan.withColumn("__copy", F.lit(0).cast("long")), rows.withColumn("__copy", F.lit(0).cast("long"))
+    else:
+        plan, rows = numbered(plan, again, docs), numbered(rows, again, docs)
+    cond = rows["__id"].eqNullSafe(plan["__id"]) & (rows["__key"] == plan["__key"]) & (rows["__copy"] == plan["__copy"])
+    rows = rows.join(plan, cond).drop(*on)
+    rows = rows.withColumn("__round", F.explode(F.sequence(F.lit(0), F.ceil(F.col("taken") / F.col("size")).cast("int") - 1)))
     time = (F.col("__round") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target")
-    rows = rows.withColumn("__time", time).repartitionByRange(rows_per_partition(docs), "__time", "doc_id").sortWithinPartitions("__time", "doc_id")
+    rows = rows.withColumn("__time", time).repartitionByRange(rows_per_partition(docs), "__time").sortWithinPartitions("__time")
     return rows.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def numbered(rows: DataFrame, again: DataFrame, docs: DataFrame) -> DataFrame:
+    """rows with __copy: 0, 1, ... among those whose key is in `again`, 0 for the rest."""
+    a = again.select(F.col("__id").alias("__i"), F.col("__key").alias("__k"))
+    on = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__key") == F.col("__k"))
+    twice = materialize(rows.join(a, on, "left_semi").withColumn("__n", F.monotonically_increasing_id()))
+    twice = prefix_sum(twice, ["__id", "__key"], F.lit(1), [F.col("__n")], "__copy", rows_per_partition(docs)).drop("__n")
+    once = rows.join(a, on, "left_anti").withColumn("__copy", F.lit(0).cast("long"))
+    return once.unionByName(twice.withColumn("__copy", F.col("__copy").cast("long")))
