@@ -212,13 +212,14 @@ def sampled_keys(fp: np.ndarray, tables: int, width: int, seed: int = 9) -> np.n
     return np.stack([bits[:, rng.choice(lanes * BITS, width, replace=False)].astype(np.int64) @ (1 << np.arange(width)) for _ in range(tables)], axis=1)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: int = 4, distance: int = 45, n_tables: int = 40, width: int = 18, n_pivots: int = 8, block: int = 1024) -> DataFrame:
+def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: int = 4, distance: int = 45, recall: float = 0.9, n_pivots: int = 8, block: int = 1024) -> DataFrame:
     """(doc_id, component_id) for every row of docs: groups of a shingle similarity of about 0.8 or more.
 
     Texts with a Jaccard similarity of 0.8 have fingerprints about 15 percent of bits apart, too far for blocks that
     must agree, so this takes `lanes` times 64 bits, whose distance tells the similarity well (45 of 256 bits: 0.76),
-    and tables of randomly drawn bits, `width` of them to a key: texts of similarity 0.8 share a key of one table at
-    least with a chance of 0.87, 0.85 of 0.97, 0.9 of 0.999. Within a bucket all is as in near_duplicates().
+    and tables of randomly drawn bits. A key has two bits more than it takes to number all fingerprints, so buckets by
+    chance stay as rare at any size; there are as many tables as it takes for texts of similarity 0.8 to share a key
+    with a chance of `recall` (0.85: 0.97, 0.9: 0.999). Within a bucket all is as in near_duplicates().
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,11 +232,14 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
         for batch in batches:
             if batch.num_rows:
                 fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, lanes)
-                yield pa.RecordBatch.from_arrays([batch.column("pid"), batch.column("fp"), pa.array(list(sampled_keys(fp, n_tables, width)), pa.list_(pa.int64()))], names=["pid", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column("pid"), pa.array(list(sampled_keys(fp, n_tables, width)), pa.list_(pa.int64()))], names=["pid", "keys"])
 
     rows = materialize(texts(docs, "doc_id", "text").mapInArrow(bounded(prints), "doc_id long, fp binary").withColumn("pid", F.xxhash64("fp")))
     first = materialize(rows.groupBy("pid", "fp").agg(F.min("doc_id").alias("least")))
     refs = pivots(n_pivots, lanes)
+    width = max(12, int(np.ceil(np.log2(max(2, first.count())))) + 2)
+    agree = 1 - np.arccos(1.6 / 1.8) / np.pi  # of bits, at a Jaccard similarity of 0.8
+    n_tables = int(np.ceil(-np.log(1 - recall) / agree**width))
 
     def work(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, lanes)
@@ -243,8 +247,9 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
         pid = table.column("pid").to_numpy()
         return pa.RecordBatch.from_arrays([pa.array(pid[i]), pa.array(pid[j])], names=["a", "b"]) if len(i) else None
 
-    table = first.select("pid", "fp").mapInArrow(bounded(keys), "pid long, fp binary, keys array<long>").select("pid", "fp", F.posexplode("keys").alias("t", "key"))
-    dealt = block_pairs(table, ["t", "key"], "pid", block)
+    table = first.select("pid", "fp").mapInArrow(bounded(keys), "pid long, keys array<long>").select("pid", F.posexplode("keys").alias("t", "key"))
+    # buckets of one go before the fingerprints join
+    dealt = block_pairs(table, ["t", "key"], "pid", block).join(first.select(F.col("pid").alias("q"), "fp"), F.col("pid") == F.col("q"))
     links = by_groups(dealt.select("t", "key", "g0", "g1", "pid", "fp"), ["t", "key", "g0", "g1"], work, "a long, b long", rows_per_partition(docs))
     comp = materialize(components(links))
     named = first.join(comp, first["pid"] == comp["node"], "left").select("pid", "least", F.coalesce("component", "pid").alias("component"))
