@@ -25,6 +25,8 @@ from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, rows
 #: Bits of a bigram's hash within its part; a unigram's has all 64.
 PAIR_BITS = 40
 BUCKETS = 64
+#: Text of a batch.
+BATCH_BYTES = 12 << 20
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -109,6 +111,18 @@ def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
+def gathered_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches put together to about BATCH_BYTES: the more texts a batch has, the fewer n-grams it asks for twice."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= BATCH_BYTES:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def ask(docs: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFrame:
     """For each batch its texts, and for each part its sorted distinct n-grams with their counts in training texts."""
     shift = np.uint64(64 - part_bits)
@@ -116,8 +130,8 @@ def ask(docs: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
-        for arrow in batches:
-            for part in slices(arrow, "text", 8 << 20):
+        for arrow in gathered_up(batches):
+            for part in slices(arrow, "text", BATCH_BYTES):
                 ids = part.column("doc_id")
                 batch = Batch.of(part.column("text"))
                 held = fold(ids, modulus) == left_out
