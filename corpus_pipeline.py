@@ -41,7 +41,8 @@ STAGES = [
     ("packing", packing_plan),
 ]
 
-#: Tokens, hashes and shingles are not in SQL's reach: the tests hold run() against a brute-force version.
+#: Tokens, hashes and shingles are not in SQL's reach: the operators are tested against brute force one by one, the pipeline's stages by
+#: what they keep and drop.
 ORACLE_SQL = None
 
 
