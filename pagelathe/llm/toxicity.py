@@ -26,6 +26,8 @@ FEATURES = (
     "insults", "insult_rate", "learned", "learned_rate", "learned_weight", "learned_top", "near_you", "you_rate", "capital_rate", "capital_words",
     "exclamations", "questions", "punctuation_rate", "repeat_rate", "obfuscated_rate", "spelled_rate", "hidden_insults", "digit_rate", "mean_word", "log_words",
 )
+#: Labelled rows (an id and two small numbers each) that are broadcast to find their texts, at most.
+BROADCAST_ROWS = 200_000
 #: Words between an insult and a second-person word, at most.
 NEAR = 4
 
@@ -250,6 +252,9 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[dict[
     # a share of the rows by hash, so that no task sorts them all; all rows while they are within the bound
     drawn = lambda most, n: F.pmod(F.xxhash64("__id", F.lit("fit")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(1, n)))
     chosen = known.where((lexicon & drawn(settings.lexicon_rows, sizes["a"])) | (trees & drawn(settings.fit_rows, sizes["b"])))
+    drawn_rows = min(sizes["a"], settings.lexicon_rows) + min(sizes["b"], settings.fit_rows)
+    if drawn_rows <= BROADCAST_ROWS:  # with other settings the join is left to the optimizer
+        chosen = F.broadcast(chosen)
     rows = materialize(docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "toxic", "fold"))
     train = rows.where("fold <= 2")
     totals = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
