@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -205,6 +206,15 @@ def test_toxicity(spark, docs, rows, sf_dir):
     assert len(empty) == len(rows)
 
 
+def test_toxicity_on_held_out_rows(spark, sf_dir):
+    wide = os.path.join(os.path.dirname(sf_dir), "sf0.1")  # smaller tables have a handful of toxic held-out rows
+    labels = spark.read.parquet(f"{wide}/labels.parquet").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    got = toxicity.scored(spark.read.parquet(f"{wide}/documents.parquet"), labels).where("held_out").join(labels, "doc_id").collect()
+    bad, good = ([r["score"] for r in got if r["toxic"] == t] for t in (1, 0))
+    rank = np.mean([(b > g) + 0.5 * (b == g) for b in bad for g in good])
+    assert rank >= 0.9 and np.mean([r["predicted"] == r["toxic"] for r in got]) >= 0.9
+
+
 def test_trees_learn_and_calibrate():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 5))
