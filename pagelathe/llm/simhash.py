@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.components import block_pairs, by_groups, components
@@ -17,9 +17,8 @@ from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, rows
 BITS = 64
 
 
-def fingerprint_slice(texts: pa.Array, words: int, seed: int, lanes: int = 1) -> np.ndarray:
-    """SimHash of each text, (texts, lanes) of int64: majority of the bits of its shingles' XXH64; further lanes take
-    hashes of those. A text without words has zeros."""
+def shingle_slice(texts: pa.Array, words: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the shingles of all texts after one another, and each text's number of them. A text of fewer words is one shingle."""
     data, offs = byte_view(texts)
     data = TO_LOWER[data]
     starts, ends, first = word_spans(data, offs)
@@ -47,12 +46,38 @@ def fingerprint_slice(texts: pa.Array, words: int, seed: int, lanes: int = 1) ->
         else:
             hashes.extend([digest(text[x:y], seed) for x, y in zip(at, to[words - 1 :], strict=False)])
             counts[i] = b - a - words + 1
-    h = np.array(hashes, np.uint64)
-    doc = np.repeat(np.arange(len(texts)), counts)
+    return np.array(hashes, np.uint64), counts
+
+
+def fingerprint_slice(texts: pa.Array, words: int, seed: int, lanes: int = 1) -> np.ndarray:
+    """SimHash of each text, (texts, lanes) of int64: majority of the bits of its shingles' XXH64; further lanes take
+    hashes of those. A text without words has zeros."""
+    return majorities(*shingle_slice(texts, words, seed), lanes)
+
+
+def majorities(h: np.ndarray, counts: np.ndarray, lanes: int) -> np.ndarray:
+    doc = np.repeat(np.arange(len(counts)), counts)
     lane = [h, *(mixed(h ^ mixed(np.array([k], np.uint64))) for k in range(1, lanes))]
     return np.stack([majority(x, doc, counts) for x in lane], axis=1).view(np.int64)
 
 
+def numbered_shingles(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """For each text a sorted set that stands for its shingles with repeats: the k-th equal hash is another element."""
+    out, a = [], 0
+    for n in counts.tolist():
+        own = np.sort(h[a : a + n])
+        a += n
+        new = np.ones(n, bool)
+        new[1:] = own[1:] != own[:-1]
+        if not new.all():
+            at = np.arange(n)
+            again = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
+            own = np.where(again > 0, mixed(own + again * np.uint64(0x9E3779B97F4A7C15)), own)
+            own.sort()
+        out.append(own)
+    return out
+
+
 #: The bits of each byte, lowest first.
 BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
@@ -212,21 +237,91 @@ def sampled_keys(fp: np.ndarray, tables: int, width: int, seed: int = 9) -> np.n
     return np.stack([bits[:, rng.choice(lanes * BITS, width, replace=False)].astype(np.int64) @ (1 << np.arange(width)) for _ in range(tables)], axis=1)
 
 
-def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: int = 4, distance: int = 45, recall: float = 0.9, n_pivots: int = 8, block: int = 1024) -> DataFrame:
-    """(doc_id, component_id) for every row of docs: groups of a shingle similarity of about 0.8 or more.
+def verified_links(codes: np.ndarray, offs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the links of a group: pairs of sets (codes[offs[i]:offs[i + 1]]) whose exact Jaccard
+    similarity is `similarity` or more. Breadth first as in pair_links(): who is reached leaves the rest."""
+    size, rest = np.diff(offs), np.arange(len(offs) - 1)
+    mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+    total = np.zeros(len(codes) + 1, np.int64)
+    found: list[tuple[int, int]] = []
+    while len(rest) > 1:
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            own = codes[offs[x] : offs[x + 1]]
+            mark[own] = True
+            np.cumsum(mark[codes], out=total[1:])
+            mark[own] = False
+            both = total[offs[rest + 1]] - total[offs[rest]]
+            ok = (both > 0) & (both >= similarity * (size[x] + size[rest] - both) - 1e-9)
+            if ok.any():
+                found += [(x, int(y)) for y in rest[ok]]
+                queue += rest[ok].tolist()
+                rest = rest[~ok]
+    return found
+
+
+def verified(docs: DataFrame, members: DataFrame, words: int, seed: int, similarity: float, block: int) -> DataFrame:
+    """(a, b) links of members (pid, rid, component): any two of a component are compared by their exact shingles.
+
+    rid names a row of docs with the text of pid. Texts are read again for members only, and each goes to its
+    component once, or once for each pair of blocks if that has over `block` members.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                own = numbered_shingles(*shingle_slice(part.column("text"), words, seed))
+                offs = np.concatenate([[0], np.cumsum([8 * len(x) for x in own])]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offs), pa.py_buffer(b"".join(x.tobytes() for x in own))])
+                yield pa.RecordBatch.from_arrays([part.column("pid"), raw], names=["q", "shingles"])
 
-    Texts with a Jaccard similarity of 0.8 have fingerprints about 15 percent of bits apart, too far for blocks that
-    must agree, so this takes `lanes` times 64 bits, whose distance tells the similarity well (45 of 256 bits: 0.76),
-    and tables of randomly drawn bits. A key has two bits more than it takes to number all fingerprints, so buckets by
-    chance stay as rare at any size; there are as many tables as it takes for texts of similarity 0.8 to share a key
-    with a chance of `recall` (0.85: 0.97, 0.9: 0.999). Within a bucket all is as in near_duplicates().
+    def work(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
+        pid, raw = table.column("pid").to_numpy(), table.column("shingles").to_pylist()
+        left: list[int] = []
+        right: list[int] = []
+        for a, b in zip(cut, cut[1:], strict=False):
+            offs = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw[a:b]])]).astype(np.int64)
+            codes = np.unique(np.frombuffer(b"".join(raw[a:b]), np.uint64), return_inverse=True)[1]
+            for x, y in verified_links(codes, offs, similarity):
+                left.append(int(pid[a + x]))
+                right.append(int(pid[a + y]))
+        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]) if left else None
+
+    mine = docs.select(row_id().alias("r"), "text").join(members.select("pid", "rid"), F.col("r") == F.col("rid")).select("pid", "text")
+    held = texts(mine, "pid", "text").mapInArrow(bounded(sets), "q long, shingles binary")
+    dealt = block_pairs(members.select("component", "pid"), ["component"], "pid", block).join(held, F.col("pid") == F.col("q"))
+    return by_groups(dealt.select("component", "g0", "g1", "pid", "shingles"), ["component", "g0", "g1"], work, "a long, b long", rows_per_partition(docs))
+
+
+def row_id() -> Column:
+    """Names a text by one of its rows; rows that agree in it agree in text."""
+    return F.xxhash64("doc_id", F.lit("near"), "text")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: int = 4, distance: int = 60, recall: float = 0.97, n_pivots: int = 8, block: int = 1024, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: groups linked at an exact shingle similarity of `similarity` or more.
+
+    Similarity is Jaccard over shingles with their repeats. Candidates come by SimHash: texts at 0.8 have fingerprints
+    about 15 percent of bits apart, too far for blocks that must agree, so this takes `lanes` times 64 bits (of 256 bits
+    38.8 differ at 0.8, with a deviation of 5.7; `distance` is 3.7 deviations above) and tables of randomly drawn bits. A
+    key has two bits more than it takes to number all fingerprints, so buckets by chance stay as rare at any size; there
+    are as many tables as it takes for texts of similarity 0.8 to share a key with a chance of `recall` by the formula.
+    Candidates that hang together are then compared by their shingles, any two of them, and only those pairs link that
+    reach `similarity`. Texts of equal shingles are one from the start.
     """
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                fp = fingerprint_slice(part.column("text"), words, seed, lanes)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r.tobytes() for r in fp], pa.binary())], names=["doc_id", "fp"])
+                h, counts = shingle_slice(part.column("text"), words, seed)
+                fp = majorities(h, counts, lanes)
+                cut = np.concatenate([[0], np.cumsum(counts)]).tolist()
+                pid = [xxhash.xxh64_intdigest(np.sort(h[a:b]).tobytes(), seed) for a, b in zip(cut, cut[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("rid"), pa.array(np.array(pid, np.uint64).view(np.int64)), pa.array([r.tobytes() for r in fp], pa.binary())],
+                    names=["doc_id", "rid", "pid", "fp"],
+                )
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,12 +329,10 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
                 fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, lanes)
                 yield pa.RecordBatch.from_arrays([batch.column("pid"), pa.array(list(sampled_keys(fp, n_tables, width)), pa.list_(pa.int64()))], names=["pid", "keys"])
 
-    rows = materialize(texts(docs, "doc_id", "text").mapInArrow(bounded(prints), "doc_id long, fp binary").withColumn("pid", F.xxhash64("fp")))
-    first = materialize(rows.groupBy("pid", "fp").agg(F.min("doc_id").alias("least")))
+    rows = materialize(texts(docs.select("doc_id", row_id().alias("rid"), "text")).mapInArrow(bounded(prints), "doc_id long, rid long, pid long, fp binary"))
+    first = materialize(rows.groupBy("pid", "fp").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid")))
     refs = pivots(n_pivots, lanes)
-    width = max(12, int(np.ceil(np.log2(max(2, first.count())))) + 2)
-    agree = 1 - np.arccos(1.6 / 1.8) / np.pi  # of bits, at a Jaccard similarity of 0.8
-    n_tables = int(np.ceil(-np.log(1 - recall) / agree**width))
+    n_tables, width = table_sizes(first.count(), recall)
 
     def work(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
         fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, lanes)
@@ -250,14 +343,22 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
     table = first.select("pid", "fp").mapInArrow(bounded(keys), "pid long, keys array<long>").select("pid", F.posexplode("keys").alias("t", "key"))
     # buckets of one go before the fingerprints join
     dealt = block_pairs(table, ["t", "key"], "pid", block).join(first.select(F.col("pid").alias("q"), "fp"), F.col("pid") == F.col("q"))
-    links = by_groups(dealt.select("t", "key", "g0", "g1", "pid", "fp"), ["t", "key", "g0", "g1"], work, "a long, b long", rows_per_partition(docs))
-    comp = materialize(components(links))
+    near = by_groups(dealt.select("t", "key", "g0", "g1", "pid", "fp"), ["t", "key", "g0", "g1"], work, "a long, b long", rows_per_partition(docs))
+    members = materialize(components(near).join(first.select("pid", "rid"), F.col("node") == F.col("pid")).select("component", "pid", "rid"))
+    comp = materialize(components(verified(docs, members, words, seed, similarity, max(1, block // 2))))
     named = first.join(comp, first["pid"] == comp["node"], "left").select("pid", "least", F.coalesce("component", "pid").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_pid = named.join(ids, "component").select(F.col("pid").alias("p"), "component_id")
     return rows.join(by_pid, rows["pid"] == by_pid["p"]).select("doc_id", "component_id")
 
 
+def table_sizes(n: int, recall: float) -> tuple[int, int]:
+    """Number of tables, and bits of a key, for n fingerprints."""
+    width = max(12, int(np.ceil(np.log2(max(2, n)))) + 2)
+    agree = 1 - np.arccos(1.6 / 1.8) / np.pi  # of bits, at a Jaccard similarity of 0.8
+    return int(np.ceil(-np.log(1 - recall) / agree**width)), width
+
+
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """docs with one row for each group of similar_documents(): the one with the smallest doc_id, once if that repeats.
 
