@@ -24,8 +24,9 @@ _DIGITS = re.compile(rb"[0-9]+")
 @dataclass(frozen=True)
 class Limits:
     """A text fails the base rules below `min_words` words or above `max_repeat_percent` of words in repeated windows.
-    A line is above the limits if at least `line_documents` documents of its host, and `line_share` of them, have it;
-    a document is depleted if the lines left hold less than `left_share` of its words."""
+    A line is above the limits if at least `line_documents` distinct documents of its host, and `line_share` of them,
+    have it; a document is depleted if the lines left hold less than `left_share` of its words. `settings_share` has
+    no effect any more."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
@@ -70,40 +71,34 @@ def normal_line(words: list[bytes]) -> bytes:
     return _DIGITS.sub(b"0", b" ".join(words))
 
 
-def text_lines(text: str) -> tuple[int, list[tuple[int, int, int]]]:
-    """Number of lines with a word that equal an earlier one; (hash, hash of the setting, words) of each distinct line.
-
-    The setting of a line is the pair of lines around its first place: copies of a document, near ones included,
-    have a line in the same setting nearly always, a line that a host adds to its pages has as many as pages.
-    """
-    repeats, seen, hashes, count = 0, set(), [], []
+def text_lines(text: str) -> tuple[int, list[tuple[int, int]]]:
+    """Number of lines with a word that equal an earlier one; (hash, words) of each distinct line."""
+    repeats, seen = 0, set()
+    lines: dict[int, int] = {}
     for line in text.split("\n"):
         words = line.lower().encode("utf-8", "surrogatepass").split()
         if not words:
             continue
         repeats += line in seen
         seen.add(line)
-        hashes.append(xxhash.xxh64_intdigest(normal_line(words)))
-        count.append(len(words))
-    lines: dict[int, list[int]] = {}
-    around = [0, *hashes, 0]
-    for i, (h, n) in enumerate(zip(hashes, count, strict=True)):
-        if h in lines:
-            lines[h][1] += n
-        else:
-            lines[h] = [hash((around[i], around[i + 2])), n]
-    return repeats, [(_signed(h), s, n) for h, (s, n) in lines.items()]
+        h = line_hash(words)
+        lines[h] = lines.get(h, 0) + len(words)
+    return repeats, list(lines.items())
+
+
+def line_hash(words: list[bytes]) -> int:
+    return _signed(xxhash.xxh64_intdigest(normal_line(words)))
 
 
 def _signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-FIGURES = "doc_id long, host string, rid long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,setting:long,words:long>>"
+FIGURES = "doc_id long, host string, rid long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, lines array<struct<h:long,words:long>>, content long"
 
 
 def figures(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: the base figures and its distinct lines. rid: a hash of id, host and text."""
+    """One row for each row of docs: the base figures and its distinct lines. rid: a hash of id, host and text; content: of the text alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,31 +116,30 @@ def figures(docs: DataFrame) -> DataFrame:
                     [
                         part.column("doc_id"), part.column("host"), part.column("rid"), pa.array(np.diff(first)), pa.array(sums(sizes, first)),
                         pa.array(sums(SYMBOLS[data], offs)), pa.array(dup, pa.int64()), pa.array(sums(again, first)),
-                        pa.array([[{"h": h, "setting": s, "words": n} for h, s, n in x] for x in lines], pa.list_(pa.struct([("h", pa.int64()), ("setting", pa.int64()), ("words", pa.int64())]))),
+                        pa.array([[{"h": h, "words": n} for h, n in x] for x in lines], pa.list_(pa.struct([("h", pa.int64()), ("words", pa.int64())]))), part.column("content"),
                     ],
-                    names=["doc_id", "host", "rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+                    names=["doc_id", "host", "rid", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines", "content"],
                 )
 
-    return texts(docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("doc_id", "source", "text").alias("rid"), "text")).mapInArrow(bounded(run), FIGURES)
+    return texts(docs.select("doc_id", F.col("source").alias("host"), F.xxhash64("doc_id", "source", "text").alias("rid"), F.xxhash64("text").alias("content"), "text")).mapInArrow(bounded(run), FIGURES)
 
 
 def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     """One row for each row of docs (doc_id, source, text): rid, the base figures, base_failed, left_words, kept.
 
-    Lines are normalised and hashed; for each host (source) and line the distinct documents are counted, documents
-    that have it in the same setting once, so that neither exact nor near copies make a line frequent. Lines above
-    the limits are removed, and a document that keeps less than `left_share` of its words is rejected.
+    Lines are normalised and hashed; for each host (source) and line the distinct documents are counted, by a
+    hash of their text, so that exact copies count once and do not make a line frequent. left_words is what is left
+    without the lines above the limits, and a document that keeps less than `left_share` of its words is rejected.
 
     Null text: no words, fails. Null source: a host of its own. Null doc_id: a row like others. Rows that repeat an
     id, also with all else equal, each give a row. Empty table: no rows. Other columns are not read.
     """
     limits = limits or Limits()
     rows = materialize(figures(docs))
-    lines = rows.select("host", "rid", F.explode("lines").alias("l")).select("host", "rid", "l.*")
-    settings = lines.groupBy("host", "h", "setting").agg(F.count("*").alias("n"))
+    lines = rows.select("host", "rid", "content", F.explode("lines").alias("l")).select("host", "rid", "content", "l.*")
+    having = lines.select("host", "h", "content").distinct()
     hosts = rows.groupBy("host").agg(F.count("*").alias("host_documents")).withColumnRenamed("host", "host_")
-    counts = settings.groupBy("host", "h").agg(F.count("*").alias("documents"), F.sum("n").alias("n"))
-    counts = counts.where((F.col("documents") >= limits.line_documents) & (F.col("documents") >= limits.settings_share * F.col("n")))
+    counts = having.groupBy("host", "h").agg(F.count("*").alias("documents")).where(F.col("documents") >= limits.line_documents)
     above = counts.join(hosts, counts["host"].eqNullSafe(hosts["host_"])).where(F.col("documents") >= limits.line_share * F.col("host_documents")).select(F.col("host").alias("fh"), F.col("h").alias("fl"))
     removed = (
         lines.select("host", "rid", "h", "words")
@@ -155,7 +149,7 @@ def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
         .withColumnRenamed("rid", "r")
     )
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
-    out = rows.drop("lines").join(removed, F.col("rid") == F.col("r"), "left")
+    out = rows.drop("lines", "content").join(removed, F.col("rid") == F.col("r"), "left")
     out = out.withColumn("left_words", F.col("n_words") - F.coalesce("removed", F.lit(0))).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("left_words") >= limits.left_share * F.col("n_words"))).drop("r", "removed")
 
