@@ -86,6 +86,11 @@ def text_lines(text: str) -> tuple[int, list[tuple[int, int]]]:
     return repeats, list(lines.items())
 
 
+def without_lines(text: str, above: set[int]) -> str:
+    """text without the lines whose hash is in `above`; all others, blank ones too, stay as they are."""
+    return "\n".join(x for x in text.split("\n") if not (w := x.lower().encode("utf-8", "surrogatepass").split()) or line_hash(w) not in above)
+
+
 def line_hash(words: list[bytes]) -> int:
     return _signed(xxhash.xxh64_intdigest(normal_line(words)))
 
@@ -125,7 +130,8 @@ def figures(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """One row for each row of docs (doc_id, source, text): rid, the base figures, base_failed, left_words, kept.
+    """One row for each row of docs (doc_id, source, text): rid, the base figures, base_failed, left_words, kept, and
+    above: the hashes of its lines above the limits, null without any.
 
     Lines are normalised and hashed; for each host (source) and line the distinct documents are counted, by a
     hash of their text, so that exact copies count once and do not make a line frequent. left_words is what is left
@@ -145,7 +151,7 @@ def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
         lines.select("host", "rid", "h", "words")
         .join(above, F.col("host").eqNullSafe(F.col("fh")) & (F.col("h") == F.col("fl")), "left_semi")
         .groupBy("rid", "h").agg(F.max("words").alias("words"))
-        .groupBy("rid").agg(F.sum("words").alias("removed"))
+        .groupBy("rid").agg(F.sum("words").alias("removed"), F.collect_list("h").alias("above"))
         .withColumnRenamed("rid", "r")
     )
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat_percent * F.col("n_words"))
@@ -155,7 +161,17 @@ def quality(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
-    """docs without the rows that quality() rejects."""
+    """docs without the rows that quality() rejects, and their texts without the lines above the limits.
+
+    Only texts that have such a line go through Python; no other column changes.
+    """
+    good = quality(docs, limits).where("kept").select(F.col("rid").alias("__rid"), F.col("above").alias("__above"))
+
+    @F.arrow_udf("string")
+    def cut(text: pa.Array, above: pa.Array) -> pa.Array:
+        return pa.array([None if t is None or not h else without_lines(t, set(h)) for t, h in zip(text.to_pylist(), above.to_pylist(), strict=True)], pa.string())
+
     rid = F.xxhash64("doc_id", "source", "text")
-    good = quality(docs, limits).where("kept").select("rid").distinct().withColumnRenamed("rid", "__rid")
-    return docs.join(good, rid == F.col("__rid"), "left_semi")
+    rows = texts(docs).join(good.dropDuplicates(["__rid"]), rid == F.col("__rid")).drop("__rid")
+    less = cut(F.when(F.col("__above").isNotNull(), F.col("text")), F.col("__above"))
+    return rows.withColumn("text", F.coalesce(less, F.col("text"))).select(docs.columns)

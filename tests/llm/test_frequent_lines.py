@@ -28,3 +28,12 @@ def test_copies_of_a_page_do_not_hide_a_frequent_line(spark):
 def test_copies_alone_make_no_line_frequent(spark):
     rows = [(i, "one page copied often\nwith two lines", "en", "h", 0) for i in range(600)]
     assert {r["left_words"] for r in linefreq.quality(spark.createDataFrame(rows, DOCS), LIMITS).collect()} == {7}
+
+
+def test_texts_that_stay_go_on_without_frequent_lines(spark):
+    rows = [(i, f"Menu of  page 12\nown {word(i)} words here\n\nlast {word(i + 9)} words and more", "en", "h", i) for i in range(60)]
+    rows += [(100, "Menu of  page 12\nalone on its host", "en", "other", 1), (101, "Menu of  page 12\nno host", "en", None, 2)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in linefreq.keep_good(spark.createDataFrame(rows + rows[:1], DOCS), LIMITS).collect()}
+    want = {i: (t.removeprefix("Menu of  page 12\n") if s == "h" else t, lang, s, n) for i, t, lang, s, n in rows}
+    assert got == want
+    assert linefreq.keep_good(spark.createDataFrame(rows + rows[:1], DOCS), LIMITS).count() == len(rows) + 1
