@@ -25,7 +25,7 @@ gpl-2.0 | gnu | gnu general public license (as published by the free software fo
 gpl-2.0 | gpl | gplv? ?2( 0)?( (only|or later))?
 gpl-1.0 | gnu | gnu general public license (either )?(version|v) ?1( 0)?
 gpl-classpath | classpath | classpath exception
-gpl-linking | linking | special exception the copyright holders of this library give you permission to link
+gpl-linking | exception | special exception the copyright holders of this library give you permission to link
 lgpl-3.0 | lesser | gnu lesser general public license (as published by the free software foundation )?(either )?(version|v) ?3
 lgpl-2.1 | lesser | gnu lesser general public license (as published by the free software foundation )?(either )?(version|v) ?2 1
 lgpl-2.0 | library | gnu library general public license (as published by the free software foundation )?(either )?(version|v) ?2
@@ -67,7 +67,7 @@ afl-2.1 | academic | academic free license (version|v)? ?2 1
 artistic-2.0 | artistic | artistic license (version|v)? ?2 0
 artistic-1.0 | artistic | artistic license (version|v)? ?1 0
 boost-1.0 | boost | boost software license (version|v)? ?1 0
-boost-1.0 | boost | bsl 1 0
+boost-1.0 | bsl | bsl 1 0
 bsl-1.1 | business | business source license (version|v)? ?1 1
 ms-pl | microsoft | microsoft public license
 ms-rl | microsoft | microsoft reciprocal license
@@ -147,15 +147,17 @@ lppl-1.3 | latex | latex project public license( (version|v)? ?1 3[a-c]?)?
 
 #: Priority 80: Creative Commons, from the fuller names to the shorter.
 CREATIVE = r"""
-cc-by-nc-nd | nd | (cc by nc nd|creative commons attribution non ?commercial no ?deriv(ative)?s?( works)?)( (\d) (\d))?( international| unported| generic)?
-cc-by-nc-sa | sa | (cc by nc sa|creative commons attribution non ?commercial share ?alike)( (\d) (\d))?( international| unported| generic)?
+cc-by-nc-nd | nd | cc by nc nd( (\d) (\d))?( international| unported| generic)?
+cc-by-nc-nd | deriv | creative commons attribution non ?commercial no ?deriv(ative)?s?( works)?( (\d) (\d))?( international| unported| generic)?
+cc-by-nc-sa | sa | cc by nc sa( (\d) (\d))?( international| unported| generic)?
+cc-by-nc-sa | alike | creative commons attribution non ?commercial share ?alike( (\d) (\d))?( international| unported| generic)?
 cc-by-nc | nc | cc by nc( (\d) (\d))?( international| unported| generic)?
 cc-by-nc | commercial | creative commons attribution non ?commercial( (\d) (\d))?( international| unported| generic)?
 cc-by-nd | nd | cc by nd( (\d) (\d))?( international| unported| generic)?
 cc-by-nd | deriv | creative commons attribution no ?deriv(ative)?s?( works)?( (\d) (\d))?( international| unported| generic)?
 cc-by-sa | sa | cc by sa( (\d) (\d))?( international| unported| generic)?
 cc-by-sa | alike | creative commons attribution share ?alike( (\d) (\d))?( international| unported| generic)?
-cc-by-sa | copyleft | creativecommons org licenses by sa( (\d) (\d))?
+cc-by-sa | creativecommons | creativecommons org licenses by sa( (\d) (\d))?
 cc-by-nc | creativecommons | creativecommons org licenses by nc( (\d) (\d))?
 cc-by-nd | creativecommons | creativecommons org licenses by nd( (\d) (\d))?
 cc-by-nc-sa | creativecommons | creativecommons org licenses by nc sa( (\d) (\d))?
@@ -238,7 +240,8 @@ ogl | government | open government licen[cs]e
 licence-ouverte | ouverte | licence ouverte
 dl-de | datenlizenz | datenlizenz deutschland
 etalab | etalab | etalab( 2 0)?
-cdla | cdla | (cdla|community data license agreement) (permissive|sharing)
+cdla | cdla | cdla (permissive|sharing)
+cdla | community | community data license agreement (permissive|sharing)
 llama | llama | llama [0-9] community licen[cs]e
 openrail | openrail | (bigscience |creativeml )?open ?rail( m)?( licen[cs]e)?
 gemma | gemma | gemma terms of use
@@ -258,7 +261,7 @@ all-rights-reserved | droits | tous droits r.serv.s
 all-rights-reserved | derechos | todos los derechos reservados
 creative-commons | creative | creative commons
 spdx | spdx | spdx license identifier [a-z0-9]+( [a-z0-9]+){0,3}
-eula | user license | end user licen[cs]e agreement
+eula | user licen | end user licen[cs]e agreement
 licensed | licensed | licensed under (the|a) [a-z]+
 as-is | provided | provided as is without (any )?(warranty|warranties)
 no-warranty | warranty | without warranty of any kind
