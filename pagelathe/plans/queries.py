@@ -161,7 +161,7 @@ def d03_page_facts(spark, sf_dir):
 
 @query(r"select page_id, nullif(trim(regexp_replace(regexp_replace(substr(html, 1, 600), '<[^>]{0,200}>', ' ', 'g'), '\s+', ' ', 'g')), '') as plain from pages")
 def c17_clean_string(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", text.clean_string(F.substring("html", 1, 600)).alias("plain"))
+    return table(spark, sf_dir, "pages").select("page_id", text.clean_string(F.col("html")).alias("plain"))
 
 
 CRAWL_URL = rf"""lower(regexp_extract(u, {SPLIT_URL}, 1)) || '://' || lower(regexp_extract(u, {SPLIT_URL}, 2)) || case when regexp_replace(regexp_extract(u, {SPLIT_URL}, 3), '/+$', '') = '' then '/' else regexp_replace(regexp_extract(u, {SPLIT_URL}, 3), '/+$', '') end || case when regexp_extract(u, {SPLIT_URL}, 4) <> '' then '?' || regexp_extract(u, {SPLIT_URL}, 4) else '' end"""
@@ -272,7 +272,7 @@ def e09_split_array(spark, sf_dir):
  len([x for x in parts if lower(x) not in ('n/a', 'na', 'none', '-', '—') and try_cast(replace(regexp_extract(x, '-?\d[\d,]*'), ',', '') as bigint) is null]) > 0 as exists_bad
  from (select *, [trim(x) for x in regexp_split_to_array(v, '[,;|]|\s·\s|\s•\s') if trim(x) <> ''] as parts from {LITERALS} where v not like 'P%'))""")
 def e08_coerce_array(spark, sf_dir):
-    rows = literals(spark, sf_dir).where("v not like 'P%'")
+    rows = literals(spark, sf_dir)
     items = coerce.coerce(F.col("v"), "array<integer>")
     total = F.aggregate(F.filter(items, lambda x: x.isNotNull()), F.lit(0).cast("long"), lambda a, x: a + x)
     return rows.select("l_orderkey", "l_linenumber", F.when(F.size(F.filter(items, lambda x: x.isNotNull())) > 0, total).alias("total"))
