@@ -324,7 +324,7 @@ def f11_filter_by_relevance(spark, sf_dir):
 @query("select doc_id, case when length(text) / 4 >= 2000 then 'fallback' else 'primary' end as model, 'schema: title' || chr(10) || 'content: ' || substr(text, 1, 100) as prompt from documents")
 def g04_prompt(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length(t) / 4 >= 2000, "fallback").otherwise("primary").alias("model"), F.concat_ws("\n", F.lit("schema: title"), F.concat(F.lit("content: "), text.neutral(F.substring(t, 1, 100)))).alias("prompt"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length(t) / 4 >= 2000, "fallback").otherwise("primary").alias("model"), F.concat_ws("\n", F.lit("schema: title"), F.concat(F.lit("content: "), text.neutral(t))).alias("prompt"))
 
 
 @query()
