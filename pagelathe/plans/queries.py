@@ -419,7 +419,7 @@ def k01_first_last_wins(spark, sf_dir):
 
 @query("select prefix, text from (select lower(left(text, 20)) as prefix, text, row_number() over (partition by lower(left(text, 20)) order by length(text) desc, doc_id) as n from documents) where n = 1")
 def k04_dedupe_prefix(spark, sf_dir):
-    p = F.lower(F.substring("text", 1, 20))
+    p = F.lower(F.substring("text", 1, 80))
     return table(spark, sf_dir, "documents").groupBy(p.alias("prefix")).agg(F.min_by("text", F.struct(-F.length("text"), "doc_id")).alias("text"))
 
 
