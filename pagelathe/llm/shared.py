@@ -170,16 +170,17 @@ def rows_per_partition(df: DataFrame, least: int = 12) -> int:
 def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column], out: str, buckets: int) -> DataFrame:
     """df with `out`: the sum of `value` over the rows of the same keys that come earlier.
 
-    Rows come by bucket of a hash of `order`, then by `order`. A key's rows are dealt over all buckets, so that no
+    Rows come by a hash of `order`, then by `order`, whatever `buckets` is: a bucket is a range of the hash. A key's rows are dealt over all buckets, so that no
     task gets a key whole; the buckets' totals (keys x buckets rows) are summed apart and joined back. Rows that
     agree in all of `order` must agree in `value`: they are interchangeable.
     """
     b, part, total = "__bucket", "__part", "__base"
-    df = df.withColumn(b, F.pmod(F.xxhash64(*order, F.lit(17)), F.lit(buckets)).cast("int"))
+    hashed = F.xxhash64(*order, F.lit(17))
+    df = df.withColumn(b, F.shiftright((F.shiftright(hashed, 32) + F.lit(1 << 31)) * F.lit(buckets), 32).cast("int"))
     sums = df.groupBy(*keys, b).agg(F.sum(value).alias(part))
     w = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*keys, b, F.coalesce(F.sum(part).over(w), F.lit(0)).alias(total))
-    inner = Window.partitionBy(*keys, b).orderBy(F.xxhash64(*order), *order).rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*keys, b).orderBy(hashed, *order).rowsBetween(Window.unboundedPreceding, -1)
     rows = df.withColumn(part, F.coalesce(F.sum(value).over(inner), F.lit(0)))
     on = [rows[k].eqNullSafe(sums[k]) for k in keys] + [rows[b] == sums[b]]
     cond = on[0]
