@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagelathe.llm.shared import KEY_ROWS, arrow_rows, bounded, discard, materialize
 
@@ -106,3 +107,95 @@ def each_group(work: Callable[[pa.Table, int, int], pa.RecordBatch | None]) -> C
         return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
 
     return run
+
+
+#: `side` of a row in a group: a member, a member that every part of its group gets, and the first of those.
+MEMBER, HUB, FIRST_HUB = 0, 1, 2
+LINKS = "gid long, a long, b long"
+
+
+def span_links(members: DataFrame, payload: DataFrame, work: Callable[[pa.Table, list[int]], pa.RecordBatch | None], block: int, n: int) -> DataFrame:
+    """(a, b) links that connect what is linked within each group of members (gid, pid, weight: long); payload has a row for each pid.
+
+    A group of at most `block` members is one call's. A larger one is dealt into parts, and each part gets up to eight hubs
+    as well, the members of the largest weight, so that the group of one thing and its variants is joined together by its
+    hubs in rows that grow with the group. Members that a part does not join to the first hub are few then; a second pass
+    compares them with all parts, so no link is lost: two members are joined to the first hub both, or one of them is in
+    that pass. `work` gets rows sorted by group with `side`, and returns links (gid, a, b); b is null for a member of
+    a part with hubs that is not joined to the first one.
+    """
+    sizes = members.groupBy("gid").agg(F.count("*").alias("m")).where("m > 1")
+    rows = members.join(sizes, "gid").withColumn("k", F.ceil(F.col("m") / F.lit(block)).cast("int")).drop("m")
+    rows = materialize(rows.withColumn("part", F.when(F.col("k") > 1, F.pmod(F.xxhash64(F.lit(7), "pid"), F.col("k"))).otherwise(0).cast("int")))
+    dealt = rows.select("gid", "part", "pid", F.lit(MEMBER).alias("side"))
+    large = rows.where("k > 1")
+    if not large.isEmpty():
+        best = large.groupBy("gid", "k", F.pmod(F.xxhash64(F.lit(5), "pid"), F.lit(8)).alias("salt")).agg(F.max(F.struct("weight", "pid")).alias("top"))
+        best = best.withColumn("first", F.max("top").over(Window.partitionBy("gid")) == F.col("top"))
+        hubs = best.select("gid", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("top.pid").alias("pid"), F.when(F.col("first"), FIRST_HUB).otherwise(HUB).alias("side"))
+        dealt = dealt.unionByName(hubs)
+    held = payload.withColumnRenamed("pid", "__p")
+    found = materialize(by_groups(dealt.join(held, F.col("pid") == F.col("__p")).drop("__p"), ["gid", "part"], work, LINKS, n))
+    links = found.where("b is not null").select("a", "b")
+    apart = found.where("b is null").select("gid", F.col("a").alias("pid")).distinct()
+    if apart.isEmpty():
+        return links
+    apart = materialize(apart)
+    counts = apart.groupBy("gid").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("u"))
+    of = rows.select("gid", "k").distinct().join(counts, "gid")
+    left = apart.join(of, "gid").select("gid", F.pmod(F.xxhash64(F.lit(3), "pid"), F.col("u")).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), "pid", F.lit(HUB).alias("side"))
+    right = rows.join(counts, "gid").select("gid", F.explode(F.sequence(F.lit(0), F.col("u") - 1)).alias("mine"), "part", "pid", F.lit(MEMBER).alias("side"))
+    again = left.unionByName(right).join(held, F.col("pid") == F.col("__p")).drop("__p")
+    return links.unionByName(by_groups(again, ["gid", "mine", "part"], work, LINKS, n).select("a", "b"))
+
+
+def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int], np.ndarray]:
+    """A spanning forest (i, j) of the links among n members, and each member's tree.
+
+    Breadth first: near(x, rest) says which of `rest` link with x; who is reached leaves the rest, so there is one
+    comparison row for each member and never a list of all pairs.
+    """
+    left: list[int] = []
+    right: list[int] = []
+    tree, rest = np.arange(n), np.arange(n)
+    while len(rest) > 1:
+        root, rest = int(rest[0]), rest[1:]
+        queue = [root]
+        while queue and len(rest):
+            x = queue.pop()
+            ok = near(x, rest)
+            if ok.any():
+                got = rest[ok]
+                left += [x] * len(got)
+                right += got.tolist()
+                queue += got.tolist()
+                tree[got] = root
+                rest = rest[~ok]
+    return left, right, tree
+
+
+def spanned(table: pa.Table, cut: list[int], near_of: Callable[[int, int], Callable[[int, np.ndarray], np.ndarray]], small: Callable[[list[tuple[int, int]]], tuple[np.ndarray, np.ndarray]] | None = None) -> pa.RecordBatch | None:
+    """The rows that span_links() wants of its `work`: near_of(a, b) gives `near` of forest() for the rows a to b."""
+    gid, pid, side = (table.column(c).to_numpy() for c in ("gid", "pid", "side"))
+    hubs = np.add.reduceat(side == FIRST_HUB, cut[:-1]) > 0
+    plain = [(a, b) for a, b, h in zip(cut, cut[1:], hubs.tolist(), strict=False) if b - a > 1 and not h]
+    rest = [(a, b) for a, b, h in zip(cut, cut[1:], hubs.tolist(), strict=False) if b - a > 1 and h]
+    i, j, lone = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if small and plain:
+        x, y = small(plain)
+        i.append(x)
+        j.append(y)
+        plain = []
+    for a, b in plain + rest:
+        x, y, tree = forest(b - a, near_of(a, b))
+        i.append(a + np.array(x, np.int64))
+        j.append(a + np.array(y, np.int64))
+        first = np.flatnonzero(side[a:b] == FIRST_HUB)
+        if len(first):
+            lone.append(a + np.flatnonzero((tree != tree[first[0]]) & (side[a:b] == MEMBER)))
+    i, j, lone = np.concatenate(i), np.concatenate(j), np.concatenate(lone)
+    if not len(i) and not len(lone):
+        return None
+    ids = [np.concatenate([gid[i], gid[lone]]), np.concatenate([pid[i], pid[lone]])]
+    to = pa.array(np.concatenate([pid[j], np.zeros(len(lone), np.int64)]), mask=np.concatenate([np.zeros(len(i), bool), np.ones(len(lone), bool)]))
+    return pa.RecordBatch.from_arrays([pa.array(ids[0]), pa.array(ids[1]), to], names=["gid", "a", "b"])

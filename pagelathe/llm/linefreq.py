@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import bounded, byte_view, materialize, slices, texts, word_codes, word_spans
+from pagelathe.llm.shared import bounded, byte_view, materialize, may_have, slices, texts, word_codes, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -25,14 +25,12 @@ _DIGITS = re.compile(rb"[0-9]+")
 class Limits:
     """A text fails the base rules below `min_words` words or above `max_repeat_percent` of words in repeated windows.
     A line is above the limits if at least `line_documents` distinct documents of its host, and `line_share` of them,
-    have it; a document is depleted if the lines left hold less than `left_share` of its words. `settings_share` has
-    no effect any more."""
+    have it; a document is depleted if the lines left hold less than `left_share` of its words."""
 
     min_words: int = 50
     max_repeat_percent: int = 50
     line_documents: int = 20
     line_share: float = 0.005
-    settings_share: float = 0.5
     left_share: float = 0.3
 
 
@@ -165,13 +163,18 @@ def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
 
     Only texts that have such a line go through Python; no other column changes.
     """
-    good = quality(docs, limits).where("kept").select(F.col("rid").alias("__rid"), F.col("above").alias("__above"))
+    found = materialize(quality(docs, limits).where("not kept or above is not null").select(F.col("rid").alias("__rid"), F.col("kept").alias("__kept"), F.col("above").alias("__above")).dropDuplicates(["__rid"]))
+    if found.isEmpty():
+        return docs
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, above: pa.Array) -> pa.Array:
         return pa.array([None if t is None or not h else without_lines(t, set(h)) for t, h in zip(text.to_pylist(), above.to_pylist(), strict=True)], pa.string())
 
-    rid = F.xxhash64("doc_id", "source", "text")
-    rows = texts(docs).join(good.dropDuplicates(["__rid"]), rid == F.col("__rid")).drop("__rid")
+    # only rows that go or lose lines need an exchange of texts; all others are passed on where they are read
+    rows = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
+    touched = may_have(found, "__rid")(F.col("__row"))
+    some = texts(rows.where(touched)).join(found, F.col("__row") == F.col("__rid"), "left").where(F.coalesce("__kept", F.lit(True)))
     less = cut(F.when(F.col("__above").isNotNull(), F.col("text")), F.col("__above"))
-    return rows.withColumn("text", F.coalesce(less, F.col("text"))).select(docs.columns)
+    some = some.withColumn("text", F.coalesce(less, F.col("text")))
+    return rows.where(~touched).select(docs.columns).unionByName(some.select(docs.columns))

@@ -24,9 +24,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which every executor sees; a local one only if the setting is unset."""
+    """A new folder under spark.checkpoint.dir, which every executor sees. A local one only if the setting is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
         base = tempfile.mkdtemp(prefix="pagelathe-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/pagelathe-{uuid.uuid4().hex}"
@@ -187,3 +189,35 @@ def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column
     for c in on[1:]:
         cond &= c
     return rows.join(sums, cond, "left").select(*[rows[c] for c in df.columns if c != b], (rows[part] + sums[total]).alias(out))
+
+
+#: Bits of the largest filter of may_have(): 16 MB.
+FILTER_BITS = 1 << 27
+
+
+def may_have(keys: DataFrame, key: str) -> Callable[[Column], Column]:
+    """A test of Columns (long): false only where a value is not among the keys, true for those and a few others.
+
+    A Bloom filter with 16 bits for each key, three of them set, as long as FILTER_BITS allows; beyond that more others pass, up
+    to all, and what comes after does the whole work. So it only spares rows an exchange: an exact join must follow for those
+    that pass. The set bits are gathered by word, at most FILTER_BITS / 64 rows, and broadcast.
+    """
+    spark = keys.sparkSession
+    bits = 1 << 16
+    while bits < min(FILTER_BITS, 16 * keys.count()):
+        bits *= 2
+    places = [F.pmod(F.xxhash64(F.lit(k), key), F.lit(bits)) for k in range(3)]
+    words = keys.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("mask")).toArrow()
+    table = np.zeros(bits >> 6, np.uint64)
+    table[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.arrow_udf("boolean")
+    def test(*at: pa.Array) -> pa.Array:
+        held, ok = shared.value, True
+        for a in at:
+            p = a.to_numpy(zero_copy_only=False)
+            ok = ok & ((held[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
+        return pa.array(ok)
+
+    return lambda c: test(*[F.pmod(F.xxhash64(F.lit(k), c), F.lit(bits)) for k in range(3)])

@@ -8,11 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.components import block_pairs, by_groups, components
-from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, rows_per_partition, slices, texts, word_spans
+from pagelathe.llm.components import components, forest, span_links, spanned
+from pagelathe.llm.shared import KEY_ROWS, TO_LOWER, arrow_rows, bounded, byte_view, materialize, may_have, rows_per_partition, slices, texts, word_spans
 
 BITS = 64
 
@@ -61,21 +61,10 @@ def majorities(h: np.ndarray, counts: np.ndarray, lanes: int) -> np.ndarray:
     return np.stack([majority(x, doc, counts) for x in lane], axis=1).view(np.int64)
 
 
-def numbered_shingles(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """For each text a sorted set that stands for its shingles with repeats: the k-th equal hash is another element."""
-    out, a = [], 0
-    for n in counts.tolist():
-        own = np.sort(h[a : a + n])
-        a += n
-        new = np.ones(n, bool)
-        new[1:] = own[1:] != own[:-1]
-        if not new.all():
-            at = np.arange(n)
-            again = (at - np.maximum.accumulate(np.where(new, at, 0))).astype(np.uint64)
-            own = np.where(again > 0, mixed(own + again * np.uint64(0x9E3779B97F4A7C15)), own)
-            own.sort()
-        out.append(own)
-    return out
+def shingle_sets(h: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    cut = np.concatenate([[0], np.cumsum(counts)]).tolist()
+    return [np.unique(h[a:b]) for a, b in zip(cut, cut[1:], strict=False)]
 
 
 #: The bits of each byte, lowest first.
@@ -115,95 +104,104 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
     return texts(docs, "doc_id", "text").mapInArrow(bounded(run), "doc_id long, fp long")
 
 
-def pivots(count: int, lanes: int, seed: int = 5) -> np.ndarray:
-    """Reference fingerprints: random, and the same for every run."""
+def random_pivots(count: int, lanes: int, seed: int = 5) -> np.ndarray:
+    """Reference fingerprints (count, lanes): random, and the same for every run."""
     return np.random.default_rng(seed).integers(0, 1 << 64, (count, lanes), dtype=np.uint64)
 
 
-def tables(fps: DataFrame, distance: int, blocks: int) -> DataFrame:
-    """fps once for each choice of `blocks - distance` of `blocks` bit blocks, with the bits of those as key.
+def block_pivots(blocks: int, each: int = 12, seed: int = 6) -> np.ndarray:
+    """Reference fingerprints (1 + blocks * each): zero, and for each of `blocks` ranges of bits some that are zero outside it.
 
-    The key is a row of pivot distances too: against the pivot pairs (0, mask) of a block of one bit the difference
-    of distances is that bit. Fingerprints within `distance` bits have the same key in one table at least.
+    The difference between the distances to one of a block and to zero depends on the bits of that block alone, and by
+    the triangle inequality it is the same for fingerprints that agree there.
     """
+    rng, out = np.random.default_rng(seed), [0]
     edges = [round(i * BITS / blocks) for i in range(blocks + 1)]
-    masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in (sum(masks[i] for i in c) for c in combinations(range(blocks), blocks - distance))]
-    keys = [F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.t", "k.key")
+    for a, b in zip(edges, edges[1:], strict=False):
+        out += [int(x) << a for x in rng.integers(1, 1 << (b - a), each)]
+    return np.array(out, np.uint64)
 
 
-def pair_links(fp: np.ndarray, distance: int, refs: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the links (distance bits or fewer) within a group of fingerprints (n, lanes).
+def pivot_distances(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """Hamming distances of fingerprints (n, lanes) to reference fingerprints (pivots, lanes), as bytes; over 255 is 255."""
+    out = np.zeros((len(fp), len(refs)), np.uint16)
+    for k in range(fp.shape[1]):
+        out += np.bitwise_count(fp[:, k, None] ^ refs[None, :, k])
+    return np.minimum(out, 255).astype(np.uint8)
 
-    Breadth first: each member is compared by its pivot distances with the members not reached yet, survivors by
-    all bits; who is reached leaves the rest. One comparison row for each member, never a list of all pairs.
-    """
-    table = pivot_distances(fp, refs)
-    rest = np.arange(len(fp))
-    found: list[tuple[int, int]] = []
-    while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            near = rest[np.abs(table[rest] - table[x]).max(axis=1) <= distance]
-            near = near[np.bitwise_count(fp[near] ^ fp[x]).sum(axis=1) <= distance]
-            if len(near):
-                found += [(x, int(y)) for y in near]
-                queue += near.tolist()
-                rest = np.setdiff1d(rest, near, assume_unique=True)
-    return found
 
+def group_keys(table: np.ndarray, blocks: int, each: int, agreeing: int) -> np.ndarray:
+    """Keys (n, choices) of a table of distances to block_pivots(): one for each choice of `agreeing` blocks, from their coordinates."""
+    rows = (table[:, 1 : 1 + blocks * each].astype(np.int64) - table[:, :1]).reshape(len(table), blocks, each)
+    rng = np.random.default_rng(8)
+    turn = rng.integers(1, 1 << 62, (blocks, each), dtype=np.int64) | 1
+    with np.errstate(over="ignore"):
+        own = (rows * turn).sum(axis=2)  # a number for the coordinates of each block
+        return np.stack([mixed(own[:, list(c)].sum(axis=1).astype(np.uint64) + np.uint64(t)).view(np.int64) for t, c in enumerate(combinations(range(blocks), agreeing))], axis=1)
 
-def pivot_distances(fp: np.ndarray, refs: np.ndarray) -> np.ndarray:
-    """Hamming distances of fingerprints (n, lanes) to reference fingerprints (pivots, lanes)."""
-    return np.bitwise_count(fp[:, None, :] ^ refs[None, :, :]).sum(axis=2, dtype=np.int16)
 
+def close(fp: np.ndarray, table: np.ndarray, distance: int):
+    """near(x, rest) of components.forest(): the largest coordinate difference discards, all bits decide."""
+    wide = table.astype(np.int16)
+
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        ok = np.abs(wide[rest] - wide[x]).max(axis=1) <= distance
+        some = rest[ok]
+        ok[ok] = np.bitwise_count(fp[some] ^ fp[x]).sum(axis=1) <= distance
+        return ok
+
+    return near
 
-def group_links(fp: np.ndarray, cut: list[int], distance: int, refs: np.ndarray, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
-    """Links that span the linked sets of each group: small groups of a size at once, larger ones one by one."""
-    begin, size = np.array(cut[:-1]), np.diff(cut)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    for s in np.unique(size[(size > 1) & (size <= small)]).tolist():
+
+def small_groups(fp: np.ndarray, table: np.ndarray, groups: list[tuple[int, int]], distance: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+    """Links that span the linked sets of each group (a, b) of rows: small groups of a size at once, larger ones one by one."""
+    begin, size = np.array([a for a, _ in groups]), np.array([b - a for a, b in groups])
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for s in np.unique(size[size <= small]).tolist():
         own = begin[size == s]
-        step = max(1, 400_000 // (s * s))
+        i, j = np.triu_indices(s, 1)
+        step = max(1, 200_000 // (s * s))
         for k in range(0, len(own), step):
             rows = own[k : k + step, None] + np.arange(s)
-            x = fp[rows]
-            d = pivot_distances(x.reshape(-1, x.shape[2]), refs).reshape(len(rows), s, -1)
-            g, i, j = np.nonzero(np.triu(np.ones((s, s), bool), 1)[None] & (np.abs(d[:, :, None, :1] - d[:, None, :, :1])[..., 0] <= distance))
-            ok = np.abs(d[g, i] - d[g, j]).max(axis=1) <= distance
-            g, i, j = g[ok], i[ok], j[ok]
-            ok = np.bitwise_count(x[g, i] ^ x[g, j]).sum(axis=1) <= distance
-            near = np.zeros((len(rows), s, s), bool)
-            near[g[ok], i[ok], j[ok]] = near[g[ok], j[ok], i[ok]] = True
-            # the smallest place that each member reaches
-            label = np.broadcast_to(np.arange(s), (len(rows), s)).copy()
-            near |= np.eye(s, dtype=bool)
-            while True:
-                least = np.where(near, label[:, None, :], s).min(axis=2)
-                if (least == label).all():
-                    break
-                label = least
-            g, i = np.nonzero(label != np.arange(s))
-            left.append(rows[g, i])
-            right.append(rows[g, label[g, i]])
-    for a, n in zip(begin[size > small].tolist(), size[size > small].tolist(), strict=True):
-        links = pair_links(fp[a : a + n], distance, refs)
-        left.append(a + np.array([x for x, _ in links], np.int64))
-        right.append(a + np.array([y for _, y in links], np.int64))
-    nothing = [np.zeros(0, np.int64)]
-    return np.concatenate(left or nothing), np.concatenate(right or nothing)
-
-
-def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: int = 42, blocks: int = 6, n_pivots: int = 16, block: int = 1024) -> DataFrame:
+            x, y = rows[:, i].ravel(), rows[:, j].ravel()
+            # a few coordinates first, then all, then the bits
+            for c in (slice(0, 4), slice(4, None)):
+                ok = np.abs(table[x, c].astype(np.int16) - table[y, c].astype(np.int16)).max(axis=1, initial=0) <= distance
+                x, y = x[ok], y[ok]
+            ok = np.bitwise_count(fp[x] ^ fp[y]).sum(axis=1) <= distance
+            left.append(x[ok])
+            right.append(y[ok])
+    for a, b in zip(begin[size > small].tolist(), (begin + size)[size > small].tolist(), strict=True):
+        x, y, _ = forest(b - a, close(fp[a:b], table[a:b], distance))
+        left.append(a + np.array(x, np.int64))
+        right.append(a + np.array(y, np.int64))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def print_links(lanes: int, distance: int):
+    """`work` of span_links() on fp and pivots (binary): links of `distance` bits or fewer."""
+
+    def work(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
+        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, lanes)
+        coords = np.frombuffer(b"".join(table.column("pivots").to_pylist()), np.uint8).reshape(table.num_rows, -1)
+        return spanned(table, cut, lambda a, b: close(fp[a:b], coords[a:b], distance), lambda groups: small_groups(fp, coords, groups, distance))
+
+    return work
+
+
+def blocks_for(n: int, distance: int) -> int:
+    """Blocks of bits for n fingerprints: with more of them more must agree, so that groups by chance stay small."""
+    return distance + (2 if n <= 1 << 22 else 3 if n <= 1 << 27 else 4)
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: int = 42, blocks: int | None = None, each: int = 12, n_pivots: int = 16, block: int = 1024) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs: SimHash groups linked at `distance` bits or fewer.
 
-    Equal fingerprints count once (a grouped minimum), so exact copies make no pairs. Distinct ones meet in
-    tables() by the bits of blocks that must agree; inside a bucket the pivot table drops pairs whose largest
-    coordinate difference is over `distance`, and all bits are compared for the rest. A bucket of over `block`
-    fingerprints is dealt out in pairs of blocks.
+    Equal fingerprints count once (a grouped minimum), so exact copies make no pairs. The table of pivot distances is
+    computed once: each distinct fingerprint's Hamming distances to block_pivots() and `n_pivots` random references. Two
+    fingerprints within `distance` bits agree in all bits of at least blocks - distance blocks, so in all pivot coordinates
+    of those: each choice of so many blocks is a join on equal coordinates, and no pair is lost. What meets there is
+    discarded by the largest difference over all coordinates, and the survivors are verified by their bits.
 
     Null doc_id: the row is linked like others and never gives a component its id unless all of it is null. Null,
     empty or blank text: fingerprint 0. Rows with the same doc_id each give a row. Empty table: no rows.
@@ -211,16 +209,22 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: in
     """
     rows = materialize(fingerprints(docs, words, seed))
     first = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    n = rows_per_partition(docs)
-    refs = pivots(n_pivots, 1)
+    blocks = blocks or blocks_for(first.count(), distance)
+    refs = np.concatenate([block_pivots(blocks, each), random_pivots(n_pivots, 1)[:, 0]])[:, None]
 
-    def work(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
-        signed = table.column("fp").to_numpy()
-        i, j = group_links(signed.view(np.uint64)[:, None], cut, distance, refs)
-        return pa.RecordBatch.from_arrays([pa.array(signed[i]), pa.array(signed[j])], names=["a", "b"]) if len(i) else None
-
-    dealt = block_pairs(tables(first.select("fp"), distance, blocks), ["t", "key"], "fp", block)
-    links = by_groups(dealt.select("t", "key", "g0", "g1", "fp"), ["t", "key", "g0", "g1"], work, "a long, b long", n)
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            signed = batch.column("fp").to_numpy()
+            fp = signed.view(np.uint64)[:, None]
+            table = pivot_distances(fp, refs)
+            keys = group_keys(table, blocks, each, blocks - distance)
+            raw = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (fp, table)]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), *raw, pa.FixedSizeListArray.from_arrays(pa.array(keys.ravel()), keys.shape[1]).cast(pa.list_(pa.int64()))], names=["pid", "fp", "pivots", "keys"])
+
+    arrow_rows(docs.sparkSession, KEY_ROWS)
+    table = materialize(first.select("fp").mapInArrow(bounded(measure), "pid long, fp binary, pivots binary, keys array<long>"))
+    members = table.select(F.explode("keys").alias("gid"), "pid", F.lit(0).cast("long").alias("weight"))
+    links = span_links(members, table.select("pid", "fp", "pivots"), print_links(1, distance), block, rows_per_partition(docs))
     comp = materialize(components(links))
     named = first.join(comp, first["fp"] == comp["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -229,144 +233,136 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, seed: in
     return rows.join(by_fp, rows["fp"] == by_fp["f"]).select("doc_id", "fp", "component_id")
 
 
-def sampled_keys(fp: np.ndarray, tables: int, width: int, seed: int = 9) -> np.ndarray:
-    """Keys (n, tables): `width` bits of fingerprints (n, lanes), the bits of each table drawn at random."""
-    n, lanes = fp.shape
-    bits = np.unpackbits(fp.view(np.uint8).reshape(n, -1), axis=1, bitorder="little")
+def band_keys(sets: list[np.ndarray], bands: int, rows: int, seed: int = 9) -> list[np.ndarray]:
+    """For each set of hashes `bands` keys, each from `rows` minima under hashes of their own; none for an empty set."""
+    size = np.array([len(s) for s in sets])
+    own = np.flatnonzero(size)
+    out = [np.zeros(0, np.int64)] * len(sets)
+    if not len(own):
+        return out
+    h, at = np.concatenate(sets), (np.cumsum(size) - size)[own]
     rng = np.random.default_rng(seed)
-    return np.stack([bits[:, rng.choice(lanes * BITS, width, replace=False)].astype(np.int64) @ (1 << np.arange(width)) for _ in range(tables)], axis=1)
+    keys = np.zeros((len(own), bands), np.uint64)
+    for band in range(bands):
+        key = np.full(len(own), band, np.uint64)
+        for _ in range(rows):
+            by, off = (rng.integers(1, 1 << 63, dtype=np.uint64) for _ in range(2))
+            key = mixed(key * np.uint64(31) + np.minimum.reduceat((h ^ off) * (by | np.uint64(1)), at))
+        keys[:, band] = key
+    for k, i in enumerate(own.tolist()):
+        out[i] = keys[k].view(np.int64)
+    return out
 
 
-def verified_links(codes: np.ndarray, offs: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """A spanning forest of the links of a group: pairs of sets (codes[offs[i]:offs[i + 1]]) whose exact Jaccard
-    similarity is `similarity` or more. Breadth first as in pair_links(): who is reached leaves the rest."""
-    size, rest = np.diff(offs), np.arange(len(offs) - 1)
+def similar_sets(codes: np.ndarray, offs: np.ndarray, similarity: float):
+    """near(x, rest) of components.forest(): sets (codes[offs[i]:offs[i + 1]]) whose exact Jaccard similarity is `similarity` or more."""
+    size = np.diff(offs)
     mark = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
     total = np.zeros(len(codes) + 1, np.int64)
-    found: list[tuple[int, int]] = []
-    while len(rest) > 1:
-        queue, rest = [int(rest[0])], rest[1:]
-        while queue and len(rest):
-            x = queue.pop()
-            own = codes[offs[x] : offs[x + 1]]
-            mark[own] = True
-            np.cumsum(mark[codes], out=total[1:])
-            mark[own] = False
-            both = total[offs[rest + 1]] - total[offs[rest]]
-            ok = (both > 0) & (both >= similarity * (size[x] + size[rest] - both) - 1e-9)
-            if ok.any():
-                found += [(x, int(y)) for y in rest[ok]]
-                queue += rest[ok].tolist()
-                rest = rest[~ok]
-    return found
-
-
-def verified(docs: DataFrame, members: DataFrame, words: int, seed: int, similarity: float, block: int) -> DataFrame:
-    """(a, b) links of members (pid, rid, component): any two of a component are compared by their exact shingles.
-
-    rid names a row of docs with the text of pid. Texts are read again for members only, and each goes to its
-    component once, or once for each pair of blocks if that has over `block` members.
-    """
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                own = numbered_shingles(*shingle_slice(part.column("text"), words, seed))
-                offs = np.concatenate([[0], np.cumsum([8 * len(x) for x in own])]).astype(np.int32)
-                raw = pa.Array.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(offs), pa.py_buffer(b"".join(x.tobytes() for x in own))])
-                yield pa.RecordBatch.from_arrays([part.column("pid"), raw], names=["q", "shingles"])
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        own = codes[offs[x] : offs[x + 1]]
+        mark[own] = True
+        np.cumsum(mark[codes], out=total[1:])
+        mark[own] = False
+        both = total[offs[rest + 1]] - total[offs[rest]]
+        return (both > 0) & (both >= similarity * (size[x] + size[rest] - both) - 1e-9)
+
+    return near
+
+
+def set_links(similarity: float):
+    """`work` of span_links() on shingles (binary)."""
 
     def work(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
-        pid, raw = table.column("pid").to_numpy(), table.column("shingles").to_pylist()
-        left: list[int] = []
-        right: list[int] = []
-        for a, b in zip(cut, cut[1:], strict=False):
+        raw = table.column("shingles").to_pylist()
+
+        def near_of(a: int, b: int):
             offs = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw[a:b]])]).astype(np.int64)
             codes = np.unique(np.frombuffer(b"".join(raw[a:b]), np.uint64), return_inverse=True)[1]
-            for x, y in verified_links(codes, offs, similarity):
-                left.append(int(pid[a + x]))
-                right.append(int(pid[a + y]))
-        return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"]) if left else None
+            return similar_sets(codes, offs, similarity)
 
-    mine = docs.select(row_id().alias("r"), "text").join(members.select("pid", "rid"), F.col("r") == F.col("rid")).select("pid", "text")
-    held = texts(mine, "pid", "text").mapInArrow(bounded(sets), "q long, shingles binary")
-    dealt = block_pairs(members.select("component", "pid"), ["component"], "pid", block).join(held, F.col("pid") == F.col("q"))
-    return by_groups(dealt.select("component", "g0", "g1", "pid", "shingles"), ["component", "g0", "g1"], work, "a long, b long", rows_per_partition(docs))
+        return spanned(table, cut, near_of)
 
+    return work
 
-def row_id() -> Column:
-    """Names a text by one of its rows; rows that agree in it agree in text."""
+
+def packed(values: list[np.ndarray]) -> pa.Array:
+    offs = np.concatenate([[0], np.cumsum([8 * len(x) for x in values])]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offs), pa.py_buffer(b"".join(x.tobytes() for x in values))])
+
+
+def row_id():
+    """Names a row by id and text; rows that agree in it are the same document twice."""
     return F.xxhash64("doc_id", F.lit("near"), "text")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: int = 4, distance: int = 60, recall: float = 0.97, n_pivots: int = 8, block: int = 1024, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for every row of docs: groups linked at an exact shingle similarity of `similarity` or more.
+PRINTS = "doc_id long, rid long, pid long, fp binary, pivots binary, keys array<long>"
+
+
+def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: int = 4, distance: int = 64, n_pivots: int = 32, bands: int = 10, rows: int = 4, block: int = 1024, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, rid, pid) of docs, and the text classes (pid, component): links at an exact shingle similarity of `similarity` or more.
 
-    Similarity is Jaccard over shingles with their repeats. Candidates come by SimHash: texts at 0.8 have fingerprints
-    about 15 percent of bits apart, too far for blocks that must agree, so this takes `lanes` times 64 bits (of 256 bits
-    38.8 differ at 0.8, with a deviation of 5.7; `distance` is 3.7 deviations above) and tables of randomly drawn bits. A
-    key has two bits more than it takes to number all fingerprints, so buckets by chance stay as rare at any size; there
-    are as many tables as it takes for texts of similarity 0.8 to share a key with a chance of `recall` by the formula.
-    Candidates that hang together are then compared by their shingles, any two of them, and only those pairs link that
-    reach `similarity`. Texts of equal shingles are one from the start.
+    Similarity is Jaccard over the distinct shingles; texts of equal sets are one pid from the start. Texts at 0.8 have
+    fingerprints 15 percent of bits apart, too far for coordinates that must agree, and sampled bits take a number of
+    tables that grows with the corpus. So texts meet by `bands` keys of `rows` shingle minima each, as many at any size: a pair
+    at 0.8 shares one with a chance of 0.995. What meets is discarded by the largest difference of its distances to
+    `n_pivots` reference fingerprints and then by all bits of its SimHash (of 256 bits 38.8 differ at 0.8, with a deviation
+    of 5.7; `distance` is 4.4 deviations above). Candidates that hang together are compared by their shingles, any two of
+    them, and only those link that reach `similarity`.
     """
+    refs = random_pivots(n_pivots, lanes)
 
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 h, counts = shingle_slice(part.column("text"), words, seed)
-                fp = majorities(h, counts, lanes)
-                cut = np.concatenate([[0], np.cumsum(counts)]).tolist()
-                pid = [xxhash.xxh64_intdigest(np.sort(h[a:b]).tobytes(), seed) for a, b in zip(cut, cut[1:], strict=False)]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("rid"), pa.array(np.array(pid, np.uint64).view(np.int64)), pa.array([r.tobytes() for r in fp], pa.binary())],
-                    names=["doc_id", "rid", "pid", "fp"],
-                )
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), np.uint64).reshape(batch.num_rows, lanes)
-                yield pa.RecordBatch.from_arrays([batch.column("pid"), pa.array(list(sampled_keys(fp, n_tables, width)), pa.list_(pa.int64()))], names=["pid", "keys"])
-
-    rows = materialize(texts(docs.select("doc_id", row_id().alias("rid"), "text")).mapInArrow(bounded(prints), "doc_id long, rid long, pid long, fp binary"))
-    first = materialize(rows.groupBy("pid", "fp").agg(F.min("doc_id").alias("least"), F.min("rid").alias("rid")))
-    refs = pivots(n_pivots, lanes)
-    n_tables, width = table_sizes(first.count(), recall)
-
-    def work(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
-        fp = np.frombuffer(b"".join(table.column("fp").to_pylist()), np.uint64).reshape(table.num_rows, lanes)
-        i, j = group_links(fp, cut, distance, refs)
-        pid = table.column("pid").to_numpy()
-        return pa.RecordBatch.from_arrays([pa.array(pid[i]), pa.array(pid[j])], names=["a", "b"]) if len(i) else None
-
-    table = first.select("pid", "fp").mapInArrow(bounded(keys), "pid long, keys array<long>").select("pid", F.posexplode("keys").alias("t", "key"))
-    # buckets of one go before the fingerprints join
-    dealt = block_pairs(table, ["t", "key"], "pid", block).join(first.select(F.col("pid").alias("q"), "fp"), F.col("pid") == F.col("q"))
-    near = by_groups(dealt.select("t", "key", "g0", "g1", "pid", "fp"), ["t", "key", "g0", "g1"], work, "a long, b long", rows_per_partition(docs))
-    members = materialize(components(near).join(first.select("pid", "rid"), F.col("node") == F.col("pid")).select("component", "pid", "rid"))
-    comp = materialize(components(verified(docs, members, words, seed, similarity, max(1, block // 2))))
-    named = first.join(comp, first["pid"] == comp["node"], "left").select("pid", "least", F.coalesce("component", "pid").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_pid = named.join(ids, "component").select(F.col("pid").alias("p"), "component_id")
-    return rows.join(by_pid, rows["pid"] == by_pid["p"]).select("doc_id", "component_id")
+                sets = shingle_sets(h, counts)
+                fp = majorities(np.concatenate(sets) if sets else h, np.array([len(s) for s in sets], np.int64), lanes).view(np.uint64)
+                pid = np.array([xxhash.xxh64_intdigest(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
+                raw = [pa.array([r.tobytes() for r in x], pa.binary()) for x in (fp, pivot_distances(fp, refs))]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("rid"), pa.array(pid), *raw, pa.array(band_keys(sets, bands, rows), pa.list_(pa.int64()))], names=["doc_id", "rid", "pid", "fp", "pivots", "keys"])
 
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column("pid"), packed(shingle_sets(*shingle_slice(part.column("text"), words, seed)))], names=["pid", "shingles"])
 
-def table_sizes(n: int, recall: float) -> tuple[int, int]:
-    """Number of tables, and bits of a key, for n fingerprints."""
-    width = max(12, int(np.ceil(np.log2(max(2, n)))) + 2)
-    agree = 1 - np.arccos(1.6 / 1.8) / np.pi  # of bits, at a Jaccard similarity of 0.8
-    return int(np.ceil(-np.log(1 - recall) / agree**width)), width
+    n = rows_per_partition(docs)
+    found = materialize(texts(docs.select("doc_id", row_id().alias("rid"), "text")).mapInArrow(bounded(prints), PRINTS))
+    points = materialize(found.groupBy("pid", "fp", "pivots", "keys").agg(F.min("rid").alias("rid")))
+    keys = points.select(F.explode("keys").alias("gid"), "pid")
+    sizes = keys.groupBy("gid").agg(F.count("*").alias("weight")).where("weight > 1")
+    members = materialize(keys.join(sizes, "gid"))
+    near = span_links(members, points.select("pid", "fp", "pivots"), print_links(lanes, distance), block, n)
+    weights = members.groupBy("pid").agg(F.sum("weight").alias("weight")).withColumnRenamed("pid", "w")
+    groups = components(near).join(points.select("pid", "rid"), F.col("node") == F.col("pid")).join(weights, F.col("pid") == F.col("w"))
+    groups = materialize(groups.select(F.col("component").alias("gid"), "pid", "rid", "weight"))
+    named = docs.select(row_id().alias("r"), "text")
+    mine = named.where(may_have(groups, "rid")(F.col("r"))).join(groups.select("pid", "rid"), F.col("r") == F.col("rid")).select("pid", "text")
+    held = materialize(texts(mine.dropDuplicates(["pid"])).mapInArrow(bounded(sets), "pid long, shingles binary"))
+    comp = materialize(components(span_links(groups.select("gid", "pid", "weight"), held, set_links(similarity), block // 2, n)))
+    classes = points.join(comp, points["pid"] == comp["node"], "left").select("pid", F.coalesce("component", "pid").alias("component"))
+    return found.select("doc_id", "rid", "pid"), classes
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row for each group of similar_documents(): the one with the smallest doc_id, once if that repeats.
+    """docs with one row for each class of similar_documents(): the one with the smallest doc_id, null last.
 
-    Rows with a null doc_id cannot be named, and all stay.
+    A row is named by id and text together, so unlike texts under one doc_id both stay, and of rows that agree in both one
+    stays. Null, empty and blank texts are alike. Empty table: no rows.
     """
-    found = similar_documents(docs, **options)
-    stay = materialize(found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__times")))
-    kept = docs.join(stay, F.col("doc_id") == F.col("__id"))
-    one = kept.where("__times = 1").select(docs.columns)
-    many = kept.where("__times > 1").dropDuplicates(["doc_id"]).select(docs.columns)
-    return one.unionByName(many).unionByName(docs.where("doc_id is null"))
+    found, classes = similar_documents(docs, **options)
+    named = materialize(found.join(classes.withColumnRenamed("pid", "p"), F.col("pid") == F.col("p")).groupBy("component", "doc_id", "rid").agg(F.count("*").alias("times")))
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid"))["rid"].alias("stays")).withColumnRenamed("component", "c")
+    # only rows that go, and those that are there more than once, need an exchange of texts
+    marked = named.join(first, F.col("component") == F.col("c")).select("rid", (F.col("rid") == F.col("stays")).alias("stays"), "times")
+    marked = materialize(marked.where("not stays or times > 1"))
+    if marked.isEmpty():
+        return docs
+    row = "__row"
+    rows = docs.withColumn(row, row_id())
+    found_ = may_have(marked, "rid")(F.col(row))
+    gone = marked.where("not stays").select(F.col("rid").alias("__gone"))
+    once = rows.where(found_).join(gone, F.col(row) == F.col("__gone"), "left_anti").dropDuplicates([row])
+    return rows.where(~found_).select(docs.columns).unionByName(once.select(docs.columns))

@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from pagelathe.llm import capfilter, licenses, linefreq, mixing, ngrams, packing, secrets, simhash, toxicity, warc
+from pagelathe.llm.components import span_links
 from pagelathe.llm.license_rules import BASE
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -98,21 +99,35 @@ def test_simhash(docs, rows, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_hot_groups_are_linked_in_blocks(spark):
+def test_hot_groups_are_linked_in_parts(spark):
     base = 0x0123456789ABCDEF
-    table = spark.createDataFrame([(base ^ (1 << a) ^ (1 << b),) for a in range(40) for b in range(a)], "fp long")
-    dealt = simhash.block_pairs(simhash.tables(table, 4, 6), ["t", "key"], "fp", 16)
-    assert dealt.groupBy("t", "key", "g0", "g1").count().agg(F.max("count")).first()[0] < 80
-
-    def work(t, cut):
-        import pyarrow as pa
-
-        signed = t.column("fp").to_numpy()
-        i, j = simhash.group_links(signed.view(np.uint64)[:, None], cut, 4, simhash.pivots(16, 1))
-        return pa.RecordBatch.from_arrays([pa.array(signed[i]), pa.array(signed[j])], names=["a", "b"]) if len(i) else None
-
-    links = simhash.by_groups(dealt.select("t", "key", "g0", "g1", "fp"), ["t", "key", "g0", "g1"], work, "a long, b long", 4)
-    assert simhash.components(links).select("component").distinct().count() == 1
+    fps = [base ^ (1 << a) ^ (1 << b) for a in range(40) for b in range(a)]
+    # a second ball, 5 bits from the first at the nearest: in the same group, but not linked with it
+    fps += [base ^ (0x7F << 50) ^ (1 << a) for a in range(45)]
+    rng = np.random.default_rng(0)
+    rng.shuffle(fps)
+    refs = simhash.random_pivots(16, 1)
+    fp = np.array(fps, np.uint64)[:, None]
+    table = [(i, bytearray(f.tobytes()), bytearray(d.tobytes())) for i, (f, d) in enumerate(zip(fp, simhash.pivot_distances(fp, refs), strict=True))]
+    payload = spark.createDataFrame(table, "pid long, fp binary, pivots binary").cache()
+    members = payload.select(F.lit(1).cast("long").alias("gid"), "pid", F.lit(0).cast("long").alias("weight"))
+    for distance in (1, 2, 4):
+        links = [(r["a"], r["b"]) for r in span_links(members, payload, simhash.print_links(1, distance), 32, 4).collect()]
+        want = [(i, j) for i, j in combinations(range(len(fps)), 2) if (fps[i] ^ fps[j]).bit_count() <= distance]
+        assert groups(range(len(fps)), links) == groups(range(len(fps)), want)
+
+
+def test_pivot_coordinates_lose_no_pair():
+    rng = np.random.default_rng(1)
+    for blocks in (6, 7, 8):
+        refs = np.concatenate([simhash.block_pivots(blocks), simhash.random_pivots(4, 1)[:, 0]])[:, None]
+        fp = rng.integers(0, 1 << 64, (500, 1), dtype=np.uint64)
+        near = fp.copy()
+        for k in range(4):
+            near[:, 0] ^= np.uint64(1) << rng.integers(0, 64, 500, dtype=np.uint64)
+        keys = [simhash.group_keys(simhash.pivot_distances(x, refs), blocks, 12, blocks - 4) for x in (fp, near)]
+        assert (keys[0] == keys[1]).any(axis=1).all()
+        assert (keys[0][:-1] == keys[0][1:]).mean() < 0.001
 
 
 def test_similar_documents_are_caught(spark):
@@ -153,7 +168,7 @@ def test_quality(docs, rows, none):
 
 
 def test_boilerplate_depletes(spark):
-    table = [(i, f"own {i} start here\n" + "the same menu line of this host\n" * 1 + f"tail {chr(97 + i % 26) * 3} {'x' * i}\n" + " ".join(["menu"] * 0), "en", "h", 0) for i in range(60)]
+    table = [(i, f"own {'y' * (i + 1)} start here\nthe same menu line of this host\ntail {chr(97 + i % 26) * 3} {'x' * i}\n", "en", "h", 0) for i in range(60)]
     limits = linefreq.Limits(min_words=1, line_documents=20, left_share=0.6)
     got = linefreq.quality(spark.createDataFrame(table, DOCS), limits).collect()
     assert {r["n_words"] - r["left_words"] for r in got} == {7} and not any(r["kept"] for r in got)
@@ -225,37 +240,69 @@ def test_trees_learn_and_calibrate():
     assert np.all(np.diff(m.steps[1]) >= 0)
 
 
-def test_language_model(docs, rows, none):
+class Backoff:
+    """The model by its definition, one word at a time."""
+
+    def __init__(self, training):
+        self.c = [Counter(), Counter(), Counter()]
+        for w in training:
+            w = [" ", *w]
+            self.c[0].update((x,) for x in w[1:])
+            self.c[1].update(zip(w, w[1:], strict=False))
+            self.c[2].update(zip(w, w[1:], w[2:], strict=False))
+        self.n, self.v = sum(self.c[0].values()), len(self.c[0])
+        self.d = [None, *(ngrams.discounts(*(sum(k == q for k in c.values()) for q in (1, 2, 3, 4))) for c in self.c[1:])]
+        self.total, self.freed = Counter(), Counter()
+        for c, d in zip(self.c[1:], self.d[1:], strict=True):
+            for g, k in c.items():
+                self.total[g[:-1]] += k
+                self.freed[g[:-1]] += d[min(k, 3) - 1]
+
+    def p(self, h, w):
+        if not h:
+            return (self.c[0][w,] + 1) / (self.n + self.v + 1)
+        if not self.total[h]:
+            return self.p(h[1:], w)
+        k = self.c[len(h)][*h, w]
+        own = k - self.d[len(h)][min(k, 3) - 1] if k else 0
+        return own / self.total[h] + self.freed[h] / self.total[h] * self.p(h[1:], w)
+
+    def score(self, w):
+        w = [" ", *w]
+        return sum(math.log10(self.p(tuple(w[max(0, i - 2) : i]), w[i])) for i in range(1, len(w)))
+
+
+def test_language_model(docs, rows, none, monkeypatch):
+    monkeypatch.setattr(ngrams, "PART_TOKENS", 20_000)
     got = ngrams.score(docs).collect()
     text = [(i, [*words(t), " "]) for i, t, _ in rows]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
-    c, bi = Counter(), Counter()
-    for i, w in text:
-        if not held(i):
-            c.update(w)
-            bi.update(zip([" ", *w], w, strict=False))
-    n, v, tokens, single = sum(c.values()), len(c), Counter(), Counter()
-    for (a, _), k in bi.items():
-        tokens[int(math.log2(c[a]))] += k
-        single[int(math.log2(c[a]))] += k == 1
-    back = {q: min(0.98, max(0.02, (single[q] + 0.5) / (tokens[q] + 1))) for q in tokens}
-
-    def walk(w):
-        total, state = 0.0, " "
-        for x in w:
-            u = (c[x] + 1) / (n + v + 1)
-            b = back[int(math.log2(c[state]))] if c[state] else 1.0
-            total += math.log10((1 - b) * bi[state, x] / max(1, c[state]) + b * u)
-            state = x
-        return total
-
-    want = sorted(((-1 if i is None else i), held(i), len(w), sum(c[x] > 0 for x in w), n, round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 5), round(walk(w), 5)) for i, w in text)
-    have = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 5), round(r["score"], 5)) for r in got)
+    m = Backoff([w for i, w in text if not held(i)])
+    c, n, v = {g[0]: k for g, k in m.c[0].items()}, m.n, m.v
+    want = sorted(((-1 if i is None else i), held(i), len(w), sum(x in c for x in w), n, sum(math.log10((c.get(x, 0) + 1) / (n + v + 1)) for x in w), m.score(w)) for i, w in text)
+    have = sorted(((-1 if r["doc_id"] is None else r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got)
     assert [h[:5] for h in have] == [w[:5] for w in want]
     assert all(abs(h[k] - w[k]) < 1e-6 * abs(w[k]) + 1e-4 for h, w in zip(have, want, strict=True) for k in (5, 6))
     assert ngrams.score(none).count() == 0
 
 
+def test_backoff_weights_sum_to_one(rows):
+    m = Backoff([[*words(t)[:2000], " "] for _, t, _ in rows])
+    every = [w for (w,) in m.c[0]] + ["never seen"]
+    for h in [(), (" ",), ("the",), *list(m.c[1])[:3], (every[5], every[9])]:
+        assert abs(sum(m.p(h, w) for w in every) - 1) < 1e-9
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    rng = np.random.default_rng(3)
+    once = [" ".join(f"w{x}" for x in rng.zipf(1.3, 120) % 3000) for _ in range(300)]
+    twice = [" ".join(f"w{x}" for x in rng.zipf(1.3, 120) % 3000) for _ in range(40)]
+    table = [(i, t, "en", "s", 0) for i, t in enumerate([*once, *twice, *twice])]
+    got = {r["doc_id"]: r["score"] - r["base_score"] for r in ngrams.score(spark.createDataFrame(table, DOCS)).collect() if not r["held_out"]}
+    a, b = [s for i, s in got.items() if i < 300], [s for i, s in got.items() if i >= 300]
+    assert np.mean([x > y for x in b for y in a]) > 0.9
+
+
 def test_secrets(docs, rows, none):
     def brute(t):
         out = []
