@@ -1,10 +1,11 @@
-"""Language-model scores by a weighted backoff automaton over word bigrams.
-
-Counts of a corpus do not fit on one machine, so neither the vocabulary nor the bigrams are ever broadcast. Texts are
-read in batches. A batch asks for what it needs: its distinct words and bigrams, as sorted hashes, go to the parts of
-the hash range, in one row for each batch and part; a part merges what all batches have sent and answers each with
-the corpus counts. The batch then has all states and arcs that its texts can visit. Rows stay few and their packed
-arrays small: one exchange of distinct n-grams there, one of counts back.
+"""Language-model scores by a weighted backoff automaton over word trigrams.
+
+Counts of a corpus do not fit on one machine, so neither the vocabulary nor the n-grams are ever broadcast. Texts are
+tokenised in batches and written. A batch asks for what it needs: its distinct words, bigrams and trigrams, as hashes by
+context, go to the parts of the hash range, in one row for each batch and part; a part merges what all batches have
+sent and answers each with the corpus counts. The batch then has all states and arcs that its texts can visit, and its
+texts are read through its automaton from left to right. Rows stay few and their packed arrays small: one exchange of
+distinct n-grams there, one of counts back.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +22,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, rows_per_partition, slices, texts, word_codes, word_spans
+from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, slices, texts, word_codes, word_spans
 
-#: Bits of a bigram's hash within its part; a unigram's has all 64.
-PAIR_BITS = 40
-BUCKETS = 64
+#: Bits of the hash that names a context of bigrams or trigrams; a word after it is named by 32 bits, on its own by 64.
+CONTEXT_BITS = 48
 #: Text of a batch.
 BATCH_BYTES = 12 << 20
+#: Tokens of the corpus for each part of the hash range.
+PART_TOKENS = 1_500_000
+#: Tokens of a text that are read in one go; the next ones begin with the two tokens before them.
+SEGMENT = 256
 _CODEC = pa.Codec("zstd", 1)
 
 
@@ -61,10 +66,28 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def pair_keys(left: np.ndarray, right: np.ndarray, part_bits: int) -> np.ndarray:
-    """The key of each bigram of word hashes: its part, then PAIR_BITS of its hash."""
-    h = mixed(left * np.uint64(0x9E3779B97F4A7C15) + right)
-    return ((h >> np.uint64(64 - part_bits)) << np.uint64(PAIR_BITS)) | (h & np.uint64((1 << PAIR_BITS) - 1))
+@dataclass
+class Grams:
+    """The distinct n-grams of a batch in the order in which they are sent: by the hash of their context, then of their word."""
+
+    place: np.ndarray  # of each token with such an n-gram, its n-gram
+    owner: np.ndarray  # of each n-gram, the number of its context: a word, or a bigram
+    word: np.ndarray  # and the rank of its last word
+    run: np.ndarray  # and the place of its context among `contexts`
+    contexts: np.ndarray  # the distinct hashes of contexts, sorted
+    named: np.ndarray  # of each n-gram, 32 bits of its word's hash
+
+
+def grams(owner: np.ndarray, word: np.ndarray, owner_hash: np.ndarray, word_hash: np.ndarray) -> Grams:
+    """n-grams of tokens: the number of the context before each, and the token."""
+    key, place = np.unique(owner * len(word_hash) + word, return_inverse=True)
+    owner, word = np.divmod(key, len(word_hash))
+    context, name = owner_hash[owner] >> np.uint64(64 - CONTEXT_BITS), word_hash[word] & np.uint64(0xFFFFFFFF)
+    order = np.lexsort((name, context))
+    at = np.empty(len(order), np.int64)
+    at[order] = np.arange(len(order))
+    contexts, run = np.unique(context[order], return_inverse=True)
+    return Grams(at[place], owner[order], word[order], run, contexts, name[order])
 
 
 class Batch:
@@ -72,9 +95,20 @@ class Batch:
 
     def __init__(self, ranks: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> None:
         self.ranks, self.bounds, self.hashes = ranks, bounds, hashes
+        before = np.empty_like(ranks)
+        before[1:] = ranks[:-1]
+        before[bounds[:-1]] = ranks[bounds[1:] - 1]
+        mixed_words = mixed(hashes)
+        self.pairs = grams(before, ranks, mixed_words, hashes)
+        inner = np.ones(len(ranks), bool)
+        inner[bounds[:-1]] = False
+        self.inner = np.flatnonzero(inner)  # tokens with two before them, the end mark before the text included
+        p = self.pairs
+        self.triples = grams(p.place[self.inner - 1], ranks[self.inner], mixed(mixed_words[p.owner] * np.uint64(0x9E3779B97F4A7C15) + hashes[p.word]), hashes)
 
     @staticmethod
-    def of(texts: pa.Array) -> Batch:
+    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ranks, bounds and hashes of texts."""
         data, offs = byte_view(texts)
         data = TO_LOWER[data]
         starts, ends, first = word_spans(data, offs)
@@ -83,32 +117,23 @@ class Batch:
         hashes = np.array([*(digest(w) for w in distinct.to_pylist()), digest(b" ")], np.uint64)  # no word is a blank: the end
         known, rank = np.unique(hashes, return_inverse=True)
         codes = np.insert(codes, first[1:], len(hashes) - 1)
-        return Batch(rank[codes], first + np.arange(len(first)), known)
-
-    def contexts(self) -> np.ndarray:
-        """The rank of the token before each token: the end mark before the first."""
-        before = np.empty_like(self.ranks)
-        before[1:] = self.ranks[:-1]
-        before[self.bounds[:-1]] = self.ranks[self.bounds[1:] - 1]
-        return before
-
-    def keys(self, part_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted distinct bigram keys, and of each token the place of its key."""
-        return np.unique(pair_keys(self.hashes[self.contexts()], self.hashes[self.ranks], part_bits), return_inverse=True)
+        return rank[codes], first + np.arange(len(first)), known
 
 
 def fold(ids: pa.Array, modulus: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus for i in ids.to_pylist()], np.int64)
 
 
-ASKED = "part long, batch long, kind int, a binary, b binary, c binary, doc_ids array<long>"
-UNIGRAM, BIGRAM, TEXTS, TOTALS = 0, 1, 2, 3
+WORDS, PAIRS, TRIPLES, TEXTS, TOTALS = 0, 1, 2, 3, 4
+BATCHES = "batch long, n_tokens long, a binary, b binary, c binary, doc_ids array<long>"
+ROWS = "part long, batch long, kind int, a binary, b binary, c binary, d binary, doc_ids array<long>"
 
 
 def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "double": pa.float64(), "boolean": pa.bool_()}
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     fields = [f.rsplit(" ", 1) for f in names.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+    columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def gathered_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,146 +148,237 @@ def gathered_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def ask(docs: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFrame:
-    """For each batch its texts, and for each part its sorted distinct n-grams with their counts in training texts."""
-    shift = np.uint64(64 - part_bits)
-    parts = np.arange(1 << part_bits, dtype=np.uint64)
+def tokenised(docs: DataFrame) -> DataFrame:
+    """The texts in batches, with names of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for arrow in gathered_up(batches):
             for part in slices(arrow, "text", BATCH_BYTES):
-                ids = part.column("doc_id")
-                batch = Batch.of(part.column("text"))
-                held = fold(ids, modulus) == left_out
-                trains = np.repeat(~held, np.diff(batch.bounds))
+                ranks, bounds, hashes = Batch.of(part.column("text"))
                 number += 1
-                name = task << 32 | number
-                rows = []
-                keys, place = batch.keys(part_bits)
-                for kind, k, count, owner in (
-                    (UNIGRAM, batch.hashes, np.bincount(batch.ranks, trains, len(batch.hashes)), batch.hashes >> shift),
-                    (BIGRAM, keys, np.bincount(place, trains, len(keys)), keys >> np.uint64(PAIR_BITS)),
-                ):
-                    cut = np.searchsorted(owner, parts).tolist() + [len(k)]
-                    for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
-                        if y > x:
-                            rows.append((p * 2 + kind, name, kind, pack_sorted(k[x:y]), pack(count[x:y]), None, None))
-                rows.append((-1 - name, name, TEXTS, pack(batch.ranks), pack(batch.bounds), pack_sorted(batch.hashes), ids.to_pylist()))
-                yield _rows(rows, ASKED)
-
-    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), ASKED)
+                yield _rows([(task << 32 | number, len(ranks), pack(ranks), pack(bounds), pack_sorted(hashes), part.column("doc_id").to_pylist())], BATCHES)
 
+    return materialize(texts(docs, "doc_id", "text").mapInArrow(bounded(run), BATCHES))
 
-def answer(table: pa.Table) -> pa.Table:
-    """One part: the counts of all batches merged, and each batch's n-grams answered. Texts go on as they are."""
-    kind = table.column("kind")[0].as_py()
-    if kind == TEXTS:
-        return table
-    part, names = table.column("part")[0].as_py(), table.column("batch").to_pylist()
-    keys = [unpack_sorted(x) for x in table.column("a").to_pylist()]
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(place, np.concatenate([unpack(x) for x in table.column("b").to_pylist()]), len(distinct)).astype(np.uint64)
-    ends = np.cumsum([len(k) for k in keys])
-    rows = [(part, name, kind, pack(counts[place[e - len(k) : e]]), None, None, None) for name, k, e in zip(names, keys, ends.tolist(), strict=True)]
-    if kind == UNIGRAM:  # all training tokens and all types of this part
-        rows.append((part, -1 - part, TOTALS, pack(np.array([counts.sum(), (counts > 0).sum()])), None, None, None))
-    return pa.Table.from_batches([_rows(rows, ASKED)])
 
+def batch_of(ranks: bytes, bounds: bytes, hashes: bytes) -> Batch:
+    return Batch(unpack(ranks).astype(np.int64), unpack(bounds).astype(np.int64), unpack_sorted(hashes))
 
-GATHERED = "batch long, doc_ids array<long>, ranks binary, bounds binary, words binary, pairs binary, tokens array<long>, single array<long>, n long, v long"
 
+def ask(batches: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFrame:
+    """For each batch and part the batch's distinct n-grams with their counts in training texts."""
+    parts = np.arange(1 << part_bits, dtype=np.uint64)
 
-def gather(part_bits: int, modulus: int, left_out: int):
-    """One batch: its texts with the corpus counts of their words and of the bigram that ends in each token."""
+    def asked(name: int, batch: Batch, trains: np.ndarray) -> Iterator[tuple]:
+        cut = [*np.searchsorted(batch.hashes >> np.uint64(64 - part_bits), parts).tolist(), len(batch.hashes)]
+        count = np.bincount(batch.ranks, trains, len(batch.hashes))
+        for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+            if y > x:
+                yield p * 3 + WORDS, name, WORDS, pack_sorted(batch.hashes[x:y]), None, None, pack(count[x:y]), None
+        for kind, g, own in ((PAIRS, batch.pairs, trains), (TRIPLES, batch.triples, trains[batch.inner])):
+            count = np.bincount(g.place, own, len(g.word))
+            size = np.bincount(g.run, minlength=len(g.contexts))
+            first = np.concatenate([[0], np.cumsum(size)])
+            cut = [*np.searchsorted(g.contexts >> np.uint64(CONTEXT_BITS - part_bits), parts).tolist(), len(g.contexts)]
+            for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+                if y > x:
+                    i, j = first[x], first[y]
+                    yield p * 3 + kind, name, kind, pack_sorted(g.contexts[x:y]), pack(size[x:y] - 1), pack(g.named[i:j]), pack(count[i:j]), None
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in arrow:
+            for row in some.to_pylist():
+                batch = batch_of(row["a"], row["b"], row["c"])
+                trains = np.repeat(fold(pa.array(row["doc_ids"], pa.int64()), modulus) != left_out, np.diff(batch.bounds))
+                yield _rows(list(asked(row["batch"], batch, trains)), ROWS)
+
+    return batches.mapInArrow(bounded(run), ROWS)
 
-    def work(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_pylist()
-        if kinds[0] == TOTALS:
-            n, v = unpack(table.column("a")[0].as_py()).tolist()
-            return pa.Table.from_batches([_rows([(-1, None, None, None, None, None, None, None, n, v)], GATHERED)])
-        order = np.argsort(table.column("part").to_numpy(), kind="stable").tolist()
-        raw, rest = table.column("a").to_pylist(), table.column("b").to_pylist()
-        at = kinds.index(TEXTS)
-        batch = Batch(unpack(raw[at]).astype(np.int64), unpack(rest[at]).astype(np.int64), unpack_sorted(table.column("c")[at].as_py()))
-        words = np.concatenate([unpack(raw[i]) for i in order if kinds[i] == UNIGRAM])
-        pairs = np.concatenate([unpack(raw[i]) for i in order if kinds[i] == BIGRAM])[batch.keys(part_bits)[1]]
-        # how often a training token's bigram is its only one, by size of the context's count
-        ids = table.column("doc_ids")[at].as_py()
-        trains = np.repeat(fold(pa.array(ids, pa.int64()), modulus) != left_out, np.diff(batch.bounds))
-        bucket = size_bucket(words[batch.contexts()])
-        tokens = np.bincount(bucket[trains], minlength=BUCKETS)
-        single = np.bincount(bucket[trains], pairs[trains] == 1, BUCKETS).astype(np.int64)
-        name = table.column("batch")[0].as_py()
-        return pa.Table.from_batches([_rows([(name, ids, pack(batch.ranks), pack(batch.bounds), pack(words), pack(pairs), tokens.tolist(), single.tolist(), None, None)], GATHERED)])
 
-    return work
+def answer(table: pa.Table) -> pa.Table:
+    """One part of one kind: the counts of all batches merged, and each batch's n-grams answered in its order.
 
+    For words a: counts. For the others a: counts of the n-grams; for each context b: its n-grams' occurrences, c: how many
+    distinct ones occur. One more row has totals: of words, occurrences and distinct ones; of the others, how many occur
+    once and twice.
+    """
+    part, kind = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
+    names, raw = table.column("batch").to_pylist(), {c: table.column(c).to_pylist() for c in "abcd"}
+    given = np.concatenate([unpack(x) for x in raw["d"]]).astype(np.int64)
+    keys = [unpack_sorted(x) for x in raw["a"]]
+    ends = np.cumsum([len(k) for k in keys]).tolist()
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = lambda *values: (part, -1 - part, TOTALS + kind, pack(np.array(values)), None, None, None, None)
+    if kind == WORDS:
+        counts = np.bincount(place, given, len(distinct)).astype(np.int64)
+        rows = [(part, name, kind, pack(counts[place[e - len(k) : e]]), None, None, None, None) for name, k, e in zip(names, keys, ends, strict=True)]
+        return pa.Table.from_batches([_rows([*rows, total(counts.sum(), (counts > 0).sum())], ROWS)])
+    runs = [unpack(x).astype(np.int64) + 1 for x in raw["b"]]
+    named = np.concatenate([unpack(x) for x in raw["c"]])
+    grams_, at = np.unique((np.repeat(place, np.concatenate(runs)).astype(np.uint64) << np.uint64(32)) | named, return_inverse=True)
+    counts = np.bincount(at, given, len(grams_)).astype(np.int64)
+    of = (grams_ >> np.uint64(32)).astype(np.int64)
+    by_context = [np.bincount(of, v, len(distinct)).astype(np.int64) for v in (counts, counts > 0)]
+    rows, to = [], 0
+    for name, k, e, r in zip(names, keys, ends, runs, strict=True):
+        a, to = to, to + int(r.sum())
+        own = place[e - len(k) : e]
+        rows.append((part, name, kind, pack(counts[at[a:to]]), *(pack(v[own]) for v in by_context), None, None))
+    return pa.Table.from_batches([_rows([*rows, total(*((counts == k).sum() for k in (1, 2)))], ROWS)])
+
+
+def discount(n1: int, n2: int) -> float:
+    """What is taken off every count, from how many n-grams occur once and twice: the leave-one-out estimate of absolute discounting.
+
+    It is the same for all counts: with one for each count an n-gram that occurs twice, as those of a text and its copy do,
+    would be worth no more than one that occurs once, because hardly any occurs three times.
+    """
+    return min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
 
-def size_bucket(counts: np.ndarray) -> np.ndarray:
-    return np.log2(np.maximum(counts, 1).astype(np.float64)).astype(np.int64)
 
+@dataclass(frozen=True)
+class Model:
+    """Training tokens and types, and the discounts of bigrams and trigrams."""
 
-class Automaton:
-    """States are contexts: a word that training has, or the root. An arc of a state is a bigram that training has;
-    any other word takes the failure arc, whose weight is the state's backoff, to the root, where every word has an
-    arc with its unigram weight. P(w | u) = (1 - b) c(uw) / c(u) + b P(w) on an arc, b P(w) by failure; b is the
-    share of bigrams seen once among contexts of about the same count (the Good-Turing mass of what is new)."""
+    n: int
+    v: int
+    pairs: float
+    triples: float
 
-    def __init__(self, n: int, v: int, tokens: np.ndarray, single: np.ndarray) -> None:
-        self.n, self.v = n, v
-        self.back = np.clip((single + 0.5) / (tokens + 1.0), 0.02, 0.98)
 
-    def root(self, counts: np.ndarray) -> np.ndarray:
-        return (counts.astype(np.float64) + 1) / (self.n + self.v + 1)
+class Automaton:
+    """The states and arcs that a batch can visit.
 
-    def walk(self, batch: Batch, words: np.ndarray, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of training, base score and score of each text, log10.
+    States are contexts that training has: the root (0), a word (1 + its rank), or two words. An arc of a state is a
+    word that training has after it. Its weight is the smoothed probability: P(w | h) = (c(hw) - D) / c(h) + b(h) P(w | h'),
+    with h' the context without its first word, D the discount, and b(h) what it takes off all of h's arcs, divided by c(h). Any other word takes the failure arc, with weight b(h), to the state of h'. The root has an arc for every word:
+    P(w) = (c(w) + 1) / (N + V + 1). An arc leads to the longest state that ends the words read.
+    """
 
-        Left to right the state after a token is the token (the root if training lacks it), so the states of all
-        tokens are the ranks moved on by one; arcs and failures of the whole batch are then taken at once.
+    def __init__(self, model: Model, batch: Batch, words: np.ndarray, pairs: tuple, triples: tuple) -> None:
+        n_words, p, t = len(batch.hashes), batch.pairs, batch.triples
+        self.one = (words + 1.0) / (model.n + model.v + 1.0)
+
+        def contexts(g: Grams, n: int, found: tuple, d: float) -> tuple[np.ndarray, np.ndarray]:
+            """Of each context, by number: how often training continues it, and its backoff."""
+            many, freed = np.zeros(n), np.ones(n)
+            total = found[1].astype(np.float64)
+            many[g.owner] = total[g.run]
+            freed[g.owner] = np.where(total > 0, d * found[2] / np.maximum(total, 1), 1.0)[g.run]
+            return many, freed
+
+        many1, back1 = contexts(p, n_words, pairs, model.pairs)
+        many2, back2 = contexts(t, len(p.word), triples, model.triples)
+        two = np.where(pairs[0] > 0, (pairs[0] - model.pairs) / np.maximum(many1[p.owner], 1), 0.0) + back1[p.owner] * self.one[p.word]
+        last = np.zeros(len(t.word), np.int64)  # the bigram that ends a trigram
+        last[t.place] = p.place[batch.inner]
+        three = np.where(triples[0] > 0, (triples[0] - model.triples) / np.maximum(many2[t.owner], 1), 0.0) + back2[t.owner] * two[last]
+
+        word_state = np.where(many1 > 0, 1 + np.arange(n_words), 0)
+        pair_state = np.where(many2 > 0, 1 + n_words + np.arange(len(p.word)), word_state[p.word])
+        self.fail = np.concatenate([[0], np.zeros(n_words, np.int64), word_state[p.word]])
+        self.back = np.log10(np.concatenate([[1.0], back1, back2]))
+        has2, has3 = pairs[0] > 0, triples[0] > 0
+        arcs = np.concatenate([np.arange(n_words), (1 + p.owner[has2]) * n_words + p.word[has2], (1 + n_words + t.owner[has3]) * n_words + t.word[has3]])
+        order = np.argsort(arcs, kind="stable")
+        self.n_words, self.arcs = n_words, arcs[order]
+        self.weight = np.log10(np.concatenate([self.one, two[has2], three[has3]]))[order]
+        self.to = np.concatenate([word_state, pair_state[has2], pair_state[last[has3]]])[order]
+        self.start = int(word_state[batch.ranks[batch.bounds[1] - 1]])  # the end mark's
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The states after reading a word in each state, and the log-probabilities: failure arcs until there is an arc."""
+        state, got, after = state.copy(), np.zeros(len(state)), np.empty_like(state)
+        todo = np.arange(len(state))
+        while len(todo):
+            key = state[todo] * self.n_words + word[todo]
+            at = np.minimum(np.searchsorted(self.arcs, key), len(self.arcs) - 1)
+            hit = self.arcs[at] == key
+            done = todo[hit]
+            got[done] += self.weight[at[hit]]
+            after[done] = self.to[at[hit]]
+            todo = todo[~hit]
+            got[todo] += self.back[state[todo]]
+            state[todo] = self.fail[state[todo]]
+        return after, got
+
+    def walk(self, batch: Batch) -> np.ndarray:
+        """log10 probability of each text: one traversal from left to right, all texts abreast, each carrying its state.
+
+        A state is no longer than two words, so a long text is read in segments abreast as well: one that is not the first
+        reads the two tokens before it from the root to be in its state, and counts what comes after.
         """
-        state = words[batch.contexts()].astype(np.float64)
-        one = self.root(words)[batch.ranks]
-        back = np.where(state > 0, self.back[size_bucket(state)], 1.0)
-        weight = np.log10(np.where(pairs > 0, (1 - back) * pairs / np.maximum(state, 1), 0.0) + back * one)
-        at = batch.bounds[:-1]
-        known = np.add.reduceat((words[batch.ranks] > 0).astype(np.int64), at)
-        return known, np.add.reduceat(np.log10(one), at), np.add.reduceat(weight, at)
+        size = np.diff(batch.bounds)
+        many = -(-size // SEGMENT)
+        text = np.repeat(np.arange(len(size)), many)
+        begin = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * SEGMENT
+        lead = np.where(begin > 0, 2, 0)
+        long = np.minimum(SEGMENT, size[text] - begin) + lead
+        order = np.argsort(-long, kind="stable")
+        text, lead, long = text[order], lead[order], long[order]
+        at = batch.bounds[text] + begin[order] - lead
+        state, total = np.where(lead > 0, 0, self.start), np.zeros(len(text))
+        active = np.searchsorted(-long, -np.arange(1, long[0] + 1), side="right") if len(long) else []
+        for k, n in enumerate(active):
+            state[:n], got = self.step(state[:n], batch.ranks[at[:n] + k])
+            total[:n] += np.where(lead[:n] <= k, got, 0.0)
+        return np.bincount(text, total, len(size))
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def scores(model: Model, modulus: int, left_out: int):
+    """One batch, its texts and all answers: a row of scores for each text."""
+
+    def work(table: pa.Table) -> pa.Table:
+        kinds, parts = table.column("kind").to_pylist(), table.column("part").to_pylist()
+        raw = {c: table.column(c).to_pylist() for c in "abc"}
+        text = kinds.index(TEXTS)
+        batch, ids = batch_of(raw["a"][text], raw["b"][text], raw["c"][text]), table.column("doc_ids")[text].as_py()
+        of = {kind: sorted((i for i, k in enumerate(kinds) if k == kind), key=parts.__getitem__) for kind in (WORDS, PAIRS, TRIPLES)}
+        joined = lambda kind, c: np.concatenate([np.zeros(0, np.int64), *(unpack(raw[c][i]).astype(np.int64) for i in of[kind])])
+        words = joined(WORDS, "a")
+        automaton = Automaton(model, batch, words, *(tuple(joined(kind, c) for c in "abc") for kind in (PAIRS, TRIPLES)))
+        at = batch.bounds[:-1]
+        known = np.add.reduceat((words[batch.ranks] > 0).astype(np.int64), at)
+        base = np.add.reduceat(np.log10(automaton.one)[batch.ranks], at)
+        doc = pa.array(ids, pa.int64())
+        columns = [doc, pa.array(fold(doc, modulus) == left_out), pa.array(np.diff(batch.bounds)), pa.array(known), pa.array(np.full(len(ids), model.n, np.int64)), pa.array(base), pa.array(automaton.walk(batch))]
+        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+
+    return work
+
+
 def score(docs: DataFrame, modulus: int = 7, left_out: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
 
     Trained on all rows whose crc32 of the id is not `left_out` modulo `modulus`. Null, empty or blank text: the end
     token alone. Null doc_id: the id is empty text for the split. Repeated rows: rows like others, counted each.
-    Empty table: no rows. Other columns are not read.
+    Empty table: no rows. Other columns are not read. Contexts are named by CONTEXT_BITS of a hash; two that share a
+    name are one.
     """
-    parts = rows_per_partition(docs, 64)
-    part_bits = max(6, math.ceil(math.log2(parts)))
-    asked = ask(docs, part_bits, modulus, left_out)
-    answered = asked.groupBy("part").applyInArrow(answer, ASKED)
-    gathered = materialize(answered.groupBy("batch").applyInArrow(gather(part_bits, modulus, left_out), GATHERED))
-    n, v = gathered.where("batch = -1").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    tokens, single = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    by_bucket = gathered.where("tokens is not null").select(F.posexplode(F.arrays_zip("tokens", "single")))
-    for r in by_bucket.groupBy("pos").agg(F.sum("col.tokens").alias("t"), F.sum("col.single").alias("s")).collect():  # BUCKETS rows
-        tokens[r["pos"]], single[r["pos"]] = r["t"], r["s"]
-    automaton = Automaton(n, v, tokens, single)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for arrow in batches:
-            for ids, ranks, bounds, words, pairs in zip(*(arrow.column(i).to_pylist() for i in range(5)), strict=True):
-                batch = Batch(unpack(ranks).astype(np.int64), unpack(bounds).astype(np.int64), np.zeros(0, np.uint64))
-                known, base, full = automaton.walk(batch, unpack(words), unpack(pairs))
-                doc = pa.array(ids, pa.int64())
-                held = fold(doc, modulus) == left_out
-                yield pa.RecordBatch.from_arrays(
-                    [doc, pa.array(held), pa.array(np.diff(batch.bounds)), pa.array(known), pa.array(np.full(len(ids), n, np.int64)), pa.array(base), pa.array(full)],
-                    names=[x.split()[0] for x in SCORES.split(", ")],
-                )
-
-    return gathered.where("batch != -1").select("doc_ids", "ranks", "bounds", "words", "pairs").mapInArrow(bounded(run), SCORES)
+    batches = tokenised(docs)
+    tokens = batches.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
+    part_bits = max(3, math.ceil(math.log2(max(1, tokens / PART_TOKENS))))
+    answered = materialize(ask(batches, part_bits, modulus, left_out).groupBy("part").applyInArrow(answer, ROWS))
+    totals: dict[int, np.ndarray] = {k: np.zeros(2, np.int64) for k in (WORDS, PAIRS, TRIPLES)}
+    for kind, found in total_rows(answered):
+        totals[kind][: len(found)] = found
+    model = Model(int(totals[WORDS][0]), int(totals[WORDS][1]), discount(*totals[PAIRS].tolist()), discount(*totals[TRIPLES].tolist()))
+    held = batches.selectExpr("-1L as part", "batch", f"{TEXTS} as kind", "a", "b", "c", "cast(null as binary) as d", "doc_ids")
+    return answered.where(f"kind < {TEXTS}").unionByName(held).groupBy("batch").applyInArrow(scores(model, modulus, left_out), SCORES)
+
+
+def total_rows(answered: DataFrame) -> list[tuple[int, np.ndarray]]:
+    """(kind, sums) of the totals of all parts, two numbers for each of three kinds."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = [[int(x) for x in unpack(raw)] for raw in batch.column("a").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(values, pa.list_(pa.int64()))], names=["kind", "v"])
+
+    rows = answered.where(f"kind >= {TOTALS}").select("kind", "a").mapInArrow(opened, "kind int, v array<long>")
+    sums = rows.groupBy("kind").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(2)]).collect()  # three rows
+    return [(r["kind"] - TOTALS, np.array([r[f"v{i}"] for i in range(2)])) for r in sums]

@@ -251,12 +251,12 @@ class Backoff:
             self.c[1].update(zip(w, w[1:], strict=False))
             self.c[2].update(zip(w, w[1:], w[2:], strict=False))
         self.n, self.v = sum(self.c[0].values()), len(self.c[0])
-        self.d = [None, *(ngrams.discounts(*(sum(k == q for k in c.values()) for q in (1, 2, 3, 4))) for c in self.c[1:])]
+        self.d = [None, *(ngrams.discount(*(sum(k == q for k in c.values()) for q in (1, 2))) for c in self.c[1:])]
         self.total, self.freed = Counter(), Counter()
         for c, d in zip(self.c[1:], self.d[1:], strict=True):
             for g, k in c.items():
                 self.total[g[:-1]] += k
-                self.freed[g[:-1]] += d[min(k, 3) - 1]
+                self.freed[g[:-1]] += d
 
     def p(self, h, w):
         if not h:
@@ -264,7 +264,7 @@ class Backoff:
         if not self.total[h]:
             return self.p(h[1:], w)
         k = self.c[len(h)][*h, w]
-        own = k - self.d[len(h)][min(k, 3) - 1] if k else 0
+        own = k - self.d[len(h)] if k else 0
         return own / self.total[h] + self.freed[h] / self.total[h] * self.p(h[1:], w)
 
     def score(self, w):
@@ -295,12 +295,13 @@ def test_backoff_weights_sum_to_one(rows):
 
 def test_texts_that_occur_twice_score_apart(spark):
     rng = np.random.default_rng(3)
-    once = [" ".join(f"w{x}" for x in rng.zipf(1.3, 120) % 3000) for _ in range(300)]
-    twice = [" ".join(f"w{x}" for x in rng.zipf(1.3, 120) % 3000) for _ in range(40)]
-    table = [(i, t, "en", "s", 0) for i, t in enumerate([*once, *twice, *twice])]
-    got = {r["doc_id"]: r["score"] - r["base_score"] for r in ngrams.score(spark.createDataFrame(table, DOCS)).collect() if not r["held_out"]}
-    a, b = [s for i, s in got.items() if i < 300], [s for i, s in got.items() if i >= 300]
-    assert np.mean([x > y for x in b for y in a]) > 0.9
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 120)) for _ in range(400)]
+    table = [(i, t, "en", "s", 0) for i, t in enumerate([*texts, *texts[:100]])]
+    got = {r["doc_id"]: (r["held_out"], r["score"]) for r in ngrams.score(spark.createDataFrame(table, DOCS)).collect()}
+    twice = {i for i in range(100) if not got[i + 400][0]}  # the copy is among what the model learns from
+    for held in (False, True):
+        a, b = ([s for i, (h, s) in got.items() if h == held and i < 400 and (i in twice) == t and (t or i >= 100)] for t in (True, False))
+        assert len(a) > 5 and np.mean([x > y for x in a for y in b]) > 0.95
 
 
 def test_secrets(docs, rows, none):
