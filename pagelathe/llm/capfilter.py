@@ -15,6 +15,15 @@ from pagelathe.llm.components import block_pairs, by_groups, components, each_gr
 from pagelathe.llm.shared import bounded, materialize, rows_per_partition
 
 
+def cap_height(dim: int, share: float) -> float:
+    """The height at which a cap holds `share` of the unit sphere of `dim` dimensions."""
+    if dim < 3:
+        return float(np.quantile(np.cos(np.linspace(0, np.pi, 4001)), 1 - share)) if dim == 2 else (1.0 if share <= 0.5 else -1.0)
+    t = np.linspace(1, -1, 400_001)
+    area = np.cumsum((1 - t * t) ** ((dim - 3) / 2))
+    return float(t[np.searchsorted(area, share * area[-1])])
+
+
 @dataclass(frozen=True)
 class Code:
     """A random product code: after a random rotation the space is cut into `blocks` parts, each with `words`
@@ -39,11 +48,7 @@ class Code:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
             parts.append(turn[:, a:b] @ c.T / np.sqrt(self.blocks))
         object.__setattr__(self, "parts", tuple(parts))
-        # the height at which `listed` of all filters hold a random vector, from a million scores
-        x = rng.standard_normal((1024, self.dim))
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        scores = sum((x @ p)[:, rng.integers(0, self.words, 1024)] for p in parts)
-        object.__setattr__(self, "height", float(np.quantile(scores, max(0.0, 1 - self.listed / self.words**self.blocks))))
+        object.__setattr__(self, "height", cap_height(self.dim, min(1.0, self.listed / self.words**self.blocks)))
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters at or above the height, by extending partial filters that can still reach it."""
@@ -53,9 +58,13 @@ class Code:
             best[:, k] = best[:, k + 1] + scores[k].max(axis=1)
         row, code, total = np.arange(len(x)), np.zeros(len(x), np.int64), np.zeros(len(x))
         for k in range(self.blocks):
-            grown = total[:, None] + scores[k][row]
-            i, j = np.nonzero(grown + best[row, k + 1][:, None] >= self.height - 1e-12)
-            row, code, total = row[i], code[i] * self.words + j, grown[i, j]
+            found, step = [], max(1, 2_000_000 // self.words)
+            for at in range(0, max(1, len(row)), step):
+                r, c, t = row[at : at + step], code[at : at + step], total[at : at + step]
+                grown = t[:, None] + scores[k][r]
+                i, j = np.nonzero(grown + best[r, k + 1][:, None] >= self.height - 1e-12)
+                found.append((r[i], c[i] * self.words + j, grown[i, j]))
+            row, code, total = (np.concatenate(x) for x in zip(*found, strict=True))
         return row, code
 
 
@@ -63,12 +72,18 @@ class Code:
 class Codes:
     """`turns` product codes with rotations of their own, which even out the number of filters of a vector."""
 
-    turns: int = 8
+    turns: int = 12
     blocks: int = 2
     words: int = 48
     listed: int = 4
     seed: int = 11
 
+    @staticmethod
+    def for_points(n: int, per_point: int = 16) -> Codes:
+        """Codes with `per_point` filters for each of n points that may link, so that what meets a random vector by chance
+        stays as little at any size; caps shrink as the corpus grows, which costs little recall at small angles."""
+        return Codes(words=max(24, int(np.ceil(np.sqrt(per_point * max(1, n))))))
+
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, filter) of all filters of unit vectors x, by row and filter."""
         blocks = min(self.blocks, x.shape[1])
@@ -102,7 +117,7 @@ def unit_rows(vectors: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def filtered(points: DataFrame, codes: Codes) -> DataFrame:
-    """(pid, label, dim, vector: binary, filters: array<int>) of each point that can link."""
+    """(pid, label, dim, vector: binary, filters: array<long>) of each point that can link."""
     width = np.float64 if "double" in dict(points.dtypes)["embedding"] else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,18 +126,18 @@ def filtered(points: DataFrame, codes: Codes) -> DataFrame:
             dims = np.array([len(u) for u in units], np.int64)
             for d in np.unique(dims):
                 own = np.flatnonzero(dims == d)
-                for at in range(0, len(own), 512):
-                    some = own[at : at + 512]
+                for at in range(0, len(own), 256):
+                    some = own[at : at + 256]
                     row, f = codes.decode(np.stack([units[i] for i in some]))
                     offs = np.searchsorted(row, np.arange(len(some) + 1))
                     take = pa.array(good[some])
                     raw = [np.asarray(v, width).tobytes() for v in batch.column("embedding").take(take).to_pylist()]
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("pid").take(take), batch.column("label").take(take), pa.array(np.full(len(some), d, np.int32)), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(f.astype(np.int32)))],
+                        [batch.column("pid").take(take), batch.column("label").take(take), pa.array(np.full(len(some), d, np.int32)), pa.array(raw, pa.binary()), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(f))],
                         names=["pid", "label", "dim", "vector", "filters"],
                     )
 
-    return points.select("pid", "label", "embedding").mapInArrow(bounded(run), "pid long, label int, dim int, vector binary, filters array<int>")
+    return points.select("pid", "label", "embedding").mapInArrow(bounded(run), "pid long, label string, dim int, vector binary, filters array<long>")
 
 
 def group_links(x: np.ndarray, side: np.ndarray, lists: list[np.ndarray], f: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -146,28 +161,27 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, codes: Codes | None
 
     Rows link if their labels are equal and not null and their cosine in double precision is `least` or more. Equal
     vectors of a label are one point with a multiplicity, so copies make no pairs. Each point is list-decoded to all
-    filters whose cap holds it; points meet in a filter and are verified there. A pair counts in its smallest common
+    filters whose cap holds it; points meet in a filter and are verified there. There are as many filters as the largest
+    label's points need (Codes.for_points), so that the points that share one with a point by chance do not grow in number. A pair counts in its smallest common
     filter only, so n_links needs no distinct over pairs; a group gives each point's number of links and a link to
     the smallest neighbour that it found, never the pairs. Recall is measured against brute force in the tests.
 
-    Null label, null or zero vector, null or non-finite components: a component of its own, no links. Null vec_id:
+    A label of any type counts as its text. Null label, null or zero vector, null or non-finite components: a component of its own, no links. Null vec_id:
     counted in others' links, gives no component its id. Repeated rows each give a row and link with each other.
     Vectors of different length do not link. Empty table: no rows.
     """
-    codes = codes or Codes()
     plain = F.transform("embedding", lambda v: v + F.lit(0).cast("byte"))  # -0.0 becomes 0.0
-    vectors = vectors.select("vec_id", "label", plain.alias("embedding"))
+    vectors = vectors.select("vec_id", F.col("label").cast("string").alias("label"), plain.alias("embedding"))
     points = materialize(
         vectors.where("label is not null and embedding is not null")
         .groupBy("label", "embedding")
         .agg(F.count("*").alias("times"), F.min("vec_id").alias("least"))
         .withColumn("pid", F.xxhash64("label", "embedding"))
     )
-    cast = points.select("pid", F.col("label").cast("int").alias("label"), "embedding")
     n = rows_per_partition(vectors)
-    units = materialize(filtered(cast, codes))
-    times = points.select(F.col("pid").alias("p"), "times")
-    members = units.join(times, units["pid"] == times["p"]).select("pid", "times", "label", "dim", "vector", "filters", F.explode("filters").alias("f"))
+    codes = codes or Codes.for_points(points.groupBy("label").count().agg(F.max("count")).first()[0] or 1)
+    units = materialize(filtered(points, codes))
+    members = units.select("pid", "label", "dim", F.explode("filters").alias("f"))
     key = ["label", "dim", "f"]
     width = np.float64 if "double" in dict(vectors.dtypes)["embedding"] else np.float32
 
@@ -193,7 +207,9 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, codes: Codes | None
         sums = np.concatenate([links[own], np.zeros(len(forest))]).astype(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(to), pa.array(sums)], names=["a", "b", "links"])
 
-    dealt = block_pairs(members, key, "pid", block).select(*key, "g0", "g1", "side", "pid", "times", "vector", "filters")
+    # names first: a filter of one point goes before the vectors join
+    whole = units.select(F.col("pid").alias("u"), "vector", "filters").join(points.select(F.col("pid").alias("p"), "times"), F.col("u") == F.col("p")).drop("p")
+    dealt = block_pairs(members, key, "pid", block).join(whole, F.col("pid") == F.col("u")).select(*key, "g0", "g1", "side", "pid", "times", "vector", "filters")
     found = materialize(by_groups(dealt, [*key, "g0", "g1"], each_group(work), "a long, b long, links long", n))
     comp = materialize(components(found.select("a", "b")))
     sums = found.groupBy(F.col("a").alias("q")).agg(F.sum("links").alias("links"))
