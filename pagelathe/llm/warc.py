@@ -38,7 +38,7 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(raw) + packer.flush()
 
 
-def records(stream: BinaryIO, chunk: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
+def records(stream: BinaryIO, chunk: int = 1 << 16) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers by lower-case name, block) of every record of a WARC file, member by member."""
     rest, unzip, parts = b"", zlib.decompressobj(31), []
     while True:
@@ -60,42 +60,75 @@ def http_block(payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
 
 
-def capture(row: dict, name: str) -> list[bytes]:
-    """The records of one capture: its request, its response or revisit, and its metadata."""
+def capture(row: dict, name: str, number: int) -> list[bytes]:
+    """The records of one capture: its request, its response or revisit, and its metadata.
+
+    A response that others revisit is named by its payload, all else by its place, the number of a file's capture.
+    """
     uri = row["url"] or "urn:unknown"
     payload = (row["html"] or "").encode("utf-8", "surrogatepass")
     digest = "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
-    main = record_id(row["uid"])
+    main = record_id("leads", digest) if row["role"] == LEADS else record_id(name, number)
     common = [("WARC-Target-URI", uri), ("WARC-Date", DATE)]
     path = re.sub(r"^[a-z]+://[^/]*", "", uri) or "/"
     request = record(
-        [("WARC-Type", "request"), ("WARC-Record-ID", record_id(row["uid"], "request")), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/http; msgtype=request")],
+        [("WARC-Type", "request"), ("WARC-Record-ID", record_id(name, number, "request")), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/http; msgtype=request")],
         f"GET {_BAD.sub(' ', path)} HTTP/1.1\r\nHost: {_BAD.sub(' ', re.sub(r'^[a-z]+://([^/]*).*', r'\1', uri))}\r\n\r\n".encode(),
     )
     head = [("WARC-Record-ID", main), *common, ("WARC-Payload-Digest", digest), ("Content-Type", "application/http; msgtype=response")]
-    if row["first"] is None:
+    if row["role"] != FOLLOWS:
         answer = record([("WARC-Type", "response"), *head], http_block(payload) + payload)
     else:
         profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        answer = record([("WARC-Type", "revisit"), *head, ("WARC-Refers-To", record_id(row["first"])), ("WARC-Profile", profile)], http_block(payload))
+        answer = record([("WARC-Type", "revisit"), *head, ("WARC-Refers-To", record_id("leads", digest)), ("WARC-Profile", profile)], http_block(payload))
     fields = f"archive: {name}\r\n" + ("" if row["page_id"] is None else f"page-id: {row['page_id']}\r\n") + ("" if row["url"] is None else "has-url: 1\r\n")
-    meta = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id(row["uid"], "metadata")), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/warc-fields")], fields.encode())
+    meta = record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id(name, number, "metadata")), ("WARC-Concurrent-To", main), *common, ("Content-Type", "application/warc-fields")], fields.encode())
     return [request, answer, meta]
 
 
+#: A page's role: its payload is its own, others have it too and revisit this page, or this page revisits another.
+ALONE, LEADS, FOLLOWS = 0, 1, 2
+
+
 def with_roles(pages: DataFrame, least: int) -> DataFrame:
-    """pages (page_id, url, html) with uid, a number of the row, and `first`: the uid of the row that it revisits, or null.
+    """pages (page_id, url, html) with `role`.
 
-    Of rows with equal payloads of `least` bytes or more, the one with the largest page_id is the response. The
-    payload's digest and size are grouped (partial maxima first), and only keys go through the join.
+    Of rows with equal payloads of `least` bytes or more, the one with the largest page_id leads and the others follow.
+    Digests and sizes are grouped (partial maxima first), and payloads that occur once leave before the join, which is on
+    the digest alone: no row needs a number that a second scan might give to another. Only where several rows share
+    the largest page_id, those are written with numbers first, and the smallest number leads.
     """
-    rows = pages.select("page_id", "url", "html", F.monotonically_increasing_id().alias("uid"))
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    keys = materialize(rows.select("page_id", "uid", F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).alias("bytes")))
-    last = keys.where(F.col("bytes") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "uid")).alias("last"), F.count("*").alias("n")).where("n > 1")
-    again = keys.join(last.select(F.col("digest").alias("d"), "last"), F.col("digest") == F.col("d")).where(F.col("uid") != F.col("last.uid"))
-    first = again.select(F.col("uid").alias("u"), F.col("last.uid").alias("first"))
-    return rows.join(first, rows["uid"] == first["u"], "left").select("page_id", "url", "html", "uid", "first")
+    keys = materialize(pages.select("page_id", F.unhex(F.sha1(payload)).alias("digest"), F.length(payload).alias("bytes")))
+    groups = keys.where(F.col("bytes") >= least).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups.withColumnRenamed("digest", "d"))
+    at_top = F.col("page_id").eqNullSafe(F.col("last"))
+    tied = keys.join(groups, F.col("digest") == F.col("d")).where(at_top).groupBy("d").agg(F.count("*").alias("tops")).where("tops > 1")
+    tied = materialize(tied.select(F.col("d").alias("t")))
+    rows = pages.select("page_id", "url", "html", F.unhex(F.sha1(payload)).alias("digest")).join(groups, F.col("digest") == F.col("d"), "left")
+    rows = rows.withColumn("role", F.when(F.col("d").isNull(), ALONE).when(at_top, LEADS).otherwise(FOLLOWS))
+    columns = ["page_id", "url", "html", "role"]
+    if tied.isEmpty():
+        return rows.select(columns)
+    top = (F.col("role") == LEADS) & F.col("t").isNotNull()
+    rows = rows.join(tied, F.col("digest") == F.col("t"), "left")
+    numbered = materialize(rows.where(top).select("page_id", "url", "html", "digest", F.monotonically_increasing_id().alias("number")))
+    first = numbered.groupBy("digest").agg(F.min("number").alias("least")).withColumnRenamed("digest", "f")
+    settled = numbered.join(first, F.col("digest") == F.col("f")).withColumn("role", F.when(F.col("number") == F.col("least"), LEADS).otherwise(FOLLOWS))
+    return rows.where(~top).select(columns).unionByName(settled.select(columns))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """folder with the scheme that Spark resolves it to, so that workers use the same file system."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return str(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString())
+
+
+def opened(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a qualified folder, and the path in it."""
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder)
 
 
 def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
@@ -107,7 +140,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        store, base = opened(folder)
         store.create_dir(base, recursive=True)
         out, number, size, count = None, 0, 0, 0
         done: list[tuple[str, int]] = []
@@ -126,7 +159,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000) -> DataFrame:
                     path, number, count = f"{base}/{name}", number + 1, 0
                     out = store.open_output_stream(path, compression=None)
                     size = out.write(record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id(name)), ("WARC-Date", DATE), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"))
-                for one in capture(row, name):
+                for one in capture(row, name, count):
                     size += len(one)
                     count += 1
                     out.write(one)
@@ -149,7 +182,7 @@ def read(files: DataFrame, folder: str, with_payload: bool = False) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = fs.FileSystem.from_uri(folder)[0] if "://" in folder else fs.LocalFileSystem()
+        store, _ = opened(folder)
         for batch in batches:
             for path in batch.column("path").to_pylist():
                 rows: list[tuple] = []
@@ -205,7 +238,7 @@ def round_trip(pages: DataFrame, least: int = 1000, folder: str | None = None) -
     written.
     """
     spark: SparkSession = pages.sparkSession
-    folder = folder or shared_dir(spark) + "/warc"
+    folder = qualified(spark, folder or shared_dir(spark) + "/warc")
     rows = captures(materialize(read(write(pages, folder, least), folder)))
     page = F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1)
     flat = rows.select(
