@@ -242,8 +242,8 @@ def fold(c: Column) -> Column:
 def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[dict[str, float], Trees]:
     """The learned lexicon and the trees, from labelled rows outside the held-out fold.
 
-    Rows of folds 1 and 2 (crc32 of the id mod 5) give the lexicon, those of 3 and 4 the trees and the calibration,
-    so that the trees see the lexicon as it does on new texts.
+    Rows of folds 1 and 2 (crc32 of the id mod 5) give the lexicon, those of 3 and 4 the trees and, a quarter of them, the
+    calibration, so that the trees see the lexicon as it does on new texts, and the steps see the trees so.
     """
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).withColumnRenamed("doc_id", "__id")
     known = materialize(known.withColumn("fold", fold(F.col("__id")) % 5).where("fold != 0"))
@@ -266,13 +266,13 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[dict[
     chosen = seen.where(F.col("p") >= least).withColumn("odds", odds).where(F.col("odds") >= np.log(settings.odds))
     top = chosen.orderBy(F.col("p") * F.col("odds"), "w", ascending=[False, True]).limit(settings.lexicon_words).collect() if pos and neg else []
     learned = {r["w"]: float(r["odds"]) for r in top}
-    table = measured(rows.where("fold >= 3"), learned, ["toxic", "fold"]).toPandas()
+    held = (F.pmod(F.xxhash64("doc_id", F.lit("steps")), F.lit(4)) == 0).alias("held")
+    table = measured(rows.where("fold >= 3").select("text", "toxic", held), learned, ["toxic", "held"]).toPandas()
     x = np.array(table["x"].tolist(), np.float64).reshape(len(table), len(FEATURES))
-    y, side = table["toxic"].to_numpy(np.float64), table["fold"].to_numpy()
-    # isotonic steps come from rows that the trees have not seen; the trees for use see all
-    first = fit_trees(x[side == 3], y[side == 3], settings)
-    model = fit_trees(x, y, settings)
-    model.steps = isotonic(first.odds(x[side == 4]), y[side == 4])
+    y, held = table["toxic"].to_numpy(np.float64), table["held"].to_numpy(bool)
+    # the isotonic steps are those of the trees that are used, from rows that they have not seen
+    model = fit_trees(x[~held], y[~held], settings)
+    model.steps = isotonic(model.odds(x[held]), y[held])
     return learned, model
 
 
