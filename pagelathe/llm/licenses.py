@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -76,8 +76,13 @@ def resolve(found: list[tuple[int, int, int, int, str]]) -> list[tuple[int, int,
     """
     base = [x for x in found if x[2] == 100]
     kept: list[tuple[int, int, int, int, str]] = []
+    starts: list[int] = []  # of what is kept, in order; intervals are apart, so their ends are in order too
+    ends: list[int] = []
     for x in sorted((x for x in found if x[2] < 100), key=lambda x: (-x[2], x[0] - x[1], x[0], x[3])):
-        if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+        at = bisect_left(starts, x[0])
+        if (at == 0 or ends[at - 1] <= x[0]) and (at == len(starts) or x[1] <= starts[at]):
+            starts.insert(at, x[0])
+            ends.insert(at, x[1])
             kept.append(x)
     return base + kept
 

@@ -18,6 +18,8 @@ from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, pref
 #: Characters that the tokenizer's normalizer leaves alone or lower-cases one by one; words with others take the long way.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+#: Texts on which a tokenizer's ids must be those of its words, else it is refused.
+PROBES = ("The quick brown fox, isn't it?", "it's WE'RE 1,234.5 e-mail", "a  b\t\nc", "naïve café ÉCOLE ß", "中文 текст 😀", "x" * 40 + "--..!!", "(a)b's'd'll <b>c</b>", "")
 #: Entries after which a worker's memory of words starts anew.
 REMEMBERED = 300_000
 
@@ -42,6 +44,9 @@ class WordTokenizer:
         self.letters = byte_letters()
         self.kind = np.uint16 if len(model["vocab"]) <= 1 << 16 else np.uint32
         self.seen: dict[bytes, bytes] = {}
+        ids, at = self.flat(pa.array(PROBES), 1)
+        if any(ids[at[i] : at[i + 1]].tolist() != [*self.whole.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(PROBES)):
+            raise ValueError(f"{path}: this tokenizer does not work word by word; only those of the word_bpe kind can be used")
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()

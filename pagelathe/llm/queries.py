@@ -59,6 +59,36 @@ def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+#: All pairs in double precision, and components by the smallest id that is reached.
+OP1_SQL = """with recursive v as (select row_number() over () as r, vec_id, label, embedding::double[] as e from embeddings),
+ u as (select *, list_transform(e, lambda x: x / sqrt(list_inner_product(e, e))) as unit from v where label is not null and e is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_inner_product(e, e) > 0),
+ l as (select a.r, b.r as to_r from u a join u b on a.label = b.label and len(a.e) = len(b.e) and a.r <> b.r and list_inner_product(a.unit, b.unit) >= 0.93),
+ reach as (select r, r as to_r from v union select reach.r, l.to_r from reach join l on reach.to_r = l.r),
+ c as (select reach.r, min(v.vec_id) as component_id from reach join v on reach.to_r = v.r group by 1),
+ n as (select r, count(*) as n_links from l group by 1)
+ select vec_id, coalesce(n_links, 0) as n_links, component_id, vec_id = component_id as kept from v join c using (r) left join n using (r)"""
+
+WORDS = r"'[^\x20\x09-\x0D]+'"
+OP3_SQL = rf"""with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text, text as raw, regexp_extract_all(coalesce(text, ''), {WORDS}) as ws from documents),
+ w as (select r, unnest(range(1, len(ws) + 1)) as i, unnest(ws) as a from d),
+ g as (select r, i, a || ' ' || lead(a) over (partition by r order by i) || ' ' || lead(a, 2) over (partition by r order by i) as g from w),
+ t as (select r, i, count(*) over (partition by r, g) as n from g where g is not null),
+ rep as (select r, count(distinct i + k) as n_repeat_words from t, (values (0), (1), (2)) as o(k) where n > 1 group by 1),
+ x as (select r, source, raw, line, regexp_replace(array_to_string(regexp_extract_all(lower(line), {WORDS}), ' '), '[0-9]+', '0', 'g') as h, len(regexp_extract_all(line, {WORDS})) as n from (select r, source, raw, unnest(string_split(text, chr(10))) as line from d)),
+ y as (select * from x where n > 0),
+ hosts as (select source, count(*) as host_documents from d group by 1),
+ counts as (select source, h, count(distinct raw) as documents from y group by 1, 2 having count(distinct raw) >= 20),
+ above as (select c.source, h from counts c join hosts b on c.source is not distinct from b.source where documents >= 0.005 * host_documents),
+ removed as (select r, sum(n) as removed from y join above a on y.source is not distinct from a.source and y.h = a.h group by 1),
+ dup as (select r, count(*) - count(distinct line) as n_dup_lines from y group by 1),
+ f as (select doc_id, len(ws) as n_words, coalesce(list_sum(list_transform(ws, lambda z: length(z))), 0)::bigint as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+  coalesce(n_repeat_words, 0) as n_repeat_words, (len(ws) - coalesce(removed, 0))::bigint as left_words from d left join rep using (r) left join dup using (r) left join removed using (r))
+ select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and left_words >= 0.3 * n_words as kept from f"""
+
+OP8_SQL = """with p as (select page_id, url, sha1(coalesce(html, '')) as payload_digest, octet_length(encode(coalesce(html, ''))) as payload_bytes, count(*) over w as n, max(page_id) over w as last from pages window w as (partition by coalesce(html, '')))
+ select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type, case when payload_bytes >= 1000 and page_id <> last then last end as refers_to, url from p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for those of the queries that it can express."""
-    return {}
+    """SQL for those of the queries that it can express: the others need XXH64, a tokenizer, CRC32, trained trees or hundreds of patterns."""
+    return {"op1_cap_filter_links": OP1_SQL, "op3_line_frequency": OP3_SQL, "op8_warc_transactions": OP8_SQL}

@@ -5,13 +5,18 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 from itertools import product
-from re import _constants as op
-from re import _parser
 
 import numpy as np
 
 from pagelathe.llm.shared import TO_LOWER
 
+try:  # the standard library's parser of patterns; it has moved before
+    from re import _constants as op
+    from re import _parser
+except ImportError:
+    import sre_constants as op
+    import sre_parse as _parser
+
 #: Larger sets of strings are given up for what is known of their parts.
 MOST_STRINGS = 48
 #: A query: True (no condition), a trigram, or ("and" | "or", queries).
