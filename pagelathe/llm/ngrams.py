@@ -1,11 +1,10 @@
 """Language-model scores by a weighted backoff automaton over word trigrams.
 
 Counts of a corpus do not fit on one machine, so neither the vocabulary nor the n-grams are ever broadcast. Texts are
-tokenised in batches and written. A batch asks for what it needs: its distinct words, bigrams and trigrams, as hashes by
-context, go to the parts of the hash range, in one row for each batch and part; a part merges what all batches have
-sent and answers each with the corpus counts. The batch then has all states and arcs that its texts can visit, and its
-texts are read through its automaton from left to right. Rows stay few and their packed arrays small: one exchange of
-distinct n-grams there, one of counts back.
+read in batches. A batch asks for what it needs: its distinct words, and its distinct pairs of words with the words after
+each, as hashes, go to the parts of the hash range, in one row for each batch and part; a part merges what all batches
+have sent and answers each with the corpus counts. The batch's texts, read again, then have all states and arcs that they
+can visit, and go through their automaton from left to right. One exchange of distinct n-grams there, one of counts back.
 """
 
 from __future__ import annotations
@@ -18,18 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, slices, texts, word_codes, word_spans
 
-#: Bits of the hash that names a context of bigrams or trigrams; a word after it is named by 32 bits, on its own by 64.
-CONTEXT_BITS = 48
-#: Text of a batch.
-BATCH_BYTES = 12 << 20
-#: Tokens of the corpus for each part of the hash range.
-PART_TOKENS = 1_500_000
+#: Bits of the hash that names a pair of words, and of the one that names a word after it; on its own a word has 64.
+PAIR_BITS, NEXT_BITS = 48, 24
+#: Text of a batch, and of the corpus for each part of the hash range.
+BATCH_BYTES, PART_BYTES = 10 << 20, 16 << 20
 #: Tokens of a text that are read in one go; the next ones begin with the two tokens before them.
 SEGMENT = 256
 _CODEC = pa.Codec("zstd", 1)
@@ -66,67 +62,46 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-@dataclass
-class Grams:
-    """The distinct n-grams of a batch in the order in which they are sent: by the hash of their context, then of their word."""
-
-    place: np.ndarray  # of each token with such an n-gram, its n-gram
-    owner: np.ndarray  # of each n-gram, the number of its context: a word, or a bigram
-    word: np.ndarray  # and the rank of its last word
-    run: np.ndarray  # and the place of its context among `contexts`
-    contexts: np.ndarray  # the distinct hashes of contexts, sorted
-    named: np.ndarray  # of each n-gram, 32 bits of its word's hash
-
-
-def grams(owner: np.ndarray, word: np.ndarray, owner_hash: np.ndarray, word_hash: np.ndarray) -> Grams:
-    """n-grams of tokens: the number of the context before each, and the token."""
-    key, place = np.unique(owner * len(word_hash) + word, return_inverse=True)
-    owner, word = np.divmod(key, len(word_hash))
-    context, name = owner_hash[owner] >> np.uint64(64 - CONTEXT_BITS), word_hash[word] & np.uint64(0xFFFFFFFF)
-    order = np.lexsort((name, context))
-    at = np.empty(len(order), np.int64)
-    at[order] = np.arange(len(order))
-    contexts, run = np.unique(context[order], return_inverse=True)
-    return Grams(at[place], owner[order], word[order], run, contexts, name[order])
-
-
 class Batch:
-    """Texts as ranks into the sorted hashes of their distinct words; `end` closes each text and opens it as context."""
+    """Texts as ranks into the sorted hashes of their distinct words; `end` closes each text and opens it as context.
 
-    def __init__(self, ranks: np.ndarray, bounds: np.ndarray, hashes: np.ndarray) -> None:
-        self.ranks, self.bounds, self.hashes = ranks, bounds, hashes
-        before = np.empty_like(ranks)
-        before[1:] = ranks[:-1]
-        before[bounds[:-1]] = ranks[bounds[1:] - 1]
-        mixed_words = mixed(hashes)
-        self.pairs = grams(before, ranks, mixed_words, hashes)
-        inner = np.ones(len(ranks), bool)
-        inner[bounds[:-1]] = False
-        self.inner = np.flatnonzero(inner)  # tokens with two before them, the end mark before the text included
-        p = self.pairs
-        self.triples = grams(p.place[self.inner - 1], ranks[self.inner], mixed(mixed_words[p.owner] * np.uint64(0x9E3779B97F4A7C15) + hashes[p.word]), hashes)
+    Pairs are numbered by their hashes, triples by their pair and then the name of their last word, as they are sent.
+    """
 
-    @staticmethod
-    def of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """ranks, bounds and hashes of texts."""
+    def __init__(self, texts: pa.Array) -> None:
         data, offs = byte_view(texts)
         data = TO_LOWER[data]
         starts, ends, first = word_spans(data, offs)
         codes, distinct = word_codes(data, starts, ends)
         digest = xxhash.xxh64_intdigest
         hashes = np.array([*(digest(w) for w in distinct.to_pylist()), digest(b" ")], np.uint64)  # no word is a blank: the end
-        known, rank = np.unique(hashes, return_inverse=True)
-        codes = np.insert(codes, first[1:], len(hashes) - 1)
-        return rank[codes], first + np.arange(len(first)), known
+        self.hashes, rank = np.unique(hashes, return_inverse=True)
+        self.end = int(rank[-1])
+        self.bounds = first + np.arange(len(first))
+        self.ranks = ranks = rank[np.insert(codes, first[1:], len(hashes) - 1)]
+        before = np.empty_like(ranks)
+        before[1:] = ranks[:-1]
+        before[self.bounds[:-1]] = self.end
+        own = mixed(self.hashes)
+        self.pairs, at, self.pair = np.unique(mixed(own[before] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[ranks]) >> np.uint64(64 - PAIR_BITS), return_index=True, return_inverse=True)
+        self.left, self.right = before[at], ranks[at]  # the words of each pair
+        inner = np.ones(len(ranks), bool)
+        inner[self.bounds[:-1]] = False
+        self.inner = np.flatnonzero(inner)  # tokens with two before them, the end mark before the text included
+        name = (own & np.uint64((1 << NEXT_BITS) - 1)).astype(np.int64)
+        key, at, self.triple = np.unique(self.pair[self.inner - 1] << NEXT_BITS | name[ranks[self.inner]], return_index=True, return_inverse=True)
+        self.of_pair, self.next = key >> NEXT_BITS, key & ((1 << NEXT_BITS) - 1)
+        self.word, self.last = ranks[self.inner][at], self.pair[self.inner][at]  # a triple's last word, and the pair that ends it
 
 
 def fold(ids: pa.Array, modulus: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % modulus for i in ids.to_pylist()], np.int64)
 
 
-WORDS, PAIRS, TRIPLES, TEXTS, TOTALS = 0, 1, 2, 3, 4
-BATCHES = "batch long, n_tokens long, a binary, b binary, c binary, doc_ids array<long>"
+WORDS, PAIRS, TEXTS, TOTALS = 0, 1, 2, 3
 ROWS = "part long, batch long, kind int, a binary, b binary, c binary, d binary, doc_ids array<long>"
+#: Exponents for which the words' counts are summed; see spread().
+POWERS = tuple(round(0.3 + 0.05 * i, 2) for i in range(15))
 
 
 def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
@@ -148,26 +123,20 @@ def gathered_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
-def tokenised(docs: DataFrame) -> DataFrame:
-    """The texts in batches, with names of their own."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, number = TaskContext.get().partitionId(), 0
-        for arrow in gathered_up(batches):
-            for part in slices(arrow, "text", BATCH_BYTES):
-                ranks, bounds, hashes = Batch.of(part.column("text"))
-                number += 1
-                yield _rows([(task << 32 | number, len(ranks), pack(ranks), pack(bounds), pack_sorted(hashes), part.column("doc_id").to_pylist())], BATCHES)
-
-    return materialize(texts(docs, "doc_id", "text").mapInArrow(bounded(run), BATCHES))
+def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
+    """(name, ids, texts) of batches: named by what they hold, so that another scan of the rows has the same names."""
+    for arrow in gathered_up(batches):
+        for part in slices(arrow, "text", BATCH_BYTES):
+            ids, own = part.column("doc_id"), part.column("text")
+            data, offs = byte_view(own)
+            name = xxhash.xxh64(np.ascontiguousarray(data))
+            name.update(offs.tobytes())
+            name.update(repr(ids.to_pylist()).encode())
+            yield name.intdigest() >> 1, ids, own
 
 
-def batch_of(ranks: bytes, bounds: bytes, hashes: bytes) -> Batch:
-    return Batch(unpack(ranks).astype(np.int64), unpack(bounds).astype(np.int64), unpack_sorted(hashes))
-
-
-def ask(batches: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFrame:
-    """For each batch and part the batch's distinct n-grams with their counts in training texts."""
+def ask(docs: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFrame:
+    """For each batch and part the batch's distinct words, pairs and triples with their counts in training texts."""
     parts = np.arange(1 << part_bits, dtype=np.uint64)
 
     def asked(name: int, batch: Batch, trains: np.ndarray) -> Iterator[tuple]:
@@ -175,57 +144,74 @@ def ask(batches: DataFrame, part_bits: int, modulus: int, left_out: int) -> Data
         count = np.bincount(batch.ranks, trains, len(batch.hashes))
         for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
             if y > x:
-                yield p * 3 + WORDS, name, WORDS, pack_sorted(batch.hashes[x:y]), None, None, pack(count[x:y]), None
-        for kind, g, own in ((PAIRS, batch.pairs, trains), (TRIPLES, batch.triples, trains[batch.inner])):
-            count = np.bincount(g.place, own, len(g.word))
-            size = np.bincount(g.run, minlength=len(g.contexts))
-            first = np.concatenate([[0], np.cumsum(size)])
-            cut = [*np.searchsorted(g.contexts >> np.uint64(CONTEXT_BITS - part_bits), parts).tolist(), len(g.contexts)]
-            for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
-                if y > x:
-                    i, j = first[x], first[y]
-                    yield p * 3 + kind, name, kind, pack_sorted(g.contexts[x:y]), pack(size[x:y] - 1), pack(g.named[i:j]), pack(count[i:j]), None
+                yield p * 2 + WORDS, name, WORDS, pack_sorted(batch.hashes[x:y]), pack(count[x:y]), None, None, None
+        cut = [*np.searchsorted(batch.pairs >> np.uint64(PAIR_BITS - part_bits), parts).tolist(), len(batch.pairs)]
+        count = np.bincount(batch.pair, trains, len(batch.pairs))
+        triples = np.bincount(batch.triple, trains[batch.inner], len(batch.next))
+        after = np.bincount(batch.of_pair, minlength=len(batch.pairs))
+        first = np.concatenate([[0], np.cumsum(after)])
+        for p, (x, y) in enumerate(zip(cut, cut[1:], strict=False)):
+            if y > x:
+                i, j = first[x], first[y]
+                yield p * 2 + PAIRS, name, PAIRS, pack_sorted(batch.pairs[x:y]), pack(np.concatenate([count[x:y], after[x:y]])), pack(batch.next[i:j]), pack(triples[i:j]), None
+
+    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, ids, own in batches_of(arrow):
+            batch = Batch(own)
+            trains = np.repeat(fold(ids, modulus) != left_out, np.diff(batch.bounds))
+            yield _rows(list(asked(name, batch, trains)), ROWS)
+
+    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), ROWS)
+
+
+def told(docs: DataFrame) -> DataFrame:
+    """The texts of each batch, compressed, to meet the answers that it gets."""
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some in arrow:
-            for row in some.to_pylist():
-                batch = batch_of(row["a"], row["b"], row["c"])
-                trains = np.repeat(fold(pa.array(row["doc_ids"], pa.int64()), modulus) != left_out, np.diff(batch.bounds))
-                yield _rows(list(asked(row["batch"], batch, trains)), ROWS)
+        codec = pa.Codec("zstd", 3)
+        for name, ids, own in batches_of(arrow):
+            data, offs = byte_view(own)
+            yield _rows([(-1, name, TEXTS, codec.compress(data.tobytes(), asbytes=True), pack(np.diff(offs)), None, None, ids.to_pylist())], ROWS)
+
+    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), ROWS)
 
-    return batches.mapInArrow(bounded(run), ROWS)
+
+def text_of(data: bytes, sizes: bytes) -> pa.Array:
+    """The texts of a row of told()."""
+    offs = np.concatenate([[0], np.cumsum(unpack(sizes).astype(np.int64))])
+    raw = pa.Codec("zstd").decompress(data, int(offs[-1])) if offs[-1] else pa.py_buffer(b"")
+    return pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(offs), raw])
 
 
 def answer(table: pa.Table) -> pa.Table:
     """One part of one kind: the counts of all batches merged, and each batch's n-grams answered in its order.
 
-    For words a: counts. For the others a: counts of the n-grams; for each context b: its n-grams' occurrences, c: how many
-    distinct ones occur. One more row has totals: of words, occurrences and distinct ones; of the others, how many occur
-    once and twice.
+    a: counts of the words or pairs; for pairs b: how many different words follow each in training, c: counts of the triples.
+    One more row has totals: of words, occurrences, distinct ones and for each of POWERS the sum of the counts so raised;
+    of pairs, distinct ones, and how many pairs, and triples, occur once and twice.
     """
     part, kind = table.column("part")[0].as_py(), table.column("kind")[0].as_py()
     names, raw = table.column("batch").to_pylist(), {c: table.column(c).to_pylist() for c in "abcd"}
-    given = np.concatenate([unpack(x) for x in raw["d"]]).astype(np.int64)
     keys = [unpack_sorted(x) for x in raw["a"]]
     ends = np.cumsum([len(k) for k in keys]).tolist()
     distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = lambda *values: (part, -1 - part, TOTALS + kind, pack(np.array(values)), None, None, None, None)
+    given = [unpack(x).astype(np.int64) for x in raw["b"]]
+    counts = np.bincount(place, np.concatenate([g[: len(k)] for g, k in zip(given, keys, strict=True)]), len(distinct)).astype(np.int64)
     if kind == WORDS:
-        counts = np.bincount(place, given, len(distinct)).astype(np.int64)
         rows = [(part, name, kind, pack(counts[place[e - len(k) : e]]), None, None, None, None) for name, k, e in zip(names, keys, ends, strict=True)]
-        return pa.Table.from_batches([_rows([*rows, total(counts.sum(), (counts > 0).sum())], ROWS)])
-    runs = [unpack(x).astype(np.int64) + 1 for x in raw["b"]]
-    named = np.concatenate([unpack(x) for x in raw["c"]])
-    grams_, at = np.unique((np.repeat(place, np.concatenate(runs)).astype(np.uint64) << np.uint64(32)) | named, return_inverse=True)
-    counts = np.bincount(at, given, len(grams_)).astype(np.int64)
-    of = (grams_ >> np.uint64(32)).astype(np.int64)
-    by_context = [np.bincount(of, v, len(distinct)).astype(np.int64) for v in (counts, counts > 0)]
-    rows, to = [], 0
-    for name, k, e, r in zip(names, keys, ends, runs, strict=True):
-        a, to = to, to + int(r.sum())
-        own = place[e - len(k) : e]
-        rows.append((part, name, kind, pack(counts[at[a:to]]), *(pack(v[own]) for v in by_context), None, None))
-    return pa.Table.from_batches([_rows([*rows, total(*((counts == k).sum() for k in (1, 2)))], ROWS)])
+        some = counts[counts > 0].astype(np.float64)
+        total = [int(counts.sum()), len(some), *(int(round((some**b).sum())) for b in POWERS)]
+    else:
+        after = [g[len(k) :] for g, k in zip(given, keys, strict=True)]
+        triples, at = np.unique(np.repeat(place, np.concatenate(after)) << NEXT_BITS | np.concatenate([unpack(x) for x in raw["c"]]).astype(np.int64), return_inverse=True)
+        seen = np.bincount(at, np.concatenate([unpack(x) for x in raw["d"]]), len(triples)).astype(np.int64)
+        follow = np.bincount(triples >> NEXT_BITS, seen > 0, len(distinct)).astype(np.int64)
+        rows, to = [], 0
+        for name, k, e, r in zip(names, keys, ends, after, strict=True):
+            own, x, to = place[e - len(k) : e], to, to + int(r.sum())
+            rows.append((part, name, kind, pack(counts[own]), pack(follow[own]), pack(seen[at[x:to]]), None, None))
+        total = [int((counts > 0).sum()), *(int((c == k).sum()) for c in (counts, seen) for k in (1, 2))]
+    return pa.Table.from_batches([_rows([*rows, (part, -1 - part, TOTALS + kind, pack(np.array(total)), None, None, None, None)], ROWS)])
 
 
 def discount(n1: int, n2: int) -> float:
@@ -237,55 +223,59 @@ def discount(n1: int, n2: int) -> float:
     return min(max(n1 / (n1 + 2 * n2), 0.1), 0.95) if n1 else 0.5
 
 
+def spread(pairs: int, sums: list[int]) -> float:
+    """The power of a word's count that says best how many different words follow it: summed over all words it gives all pairs."""
+    at = next((i for i, s in enumerate(sums) if s >= pairs), len(sums) - 1)
+    if at == 0 or sums[at] <= sums[at - 1]:
+        return POWERS[at]
+    low, high = math.log(max(1, sums[at - 1])), math.log(sums[at])
+    return POWERS[at - 1] + (POWERS[at] - POWERS[at - 1]) * min(1.0, max(0.0, (math.log(max(1, pairs)) - low) / (high - low)))
+
+
 @dataclass(frozen=True)
 class Model:
-    """Training tokens and types, and the discounts of bigrams and trigrams."""
+    """Training tokens and types, the discounts of pairs and triples, and the spread of the words that follow one."""
 
     n: int
     v: int
     pairs: float
     triples: float
+    power: float
 
 
 class Automaton:
     """The states and arcs that a batch can visit.
 
-    States are contexts that training has: the root (0), a word (1 + its rank), or two words. An arc of a state is a
-    word that training has after it. Its weight is the smoothed probability: P(w | h) = (c(hw) - D) / c(h) + b(h) P(w | h'),
-    with h' the context without its first word, D the discount, and b(h) what it takes off all of h's arcs, divided by c(h). Any other word takes the failure arc, with weight b(h), to the state of h'. The root has an arc for every word:
-    P(w) = (c(w) + 1) / (N + V + 1). An arc leads to the longest state that ends the words read.
+    States are contexts that training has: the root (0), a word (1 + its rank), or a pair of words. An arc of a state is
+    a word that training has after it; its weight is the smoothed probability. Any other word takes the failure arc, with weight
+    b(h), to the state of the context h' without its first word. After a pair P(w | h) = (c(hw) - D) / c(h) + b(h) P(w | h'), with
+    D the discount of triples and b(h) what it takes off all of h's arcs, divided by c(h). After a word
+    P(w | h) = (1 - b(h)) c(hw) / c(h) + b(h) P(w), with b(h) = D c(h) ** (power - 1), the discount of pairs for as many followers as
+    words of that count have. The root has an arc for every word: P(w) = (c(w) + 1) / (N + V + 1). Each sums to one.
+    An arc leads to the longest state that ends the words read.
     """
 
-    def __init__(self, model: Model, batch: Batch, words: np.ndarray, pairs: tuple, triples: tuple) -> None:
-        n_words, p, t = len(batch.hashes), batch.pairs, batch.triples
+    def __init__(self, model: Model, batch: Batch, words: np.ndarray, pairs: np.ndarray, follow: np.ndarray, triples: np.ndarray) -> None:
+        n_words, n_pairs = len(batch.hashes), len(batch.pairs)
         self.one = (words + 1.0) / (model.n + model.v + 1.0)
-
-        def contexts(g: Grams, n: int, found: tuple, d: float) -> tuple[np.ndarray, np.ndarray]:
-            """Of each context, by number: how often training continues it, and its backoff."""
-            many, freed = np.zeros(n), np.ones(n)
-            total = found[1].astype(np.float64)
-            many[g.owner] = total[g.run]
-            freed[g.owner] = np.where(total > 0, d * found[2] / np.maximum(total, 1), 1.0)[g.run]
-            return many, freed
-
-        many1, back1 = contexts(p, n_words, pairs, model.pairs)
-        many2, back2 = contexts(t, len(p.word), triples, model.triples)
-        two = np.where(pairs[0] > 0, (pairs[0] - model.pairs) / np.maximum(many1[p.owner], 1), 0.0) + back1[p.owner] * self.one[p.word]
-        last = np.zeros(len(t.word), np.int64)  # the bigram that ends a trigram
-        last[t.place] = p.place[batch.inner]
-        three = np.where(triples[0] > 0, (triples[0] - model.triples) / np.maximum(many2[t.owner], 1), 0.0) + back2[t.owner] * two[last]
-
-        word_state = np.where(many1 > 0, 1 + np.arange(n_words), 0)
-        pair_state = np.where(many2 > 0, 1 + n_words + np.arange(len(p.word)), word_state[p.word])
-        self.fail = np.concatenate([[0], np.zeros(n_words, np.int64), word_state[p.word]])
+        many1 = np.maximum(words, 1).astype(np.float64)
+        back1 = np.where(words > 0, np.minimum(1.0, model.pairs * many1 ** (model.power - 1)), 1.0)
+        many2 = np.maximum(pairs, 1).astype(np.float64)
+        back2 = np.where((pairs > 0) & (follow > 0), model.triples * follow / many2, 1.0)
+        two = (1 - back1[batch.left]) * pairs / many1[batch.left] + back1[batch.left] * self.one[batch.right]
+        three = np.where(triples > 0, (triples - model.triples) / many2[batch.of_pair], 0.0) + back2[batch.of_pair] * two[batch.last]
+
+        word_state = np.where(words > 0, 1 + np.arange(n_words), 0)
+        pair_state = np.where(follow > 0, 1 + n_words + np.arange(n_pairs), word_state[batch.right])
+        self.fail = np.concatenate([[0], np.zeros(n_words, np.int64), word_state[batch.right]])
         self.back = np.log10(np.concatenate([[1.0], back1, back2]))
-        has2, has3 = pairs[0] > 0, triples[0] > 0
-        arcs = np.concatenate([np.arange(n_words), (1 + p.owner[has2]) * n_words + p.word[has2], (1 + n_words + t.owner[has3]) * n_words + t.word[has3]])
+        has2, has3 = pairs > 0, triples > 0
+        arcs = np.concatenate([np.arange(n_words), (1 + batch.left[has2]) * n_words + batch.right[has2], (1 + n_words + batch.of_pair[has3]) * n_words + batch.word[has3]])
         order = np.argsort(arcs, kind="stable")
         self.n_words, self.arcs = n_words, arcs[order]
         self.weight = np.log10(np.concatenate([self.one, two[has2], three[has3]]))[order]
-        self.to = np.concatenate([word_state, pair_state[has2], pair_state[last[has3]]])[order]
-        self.start = int(word_state[batch.ranks[batch.bounds[1] - 1]])  # the end mark's
+        self.to = np.concatenate([word_state, pair_state[has2], pair_state[batch.last[has3]]])[order]
+        self.start = int(word_state[batch.end])
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The states after reading a word in each state, and the log-probabilities: failure arcs until there is an arc."""
@@ -330,55 +320,64 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scores(model: Model, modulus: int, left_out: int):
-    """One batch, its texts and all answers: a row of scores for each text."""
+    """One batch, its texts and all answers: a row of scores for each text. Batches of the same texts and ids come together."""
 
     def work(table: pa.Table) -> pa.Table:
         kinds, parts = table.column("kind").to_pylist(), table.column("part").to_pylist()
         raw = {c: table.column(c).to_pylist() for c in "abc"}
-        text = kinds.index(TEXTS)
-        batch, ids = batch_of(raw["a"][text], raw["b"][text], raw["c"][text]), table.column("doc_ids")[text].as_py()
-        of = {kind: sorted((i for i, k in enumerate(kinds) if k == kind), key=parts.__getitem__) for kind in (WORDS, PAIRS, TRIPLES)}
+        same = [i for i, k in enumerate(kinds) if k == TEXTS]
+        if not same:
+            raise ValueError("a batch was read once only: the rows of docs do not come in the same order in another scan")
+        batch, ids = Batch(text_of(raw["a"][same[0]], raw["b"][same[0]])), table.column("doc_ids")[same[0]].as_py()
+        of = {kind: [i for _, i in sorted({parts[i]: i for i, k in enumerate(kinds) if k == kind}.items())] for kind in (WORDS, PAIRS)}
         joined = lambda kind, c: np.concatenate([np.zeros(0, np.int64), *(unpack(raw[c][i]).astype(np.int64) for i in of[kind])])
         words = joined(WORDS, "a")
-        automaton = Automaton(model, batch, words, *(tuple(joined(kind, c) for c in "abc") for kind in (PAIRS, TRIPLES)))
+        automaton = Automaton(model, batch, words, *(joined(PAIRS, c) for c in "abc"))
         at = batch.bounds[:-1]
         known = np.add.reduceat((words[batch.ranks] > 0).astype(np.int64), at)
         base = np.add.reduceat(np.log10(automaton.one)[batch.ranks], at)
         doc = pa.array(ids, pa.int64())
         columns = [doc, pa.array(fold(doc, modulus) == left_out), pa.array(np.diff(batch.bounds)), pa.array(known), pa.array(np.full(len(ids), model.n, np.int64)), pa.array(base), pa.array(automaton.walk(batch))]
-        return pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+        one = pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+        return pa.concat_tables([one] * len(same))
 
     return work
 
 
+def scans_alike(docs: DataFrame) -> bool:
+    """Whether another scan of docs gives the same rows in the same order: only columns and filters over files."""
+    nodes = [x.strip(" :+-*") for x in docs._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    return all(x.startswith(("Project ", "Filter ", "Relation ")) for x in nodes if x)
+
+
 def score(docs: DataFrame, modulus: int = 7, left_out: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
 
     Trained on all rows whose crc32 of the id is not `left_out` modulo `modulus`. Null, empty or blank text: the end
     token alone. Null doc_id: the id is empty text for the split. Repeated rows: rows like others, counted each.
-    Empty table: no rows. Other columns are not read. Contexts are named by CONTEXT_BITS of a hash; two that share a
-    name are one.
+    Empty table: no rows. Other columns are not read. A pair is named by PAIR_BITS of a hash, a word after it by NEXT_BITS; what
+    shares a name is one. docs is read twice, and written first if that may not give the same rows in the same order.
     """
-    batches = tokenised(docs)
-    tokens = batches.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).first()[0]
-    part_bits = max(3, math.ceil(math.log2(max(1, tokens / PART_TOKENS))))
-    answered = materialize(ask(batches, part_bits, modulus, left_out).groupBy("part").applyInArrow(answer, ROWS))
-    totals: dict[int, np.ndarray] = {k: np.zeros(2, np.int64) for k in (WORDS, PAIRS, TRIPLES)}
-    for kind, found in total_rows(answered):
-        totals[kind][: len(found)] = found
-    model = Model(int(totals[WORDS][0]), int(totals[WORDS][1]), discount(*totals[PAIRS].tolist()), discount(*totals[TRIPLES].tolist()))
-    held = batches.selectExpr("-1L as part", "batch", f"{TEXTS} as kind", "a", "b", "c", "cast(null as binary) as d", "doc_ids")
-    return answered.where(f"kind < {TEXTS}").unionByName(held).groupBy("batch").applyInArrow(scores(model, modulus, left_out), SCORES)
+    docs = docs.select("doc_id", "text")
+    docs = docs if scans_alike(docs) else materialize(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    part_bits = max(3, math.ceil(math.log2(max(1, size / PART_BYTES))))
+    answered = materialize(ask(docs, part_bits, modulus, left_out).groupBy("part").applyInArrow(answer, ROWS))
+    totals = total_rows(answered)
+    words, pairs = totals.get(WORDS, [0] * (2 + len(POWERS))), totals.get(PAIRS, [0] * 5)
+    model = Model(words[0], words[1], discount(*pairs[1:3]), discount(*pairs[3:5]), spread(pairs[0], words[2:]))
+    return answered.where(f"kind < {TEXTS}").unionByName(told(docs)).groupBy("batch").applyInArrow(scores(model, modulus, left_out), SCORES)
 
 
-def total_rows(answered: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """(kind, sums) of the totals of all parts, two numbers for each of three kinds."""
+def total_rows(answered: DataFrame) -> dict[int, list[int]]:
+    """The sums of the totals of all parts, for each kind."""
 
     def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [[int(x) for x in unpack(raw)] for raw in batch.column("a").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array(values, pa.list_(pa.int64()))], names=["kind", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), pa.array([[int(x) for x in unpack(raw)] for raw in batch.column("a").to_pylist()], pa.list_(pa.int64()))], names=["kind", "v"])
 
-    rows = answered.where(f"kind >= {TOTALS}").select("kind", "a").mapInArrow(opened, "kind int, v array<long>")
-    sums = rows.groupBy("kind").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(2)]).collect()  # three rows
-    return [(r["kind"] - TOTALS, np.array([r[f"v{i}"] for i in range(2)])) for r in sums]
+    rows = answered.where(f"kind >= {TOTALS}").select("kind", "a").mapInArrow(opened, "kind int, v array<long>").select("kind", F.posexplode("v"))
+    out: dict[int, list[int]] = {}
+    for r in rows.groupBy("kind", "pos").agg(F.sum("col").alias("s")).orderBy("kind", "pos").collect():  # some twenty rows
+        out.setdefault(r["kind"] - TOTALS, []).append(r["s"])
+    return out

@@ -251,21 +251,20 @@ class Backoff:
             self.c[1].update(zip(w, w[1:], strict=False))
             self.c[2].update(zip(w, w[1:], w[2:], strict=False))
         self.n, self.v = sum(self.c[0].values()), len(self.c[0])
-        self.d = [None, *(ngrams.discount(*(sum(k == q for k in c.values()) for q in (1, 2))) for c in self.c[1:])]
-        self.total, self.freed = Counter(), Counter()
-        for c, d in zip(self.c[1:], self.d[1:], strict=True):
-            for g, k in c.items():
-                self.total[g[:-1]] += k
-                self.freed[g[:-1]] += d
+        self.d = [ngrams.discount(*(sum(k == q for k in c.values()) for q in (1, 2))) for c in self.c]
+        self.power = ngrams.spread(len(self.c[1]), [round(sum(k**b for k in self.c[0].values())) for b in ngrams.POWERS])
+        self.follow = Counter(g[:-1] for g in self.c[2])
 
     def p(self, h, w):
         if not h:
             return (self.c[0][w,] + 1) / (self.n + self.v + 1)
-        if not self.total[h]:
+        c, k = self.c[len(h) - 1][h], self.c[len(h)][*h, w]
+        if not c or len(h) == 2 and not self.follow[h]:
             return self.p(h[1:], w)
-        k = self.c[len(h)][*h, w]
-        own = k - self.d[len(h)] if k else 0
-        return own / self.total[h] + self.freed[h] / self.total[h] * self.p(h[1:], w)
+        if len(h) == 1:
+            b = min(1.0, self.d[1] * c ** (self.power - 1))
+            return (1 - b) * k / c + b * self.p((), w)
+        return (k - self.d[2] if k else 0) / c + self.d[2] * self.follow[h] / c * self.p(h[1:], w)
 
     def score(self, w):
         w = [" ", *w]
@@ -273,7 +272,7 @@ class Backoff:
 
 
 def test_language_model(docs, rows, none, monkeypatch):
-    monkeypatch.setattr(ngrams, "PART_TOKENS", 20_000)
+    monkeypatch.setattr(ngrams, "PART_BYTES", 100_000)
     got = ngrams.score(docs).collect()
     text = [(i, [*words(t), " "]) for i, t, _ in rows]
     held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
