@@ -52,23 +52,31 @@ def cache_url(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), name, F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise(""), F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
+#: Steps up (..) of a relative link that are taken.
+UP_STEPS = 4
+
+
 def resolve(base: Column, href: Column) -> Column:
     """href as seen from base: absolute, scheme-relative, root-relative, query or relative to the folder."""
     root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
     folder = F.regexp_replace(part(base, 3), r"[^/]*$", "")
+    near = F.concat(F.when(folder == "", "/").otherwise(folder), href)
+    for _ in range(UP_STEPS):  # a step up takes the folder before it away
+        near = F.regexp_replace(F.regexp_replace(near, r"/(?!\.\./)[^/?#]+/\.\./", "/"), r"^/(\.\./)+", "/")
+    near = F.regexp_replace(near, r"/(\./)+", "/")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href))
         .when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("?"), F.concat(root, part(base, 3), href))
-        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), href))
+        .otherwise(F.concat(root, F.when(href.contains("./"), near).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), href))))
     )
 
 
 def links(html: Column, base: Column) -> Column:
-    """Distinct http links of a page in crawl form, in document order."""
-    hrefs = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*\bhref=\"([^\"]*)\""), F.lit(1))
-    found = F.transform(hrefs, lambda h: crawl_url(resolve(base, h)))
+    """Distinct http links of a page in crawl form, in document order; href with any quotes or none."""
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"), F.lit(1))
+    found = F.transform(tags, lambda h: crawl_url(resolve(base, F.trim(F.regexp_replace(h, "^[\"']|[\"']$", "")))))
     return F.array_distinct(F.filter(found, lambda u: u.rlike("^https?://")))
 
 

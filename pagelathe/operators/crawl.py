@@ -15,9 +15,9 @@ def frontier(links: DataFrame, seen: DataFrame, glob: str | None, room: int | No
     ord is the path of link numbers from the seed, which sorts pages as a queue would."""
     rows = links.where(follows(F.col("dst"), glob)) if glob else links
     rows = rows.join(seen.select(F.col("url").alias("seen")), F.col("dst") == F.col("seen"), "left_anti")
-    rows = rows.groupBy("dst").agg(F.min(F.struct("src_ord", "ord")).alias("at")).orderBy("at")
+    rows = rows.groupBy("dst").agg(F.min(F.struct("src_ord", "ord")).alias("at"))
     if room is not None:
-        rows = rows.limit(room)
+        rows = rows.orderBy("at").limit(room)
     return rows.select(F.col("dst").alias("url"), F.concat("at.src_ord", F.array("at.ord")).alias("ord"))
 
 
@@ -67,14 +67,19 @@ def pacing(visits: DataFrame, host: str = "host", ts: str = "ts", tie: str = "id
 
 
 def robots_rules(robots: DataFrame, agent: str = "*") -> DataFrame:
-    """(host, path, allow) from robots (host, body): the lines of the group for all agents."""
-    lines = robots.select("host", F.posexplode(F.split("body", "\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
+    """(host, path, allow) from robots (host, body): the rules of the groups that name the agent, in any case.
+
+    A group is some User-agent lines in a row and the rules up to the next User-agent line after a rule.
+    """
+    lines = robots.select("host", F.posexplode(F.split("body", r"\r?\n")).alias("n", "line")).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
+    kind = F.regexp_extract(F.lower("line"), r"^(user-agent|allow|disallow)\s*:", 1)
+    lines = lines.withColumn("kind", kind).where("kind != ''").withColumn("value", F.trim(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)))
     w = Window.partitionBy("host").orderBy("n")
-    named = F.when(F.lower("line").startswith("user-agent:"), F.trim(F.substring("line", 12, 200)))
-    rows = lines.withColumn("agent", F.last(named, ignorenulls=True).over(w))
-    rule = F.regexp_extract(F.lower("line"), r"^(allow|disallow):", 1)
-    rows = rows.where((F.col("agent") == agent) & (rule != ""))
-    return rows.select("host", F.trim(F.regexp_extract("line", r"(?i)^(?:allow|disallow):(.*)$", 1)).alias("path"), (rule == "allow").alias("allow")).where("path != ''")
+    opens = (F.col("kind") == "user-agent") & (F.coalesce(F.lag("kind").over(w), F.lit("")) != "user-agent")
+    rows = lines.withColumn("opens", opens).withColumn("group", F.sum(F.col("opens").cast("int")).over(w))
+    named = rows.where((F.col("kind") == "user-agent") & (F.lower("value") == agent.lower())).select(F.col("host").alias("h"), F.col("group").alias("g")).distinct()
+    rules = rows.where("kind != 'user-agent' and value != ''")
+    return rules.join(named, (F.col("host") == F.col("h")) & (F.col("group") == F.col("g")), "left_semi").select("host", F.col("value").alias("path"), (F.col("kind") == "allow").alias("allow"))
 
 
 def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:

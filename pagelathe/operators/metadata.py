@@ -15,47 +15,89 @@ from pagelathe.functions.coerce import Field, coerce
 #: Rank of each source of facts: the lower one wins.
 SOURCES = ("json-ld", "microdata", "microformat", "rdfa", "opengraph", "card", "meta", "header", "oembed")
 META_NAMES = ("description", "author", "keywords", "news_keywords", "pubdate", "date", "language", "copyright", "dc.creator", "generator")
-#: Keys that may hold a field, the better first, by the field's lower-case name (fixed values).
+# Keys that may hold a field, the better first, by the field's lower-case name; results must equal those of other readers.
 ALIASES = {
-    "title": "name headline title og:title twitter:title",
-    "name": "name title og:title twitter:title",
-    "headline": "headline name title og:title twitter:title",
-    "price": "price offers.price lowPrice product:price:amount",
-    "author": "author author.name creator creator.name byline twitter:creator article:author dc.creator dc:creator meta.author",
-    "description": "description og:description summary twitter:description meta.description",
-    "image": "image og:image thumbnailUrl image.url twitter:image twitter:image:src",
-    "date": "datePublished dateCreated uploadDate article:published_time meta.pubdate meta.date",
-    "published": "datePublished article:published_time uploadDate meta.pubdate",
-    "publisheddate": "datePublished article:published_time uploadDate header.last-modified",
-    "modified": "dateModified article:modified_time lastModified header.last-modified",
-    "category": "category articleSection genre article:section",
-    "brand": "brand brand.name product:brand",
-    "sku": "sku productID mpn",
-    "currency": "priceCurrency offers.priceCurrency product:price:currency",
-    "rating": "aggregateRating.ratingValue ratingValue",
-    "ratingcount": "aggregateRating.ratingCount ratingCount aggregateRating.reviewCount",
-    "reviewcount": "aggregateRating.reviewCount reviewCount aggregateRating.ratingCount",
-    "availability": "offers.availability availability product:availability",
-    "instock": "offers.availability availability product:availability",
-    "tags": "keywords article:tag meta.keywords meta.news_keywords",
-    "keywords": "keywords meta.keywords meta.news_keywords",
-    "publisher": "publisher.name og:site_name twitter:site",
-    "language": "inLanguage og:locale meta.language header.content-language html.lang",
-    "lang": "inLanguage og:locale meta.language header.content-language html.lang",
-    "email": "email contactPoint.email publisher.email author.email",
-    "phone": "telephone contactPoint.telephone publisher.telephone",
-    "latitude": "geo.latitude latitude",
-    "longitude": "geo.longitude longitude",
-    "url": "url og:url twitter:url",
-    "site": "og:site_name twitter:site publisher.name",
-    "cookminutes": "cookTime totalTime",
-    "prepminutes": "prepTime",
-    "totalminutes": "totalTime cookTime",
-    "ingredients": "recipeIngredient ingredients",
-    "servings": "recipeYield yield",
-    "cuisine": "recipeCuisine",
-    "instructions": "recipeInstructions instructions",
-    "calories": "nutrition.calories",
+    "title": ("name", "headline", "title", "og:title", "twitter:title"),
+    "name": ("name", "title", "og:title", "twitter:title"),
+    "headline": ("headline", "name", "title", "og:title", "twitter:title"),
+    "price": ("price", "offers.price", "lowPrice", "product:price:amount"),
+    "lowprice": ("lowPrice", "offers.lowPrice", "price"),
+    "highprice": ("highPrice", "offers.highPrice"),
+    "author": ("author", "author.name", "creator", "creator.name", "byline", "twitter:creator", "article:author", "dc.creator", "dc:creator", "meta.author"),
+    "description": ("description", "og:description", "summary", "twitter:description", "meta.description"),
+    "image": ("image", "og:image", "thumbnailUrl", "image.url", "twitter:image", "twitter:image:src"),
+    "date": ("datePublished", "dateCreated", "uploadDate", "article:published_time", "meta.pubdate", "meta.date"),
+    "published": ("datePublished", "article:published_time", "uploadDate", "meta.pubdate"),
+    "publisheddate": ("datePublished", "article:published_time", "uploadDate", "header.last-modified"),
+    "modified": ("dateModified", "article:modified_time", "lastModified", "header.last-modified"),
+    "lastmodified": ("dateModified", "article:modified_time", "lastModified", "header.last-modified"),
+    "updated": ("dateModified", "article:modified_time", "lastModified", "header.last-modified"),
+    "category": ("category", "articleSection", "genre", "article:section"),
+    "brand": ("brand", "brand.name", "product:brand"),
+    "sku": ("sku", "productID", "mpn"),
+    "gtin": ("gtin", "gtin13", "gtin12", "gtin8", "gtin14"),
+    "isbn": ("isbn",),
+    "mpn": ("mpn", "productID"),
+    "currency": ("priceCurrency", "offers.priceCurrency", "product:price:currency"),
+    "rating": ("aggregateRating.ratingValue", "ratingValue"),
+    "ratingvalue": ("aggregateRating.ratingValue", "ratingValue"),
+    "ratingcount": ("aggregateRating.ratingCount", "ratingCount", "aggregateRating.reviewCount"),
+    "reviewcount": ("aggregateRating.reviewCount", "reviewCount", "aggregateRating.ratingCount"),
+    "bestrating": ("aggregateRating.bestRating", "bestRating"),
+    "worstrating": ("aggregateRating.worstRating", "worstRating"),
+    "availability": ("offers.availability", "availability", "product:availability"),
+    "instock": ("offers.availability", "availability", "product:availability"),
+    "stock": ("offers.availability", "availability", "product:availability"),
+    "tags": ("keywords", "article:tag", "meta.keywords", "meta.news_keywords"),
+    "keywords": ("keywords", "meta.keywords", "meta.news_keywords"),
+    "breadcrumbs": ("breadcrumb.itemListElement", "breadcrumb"),
+    "breadcrumb": ("breadcrumb.itemListElement", "breadcrumb"),
+    "publisher": ("publisher.name", "og:site_name", "twitter:site"),
+    "source": ("publisher.name", "og:site_name", "twitter:site"),
+    "language": ("inLanguage", "og:locale", "meta.language", "header.content-language", "html.lang"),
+    "lang": ("inLanguage", "og:locale", "meta.language", "header.content-language", "html.lang"),
+    "locale": ("og:locale", "inLanguage", "header.content-language"),
+    "wordcount": ("wordCount",),
+    "readingtime": ("timeRequired",),
+    "email": ("email", "contactPoint.email", "publisher.email", "author.email"),
+    "phone": ("telephone", "contactPoint.telephone", "publisher.telephone"),
+    "address": ("address.streetAddress", "address", "publisher.address.streetAddress"),
+    "country": ("address.addressCountry", "publisher.address.addressCountry"),
+    "city": ("address.addressLocality", "publisher.address.addressLocality"),
+    "region": ("address.addressRegion", "publisher.address.addressRegion"),
+    "postal": ("address.postalCode", "publisher.address.postalCode"),
+    "postalcode": ("address.postalCode", "publisher.address.postalCode"),
+    "latitude": ("geo.latitude", "latitude"),
+    "longitude": ("geo.longitude", "longitude"),
+    "lat": ("geo.latitude", "latitude"),
+    "lon": ("geo.longitude", "longitude"),
+    "lng": ("geo.longitude", "longitude"),
+    "url": ("url", "og:url", "twitter:url"),
+    "canonical": ("url", "og:url"),
+    "site": ("og:site_name", "twitter:site", "publisher.name"),
+    "sitename": ("og:site_name", "twitter:site", "publisher.name"),
+    "video": ("og:video", "og:video:url", "twitter:player"),
+    "videourl": ("og:video", "og:video:url", "contentUrl", "embedUrl"),
+    "embedurl": ("embedUrl", "og:video:url", "twitter:player"),
+    "duration": ("duration", "video.duration"),
+    "copyright": ("copyrightHolder.name", "copyrightNotice", "meta.copyright"),
+    "cookminutes": ("cookTime", "totalTime"),
+    "cooktime": ("cookTime", "totalTime"),
+    "prepminutes": ("prepTime",),
+    "preptime": ("prepTime",),
+    "totalminutes": ("totalTime", "cookTime"),
+    "totaltime": ("totalTime", "cookTime"),
+    "ingredients": ("recipeIngredient", "ingredients"),
+    "recipeingredient": ("recipeIngredient", "ingredients"),
+    "servings": ("recipeYield", "yield"),
+    "recipeyield": ("recipeYield", "yield"),
+    "yield": ("recipeYield", "yield"),
+    "cuisine": ("recipeCuisine",),
+    "recipecuisine": ("recipeCuisine",),
+    "recipecategory": ("recipeCategory", "category"),
+    "instructions": ("recipeInstructions", "instructions"),
+    "recipeinstructions": ("recipeInstructions", "instructions"),
+    "calories": ("nutrition.calories",),
 }
 CONTENT_FIELDS = ("headline", "title", "name", "article")
 DESCRIBING_FIELDS = ("description", "tagline", "summary", "bio", "about", "subtitle")
@@ -147,6 +189,15 @@ def facts_of(html: str) -> list[tuple[str, str, str]]:
     return parser.found
 
 
+def known_facts(html: str) -> dict[str, str]:
+    """merge() of one page: of the best source the first value of each key; cards, the last."""
+    ranked = sorted((SOURCES.index(s) if s in SOURCES else 99, -i if s == "card" else i, k, v) for i, (s, k, v) in enumerate(facts_of(html)))
+    out: dict[str, str] = {}
+    for _, _, k, v in ranked:
+        out.setdefault(k, v)
+    return out
+
+
 def facts(pages: DataFrame) -> DataFrame:
     """(page_id, source, rank, ord, key, value) of all pages, one parse each."""
 
@@ -175,7 +226,7 @@ def resolve(facts: Column, field: Field) -> Column:
     low = field.name.lower()
     if field.type == "string" and any(x in low for x in DESCRIBING_FIELDS):
         return F.lit(None).cast("string")
-    keys = list(dict.fromkeys([field.name, *ALIASES.get(low, "").split()]))
+    keys = list(dict.fromkeys([field.name, *ALIASES.get(low, ())]))
     content = field.type == "string" and any(x in low for x in CONTENT_FIELDS)
     tries = []
     for k in keys:

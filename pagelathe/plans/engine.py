@@ -1,4 +1,8 @@
-"""From pages to typed rows: cache, metadata, provider, warnings; for one page, a batch, or a crawl."""
+"""From pages to typed rows: metadata, cleaned text, provider, warnings; for one page, a batch, or a crawl.
+
+Every step works on the row of its page: a page is parsed once, the provider is asked on the same rows, and nothing is
+shuffled, so pages that share an id stay apart and a result has a row for each page.
+"""
 
 from __future__ import annotations
 
@@ -8,64 +12,124 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.functions.classify import error_row, escalation_reason
-from pagelathe.functions.coerce import Field, coerce, failed, row_type, validate
-from pagelathe.functions.text import cut_at_end_heading, strip_citations, visible_text
-from pagelathe.operators.metadata import as_map, facts, merge, resolve
-from pagelathe.plans.provider import PatternProvider, Provider
+from pagelathe.functions.classify import error_row, escalation_reason, null_rate_fires
+from pagelathe.functions.coerce import Field, coerce_row, failed, row_type, validate
+from pagelathe.operators import content
+from pagelathe.operators.metadata import known_facts, resolve
+from pagelathe.operators.relevance import pruned, query_terms
+from pagelathe.plans.provider import PatternProvider, Provider, ProviderError, Request, call, model_for, output_budget, prompt, thinking_budget
+
+#: Tokens of text for a first and for a second call.
+BUDGETS = (12_000, 24_000)
+
+
+def parsed(rows: DataFrame, fields: list[Field]) -> DataFrame:
+    """rows (page_id, url, html, code) without html, with facts, text, identifiers and descriptions; nulls where there is a code."""
+    wanted = content.wants_description(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for url, html, code in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "code")), strict=True):
+                if code is not None:
+                    out.append((None,) * 4)
+                    continue
+                page = content.Outline.of(html or "")
+                before = content.identifiers(page, url), content.descriptions(page) if wanted else ""
+                out.append((list(known_facts(html or "").items()), content.cleaned(page, url, fields), *before))
+            kinds = [pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string()]
+            columns = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "code")), *columns], names=["page_id", "url", "code", "facts", "text", "identifiers", "descriptions"])
+
+    return rows.select("page_id", "url", "html", "code").mapInArrow(run, "page_id long, url string, code string, facts map<string,string>, text string, identifiers string, descriptions string")
 
 
-def clean(html: Column) -> Column:
-    """Readable text: the article if there is one, else the body without navigation; closing sections cut."""
-    article = F.regexp_extract(html, r"(?is)<article\b[^>]*>(.*)</article>", 1)
-    body = F.regexp_replace(html, r"(?is)<(nav|header|footer|aside)\b.*?</(nav|header|footer|aside)\s*>", " ")
-    lines = lambda c: F.regexp_replace(c, r"(?i)</?(p|br|li|h[1-6]|div|tr)\b[^>]*>", "\n")
-    strip = lambda c: F.array_join(F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(lines(c), r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>", " "), r"<[^>]*>", " "), "\n"), lambda y: F.trim(y)), lambda x: x != ""), "\n")
-    text = F.when(F.length(visible_text(article)) > 50, strip(article)).otherwise(strip(body))
-    return strip_citations(cut_at_end_heading(text))
+def prompts(docs: DataFrame, fields: list[Field]) -> DataFrame:
+    """(doc_id, model, prompt) for docs (doc_id, text): what a provider would be sent for each whole text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(model_for, texts), pa.string()), pa.array([prompt(fields, t) for t in texts], pa.string())], names=["doc_id", "model", "prompt"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, model string, prompt string")
 
 
-def filled(rows: DataFrame, fields: list[Field], provider: Provider) -> DataFrame:
-    """rows (page_id, text) with `raw`, a map of what the provider says of each field."""
+def asked(rows: DataFrame, fields: list[Field], provider: Provider, query: list[str], second: bool = False) -> DataFrame:
+    """rows (text, identifiers, descriptions, known, ask) with `said`, a map of the provider's raw values, and `failure`, its error's code; null where `ask` is false."""
+    limits = output_budget(fields), thinking_budget(fields), BUDGETS[second]
+    names = [f.name for f in fields]
+
+    def answer(text: str, identifiers: str, descriptions: str, known: list) -> tuple[list | None, str | None]:
+        output, thinking, budget = limits
+        cut = pruned(text or "", query, budget)
+        request = Request(cut, prompt(fields, cut, dict(known or ()), identifiers or "", descriptions or ""), tuple(fields), output, thinking, model_for(cut, second))
+        try:
+            values = call(provider, request)
+        except ProviderError as e:
+            return None, e.code
+        return [(n, None if (v := values.get(n)) is None else v if isinstance(v, str) else "; ".join(map(str, v)) if isinstance(v, list) else str(v)) for n in names], None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [list(provider.extract(t or "", fields).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), pa.array(raw, pa.map_(pa.string(), pa.string()))], names=["page_id", "raw"])
+            columns = (batch.column(c).to_pylist() for c in ("text", "identifiers", "descriptions", "known", "ask"))
+            out = [answer(*row) if ask else (None, None) for *row, ask in zip(*columns, strict=True)]
+            said = pa.array([x[0] for x in out], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, said, pa.array([x[1] for x in out], pa.string())], names=[*batch.schema.names, "said", "failure"])
 
-    return rows.select("page_id", "text").mapInArrow(run, "page_id long, raw map<string,string>")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(run, f"{kept}, said map<string,string>, failure string")
 
 
-def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = None, threshold: float = 0.7) -> DataFrame:
-    """pages (page_id, url, html[, status_code]) as rows (page_id, url, status, data, warnings, error, source).
+def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = None, threshold: float = 0.7, query: list[str] | None = None) -> DataFrame:
+    """pages (page_id, url, html[, status_code]) as rows (page_id, url, status, data, warnings, error, source), one for each page.
 
-    Facts of the page come first; only pages that they leave open go to the provider, an anti join before the one
-    expensive step. Block pages are rows with an error, not exceptions.
+    Facts of the page come first; the provider is asked only where they leave more open than `threshold` allows or a field
+    that a shop must say, and again with more text if too much of its answer is null. Values that are known stay. Block pages
+    and failed calls are rows with an error, not exceptions. Null html is an empty page. Empty table: no rows.
     """
     validate(fields)
     provider = provider or PatternProvider()
+    query = query_terms(fields) if query is None else query
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
-    rows = pages.withColumn("reason", escalation_reason(F.col("html"), status))
-    rows = rows.withColumn("code", F.when(F.col("reason").isin("block_signature", "block_content"), "FETCH_BLOCKED").when(F.col("reason") == "soft_status", "FETCH_BLOCKED"))
-    good = rows.where("code is null")
-    known = as_map(merge(facts(good)))
-    raws = {f.name: resolve(F.col("facts"), f) for f in fields}
-    base = good.select("page_id", "url", "html").join(known, "page_id", "left")
-    base = base.select("page_id", "url", "html", *[F.when(~failed(raws[f.name], f.type), raws[f.name]).alias(f"__s_{f.name}") for f in fields])
-    have = sum((F.col(f"`__s_{f.name}`").isNotNull().cast("int") for f in fields), F.lit(0))
-    base = base.withColumn("have", have)
-    asks = base.where(F.col("have") < threshold * len(fields))
-    answers = filled(asks.select("page_id", clean(F.col("html")).alias("text")), fields, provider).withColumnRenamed("page_id", "__p")
-    rows2 = base.join(answers, F.col("page_id") == F.col("__p"), "left")
-    said = {f.name: F.coalesce(F.col(f"`__s_{f.name}`"), F.try_element_at("raw", F.lit(f.name))) for f in fields}
-    data = F.struct(*[coerce(said[f.name], f.type).alias(f.name) for f in fields])
-    notes = F.filter(F.array(*[F.when(failed(said[f.name], f.type), F.lit(f"{f.name}: could not coerce to {f.type}")) for f in fields]), lambda x: x.isNotNull())
-    source = F.when(F.col("have") == len(fields), "metadata").when(F.col("raw").isNull(), "metadata_partial").otherwise("provider")
-    done = rows2.select("page_id", "url", F.lit("success").alias("status"), data.alias("data"), notes.alias("warnings"), error_row(F.lit(None).cast("string")).alias("error"), source.alias("source"))
-    bad = rows.where("code is not null").select(
-        "page_id", "url", F.lit("error").alias("status"), F.lit(None).cast(row_type(fields)).alias("data"), F.array().cast("array<string>").alias("warnings"), error_row(F.col("code")).alias("error"), F.lit(None).cast("string").alias("source")
+    numeric = any(f.type in ("integer", "float") for f in fields)
+    reason = escalation_reason(F.col("html"), status, numeric)
+    rows = pages.select("page_id", "url", "html", F.when(reason.isin("block_signature", "block_content", "soft_status"), "FETCH_BLOCKED").alias("code"))
+    rows = parsed(rows, fields)
+
+    raw = {f.name: resolve(F.col("facts"), f) for f in fields}
+    usable = [F.struct(F.lit(f.name).alias("k"), F.when(~failed(raw[f.name], f.type), raw[f.name]).alias("v")) for f in fields]
+    known = F.map_from_entries(F.filter(F.array(*usable), lambda x: x["v"].isNotNull()))
+    product = [f.name for f in fields if content.PRODUCT_FIELD.search(f.name)]
+    lacks = lambda of: F.exists(F.array(*map(F.lit, product)), lambda n: ~F.map_contains_key(of, n)) if product else F.lit(False)
+    rows = rows.withColumn("known", known).withColumn("have", F.size("known"))
+    rows = rows.withColumn("ask", F.col("code").isNull() & ((F.col("have") < threshold * len(fields)) | lacks(F.col("known"))))
+    rows = asked(rows.drop("facts"), fields, provider, query)
+
+    value = lambda said: {f.name: F.coalesce(F.try_element_at("known", F.lit(f.name)), F.try_element_at(said, F.lit(f.name))) for f in fields}
+    first, notes = coerce_row(fields, value(F.col("said")))
+    rows = rows.withColumn("first", first).withColumn("first_notes", notes).withColumn("first_said", F.col("said")).withColumn("first_failure", F.col("failure"))
+    nulls = lambda of: sum((F.col(f"{of}.`{f.name}`").isNull().cast("int") for f in fields), F.lit(0))
+    shop = F.exists(F.array(*[F.col(f"first.`{n}`").isNull() for n in product]), lambda x: x) if product else F.lit(False)
+    fires = null_rate_fires(nulls("first"), F.lit(len(fields)), F.lit(bool(product)), shop, F.col("have") > 0)
+    rows = rows.withColumn("ask", F.col("ask") & F.col("failure").isNull() & fires).drop("said", "failure")
+    rows = asked(rows, fields, provider, query, second=True)
+    second, more = coerce_row(fields, value(F.col("said")))
+    rows = rows.withColumn("second", second).withColumn("second_notes", more)
+    better = F.col("said").isNotNull() & (nulls("second") < nulls("first"))
+
+    code = F.coalesce("code", "first_failure")
+    good = code.isNull()
+    source = F.when(F.col("have") == len(fields), "metadata").when(F.col("first_said").isNull(), "metadata_partial").when(better, "fallback").otherwise("provider")
+    return rows.select(
+        "page_id",
+        "url",
+        F.when(good, "success").otherwise("error").alias("status"),
+        F.when(good, F.when(better, F.col("second")).otherwise(F.col("first"))).cast(row_type(fields)).alias("data"),
+        F.when(good, F.when(better, F.col("second_notes")).otherwise(F.col("first_notes"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
+        error_row(code).alias("error"),
+        F.when(good, source).alias("source"),
     )
-    return done.unionByName(bad)
 
 
 def summary(results: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from pagelathe.functions import classify, coerce, text, urls
 from pagelathe.functions.coerce import Field
-from pagelathe.operators import cache, crawl, images, metadata, relevance
+from pagelathe.operators import cache, content, crawl, images, metadata, relevance
 from pagelathe.plans import engine
 from pagelathe.sources.tables import table
 
@@ -159,7 +159,7 @@ def d03_page_facts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.title(h).alias("title"), text.heading(h).alias("h1"), text.lang(h).alias("lang"))
 
 
-@query(r"select page_id, nullif(trim(regexp_replace(regexp_replace(substr(html, 1, 600), '<[^>]{0,200}>', ' ', 'g'), '\s+', ' ', 'g')), '') as plain from pages")
+@query(r"select page_id, nullif(trim(regexp_replace(regexp_replace(html, '<[^>]{0,200}>', ' ', 'g'), '\s+', ' ', 'g')), '') as plain from pages")
 def c17_clean_string(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_string(F.col("html")).alias("plain"))
 
@@ -268,9 +268,9 @@ def e09_split_array(spark, sf_dir):
     return literals(spark, sf_dir).select("l_orderkey", "l_linenumber", F.when(~text.is_null_word(v), F.array_join(coerce.split_array(v), "#")).alias("items"))
 
 
-@query(rf"""select l_orderkey, l_linenumber, case when {NOTHING} or exists_bad then null else total end as total from (select *, list_sum([try_cast(replace(regexp_extract(x, '-?\d[\d,]*'), ',', '') as bigint) for x in parts]) as total,
+@query(rf"""select l_orderkey, l_linenumber, case when v like 'P%' then {DURATION_SQL} when {NOTHING} or exists_bad then null else total end as total from (select *, list_sum([try_cast(replace(regexp_extract(x, '-?\d[\d,]*'), ',', '') as bigint) for x in parts]) as total,
  len([x for x in parts if lower(x) not in ('n/a', 'na', 'none', '-', '—') and try_cast(replace(regexp_extract(x, '-?\d[\d,]*'), ',', '') as bigint) is null]) > 0 as exists_bad
- from (select *, [trim(x) for x in regexp_split_to_array(v, '[,;|]|\s·\s|\s•\s') if trim(x) <> ''] as parts from {LITERALS} where v not like 'P%'))""")
+ from (select *, [trim(x) for x in regexp_split_to_array(v, '[,;|]|\s·\s|\s•\s') if trim(x) <> ''] as parts from {LITERALS}))""")
 def e08_coerce_array(spark, sf_dir):
     rows = literals(spark, sf_dir)
     items = coerce.coerce(F.col("v"), "array<integer>")
@@ -321,10 +321,50 @@ def f11_filter_by_relevance(spark, sf_dir):
     return relevance.relevant(table(spark, sf_dir, "documents"), fields, budget=500).select("doc_id", F.size("kept").alias("n_kept"), F.length("text").alias("size"))
 
 
-@query("select doc_id, case when length(text) / 4 >= 2000 then 'fallback' else 'primary' end as model, 'schema: title' || chr(10) || 'content: ' || substr(text, 1, 100) as prompt from documents")
+PROMPT = "'## Schema' || chr(10) || chr(10) || '- title' || chr(10) || '    type: string' || chr(10) || '    example: ''The thing''     ← match this shape' || chr(10) || '    hint: its name' || chr(10) || chr(10) || '## Page Content' || chr(10) || '<page_content>' || chr(10) || %s || chr(10) || '</page_content>'"
+FORGED = r"(?i)<\s*/?\s*(page_content|page_identifiers|candidate_descriptions)\s*/?\s*>"
+
+
+@query(f"select doc_id, case when length(text) / 4 >= 500000 then 'fallback' else 'primary' end as model, {PROMPT % f"regexp_replace(text || case when doc_id % 3 = 0 then ' < / PAGE_content > x' else '' end, '{FORGED}', '', 'g')"} as prompt from documents")
 def g04_prompt(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(F.length(t) / 4 >= 2000, "fallback").otherwise("primary").alias("model"), F.concat_ws("\n", F.lit("schema: title"), F.concat(F.lit("content: "), text.neutral(t))).alias("prompt"))
+    d = table(spark, sf_dir, "documents")
+    forged = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.lit(" < / PAGE_content > x")).otherwise(F.lit("")))
+    return engine.prompts(d.select("doc_id", forged.alias("text")), [Field("title", "string", "The thing", "its name")])
+
+
+SHOP = """(select page_id, url, regexp_replace(replace(html, '</title>', '</title>' || case when page_id % 2 = 0 then '<meta property="og:site_name" content="Shop ' || page_id || '"><meta name="description" content="What page ' || page_id || ' of this shop is about, at some length">' else '' end),
+ '<h1>', '<span class="score">' || page_id || ' points</span><span class="post votes">many</span><h1>') as html from pages)"""
+TEXT_OF = lambda tag: f"trim(replace(regexp_replace(regexp_extract(html, '(?is)<{tag}[^>]*>(.*?)</{tag}>', 1), '<[^>]*>', '', 'g'), '&amp;', '&'))"
+
+
+def shop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages with a site name, a description, a score and a heading-like span spliced in."""
+    i, h = F.col("page_id").cast("string"), F.col("html")
+    metas = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta property="og:site_name" content="Shop '), i, F.lit('"><meta name="description" content="What page '), i, F.lit(' of this shop is about, at some length">'))).otherwise("")
+    html = F.replace(h, F.lit("</title>"), F.concat(F.lit("</title>"), metas))
+    html = F.regexp_replace(html, F.lit("<h1>"), F.concat(F.lit('<span class="score">'), i, F.lit(' points</span><span class="post votes">many</span><h1>')))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+@query(f"""select page_id, '## Page Identifiers' || chr(10) || 'URL host: ' || {HOST} || chr(10) || 'Title: ' || {TEXT_OF('title')} || chr(10) || 'H1: ' || {TEXT_OF('h1')}
+ || case when page_id % 2 = 0 then chr(10) || 'Site name: Shop ' || page_id || chr(10) || 'Meta description: What page ' || page_id || ' of this shop is about, at some length' else '' end || chr(10) || 'Stats: ' || page_id || ' points' as identifiers from {SHOP}""")
+def c15_identifiers(spark, sf_dir):
+    return content.read_pages(shop_pages(spark, sf_dir), [Field("title", "string")]).select("page_id", "identifiers")
+
+
+LINES_OF = r"""array_to_string([trim(regexp_replace(replace(replace(x, '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) for x in regexp_split_to_array(regexp_replace(regexp_replace(%s, '(?i)<(/?(p|h1|h2|li|ul|div|article|body)\b[^>]*|br[^>]*)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) if trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''], chr(10))"""
+ARTICLE = LINES_OF % "regexp_extract(html, '(?is)<article>(.*?)</article>', 1)"
+BODY = LINES_OF % "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>', ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<nav>.*?</nav>', ''), '(?is)<footer.*$', '')"
+
+
+@query(f"select page_id, case when length({ARTICLE}) > 50 then {ARTICLE} else {BODY} end as cleaned from pages")
+def c06_clean_html(spark, sf_dir):
+    return content.read_pages(table(spark, sf_dir, "pages"), [Field("title", "string")]).select("page_id", "cleaned")
+
+
+@query()
+def c16_descriptions(spark, sf_dir):
+    return content.read_pages(shop_pages(spark, sf_dir), [Field("summary", "string")]).select("page_id", "descriptions")
 
 
 @query()
@@ -417,7 +457,7 @@ def k01_first_last_wins(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_part"), F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("last_part"))
 
 
-@query("select prefix, text from (select lower(left(text, 20)) as prefix, text, row_number() over (partition by lower(left(text, 20)) order by length(text) desc, doc_id) as n from documents) where n = 1")
+@query("select prefix, text from (select lower(left(text, 80)) as prefix, text, row_number() over (partition by lower(left(text, 80)) order by length(text) desc, doc_id) as n from documents) where n = 1")
 def k04_dedupe_prefix(spark, sf_dir):
     p = F.lower(F.substring("text", 1, 80))
     return table(spark, sf_dir, "documents").groupBy(p.alias("prefix")).agg(F.min_by("text", F.struct(-F.length("text"), "doc_id")).alias("text"))
@@ -434,9 +474,9 @@ def m01_union(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k")).union(table(spark, sf_dir, "supplier").select("s_nationkey")).distinct()
 
 
-@query("select p_partkey as k from part except select l_partkey from lineitem where l_quantity > 30")
+@query("select p_partkey as k from part except select l_partkey from lineitem where l_quantity > 49")
 def m03_except(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).exceptAll(table(spark, sf_dir, "lineitem").where("l_quantity > 30").select("l_partkey").distinct())
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k")).exceptAll(table(spark, sf_dir, "lineitem").where("l_quantity > 49").select("l_partkey").distinct())
 
 
 @query("select c_custkey as k from customer where c_acctbal > 5000 intersect select o_custkey from orders")
@@ -468,10 +508,12 @@ EDGES = f"(select a.page_id as src, b.page_id as dst from (select page_id, {HOST
 def n08_crawl_bfs(spark, sf_dir):
     p = table(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host"))
     n = p.withColumn("n", F.row_number().over(Window.partitionBy("host").orderBy("page_id")))
-    a, b = n.alias("a"), n.alias("b")
-    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
-    edges = a.join(b, (F.col("a.host") == F.col("b.host")) & ((F.col("b.n") == F.col("a.n") + 1) | (F.col("b.n") == F.col("a.n") * 2))).select(name("a.page_id").alias("src"), name("b.page_id").alias("dst"), F.col("b.n").alias("ord"))
-    return crawl.crawl(edges, p.where("page_id < 20").select(name("page_id").alias("url")), max_depth=3)
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    # each page points to the next and to the one at twice its place: two equi-joins, not one on the host alone
+    to = n.select(F.col("host").alias("h"), F.col("n").alias("ord"), name(F.col("page_id")).alias("dst"))
+    at = [n.select("host", name(F.col("page_id")).alias("src"), place.alias("to")) for place in (F.col("n") + 1, F.col("n") * 2)]
+    edges = at[0].unionByName(at[1]).distinct().join(to, (F.col("host") == F.col("h")) & (F.col("to") == F.col("ord"))).select("src", "dst", "ord")
+    return crawl.crawl(edges, p.where("page_id < 20").select(name(F.col("page_id")).alias("url")), max_depth=3)
 
 
 @query(f"select {HOST} as host, count(distinct page_id) as pages, count(link) as links from pages left join {LINKS} using (page_id) group by rollup (1)")

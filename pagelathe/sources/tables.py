@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.functions.coerce import Field, validate
+from pagelathe.functions.urls import crawl_url, follows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,10 +35,22 @@ def archived(pages: DataFrame, archive: DataFrame, order: tuple[str, ...] = ("ca
     return pages.join(best, "url", "left").withColumn("html", F.coalesce("html", "__html")).drop("__html")
 
 
-def sitemap_urls(maps: DataFrame) -> DataFrame:
-    """(host, ord, url) of sitemaps (host, xml), each URL once."""
-    found = maps.select("host", F.posexplode(F.expr("""xpath(xml, '//*[local-name()="loc"]/text()')""")).alias("ord", "url"))
-    return found.groupBy("host", F.trim("url").alias("url")).agg(F.min("ord").alias("ord")).select("host", "ord", "url")
+def sitemap_urls(maps: DataFrame, glob: str | None = None) -> DataFrame:
+    """(host, ord, url) of sitemaps (host, xml): the text of every loc in crawl form, each URL once; none of a map that is no XML."""
+
+    @F.arrow_udf("array<string>")
+    def locs(xml: pa.Array) -> pa.Array:
+        out = []
+        for x in xml.to_pylist():
+            try:
+                out.append([e.text.strip() for e in ElementTree.fromstring(x or "").iter() if e.tag.rpartition("}")[2] == "loc" and e.text])
+            except ElementTree.ParseError:
+                out.append([])
+        return pa.array(out, pa.list_(pa.string()))
+
+    found = maps.select("host", F.posexplode(locs("xml")).alias("ord", "raw")).select("host", "ord", crawl_url(F.col("raw")).alias("url"))
+    found = found.where(follows(F.col("url"), glob)) if glob else found
+    return found.groupBy("host", "url").agg(F.min("ord").alias("ord")).select("host", "ord", "url")
 
 
 def write_json(rows: DataFrame, path: str) -> None:

@@ -17,18 +17,41 @@ def host_counts(pages: DataFrame, host: str = "host", ts: str = "ts", window: st
     return rows.agg(F.count("*").alias("pages"), F.count_if(F.col("status") >= 400).alias("errors")).select("window.start", "window.end", host, "pages", "errors")
 
 
-def upsert(target: str, keys: list[str], order: str):
-    """A foreachBatch function: the latest row of each key in the table at `target`, written beside it and swapped in."""
+def upsert(target: str, keys: list[str], order: str, versions: int = 3):
+    """A foreachBatch function: the latest row of each key, as a new version of the table at `target`.
+
+    A batch adds its rows to the last finished version before it, whatever its number, and writes a version of its own; a
+    batch that is run again writes the same one again. A version counts once it is finished (its _SUCCESS file), so readers of
+    latest() see the one before until then. Versions older than the last few are deleted.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        path = f"{target}/v{batch_id:09d}"
-        fs = spark._jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-        old = f"{target}/v{batch_id - 1:09d}"
-        rows = batch
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(old)):
-            rows = spark.read.parquet(old).unionByName(batch)
-        latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), order).alias("x")).select("x.*")
-        latest.write.mode("overwrite").parquet(path)
+        before = [v for v in _finished(spark, target) if v < batch_id]
+        rows = spark.read.parquet(f"{target}/v{before[-1]:09d}").unionByName(batch) if before else batch
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), order).alias("x")).select("x.*")
+        newest.write.mode("overwrite").parquet(f"{target}/v{batch_id:09d}")
+        for old in before[: -max(1, versions - 1)]:
+            _folder(spark, target)[0].delete(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/v{old:09d}"), True)
 
     return write
+
+
+def latest(spark, target: str) -> DataFrame | None:
+    """The last finished version of a table that upsert() writes; None before the first."""
+    found = _finished(spark, target)
+    return spark.read.parquet(f"{target}/v{found[-1]:09d}") if found else None
+
+
+def _folder(spark, target: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _finished(spark, target: str) -> list[int]:
+    fs, path = _folder(spark, target)
+    if not fs.exists(path):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()]
+    done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in done)
