@@ -125,3 +125,26 @@ def field_ttl(field: Column, page_ttl: Column, halve: Column, volatile_ttl: int
 def amp_url(url: Column) -> Column:
     """Where an AMP copy may be."""
     return F.concat(part(url, 1), F.lit("://"), part(url, 2), F.regexp_replace(part(url, 3), r"/+$", ""), F.lit("/amp"))
+
+
+#: Hosts and address ranges that are not to be fetched (fixed patterns): names of this machine, and IPv4 and IPv6 addresses that are not public.
+PRIVATE_NAMES = ("localhost", "metadata.google.internal")
+PRIVATE_IPV4 = r"^(0|10|127)\.|^169\.254\.|^192\.168\.|^192\.0\.0\.|^172\.(1[6-9]|2\d|3[01])\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^198\.1[89]\.|^(22[4-9]|23\d|24\d|25[0-5])\."
+PRIVATE_IPV6 = r"^\[(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|::ffff:.*)\]$"
+
+
+def url_safety(url: Column) -> Column:
+    """bad: no http URL with a host; private: its host is this machine or an address that is not public; else ok. Names are not looked up."""
+    authority = F.lower(F.regexp_replace(part(url, 2), r"^.*@", ""))
+    name = F.when(authority.startswith("["), F.regexp_extract(authority, r"^(\[[^\]]*\])", 1)).otherwise(F.regexp_replace(authority, r":\d*$", ""))
+    ipv4 = name.rlike(r"^\d+\.\d+\.\d+\.\d+$") & name.rlike(PRIVATE_IPV4)
+    odd = name.rlike(r"^(0x[0-9a-f]+|\d+)$")  # an address written as one number
+    private = name.isin(*PRIVATE_NAMES) | name.endswith(".localhost") | ipv4 | odd | name.rlike(PRIVATE_IPV6)
+    return F.when(~F.lower(part(url, 1)).isin("http", "https") | (name == ""), "bad").when(private, "private").otherwise("ok")
+
+
+def accept_language(locale: Column) -> Column:
+    """The Accept-Language header of a locale like de-AT: itself, its language, then English."""
+    base = F.regexp_extract(locale, r"^([A-Za-z]{2,3})", 1)
+    wider = F.when(base != locale, F.concat(F.lit(","), base, F.lit(";q=0.9"))).otherwise("")
+    return F.when(locale.isNull() | (base == ""), "en-US,en;q=0.9").when(base == "en", F.concat(locale, wider)).otherwise(F.concat(locale, wider, F.lit(",en;q=0.8")))

@@ -23,8 +23,8 @@ from pagelathe.plans.provider import PatternProvider, Provider, ProviderError, R
 BUDGETS = (12_000, 24_000)
 
 
-def parsed(rows: DataFrame, fields: list[Field]) -> DataFrame:
-    """rows (page_id, url, html, code) without html, with facts, text, identifiers and descriptions; nulls where there is a code."""
+def parsed(rows: DataFrame, fields: list[Field], carry: tuple[str, ...] = ()) -> DataFrame:
+    """rows (page_id, url, html, code and `carry`) without html, with facts, text, identifiers and descriptions; nulls where there is a code."""
     wanted = content.wants_description(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,9 +39,11 @@ def parsed(rows: DataFrame, fields: list[Field]) -> DataFrame:
                 out.append((list(known_facts(html or "").items()), content.cleaned(page, url, fields), *before))
             kinds = [pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string()]
             columns = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "code")), *columns], names=["page_id", "url", "code", "facts", "text", "identifiers", "descriptions"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "facts", "text", "identifiers", "descriptions"])
 
-    return rows.select("page_id", "url", "html", "code").mapInArrow(run, "page_id long, url string, code string, facts map<string,string>, text string, identifiers string, descriptions string")
+    kept = ["page_id", "url", "code", *carry]
+    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.select(*kept, "html").mapInArrow(run, f"{types}, facts map<string,string>, text string, identifiers string, descriptions string")
 
 
 def prompts(docs: DataFrame, fields: list[Field]) -> DataFrame:
@@ -81,12 +83,13 @@ def asked(rows: DataFrame, fields: list[Field], provider: Provider, query: list[
     return rows.mapInArrow(run, f"{kept}, said map<string,string>, failure string")
 
 
-def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = None, threshold: float = 0.7, query: list[str] | None = None) -> DataFrame:
+def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = None, threshold: float = 0.7, query: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """pages (page_id, url, html[, status_code]) as rows (page_id, url, status, data, warnings, error, source), one for each page.
 
     Facts of the page come first; the provider is asked only where they leave more open than `threshold` allows or a field
     that a shop must say, and again with more text if too much of its answer is null. Values that are known stay. Block pages
-    and failed calls are rows with an error, not exceptions. Null html is an empty page. Empty table: no rows.
+    and failed calls are rows with an error, not exceptions. Null html is an empty page. Empty table: no rows. Columns named in
+    `carry` go along.
     """
     validate(fields)
     provider = provider or PatternProvider()
@@ -94,8 +97,8 @@ def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = N
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
     numeric = any(f.type in ("integer", "float") for f in fields)
     reason = escalation_reason(F.col("html"), status, numeric)
-    rows = pages.select("page_id", "url", "html", F.when(reason.isin("block_signature", "block_content", "soft_status"), "FETCH_BLOCKED").alias("code"))
-    rows = parsed(rows, fields)
+    rows = pages.select("page_id", "url", "html", *carry, F.when(reason.isin("block_signature", "block_content", "soft_status"), "FETCH_BLOCKED").alias("code"))
+    rows = parsed(rows, fields, carry)
 
     raw = {f.name: resolve(F.col("facts"), f) for f in fields}
     usable = [F.struct(F.lit(f.name).alias("k"), F.when(~failed(raw[f.name], f.type), raw[f.name]).alias("v")) for f in fields]
@@ -129,6 +132,7 @@ def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = N
         F.when(good, F.when(better, F.col("second_notes")).otherwise(F.col("first_notes"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
         error_row(code).alias("error"),
         F.when(good, source).alias("source"),
+        *carry,
     )
 
 

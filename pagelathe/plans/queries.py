@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from pagelathe.functions import classify, coerce, text, urls
 from pagelathe.functions.coerce import Field
 from pagelathe.operators import cache, content, crawl, images, metadata, relevance
+from pagelathe.functions.register import register
 from pagelathe.plans import engine
 from pagelathe.sources.tables import table
 
@@ -195,9 +196,23 @@ def c20_cache_url(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.cache_url(F.when(F.col("page_id") % 3 == 0, longer).otherwise(u)).alias("cache_url"))
 
 
-@query("select md5(text) as hash, count(*) as copies, min(doc_id) as doc_id from documents group by 1")
+@query("select doc_id, sha256(text) as hash, length(text)::int as size from documents")
 def n12_content_dedupe(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy(F.md5(F.col("text")).alias("hash")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    sizes = lambda distinct: distinct.select("hash", F.length("text").alias("size"))
+    return cache.once_per_content(table(spark, sf_dir, "documents").select("doc_id", "text"), sizes, key="text").select("doc_id", "hash", "size")
+
+
+MARKED = """(select page_id, regexp_extract(html, '(?is)<html[^>]*\\blang="([^"]*)"', 1) as lang from pages)"""
+
+
+@query(f"""select page_id, key, value from (select page_id, unnest(['name', '@type', 'offers.price', 'og:title', 'meta.author', 'html.lang']) as key,
+ unnest(['Item ' || page_id, case when page_id % 2 = 0 then 'Product' else 'Thing' end, page_id || '.50', 'Open ' || page_id, 'Writer ' || page_id, lang]) as value from {MARKED}) where value <> ''""")
+def d01_facts(spark, sf_dir):
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id").cast("string")
+    data = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"name": "Item '), i, F.lit('"}, {"@type": "'), F.when(F.col("page_id") % 2 == 0, "Product").otherwise("Thing"), F.lit('", "name": "other", "offers": [{"price": "'), i, F.lit('.50"}, {"price": "9"}]}]}</script>'))
+    metas = F.concat(F.lit('<meta property="og:title" content="Open '), i, F.lit('"><meta name="author" content="Writer '), i, F.lit('"><meta name="author" content="later">'))
+    pages = p.select("page_id", F.replace("html", F.lit("</title>"), F.concat(F.lit("</title>"), data, metas)).alias("html"))
+    return metadata.merge(metadata.facts(pages)).where("key not in ('meta.description')")
 
 
 FACTS = r"""(select page_id, 'og:title' as key, nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '') as value, 4 as rank, 0 as ord from pages where page_id % 2 = 0
@@ -352,7 +367,7 @@ def c15_identifiers(spark, sf_dir):
     return content.read_pages(shop_pages(spark, sf_dir), [Field("title", "string")]).select("page_id", "identifiers")
 
 
-LINES_OF = r"""array_to_string([trim(regexp_replace(replace(replace(x, '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) for x in regexp_split_to_array(regexp_replace(regexp_replace(%s, '(?i)<(/?(p|h1|h2|li|ul|div|article|body)\b[^>]*|br[^>]*)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) if trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''], chr(10))"""
+LINES_OF = r"""array_to_string([trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&quot;', '"'), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) for x in regexp_split_to_array(regexp_replace(regexp_replace(%s, '(?i)<(/?(p|h1|h2|li|ul|div|article|body)\b[^>]*|br[^>]*)>', chr(10), 'g'), '<[^>]*>', '', 'g'), chr(10)) if trim(regexp_replace(x, '\s+', ' ', 'g')) <> ''], chr(10))"""
 ARTICLE = LINES_OF % "regexp_extract(html, '(?is)<article>(.*?)</article>', 1)"
 BODY = LINES_OF % "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>', ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<nav>.*?</nav>', ''), '(?is)<footer.*$', '')"
 
@@ -389,22 +404,24 @@ def h01_images_top(spark, sf_dir):
     return best.select("page_id", F.concat(F.lit("image"), F.col("place").cast("string")).alias("image"), "score", F.col("area"))
 
 
-CACHED = "(select user_id, event_id, ts as at, ts + interval 600 second as expires_at from events where event_type = 'view')"
+NOW = "timestamp '2024-01-15 00:00:00'"
 
 
-@query(f"select e.event_id, count(c.event_id) as live from (select * from events where event_type = 'purchase') e left join {CACHED} c on e.user_id = c.user_id and c.at <= e.ts and e.ts < c.expires_at group by 1")
+@query(f"""select e.event_id, c.user_id is not null as hit, c.expires_at from (select * from events where event_type = 'purchase') e
+ left join (select user_id, max(ts) + interval 600000 second as expires_at from events where event_type = 'view' group by 1 having max(ts) + interval 600000 second > {NOW}) c on e.user_id = c.user_id""")
 def i01_cache_lookup(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    c = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("cid"), F.col("ts").alias("at"), (F.col("ts") + F.expr("interval 600 seconds")).alias("expires_at"))
-    p = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
-    on = [p.user_id == c.user_id, c["at"] <= p.ts, p.ts < c.expires_at]
-    return p.join(c, on, "left").groupBy("event_id").agg(F.count("cid").alias("live"))
+    views = e.where("event_type = 'view'").groupBy("user_id").agg((F.max("ts") + F.expr("interval 600000 seconds")).alias("expires_at"))
+    hits, misses = cache.fresh(e.where("event_type = 'purchase'").select("event_id", "user_id"), views, ["user_id"], F.expr(NOW))
+    row = lambda df, hit, until: df.select("event_id", F.lit(hit).alias("hit"), until.alias("expires_at"))
+    return row(hits, True, F.col("expires_at")).unionByName(row(misses, False, F.lit(None).cast(views.schema["expires_at"].dataType)))
 
 
-@query("select o_orderkey, o_custkey from orders where o_custkey not in (select c_custkey from customer where c_acctbal < 0)")
+@query(f"select event_id, user_id % 50 as host from events where user_id % 50 not in (select user_id % 50 from events where event_type = 'error' and ts > {NOW} - interval 40000 second and ts <= {NOW})")
 def i04_negative_cache_anti(spark, sf_dir):
-    bad = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("k"))
-    return table(spark, sf_dir, "orders").join(bad, F.col("o_custkey") == F.col("k"), "left_anti").select("o_orderkey", "o_custkey")
+    e = table(spark, sf_dir, "events").withColumn("host", F.col("user_id") % 50)
+    marks = e.where(f"event_type = 'error' and ts <= {NOW}").select("host", "ts")
+    return e.join(cache.blocked_hosts(marks, F.expr(NOW), 40_000), "host", "left_anti").select("event_id", "host")
 
 
 @query("select l_orderkey, l_linenumber, case when l_linenumber % 3 = 0 then p_brand when l_linenumber % 3 = 1 then l_returnflag else 'llm' end as value from lineitem left join part on l_partkey = p_partkey")
@@ -522,6 +539,59 @@ def j09_host_rollup(spark, sf_dir):
     return p.rollup("host").agg(F.count("page_id").alias("pages"), F.sum("n").alias("links"))
 
 
+@query(f"select page_id, case when page_id % 4 = 0 then 'private' when page_id % 4 = 1 then 'private' when page_id % 4 = 2 then 'bad' else 'ok' end as kind from pages")
+def b07_url_safety(spark, sf_dir):
+    i, k = F.col("page_id") % 4, (F.col("page_id") % 250).cast("string")
+    u = F.when(i == 0, F.concat(F.lit("http://10.1.2."), k, F.lit("/x"))).when(i == 1, F.concat(F.lit("https://u@localhost:"), k)).when(i == 2, F.concat(F.lit("ftp://a.com/"), k)).otherwise(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.url_safety(u).alias("kind"))
+
+
+@query("""select event_id, field, value from (select event_id, unnest(['title', 'price', 'author']) as field, unnest([event_type, value::varchar, case when event_id % 3 = 0 then 'x' end]) as value from events)
+ where value is not null and field <> 'price'""")
+def a19_field_cache_rows(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("string").alias("url"), F.struct(F.col("event_type").alias("title"), F.col("value").alias("price"), F.when(F.col("event_id") % 3 == 0, "x").alias("author")).alias("data"))
+    rows = cache.field_rows(e, [Field("title", "string"), Field("price", "float"), Field("author", "string")], F.lit(86400), F.expr(NOW))
+    return rows.select(F.col("url_key").cast("long").alias("event_id"), "field", "value")
+
+
+@query(f"""select user_id, max(case when field = 'last' then v end) as last, max(case when field = 'first' then v end) as first from (select user_id, 'last' as field, arg_max(event_type, ts) as v from events group by 1 having user_id % 2 = 0 union all select user_id, 'first', arg_min(event_type, ts) from events group by 1) group by 1""")
+def i02_field_lookup(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    key = F.col("user_id").cast("string").alias("url_key")
+    entry = lambda field, v: e.groupBy(key).agg(v.alias("value")).withColumns({"field": F.lit(field), "type": F.lit("string"), "expires_at": F.expr(f"{NOW} + interval 1 day")})
+    rows = entry("last", F.max_by("event_type", "ts")).where("url_key % 2 = 0").unionByName(entry("first", F.min_by("event_type", "ts")))
+    requests = e.select(key).distinct()
+    found = cache.field_lookup(requests, rows, [Field("last", "string"), Field("first", "string")], F.expr(NOW))
+    return found.select(F.col("url_key").cast("long").alias("user_id"), *[F.try_element_at("known", F.lit(n)).alias(n) for n in ("last", "first")])
+
+
+@query("select l_returnflag, l_shipdate_year, count(*) as n from (select l_returnflag, year(l_shipdate) as l_shipdate_year from lineitem) group by grouping sets ((l_returnflag, l_shipdate_year), (l_returnflag), ())")
+def q_grouping_sets(spark, sf_dir):
+    table(spark, sf_dir, "lineitem").createOrReplaceTempView("lineitem_view")
+    return spark.sql("select l_returnflag, l_shipdate_year, count(*) as n from (select l_returnflag, year(l_shipdate) as l_shipdate_year from lineitem_view) group by grouping sets ((l_returnflag, l_shipdate_year), (l_returnflag), ())")
+
+
+@query("select doc_id, count(*) as n, sum(length(chunk)) as chars from (select doc_id, unnest(string_split(text, chr(10))) as chunk from documents) where trim(chunk) <> '' group by 1")
+def o12_udtf_lines(spark, sf_dir):
+    register(spark)
+    table(spark, sf_dir, "documents").createOrReplaceTempView("documents_view")
+    return spark.sql("select doc_id, count(*) as n, sum(length(line)) as chars from documents_view, lateral text_lines(text) group by doc_id")
+
+
+@query(f"select page_id, length({VISIBLE % 'html'})::int as size, {CRAWL_URL} as crawl_url from (select page_id, html, url as u from pages)")
+def o12_sql_functions(spark, sf_dir):
+    register(spark)
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages_view")
+    return spark.sql("select page_id, length(page_visible_text(html)) as size, page_crawl_url(url) as crawl_url from pages_view")
+
+
+@query("select count(distinct user_id) between 1 and 100000 as plausible, count(*) as n from events")
+def q_approx_aggregates(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    exact = e.agg(F.count_distinct("user_id").alias("exact"), F.approx_count_distinct("user_id", 0.01).alias("approx"), F.count("*").alias("n"))
+    return exact.select((F.abs(F.col("approx") / F.col("exact") - 1) < 0.05).alias("plausible"), "n")
+
+
 # categories that plain SQL has and the page operators build on
 
 

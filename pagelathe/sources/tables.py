@@ -55,3 +55,49 @@ def sitemap_urls(maps: DataFrame, glob: str | None = None) -> DataFrame:
 
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+#: Bytes of a page, and of an image, that are read at most.
+PAGE_BYTES, IMAGE_BYTES = 10_000_000, 5_000_000
+IMAGE_TYPES = ("image/jpeg", "image/png", "image/webp", "image/gif")
+
+
+def decoded(files: DataFrame, cap: int = PAGE_BYTES) -> DataFrame:
+    """(url, html) of files (path, content: binary) or responses (url, content[, charset]): the first bytes as text, what is no UTF-8 replaced."""
+
+    @F.arrow_udf("string")
+    def text(content: pa.Array, charset: pa.Array) -> pa.Array:
+        out = []
+        for raw, name in zip(content.to_pylist(), charset.to_pylist(), strict=True):
+            try:
+                out.append(None if raw is None else raw.decode(name or "utf-8", "replace"))
+            except LookupError:
+                out.append(raw.decode("utf-8", "replace"))
+        return pa.array(out, pa.string())
+
+    charset = F.col("charset") if "charset" in files.columns else F.lit(None).cast("string")
+    url = F.col("url") if "url" in files.columns else F.col("path")
+    return files.select(url.alias("url"), text(F.substring("content", 1, cap), charset).alias("html"))
+
+
+def rendered(pages: DataFrame, snapshots: DataFrame, reason: str = "reason") -> DataFrame:
+    """pages (url, html, reason) with the browser's html of snapshots (url, html) where a reason asks for it, and render_mode."""
+    asks = F.col(reason) != "none"
+    shots = snapshots.groupBy("url").agg(F.first("html").alias("__shot")).withColumnRenamed("url", "__url")
+    rows = pages.join(shots, asks & (F.col("url") == F.col("__url")), "left")
+    return rows.withColumn("html", F.coalesce("__shot", "html")).withColumn("render_mode", F.when(F.col("__shot").isNotNull(), "browser").otherwise("plain")).drop("__shot", "__url")
+
+
+def embedded(pages: DataFrame, answers: DataFrame) -> DataFrame:
+    """(page_id, source, rank, ord, key, value) of oEmbed answers (endpoint, json) for pages (page_id, oembed): each key bare and under oembed."""
+    hits = pages.where("oembed is not null").join(answers, F.col("oembed") == F.col("endpoint"))
+    rows = hits.select("page_id", F.explode(F.from_json("json", "map<string,string>")).alias("k", "value")).where("value is not null")
+    keys = rows.select("page_id", "value", F.explode(F.array(F.concat(F.lit("oembed."), "k"), F.col("k"))).alias("key"))
+    return keys.select("page_id", F.lit("oembed").alias("source"), F.lit(8).alias("rank"), F.lit(0).alias("ord"), "key", "value")
+
+
+def image_bytes(candidates: DataFrame, files: DataFrame) -> DataFrame:
+    """candidates (image) with mime and bytes of files (url, mime, bytes): those that are small enough, unknown types as JPEG."""
+    small = files.where(F.octet_length("bytes") <= IMAGE_BYTES)
+    mime = F.when(F.lower("mime").isin(*IMAGE_TYPES), F.lower("mime")).otherwise("image/jpeg")
+    return candidates.join(small.select(F.col("url").alias("__url"), mime.alias("mime"), "bytes"), F.col("image") == F.col("__url")).drop("__url")
