@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagelathe.llm.shared import KEY_ROWS, arrow_rows, bounded, discard, materialize
+from pagelathe.llm.shared import KEY_ROWS, arrow_rows, bounded, discard, materialize, small
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -135,7 +135,7 @@ def span_links(members: DataFrame, payload: DataFrame, work: Callable[[pa.Table,
         hubs = best.select("gid", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("part"), F.col("top.pid").alias("pid"), F.when(F.col("first"), FIRST_HUB).otherwise(HUB).alias("side"))
         dealt = dealt.unionByName(hubs)
     held = payload.withColumnRenamed("pid", "__p")
-    found = materialize(by_groups(dealt.join(held, F.col("pid") == F.col("__p")).drop("__p"), ["gid", "part"], work, LINKS, n))
+    found = materialize(by_groups(small(dealt).join(held, F.col("pid") == F.col("__p")).drop("__p"), ["gid", "part"], work, LINKS, n))
     links = found.where("b is not null").select("a", "b")
     apart = found.where("b is null").select("gid", F.col("a").alias("pid")).distinct()
     if apart.isEmpty():

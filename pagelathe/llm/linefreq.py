@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import bounded, byte_view, materialize, may_have, slices, texts, word_codes, word_spans
+from pagelathe.llm.shared import SMALL_ROWS, bounded, byte_view, materialize, may_have, slices, small, texts, word_codes, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -174,7 +174,8 @@ def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     # only rows that go or lose lines need an exchange of texts; all others are passed on where they are read
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
     touched = may_have(found, "__rid")(F.col("__row"))
-    some = texts(rows.where(touched)).join(found, F.col("__row") == F.col("__rid"), "left").where(F.coalesce("__kept", F.lit(True)))
+    lines = found.agg(F.sum(F.size("__above"))).first()[0] or 0
+    some = texts(rows.where(touched)).join(small(found) if lines <= SMALL_ROWS else found, F.col("__row") == F.col("__rid"), "left").where(F.coalesce("__kept", F.lit(True)))
     less = cut(F.when(F.col("__above").isNotNull(), F.col("text")), F.col("__above"))
     some = some.withColumn("text", F.coalesce(less, F.col("text")))
     return rows.where(~touched).select(docs.columns).unionByName(some.select(docs.columns))

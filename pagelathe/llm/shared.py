@@ -191,6 +191,15 @@ def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column
     return rows.join(sums, cond, "left").select(*[rows[c] for c in df.columns if c != b], (rows[part] + sums[total]).alias(out))
 
 
+#: Rows of keys, about 32 bytes each, up to which small() broadcasts a table.
+SMALL_ROWS = 500_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df to be joined: broadcast if its counted rows are few, else left to the optimizer. Only for tables of keys that are written already."""
+    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+
+
 #: Bits of the largest filter of may_have(): 16 MB.
 FILTER_BITS = 1 << 27
 
