@@ -39,6 +39,8 @@ class WordTokenizer:
 
         self.whole = Tokenizer.from_file(path)
         model = json.loads(self.whole.to_str())["model"]
+        if not model.get("end_of_word_suffix"):
+            raise ValueError(f"{path}: words cannot be tokenised one by one without a mark for their end; only tokenizers of the word_bpe kind can be used")
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         self.pieces = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=model["end_of_word_suffix"], cache_capacity=0)
         self.letters = byte_letters()

@@ -373,3 +373,35 @@ def test_licenses(docs, rows, none):
     assert licenses.scan(none).count() == 0
     row = licenses.scan(docs.where("doc_id = 9006")).first()
     assert {"gpl", "gpl-3.0", "mit", "cc-by", "cc-by-4.0"} <= set(row["labels"].split(",")) and 0 < row["score"] <= 1
+
+
+def test_suppression_is_that_of_all_pairs():
+    rng = np.random.default_rng(6)
+    for _ in range(50):
+        found = [(int(a), int(a + n), int(p), int(i), f"l{i}") for a, n, p, i in zip(rng.integers(0, 60, 80), rng.integers(1, 9, 80), rng.choice([50, 60, 100], 80), rng.integers(0, 9, 80), strict=True)]
+        kept = []
+        for x in sorted((x for x in found if x[2] < 100), key=lambda x: (-x[2], x[0] - x[1], x[0], x[3])):
+            if all(x[1] <= y[0] or y[1] <= x[0] for y in kept):
+                kept.append(x)
+        assert licenses.resolve(found) == [x for x in found if x[2] == 100] + kept
+
+
+def test_toxicity_of_an_empty_table(docs, none, spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    assert toxicity.scored(none, labels).count() == 0
+    assert toxicity.scored(docs.limit(5), labels.where("doc_id is null")).count() == 5
+
+
+def test_archives_of_long_pages_and_hot_payloads(spark):
+    long, hot = "<p>" + "éx" * 700_000, "<p>" + "same words " * 200
+    pages = [(1, "http://a.com/", long), (2, None, long), *((10 + i % 7, f"http://b.com/{i}", hot) for i in range(60)), (16, "http://b.com/6", hot), (None, None, hot)]
+    got = warc.round_trip(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert Counter((r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got) == Counter({("response", None, 2_100_003): 1, ("revisit", 2, 2_100_003): 1, ("response", None, len(hot)): 1, ("revisit", 16, len(hot)): 61})
+    assert {r["page_id"] for r in got if r["record_type"] == "response"} == {2, 16}
+
+
+def test_other_tokenizers_are_refused():
+    from public_tokenizers import path
+
+    with pytest.raises(ValueError):
+        packing.WordTokenizer(path("byte_bpe_50k.json"))
