@@ -20,12 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, materialize, slices, texts, word_codes, word_spans
+from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, give_back, materialize, slices, texts, word_codes, word_spans
 
 #: Bits of the hash that names a pair of words, and of the one that names a word after it; on its own a word has 64.
 PAIR_BITS, NEXT_BITS = 48, 24
 #: Text of a batch, and of the corpus for each part of the hash range.
-BATCH_BYTES, PART_BYTES = 10 << 20, 16 << 20
+BATCH_BYTES, PART_BYTES = 5 << 20, 16 << 20
 #: Tokens of a text that are read in one go; the next ones begin with the two tokens before them.
 SEGMENT = 256
 _CODEC = pa.Codec("zstd", 1)
@@ -211,6 +211,7 @@ def answer(table: pa.Table) -> pa.Table:
             own, x, to = place[e - len(k) : e], to, to + int(r.sum())
             rows.append((part, name, kind, pack(counts[own]), pack(follow[own]), pack(seen[at[x:to]]), None, None))
         total = [int((counts > 0).sum()), *(int((c == k).sum()) for c in (counts, seen) for k in (1, 2))]
+    give_back()
     return pa.Table.from_batches([_rows([*rows, (part, -1 - part, TOTALS + kind, pack(np.array(total)), None, None, None, None)], ROWS)])
 
 
@@ -339,6 +340,8 @@ def scores(model: Model, modulus: int, left_out: int):
         doc = pa.array(ids, pa.int64())
         columns = [doc, pa.array(fold(doc, modulus) == left_out), pa.array(np.diff(batch.bounds)), pa.array(known), pa.array(np.full(len(ids), model.n, np.int64)), pa.array(base), pa.array(automaton.walk(batch))]
         one = pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+        del batch, automaton, raw
+        give_back()  # the next batch, or another stage, gets this worker
         return pa.concat_tables([one] * len(same))
 
     return work
