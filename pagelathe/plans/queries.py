@@ -464,9 +464,13 @@ def j08_error_streak(spark, sf_dir):
     return crawl.pacing(visits(spark, sf_dir)).select("id", "streak")
 
 
-@query(f"select event_id as id, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by host order by ts, event_id)) // 1000 as elapsed_ms from {ERRORS}")
+@query(f"""with s as (select event_id as id, host, ts, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by host order by ts, event_id)) // 1000 as elapsed_ms,
+ sum(case when status in (429, 503) then 1 else 0 end) over (partition by host, island order by ts, event_id) as streak from (select *, sum(case when status between 200 and 399 then 1 else 0 end) over (partition by host order by ts, event_id) as island from {ERRORS})),
+ g as (select *, case when coalesce(lag(streak) over (partition by host order by ts, id), 0) >= 2 then 2 else 1 end as twice from s)
+ select id, elapsed_ms, twice * 25000000 as min_gap_ms, twice * 75000000 as max_gap_ms, coalesce(elapsed_ms < twice * 25000000, false) as violates from g""")
 def k03_host_pacing(spark, sf_dir):
-    return crawl.pacing(visits(spark, sf_dir)).select("id", "elapsed_ms")
+    # gaps as wide as these tables' events are apart
+    return crawl.pacing(visits(spark, sf_dir), low_ms=25_000_000, high_ms=75_000_000).select("id", "elapsed_ms", F.col("min_gap_ms").cast("long"), F.col("max_gap_ms").cast("long"), "violates")
 
 
 @query("select l_orderkey, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) as first_part, arg_max(l_partkey, l_linenumber * 100000000 + l_partkey) as last_part from lineitem group by 1")
