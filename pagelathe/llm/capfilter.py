@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.components import block_pairs, by_groups, components, each_group
+from pagelathe.llm.components import block_pairs, by_groups, components
 from pagelathe.llm.shared import bounded, materialize, rows_per_partition
 
 
@@ -156,6 +156,27 @@ def group_links(x: np.ndarray, side: np.ndarray, lists: list[np.ndarray], f: int
     return np.nonzero(linked)
 
 
+def units_of(raw: pa.ChunkedArray | pa.Array, dim: int, width: type) -> np.ndarray:
+    """The unit vectors (n, dim) of vectors as bytes, in double precision."""
+    x = np.frombuffer(b"".join(raw.to_pylist()), width).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def linked_groups(x: np.ndarray, begin: np.ndarray, end: np.ndarray, least: float, most: int = 16) -> np.ndarray:
+    """Which groups of rows may hold a link: of up to `most` rows those with a pair near `least` or above, all of a size at once; of more all."""
+    size = end - begin
+    ok = size > most
+    for s in np.unique(size[(size > 1) & ~ok]).tolist():
+        own = np.flatnonzero(size == s)
+        i, j = np.triu_indices(s, 1)
+        step = max(1, 500_000 // (len(i) * x.shape[1]))
+        for k in range(0, len(own), step):
+            at = begin[own[k : k + step], None]
+            ok[own[k : k + step]] = (np.einsum("gpd,gpd->gp", x[at + i], x[at + j]) >= least - 1e-9).any(axis=1)
+    return ok
+
+
 def embedding_links(vectors: DataFrame, least: float = 0.93, codes: Codes | None = None, block: int = 256) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `vectors` (vec_id, embedding, label).
 
@@ -185,11 +206,8 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, codes: Codes | None
     key = ["label", "dim", "f"]
     width = np.float64 if "double" in dict(vectors.dtypes)["embedding"] else np.float32
 
-    def work(table: pa.Table, a: int, b: int) -> pa.RecordBatch | None:
-        part = table.slice(a, b - a)
-        x = np.frombuffer(b"".join(part.column("vector").to_pylist()), width).reshape(b - a, -1).astype(np.float64)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    def work(table: pa.Table, x: np.ndarray, a: int, b: int) -> pa.RecordBatch | None:
+        part, x = table.slice(a, b - a), x[a:b]
         f = part.column("f")[0].as_py()
         i, j = group_links(x, part.column("side").to_numpy(), [np.asarray(v) for v in part.column("filters").to_pylist()], f, least)
         if not len(i):
@@ -210,7 +228,19 @@ def embedding_links(vectors: DataFrame, least: float = 0.93, codes: Codes | None
     # names first: a filter of one point goes before the vectors join
     whole = units.select(F.col("pid").alias("u"), "vector", "filters").join(points.select(F.col("pid").alias("p"), "times"), F.col("u") == F.col("p")).drop("p")
     dealt = block_pairs(members, key, "pid", block).join(whole, F.col("pid") == F.col("u")).select(*key, "g0", "g1", "side", "pid", "times", "vector", "filters")
-    found = materialize(by_groups(dealt, [*key, "g0", "g1"], each_group(work), "a long, b long, links long", n))
+    def groups(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
+        # by length of the vectors: a batch may hold groups of several
+        starts, out = np.array(cut), []
+        dims = table.column("dim").to_numpy()[starts[:-1]]
+        for d in np.unique(dims).tolist():
+            own = np.flatnonzero(dims == d)
+            rows = np.concatenate([np.arange(starts[g], starts[g + 1]) for g in own])
+            x = np.zeros((table.num_rows, d))
+            x[rows] = units_of(table.column("vector").take(pa.array(rows)), d, width)
+            out += [got for g in own[linked_groups(x, starts[own], starts[own + 1], least)] if (got := work(table, x, int(starts[g]), int(starts[g + 1]))) is not None]
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
+
+    found = materialize(by_groups(dealt, [*key, "g0", "g1"], groups, "a long, b long, links long", n))
     comp = materialize(components(found.select("a", "b")))
     sums = found.groupBy(F.col("a").alias("q")).agg(F.sum("links").alias("links"))
     usable = units.select(F.col("pid").alias("u"))

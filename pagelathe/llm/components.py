@@ -99,16 +99,6 @@ def _runs(table: pa.Table, key: list[str]) -> list[int]:
     return [0, *np.flatnonzero(new).tolist(), table.num_rows]
 
 
-def each_group(work: Callable[[pa.Table, int, int], pa.RecordBatch | None]) -> Callable[[pa.Table, list[int]], pa.RecordBatch | None]:
-    """`work` on one group at a time, for by_groups."""
-
-    def run(table: pa.Table, cut: list[int]) -> pa.RecordBatch | None:
-        out = [got for a, b in zip(cut, cut[1:], strict=False) if b - a > 1 and (got := work(table, a, b)) is not None]
-        return pa.Table.from_batches(out).combine_chunks().to_batches()[0] if out else None
-
-    return run
-
-
 #: `side` of a row in a group: a member, a member that every part of its group gets, and the first of those.
 MEMBER, HUB, FIRST_HUB = 0, 1, 2
 LINKS = "gid long, a long, b long"
