@@ -195,9 +195,13 @@ def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column
 SMALL_ROWS = 500_000
 
 
+def few(df: DataFrame) -> bool:
+    return df.count() <= SMALL_ROWS
+
+
 def small(df: DataFrame) -> DataFrame:
     """df to be joined: broadcast if its counted rows are few, else left to the optimizer. Only for tables of keys that are written already."""
-    return F.broadcast(df) if df.count() <= SMALL_ROWS else df
+    return F.broadcast(df) if few(df) else df
 
 
 #: Bits of the largest filter of may_have(): 16 MB.
@@ -209,7 +213,8 @@ def may_have(keys: DataFrame, key: str) -> Callable[[Column], Column]:
 
     A Bloom filter with 16 bits for each key, three of them set, as long as FILTER_BITS allows; beyond that more others pass, up
     to all, and what comes after does the whole work. So it only spares rows an exchange: an exact join must follow for those
-    that pass. The set bits are gathered by word, at most FILTER_BITS / 64 rows, and broadcast.
+    that pass. The set bits are gathered by word, at most FILTER_BITS / 64 rows, and broadcast. Not for a few() keys: a broadcast
+    join exchanges no rows either, and needs no Python worker.
     """
     spark = keys.sparkSession
     bits = 1 << 16

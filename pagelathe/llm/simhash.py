@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.components import components, forest, span_links, spanned
-from pagelathe.llm.shared import KEY_ROWS, TO_LOWER, arrow_rows, bounded, byte_view, materialize, may_have, rows_per_partition, slices, small, texts, word_spans
+from pagelathe.llm.shared import KEY_ROWS, TO_LOWER, arrow_rows, bounded, byte_view, few, materialize, may_have, rows_per_partition, slices, small, texts, word_spans
 
 BITS = 64
 
@@ -339,7 +340,9 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
     groups = components(near).join(points.select("pid", "rid"), F.col("node") == F.col("pid")).join(weights, F.col("pid") == F.col("w"))
     groups = materialize(groups.select(F.col("component").alias("gid"), "pid", "rid", "weight"))
     named = docs.select(row_id().alias("r"), "text")
-    mine = named.where(may_have(groups, "rid")(F.col("r"))).join(small(groups.select("pid", "rid")), F.col("r") == F.col("rid")).select("pid", "text")
+    own = groups.select("pid", "rid")
+    meant = named.join(F.broadcast(own), F.col("r") == F.col("rid")) if few(own) else named.where(may_have(groups, "rid")(F.col("r"))).join(own, F.col("r") == F.col("rid"))
+    mine = meant.select("pid", "text")
     held = materialize(texts(mine.dropDuplicates(["pid"])).mapInArrow(bounded(sets), "pid long, shingles binary"))
     comp = materialize(components(span_links(groups.select("gid", "pid", "weight"), held, set_links(similarity), block // 2, n)))
     classes = points.join(comp, points["pid"] == comp["node"], "left").select("pid", F.coalesce("component", "pid").alias("component"))
@@ -362,14 +365,18 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         return docs
     row = "__row"
     rows = docs.withColumn(row, row_id())
-    found_ = may_have(marked, "rid")(F.col(row))
-    gone = small(marked.where("not stays").select(F.col("rid").alias("__gone")))
-    passed = rows.where(found_).join(gone, F.col(row) == F.col("__gone"), "left_anti")
+    gone = marked.where("not stays").select(F.col("rid").alias("__gone"))
     again = marked.where("stays").select(F.col("rid").alias("__again"))
-    out = rows.where(~found_).select(docs.columns)
+    if few(marked):
+        some, out = rows, []
+    else:
+        found_ = may_have(marked, "rid")(F.col(row))
+        some, out = rows.where(found_), [rows.where(~found_)]
+    passed = some.join(small(gone), F.col(row) == F.col("__gone"), "left_anti")
     if again.isEmpty():
-        return out.unionByName(passed.select(docs.columns))
-    again = small(again)
-    twice = passed.join(again, F.col(row) == F.col("__again"), "left_semi").dropDuplicates([row])
-    once = passed.join(again, F.col(row) == F.col("__again"), "left_anti")
-    return out.unionByName(once.select(docs.columns)).unionByName(twice.select(docs.columns))
+        out.append(passed)
+    else:
+        again = small(again)
+        out.append(passed.join(again, F.col(row) == F.col("__again"), "left_anti"))
+        out.append(passed.join(again, F.col(row) == F.col("__again"), "left_semi").dropDuplicates([row]))
+    return reduce(DataFrame.unionByName, [df.select(docs.columns) for df in out])

@@ -1,6 +1,8 @@
 """Lines that recur on a host: counted by distinct documents, and taken out of the texts that stay."""
 
-from pagelathe.llm import linefreq
+from collections import Counter
+
+from pagelathe.llm import linefreq, shared
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LIMITS = linefreq.Limits(min_words=1)
@@ -37,3 +39,15 @@ def test_texts_that_stay_go_on_without_frequent_lines(spark):
     want = {i: (t.removeprefix("Menu of  page 12\n") if s == "h" else t, lang, s, n) for i, t, lang, s, n in rows}
     assert got == want
     assert linefreq.keep_good(spark.createDataFrame(rows + rows[:1], DOCS), LIMITS).count() == len(rows) + 1
+
+
+def test_rows_change_in_one_python_step_or_past_a_filter_alike(spark, monkeypatch):
+    rows = [(i, f"Menu of page 12\nown {word(i)} words here", "en", "h", i) for i in range(60)] + [(70 + i, "Menu of page 12", "en", "h", 0) for i in range(2)] + [(80, None, "en", "h", 0), (None, "alone", "en", None, 0)]
+    docs = spark.createDataFrame(rows + rows[:1], DOCS)
+    few = linefreq.keep_good(docs, LIMITS)
+    assert few._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1, "a task with two of them holds two workers"
+    want = Counter((i, t.removeprefix("Menu of page 12\n"), *rest) for i, t, *rest in rows + rows[:1] if t and t != "Menu of page 12")
+    assert Counter(map(tuple, few.collect())) == want
+    for module in (shared, linefreq):
+        monkeypatch.setattr(module, "SMALL_ROWS", 0)
+    assert Counter(map(tuple, linefreq.keep_good(docs, LIMITS).collect())) == want

@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from pagelathe.llm import simhash
+from pagelathe.llm import shared, simhash
 from pagelathe.llm.components import forest, span_links
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -89,3 +89,16 @@ def test_large_groups_keep_their_links(spark):
         want = {frozenset((i, j)) for i in range(201) for j in range(i) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
         assert up <= want and {min(x) for x in up if 0 in x} == {0}
         assert len({max(x) for x in up if 0 in x}) == 150
+
+
+def test_rows_go_without_python_or_past_a_filter_alike(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 9999, 80)) for _ in range(3))
+    rows = [(1, a, "en", "s", 0), (2, a + " end", "en", "s", 0), (3, b, "en", "s", 0), (3, b, "en", "s", 0), (4, c, "en", "s", 0), (None, a, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    few = simhash.drop_near_duplicates(docs)
+    assert "EvalPython" not in few._jdf.queryExecution().optimizedPlan().toString(), "texts do not pass through a worker"
+    want = sorted([(1, a), (3, b), (4, c)])
+    assert sorted((r["doc_id"], r["text"]) for r in few.collect()) == want
+    monkeypatch.setattr(shared, "SMALL_ROWS", 0)
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == want
