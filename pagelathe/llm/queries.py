@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelathe.llm import capfilter, licenses, linefreq, mixing, ngrams, packing, secrets, simhash, toxicity, warc
+from pagelathe.llm import capfilter, divergence, licenses, linefreq, mixing, ngrams, packing, secrets, simhash, substrings, toxicity, warc, whitening
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_tsqr_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components(read(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -89,6 +101,37 @@ OP8_SQL = """with p as (select page_id, url, sha1(coalesce(html, '')) as payload
  select page_id, payload_bytes, payload_digest, case when payload_bytes >= 1000 and page_id <> last then 'revisit' else 'response' end as record_type, case when payload_bytes >= 1000 and page_id <> last then last end as refers_to, url from p"""
 
 
+#: Windows as text, the smallest id that each starts in, and the words that no window of a larger id covers.
+OP12_SQL = r"""with d as (select row_number() over () as r, doc_id, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') as ws from documents),
+ w as (select r, doc_id, unnest(range(1, len(ws) - 11)) as i, ws from d where len(ws) >= 13),
+ g as (select r, doc_id, i, array_to_string(ws[i:i+12], ' ') as g from w),
+ h as (select *, min(doc_id) over (partition by g) as least from g),
+ x as (select r, list(distinct i + k) as gone from h, (select unnest(range(13)) as k) where least < doc_id group by 1),
+ y as (select doc_id, len(ws)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed, list_filter(list_transform(ws, lambda z, j: case when gone is not null and list_contains(gone, j) then null else z end), lambda z: z is not null) as kept from d left join x using (r))
+ select doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) as kept_sha256 from y"""
+
+#: Every kept term of every group, with whole numbers of 128 bits.
+OP13_SQL = r"""with d as (select row_number() over () as r, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+ t as (select r, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as term from d),
+ lt as (select lang, term, count(*)::hugeint as lc from t group by 1, 2 having count(distinct r) >= 3),
+ l as (select lang, count(*)::hugeint as v, sum(lc)::hugeint as ln from lt group by 1),
+ s as (select distinct lang, source from d),
+ c as (select t.lang, source, term, count(*)::hugeint as c from t join lt using (lang, term) group by 1, 2, 3),
+ n as (select s.lang, s.source, coalesce(sum(c), 0)::hugeint as n from s left join c on s.lang = c.lang and s.source = c.source group by 1, 2),
+ p as (select n.lang, n.source, lt.term, coalesce(c.c, 0) as c, 1 + (1000000000 * (coalesce(c.c, 0) + 1)) // (n + v) as p, 1 + (1000000000 * (lc + 1)) // (ln + v) as q
+  from n join l on n.lang = l.lang join lt on n.lang = lt.lang left join c on n.lang = c.lang and n.source = c.source and lt.term = c.term),
+ f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3),
+ u as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value from s a join s b on a.lang = b.lang and a.source <> b.source left join f on a.lang = f.lang and a.source = f.source and b.source = f.item
+  union all select lang, source, 'term', term, ((p - q) * (p - q)) // q from p where c > 0 and p > q)
+ select lang, source, part, item, value::bigint as value, rank::int as rank from (select *, row_number() over (partition by lang, source, part order by value desc, item) as rank from u) where part = 'pair' or rank <= 200"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for those of the queries that it can express: the others need XXH64, a tokenizer, CRC32, trained trees or hundreds of patterns."""
-    return {"op1_cap_filter_links": OP1_SQL, "op3_line_frequency": OP3_SQL, "op8_warc_transactions": OP8_SQL}
+    """SQL for those of the queries that it can express: the others need XXH64, a tokenizer, CRC32, trained trees, eigenvectors or hundreds of patterns."""
+    return {
+        "op1_cap_filter_links": OP1_SQL,
+        "op3_line_frequency": OP3_SQL,
+        "op8_warc_transactions": OP8_SQL,
+        "op12_substring_dedup": OP12_SQL,
+        "op13_source_divergence": OP13_SQL,
+    }
