@@ -13,6 +13,9 @@ END_HEADINGS = ("references", "external links", "further reading", "see also", "
 CREDENTIAL = r"^\s*(sk_live_|sk_static_|sk-[A-Za-z0-9]{16,}|pk_live_|AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{20,}|xox[baprs]-)"
 #: Suffixes that a stem loses, the first that fits (fixed values).
 SUFFIXES = ("ations", "ation", "ingly", "edly", "ing", "ies", "ied", "es", "ed", "ly", "s")
+#: Footnote marks, and pronunciations in parentheses (fixed patterns).
+CITATION = r"(?i)\[\s*(?:\d{1,3}|[a-z]{1,4})\s*\]"
+PHONETIC = "\\s*\\([^()]{0,400}[ɐ-˿][^()]{0,400}\\)"
 LIST_ROW = r"^[A-Z][\w./-]{2,40}( - | – |: ).{20,80}$"
 TAG = r"<[^>]{0,200}>"
 HIDDEN = r"(?is)<(script|style|noscript)\b.*?</(script|style|noscript)\s*>"
@@ -51,17 +54,16 @@ def digit_share(html: Column) -> Column:
 
 def strip_citations(c: Column) -> Column:
     """Without footnote marks and pronunciations in parentheses; runs of blanks made single."""
-    s = F.regexp_replace(c, r"(?i)\[\s*(?:\d{1,3}|[a-z]{1,4})\s*\]", "")
-    s = F.regexp_replace(s, "\\s*\\([^()]{0,400}[ɐ-˿][^()]{0,400}\\)", "")
+    s = F.regexp_replace(F.regexp_replace(c, CITATION, ""), PHONETIC, "")
     return F.trim(F.regexp_replace(s, r"  +", " "))
 
 
 def cut_at_end_heading(c: Column) -> Column:
     """The lines before the first that is an end heading."""
     lines = F.split(c, "\n")
-    is_end = F.transform(lines, lambda x: F.lower(F.trim(x)).isin(*END_HEADINGS))
+    is_end = F.transform(lines, lambda x: F.lower(F.regexp_replace(F.trim(x), ":+$", "")).isin(*END_HEADINGS))
     at = F.array_position(is_end, True)
-    return F.when(at > 0, F.array_join(F.slice(lines, 1, (at - 1).cast("int")), "\n")).otherwise(c)
+    return F.when(at > 0, F.rtrim(F.array_join(F.slice(lines, 1, (at - 1).cast("int")), "\n"))).otherwise(c)
 
 
 def truncate(c: Column, n: int = 400) -> Column:
@@ -110,8 +112,3 @@ def heading(html: Column) -> Column:
 
 def lang(html: Column) -> Column:
     return first_group(html, r"(?is)<html[^>]*\blang=\"([^\"]*)\"")
-
-
-def neutral(c: Column) -> Column:
-    """Closing tags of the prompt's own wrappers cannot be forged by a page."""
-    return F.regexp_replace(c, r"(?i)</?\s*(page_content|content|schema|instructions|system|identifiers|candidates)\s*>", " ")

@@ -1,23 +1,23 @@
-"""What a model reads of a page: its cleaned text, identifiers and candidate descriptions, from one parse.
+"""What a model reads of a page: its cleaned text, identifiers and candidate descriptions, as expressions over its outline.
 
-A page becomes an outline: its text as numbered pieces, and its elements as intervals of pieces. Stripping is marking
-pieces, the text of an element is what is left in its interval, and a selector is a test on a tag and attributes.
+A page is parsed once (`outline`): its text is numbered pieces, its elements are intervals of pieces. Stripping is a list of intervals that are hidden, the text
+of an element is what is left in its interval, and a selector is a test on a tag and attributes. All of it is array functions, row by row.
+
+The functions here compose SQL text, so that a plan of some thousand nodes is one parse and not as many calls into the JVM.
 """
 
 from __future__ import annotations
 
-import json
+import itertools
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from html.parser import HTMLParser
-from urllib.parse import urlsplit
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from pagelathe.functions.coerce import Field
-from pagelathe.functions.text import END_HEADINGS
+from pagelathe.functions.text import CITATION, END_HEADINGS, PHONETIC
+from pagelathe.operators.outline import outlined
 
 # Results must equal those of other readers of the same pages.
 BOILERPLATE = (
@@ -53,178 +53,153 @@ LIST_BLOCKS = (
 )
 LIST_LIMIT, LIST_CHARS, LIST_KEY = 80, (15, 2000), 200
 DESCRIPTION_FIELDS = ("description", "summary", "tagline", "bio", "about", "headline", "subtitle")
-BYLINE = re.compile(r"\b(author|byline|hnuser|creator|byline-name|post-author|entry-author|article-author|author-name|author-link|post-meta)\b", re.I)
-STATS = re.compile(r"\b(score|points?|votes?|upvotes?|downvotes?|likes?|views?|karma|reactions?|shares?|favorites?)\b", re.I)
-CITATION = re.compile(r"\[\s*(?:\d{1,3}|[a-z]{1,4})\s*\]", re.I)
-PHONETIC = re.compile("\\s*\\([^()]{0,400}[ɐ-˿][^()]{0,400}\\)")
-
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BLOCKS = frozenset(
-    "address article aside blockquote body br caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
-)
-#: Tags that a start tag closes if they are open: a paragraph ends at any block, an item at the next one.
-ENDS = {t: {"p"} for t in BLOCKS - {"br", "body", "head", "html", "option", "caption", "tbody", "title", "summary"}} | {
-    "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"},
-}
-#: An end tag or an item's start does not reach beyond these.
-FENCES = frozenset({"table", "ul", "ol", "dl", "select", "html", "body"})
-
-
-@dataclass(eq=False)
-class Element:
-    tag: str
-    attrs: dict[str, str]
-    number: int
-    begin: int
-    up: int  # the number of its parent, -1 for none
-    end: int = -1
-    last: int = -1  # the number of the last element inside it
-
-    def words(self, name: str) -> list[str]:
-        return self.attrs.get(name, "").split()
-
-    def has(self, attr: str, value: str) -> bool:
-        return value in self.words(attr) or self.attrs.get(attr) == value if attr == "class" else self.attrs.get(attr) == value
-
-
-@dataclass(eq=False)
-class Outline(HTMLParser):
-    """The outline of one page. pieces: (text, whether a block begins or ends before it)."""
-
-    pieces: list[str] = field(default_factory=list)
-    breaks: list[bool] = field(default_factory=list)
-    elements: list[Element] = field(default_factory=list)
-    open: list[int] = field(default_factory=list)
-
-    def __post_init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self._break = True
-
-    @staticmethod
-    def of(html: str) -> Outline:
-        page = Outline()
-        page.feed(html)
-        page.close()
-        page._close(0)
-        page.hidden = bytearray(len(page.pieces))
-        page.hide(e for e in page.elements if e.tag in ("script", "style", "noscript"))
-        return page
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self._break |= tag in BLOCKS
-        if closes := ENDS.get(tag):
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.elements[self.open[k]].tag
-                if name in closes:
-                    self._close(k)
-                elif name in FENCES:
-                    break
-        self.elements.append(Element(tag, {k: v or "" for k, v in reversed(attrs)}, len(self.elements), len(self.pieces), self.open[-1] if self.open else -1))
-        if tag in VOID:
-            self.elements[-1].end, self.elements[-1].last = len(self.pieces), len(self.elements) - 1
-        else:
-            self.open.append(len(self.elements) - 1)
-
-    def handle_endtag(self, tag: str) -> None:
-        self._break |= tag in BLOCKS
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.elements[self.open[k]].tag
-            if name == tag:
-                return self._close(k)
-            if name in FENCES and tag not in FENCES:
-                return None
-        return None
-
-    def _close(self, depth: int) -> None:
-        while len(self.open) > depth:
-            e = self.elements[self.open.pop()]
-            e.end, e.last = len(self.pieces), len(self.elements) - 1
-
-    def handle_data(self, data: str) -> None:
-        self.pieces.append(data)
-        self.breaks.append(self._break)
-        self._break = False
-
-    def hide(self, found) -> None:
-        for e in found:
-            self.hidden[e.begin : e.end] = b"\1" * (e.end - e.begin)
-
-    def visible(self, e: Element) -> bool:
-        return e.begin == e.end or not all(self.hidden[e.begin : e.end])
-
-    def strings(self, e: Element, but: frozenset[str] = frozenset()) -> list[str]:
-        """The stripped pieces of an element that are not hidden, without those of the tags `but`."""
-        out = [(i, x) for i in range(e.begin, e.end) if not self.hidden[i] and (x := self.pieces[i].strip())]
-        if but and out:
-            inner = [x for x in self.inside(e) if x.tag in but]
-            out = [(i, x) for i, x in out if not any(y.begin <= i < y.end for y in inner)]
-        return [x for _, x in out]
-
-    def lines(self, e: Element) -> str:
-        """The text of an element, a line for each block."""
-        out: list[str] = []
-        fresh = True
-        for i in range(e.begin, e.end):
-            fresh |= self.breaks[i]
-            if self.hidden[i]:
-                continue
-            if fresh or not out:
-                out.append("")
-                fresh = False
-            out[-1] += self.pieces[i]
-        return "\n".join(y for x in out if (y := " ".join(x.split())))
-
-    def inside(self, e: Element) -> list[Element]:
-        return self.elements[e.number + 1 : e.last + 1]
-
-    def first(self, tag: str) -> Element | None:
-        return next((e for e in self.elements if e.tag == tag), None)
-
-    def meta(self, *names: str) -> str | None:
-        """The content of the first meta element with one of the names, the names in order."""
-        for name in names:
-            for attr in ("name", "property", "itemprop"):
-                e = next((e for e in self.elements if e.tag == "meta" and e.attrs.get(attr) == name), None)
-                if e and e.attrs.get("content", "").strip():
-                    return e.attrs["content"].strip()
-        return None
-
-    def linked_data(self) -> Iterator[dict]:
-        """The objects of all JSON-LD scripts, each followed by those of its @graph."""
-        for e in self.elements:
-            if e.tag == "script" and e.attrs.get("type") == "application/ld+json":
-                try:
-                    data = json.loads("".join(self.pieces[e.begin : e.end]))
-                except ValueError:
-                    continue
-                for x in data if isinstance(data, list) else [data]:
-                    if isinstance(x, dict):
-                        graph = x.get("@graph")
-                        yield from (y for y in (x, *(graph if isinstance(graph, list) else ())) if isinstance(y, dict))
-
-
-def strip_boilerplate(page: Outline) -> None:
-    """Reference lists, edit links, phonetic spans, and what follows a heading of a closing section."""
-    page.hide(e for e in page.elements if any(e.tag == t and e.has(a, v) for t, a, v in BOILERPLATE))
-    page.hide(e for e in page.elements if e.tag == "span" and any(re.search(r"\bIPA\b", w) for w in e.words("class")))
-    for e in page.elements:
-        if e.attrs.get("id") in HEADING_IDS:
-            at = e.up
-            while at >= 0 and page.elements[at].tag not in ("h1", "h2", "h3", "h4"):
-                at = page.elements[at].up
-            if at >= 0:
-                heading = page.elements[at]
-                page.hide(x for x in page.elements[at:] if x is heading or x.up == heading.up)
-
-
-def strip_for_host(page: Outline, url: str | None) -> None:
-    """Page furniture of hosts that are known."""
-    try:
-        host = urlsplit(url or "").netloc.lower()
-    except ValueError:
-        return
-    rules = next((r for suffixes, r in HOST_RULES if host.endswith(suffixes)), ())
-    page.hide(e for e in page.elements if any(e.tag == t and e.has(a, v) for t, a, v in rules))
+BYLINE = r"(?i)\b(author|byline|hnuser|creator|byline-name|post-author|entry-author|article-author|author-name|author-link|post-meta)\b"
+STATS = r"(?i)\b(score|points?|votes?|upvotes?|downvotes?|likes?|views?|karma|reactions?|shares?|favorites?)\b"
+#: White space, that of other scripts too.
+SPACE = r"[\s\p{Z}\x1c-\x1f\x85]"
+
+
+Text = str  # of an SQL expression
+_names = itertools.count()
+
+
+def lit(value: str | int) -> Text:
+    return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def of(function: str, array: Text, use: Callable[..., Text], index: bool = False) -> Text:
+    """function(array, x -> use(x)), or (x, i) -> use(x, i)."""
+    k = next(_names)
+    x, i = f"x{k}", f"i{k}"
+    return f"{function}({array}, ({x}, {i}) -> {use(x, i)})" if index else f"{function}({array}, {x} -> {use(x)})"
+
+
+def each(array: Text, use: Callable[[Text], Text]) -> Text:
+    return of("transform", array, use)
+
+
+def only(array: Text, use: Callable[[Text], Text]) -> Text:
+    return of("filter", array, use)
+
+
+def some(array: Text, use: Callable[[Text], Text]) -> Text:
+    return of("exists", array, use)
+
+
+def let(value: Text, use: Callable[[Text], Text]) -> Text:
+    """use(value), with value computed once however often it is used."""
+    return f"get({each(f'array({value})', use)}, 0)"
+
+
+def strip(c: Text) -> Text:
+    return f"regexp_replace({c}, {lit(f'^{SPACE}+|{SPACE}+$')}, '')"
+
+
+def squeeze(c: Text) -> Text:
+    return f"trim(regexp_replace({c}, {lit(f'{SPACE}+')}, ' '))"
+
+
+def plain(c: Text) -> Text:
+    """Without footnote marks and pronunciations, runs of blanks made single."""
+    return f"trim(regexp_replace(regexp_replace(regexp_replace({c}, {lit(CITATION)}, ''), {lit(PHONETIC)}, ''), '  +', ' '))"
+
+
+def short(c: Text, most: int) -> Text:
+    return let(f"trim({c})", lambda t: f"if(length({t}) > {most}, concat(rtrim(left({t}, {most})), '…'), {t})")
+
+
+def attr(e: Text, name: str) -> Text:
+    return f"try_element_at({e}.attrs, {lit(name)})"
+
+
+def words(e: Text, name: str) -> Text:
+    return f"{e}.classes" if name == "class" else f"split(coalesce({attr(e, name)}, ''), {lit(f'{SPACE}+')})"
+
+
+def matches(e: Text, rules: tuple) -> Text:
+    """Whether an element has the tag and the attribute's value of one of the rules; a class is one of its words, or all of it."""
+    test = lambda a, v: f"(coalesce({attr(e, a)} = {lit(v)}, false)" + (f" or array_contains({words(e, a)}, {lit(v)}))" if a == "class" else ")")
+    return "(" + " or ".join(f"({e}.tag = {lit(tag)} and {test(a, v)})" for tag, a, v in rules) + ")"
+
+
+def tagged(e: Text, *tags: str) -> Text:
+    return f"{e}.tag in ({', '.join(map(lit, tags))})"
+
+
+def part(array: Text, begin: Text, end: Text) -> Text:
+    """Elements of an array from `begin` (0 is the first) up to `end`."""
+    return f"slice({array}, {begin} + 1, greatest({end} - {begin}, 0))"
+
+
+def intervals(elements: Text, test: Callable[[Text], Text]) -> Text:
+    return each(only(elements, test), lambda e: f"struct({e}.begin as a, {e}.stop as z)")
+
+
+def within(i: Text, found: Text) -> Text:
+    """Whether piece i lies in one of the intervals."""
+    return some(found, lambda h: f"{h}.a <= {i} and {i} < {h}.z")
+
+
+def inside(e: Text, elements: Text) -> Text:
+    return part(elements, f"({e}.number + 1)", f"({e}.last + 1)")
+
+
+def first(elements: Text, test: Callable[[Text], Text]) -> Text:
+    return f"get({only(elements, test)}, 0)"
+
+
+def first_tag(elements: Text, tag: str) -> Text:
+    return first(elements, lambda e: tagged(e, tag))
+
+
+def shown(pieces: Text, hidden: Text) -> Text:
+    """The text of each piece, null where an interval of `hidden` has it."""
+    return let(hidden, lambda h: of("transform", pieces, lambda p, i: f"if({within(i, h)}, null, {p}.text)", index=True))
+
+
+def strings(texts: Text, e: Text) -> Text:
+    """The stripped pieces of an element that are not hidden."""
+    return only(each(part(texts, f"{e}.begin", f"{e}.stop"), strip), lambda x: f"{x} != ''")
+
+
+def block_lines(pieces: Text, texts: Text, begin: Text, end: Text) -> Text:
+    """The text of an interval, a line for each block; a hidden piece still ends a line."""
+    marked = f"zip_with({part(pieces, begin, end)}, {part(texts, begin, end)}, (p, t) -> concat(if(p.fresh, '\\n', ''), coalesce(translate(t, '\\r\\n', '  '), '')))"
+    return only(each(f"split(array_join({marked}, ''), '\\n')", squeeze), lambda x: f"{x} != ''")
+
+
+def whole_text(pieces: Text, e: Text) -> Text:
+    """The text of an element as one string; what is hidden elsewhere counts too. Null for no element."""
+    return let(e, lambda x: f"if({x} is null, null, array_join({each(part(pieces, f'{x}.begin', f'{x}.stop'), lambda p: strip(f'{p}.text'))}, ''))")
+
+
+def unseen(elements: Text) -> Text:
+    return intervals(elements, lambda e: tagged(e, "script", "style", "noscript"))
+
+
+def boilerplate(elements: Text) -> Text:
+    """Intervals of reference lists, edit links, phonetic spans, and of what follows a heading of a closing section."""
+    phonetic = lambda e: f"({tagged(e, 'span')} and {some(words(e, 'class'), lambda w: f'{w} rlike ' + lit(chr(92) + 'bIPA' + chr(92) + 'b'))})"
+    own = intervals(elements, lambda e: f"{matches(e, BOILERPLATE)} or {phonetic(e)}")
+    titles = only(elements, lambda e: f"coalesce({attr(e, 'id')} in ({', '.join(map(lit, HEADING_IDS))}), false)")
+    around = lambda e: only(elements, lambda x: f"{tagged(x, 'h1', 'h2', 'h3', 'h4')} and {x}.number < {e}.number and {e}.number <= {x}.last")
+    ends = only(each(titles, lambda e: f"try_element_at({around(e)}, -1)"), lambda h: f"{h} is not null")
+    # a heading's own number and its parent's say what comes after it on its level
+    after = let(ends, lambda hs: intervals(elements, lambda e: f"size({hs}) > 0 and {some(hs, lambda h: f'{e}.number >= {h}.number and {e}.up = {h}.up')}"))
+    return f"concat({own}, {after})"
+
+
+def host_furniture(elements: Text, url: Text) -> Text:
+    """Intervals of page furniture of hosts that are known, by the end of the address's authority."""
+    authority = f"lower(regexp_extract(coalesce({url}, ''), {lit('^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)')}, 1))"
+    none = intervals(elements, lambda e: "false")
+    on = lambda host, suffixes: " or ".join(f"endswith({host}, {lit(s)})" for s in suffixes)
+    cases = lambda host: " ".join(f"when {on(host, suffixes)} then {intervals(elements, fits(rules))}" for suffixes, rules in HOST_RULES)
+    return let(authority, lambda host: f"case {cases(host)} else {none} end")
+
+
+def fits(rules: tuple) -> Callable[[Text], Text]:
+    return lambda e: matches(e, rules)
 
 
 def keeps_sections(fields: list[Field]) -> bool:
@@ -232,183 +207,224 @@ def keeps_sections(fields: list[Field]) -> bool:
     return any(SENSITIVE.search(f"{f.name}\n{f.hint or ''}") for f in fields)
 
 
-def chosen(page: Outline, rules: tuple) -> Iterator[Element]:
-    """Elements by selector, the selectors in order, each element once."""
-    seen: set[int] = set()
-    for attr, how, value in rules:
-        for i, e in enumerate(page.elements):
-            if i in seen or not page.visible(e):
-                continue
-            if attr == "tag":
-                ok = e.tag == value
-            elif how == "li":
-                ok = e.tag == "li" and attr in e.attrs
-            else:
-                ok = attr in e.attrs and (how == "any" or value in (e.words(attr) if how == "word" else e.attrs[attr]))
-            if ok:
-                seen.add(i)
-                yield e
-
-
-def product_block(page: Outline) -> str:
+def chosen(elements: Text, texts: Text, rules: tuple) -> Text:
+    """Elements by selector that have something to see, the selectors in order, each element once."""
+
+    def test(e: Text, name: str, how: str, value: str) -> Text:
+        if name == "tag":
+            return tagged(e, value)
+        if how == "li":
+            return f"{tagged(e, 'li')} and {attr(e, name)} is not null"
+        if how == "any":
+            return f"{attr(e, name)} is not null"
+        return f"array_contains({words(e, name)}, {lit(value)})" if how == "word" else f"contains({attr(e, name)}, {lit(value)})"
+
+    rank = lambda e: "case " + " ".join(f"when {test(e, *rule)} then {k}" for k, rule in enumerate(rules)) + " end"
+    ranked = each(elements, lambda e: f"struct({rank(e)} as rank, {e}.number as number, {e}.begin as begin, {e}.stop as stop)")
+    seen = lambda x: f"({x}.begin = {x}.stop or {some(part(texts, f'{x}.begin', f'{x}.stop'), lambda t: f'{t} is not null')})"
+    return f"array_sort({only(ranked, lambda x: f'{x}.rank is not null and {seen(x)}')})"
+
+
+def product_block(elements: Text, texts: Text) -> Text:
     """The text of product details, which a main text often lacks."""
-    return "\n\n".join(t for e in chosen(page, PRODUCT_BLOCKS) if len(t := "\n".join(page.strings(e))) > 20)
+    found = each(chosen(elements, texts, PRODUCT_BLOCKS), lambda e: f"array_join({strings(texts, e)}, '\\n')")
+    return f"array_join({only(found, lambda t: f'length({t}) > 20')}, '\\n\\n')"
+
+
+def once(rows: Text, key: Callable[[Text], Text]) -> Text:
+    """rows without those whose key an earlier one has."""
+    return let(rows, lambda xs: let(each(xs, key), lambda ks: of("filter", xs, lambda x, i: f"array_position({ks}, {key(x)}) = {i} + 1", index=True)))
+
+
+def list_block(elements: Text, texts: Text, limit: int = LIST_LIMIT) -> Text:
+    """The text of repeated cards and items, each beginning once, `limit` at most."""
+    found = each(chosen(elements, texts, LIST_BLOCKS), lambda e: f"array_join({strings(texts, e)}, ' ')")
+    fit = only(found, lambda t: f"length({t}) between {LIST_CHARS[0]} and {LIST_CHARS[1]}")
+    return f"array_join(slice({once(fit, lambda t: f'left({t}, {LIST_KEY})')}, 1, {limit}), '\\n\\n')"
+
+
+def scored_text(pieces: Text, texts: Text, elements: Text) -> Text:
+    """Lines that are content by their number of words and share of linked words, and those of their neighbours.
+
+    The decision tree over shallow text features of Kohlschütter, Fankhauser and Nejdl (2010), with lines for blocks.
+    """
+    links = intervals(elements, lambda e: f"{tagged(e, 'a')} and {attr(e, 'href')} is not null")
+    count = lambda c: f"size({only(f'split({c}, {lit(chr(32))})', lambda w: f'{w} != {lit(str())}')})"
+    # a linked piece is written between two marks, so that a line knows how much of it is linked
+    marked = let(links, lambda ls: of("transform", texts, lambda t, i: f"if({within(i, ls)}, concat('\x01', {t}, '\x02'), {t})", index=True))
 
+    def line(x: Text) -> Text:
+        linked = f"array_join(regexp_extract_all({x}, '\x01([^\x01\x02]*)\x02', 1), ' ')"
+        return let(squeeze(f"translate({x}, '\x01\x02', '')"), lambda t: f"struct({t} as text, {count(t)} as n, {count(squeeze(linked))} as linked)")
 
-def list_block(page: Outline, limit: int = LIST_LIMIT) -> str:
-    """The text of repeated cards and items, each beginning once."""
-    by_key: dict[str, str] = {}
-    for e in chosen(page, LIST_BLOCKS):
-        t = " ".join(page.strings(e))
-        if LIST_CHARS[0] <= len(t) <= LIST_CHARS[1]:
-            by_key.setdefault(t[:LIST_KEY], t)
-        if len(by_key) >= limit:
-            break
-    return "\n\n".join(by_key.values())
+    blocks = only(each(block_lines(pieces, marked, "0", f"size({pieces})"), line), lambda x: f"{x}.text != ''")
+    share = lambda b: f"if({b}.n > 0, {b}.linked / {b}.n, 0D)"
 
+    def content(x: Text, before: Text, after: Text) -> Text:
+        beside_text = f"({x}.n > 16 or {after}.n > 15 or {before}.n > 4)"
+        beside_links = f"({x}.n > 40 or {after}.n > 17)"
+        return f"{share(x)} <= 0.333333D and if({share(before)} <= 0.555556D, {beside_text}, {beside_links})"
 
-def plain(text: str) -> str:
-    """text without citation marks and pronunciations."""
-    return re.sub("  +", " ", PHONETIC.sub("", CITATION.sub("", text))).strip()
+    at = lambda bs, i: f"coalesce(get({bs}, {i}), named_struct('text', '', 'n', 0, 'linked', 0))"
+    good = lambda bs: of("filter", bs, lambda x, i: let(at(bs, f"{i} - 1"), lambda before: let(at(bs, f"{i} + 1"), lambda after: content(x, before, after))), index=True)
+    return let(blocks, lambda bs: f"array_join({each(good(bs), lambda x: f'{x}.text')}, '\\n')")
 
 
-def until_end_heading(text: str) -> str:
-    lines = text.splitlines()
-    at = next((i for i, x in enumerate(lines) if x.strip().rstrip(":").lower() in END_HEADINGS), None)
-    return text if at is None else "\n".join(lines[:at]).rstrip()
+def main_text(pieces: Text, texts: Text, elements: Text) -> Text:
+    """The article or main part if it has over 50 characters, else what is scored as content, else the page; the last two without navigation."""
+    long = lambda c: let(c, lambda t: f"if(length({t}) > 50, {t}, null)")
+    joined = lambda lines: f"array_join({lines}, '\\n')"
+    own = lambda tag: let(first_tag(elements, tag), lambda e: f"if({e} is null, null, {joined(block_lines(pieces, texts, f'{e}.begin', f'{e}.stop'))})")
+    furniture = intervals(elements, lambda e: tagged(e, "nav", "footer", "header", "aside", "head"))
+    bare = let(furniture, lambda h: of("transform", texts, lambda t, i: f"if({within(i, h)}, null, {t})", index=True))
+    rest = let(bare, lambda ts: f"coalesce({long(scored_text(pieces, ts, elements))}, {joined(block_lines(pieces, ts, '0', f'size({pieces})'))})")
+    return f"coalesce({long(own('article'))}, {long(own('main'))}, {rest})"
 
 
-def main_text(page: Outline) -> str:
-    """The article or main part if it has over 50 characters, else the page without navigation."""
-    for tag in ("article", "main"):
-        if (e := page.first(tag)) and len(t := page.lines(e)) > 50:
-            return t
-    kept = bytes(page.hidden)
-    page.hide(e for e in page.elements if e.tag in ("nav", "footer", "header", "aside", "head"))
-    whole = Element("page", {}, -1, 0, -1, len(page.pieces), len(page.elements) - 1)
-    text = page.lines(whole)
-    page.hidden = bytearray(kept)
-    return text
+def until_end_heading(c: Text) -> Text:
+    """The lines before the first that is an end heading, with a colon or without."""
+    ends = f"({', '.join(map(lit, END_HEADINGS))})"
+    at = lambda lines: f"array_position({each(lines, lambda x: f'lower(regexp_replace(trim({x}), {lit(chr(58) + chr(43) + chr(36))}, {lit(str())})) in {ends}')}, true)"
+    return let(f"split({c}, '\\n')", lambda lines: let(at(lines), lambda k: f"rtrim(array_join(if({k} > 0, slice({lines}, 1, cast({k} - 1 as int)), {lines}), '\\n'))"))
 
 
-def cleaned(page: Outline, url: str | None, fields: list[Field]) -> str:
+def cleaned(page: Text, url: Text, fields: list[Field]) -> Column:
     """The text that a model reads: product details and cards if the fields want them, then the main text."""
-    strip_boilerplate(page)
+    pieces, elements = f"{page}.pieces", f"{page}.elements"
+    hidden = [unseen(elements), boilerplate(elements)]
     if not keeps_sections(fields):
-        strip_for_host(page, url)
-    parts = [
-        product_block(page) if any(PRODUCT_FIELD.search(f.name) for f in fields) else "",
-        list_block(page) if any(f.type.startswith("array<") for f in fields) else "",
-        main_text(page),
-    ]
-    return plain(until_end_heading("\n\n".join(p for p in parts if p)))
+        hidden.append(host_furniture(elements, url))
 
+    def made(texts: Text) -> Text:
+        parts = [main_text(pieces, texts, elements)]
+        if any(f.type.startswith("array<") for f in fields):
+            parts.insert(0, list_block(elements, texts))
+        if any(PRODUCT_FIELD.search(f.name) for f in fields):
+            parts.insert(0, product_block(elements, texts))
+        return f"array_join({only(f'array({", ".join(parts)})', lambda p: f'{p} != {lit(str())}')}, '\\n\\n')"
 
-def short(text: str, most: int) -> str:
-    text = text.strip()
-    return text[:most].rstrip() + "…" if len(text) > most else text
+    return F.expr(plain(until_end_heading(let(shown(pieces, f"concat({', '.join(hidden)})"), made))))
 
 
-def said(page: Outline, e: Element | None) -> str:
-    """The text of an element as one string; what is hidden elsewhere counts too."""
-    return "".join(x.strip() for x in page.pieces[e.begin : e.end]) if e else ""
+def meta(metas: Text, *names: str) -> Text:
+    """The content of the first meta element with one of the names, the names in order; null if blank or missing."""
+    one = lambda a, n: f"nullif({strip(attr(first(metas, lambda e: f'coalesce({attr(e, a)} = {lit(n)}, false)'), 'content'))}, '')"
+    return "coalesce(" + ", ".join(one(a, n) for n in names for a in ("name", "property", "itemprop")) + ")"
 
 
-def named(value) -> str | None:
-    """A name: a text, the name of an object, or that of the first of a list."""
-    if isinstance(value, list):
-        value = value[0] if value else None
-    if isinstance(value, dict):
-        value = value.get("name")
-    return value.strip() or None if isinstance(value, str) else None
+def metas_of(page: Text) -> Text:
+    return only(f"{page}.elements", lambda e: tagged(e, "meta"))
 
 
-def author(page: Outline) -> str | None:
-    """The author by declared metadata, then by mark-up: the first of these that says something."""
-    brief = lambda e: t if e and 0 < len(t := said(page, e)) < 100 else None
-    handle = lambda: t if (m := page.meta("twitter:creator")) and len(t := m.lstrip("@").strip()) > 2 else None
-    ways: tuple[Callable[[], str | None], ...] = (
-        lambda: page.meta("author", "article:author"),
+def linked(page: Text) -> Text:
+    return only(f"{page}.facts", lambda f: f"{f}.source = 'json-ld'")
+
+
+def from_linked_data(facts: Text, *keys: str) -> Text:
+    """The first text under one of the keys, object by object."""
+    names = f"array({', '.join(map(lit, keys))})"
+    found = only(facts, lambda f: f"array_contains({names}, {f}.key) and {strip(f'{f}.value')} != '' and not startswith({f}.value, '[') and not startswith({f}.value, '{{')")
+    hits = each(found, lambda f: f"struct({f}.item as item, array_position({names}, {f}.key) as key, {strip(f'{f}.value')} as value)")
+    return f"get(array_sort({hits}), 0).value"
+
+
+def named(facts: Text) -> Text:
+    """The author of linked data: a text, the name of an object, or that of the first of a list, object by object."""
+    names = "array('author', 'author.name', 'creator', 'creator.name')"
+    value = lambda v: strip(f"if(startswith({v}, '['), coalesce(get(from_json({v}, 'array<string>'), 0), {v}), {v})")
+    hits = each(only(facts, lambda f: f"array_contains({names}, {f}.key)"), lambda f: f"struct({f}.item as item, array_position({names}, {f}.key) as key, {value(f'{f}.value')} as value)")
+    return f"get(array_sort({only(hits, lambda h: f'{h}.value != {lit(str())}')}), 0).value"
+
+
+def author_text(page: Text, metas: Text, data: Text) -> Text:
+    elements, pieces = f"{page}.elements", f"{page}.pieces"
+    brief = lambda test: let(whole_text(pieces, first(elements, test)), lambda t: f"if(length({t}) between 1 and 99, {t}, null)")
+    handle = let(strip(f"ltrim('@', {meta(metas, 'twitter:creator')})"), lambda t: f"if(length({t}) > 2, {t}, null)")
+    ways = (
+        meta(metas, "author", "article:author"),
         handle,
-        lambda: next((n for x in page.linked_data() for k in ("author", "creator") if (n := named(x.get(k)))), None),
-        lambda: brief(next((e for e in page.elements if e.tag == "a" and "author" in e.words("rel")), None)),
-        lambda: brief(next((e for e in page.elements if BYLINE.search(e.attrs.get("class", ""))), None)),
-        lambda: brief(page.first("address")),
+        named(data),
+        brief(lambda e: f"{tagged(e, 'a')} and array_contains({words(e, 'rel')}, 'author')"),
+        brief(lambda e: f"coalesce({attr(e, 'class')} rlike {lit(BYLINE)}, false)"),
+        brief(lambda e: tagged(e, "address")),
     )
-    return next((a for way in ways if (a := way())), None)
+    return f"coalesce({', '.join(ways)})"
 
 
-def from_linked_data(page: Outline, *keys: str) -> str | None:
-    return next((v.strip() for x in page.linked_data() for k in keys if isinstance(v := x.get(k), str) and v.strip()), None)
+def author(page: Text) -> Column:
+    """The author by declared metadata, then by mark-up: the first of these that says something."""
+    return F.expr(let(metas_of(page), lambda m: let(linked(page), lambda d: author_text(page, m, d))))
 
 
-def stats(page: Outline) -> list[str]:
+def stats(page: Text) -> Text:
     """Short texts with a digit of the first eight elements that are classed as counts."""
-    found = [e for e in page.elements if STATS.search(e.attrs.get("class", ""))][:8]
-    return list(dict.fromkeys(t for e in found if 1 < len(t := said(page, e)) < 80 and re.search(r"\d", t)))
+    found = f"slice({only(f'{page}.elements', lambda e: f'coalesce({attr(e, str('class'))} rlike {lit(STATS)}, false)')}, 1, 8)"
+    texts = each(found, lambda e: whole_text(f"{page}.pieces", e))
+    return f"array_distinct({only(texts, lambda t: f'length({t}) between 2 and 79 and {t} rlike {lit("[0-9]")}')})"
 
 
-def identifiers(page: Outline, url: str | None) -> str:
+def identifiers(page: Text, url: Text) -> Column:
     """What says which page this is, a line each, for what the main text may lack; empty if nothing does."""
-    site, title = page.meta("og:site_name"), page.meta("og:title", "twitter:title")
-    about, described = page.meta("og:description", "twitter:description"), page.meta("description")
-    name, summary = from_linked_data(page, "name", "headline"), from_linked_data(page, "description")
-    try:
-        host = urlsplit(url or "").hostname
-    except ValueError:
-        host = None
-    rows = (
-        ("URL host", host, None), ("Title", said(page, page.first("title")), 400), ("H1", said(page, page.first("h1")), 200), ("Site name", site, 200), ("OG title", title, 400),
-        ("OG description", about, 400), ("Meta description", described if described != about else None, 400), ("Schema.org name", name if name not in (title, site) else None, 200),
-        ("Schema.org description", summary if summary not in (about, described) else None, 400), ("Author", author(page), 200), ("Stats", " | ".join(stats(page)), None),
-    )
-    lines = [f"{label}: {short(value, most) if most else value}" for label, value, most in rows if value]
-    return "\n".join(["## Page Identifiers", *lines]) if lines else ""
-
-
-def descriptions(page: Outline, most: int = 4) -> str:
-    """Up to four texts that may describe the page, the longest first; empty without any."""
-    found = [page.meta("og:description", "twitter:description"), page.meta("description"), from_linked_data(page, "description")]
-    notes = frozenset({"sup", "sub"})
-    paragraph = lambda e: t if len(t := plain(" ".join(page.strings(e, notes)))) >= 40 else None
-    box = page.first("main") or next((e for e in page.elements if e.attrs.get("role") == "main"), None) or page.first("article")
-    if box:
-        found.append(next((t for e in page.inside(box) if e.tag == "p" and (t := paragraph(e))), None))
-    if h1 := page.first("h1"):
-        after = next((e for e in page.elements[h1.number + 1 :] if e.tag == "p"), None)
-        found.append(paragraph(after) if after else None)
-    by_start: dict[str, str] = {}
-    for text in sorted((t.strip() for t in found if t), key=len, reverse=True):
-        by_start.setdefault(plain(text)[:80].lower(), plain(text))
-    chosen_ = [short(t, 1500) for t in by_start.values()][:most]
-    return "\n".join(["## Candidate descriptions", *(f"- {t}" for t in chosen_)]) if chosen_ else ""
+    host = f"lower(regexp_extract(coalesce({url}, ''), {lit('^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#:]*)')}, 1))"
+    said = lambda tag: whole_text(f"{page}.pieces", first_tag(f"{page}.elements", tag))
+    unless = lambda v, c, *others: f"if({' or '.join(f'coalesce({v}.{c} = {v}.{o}, false)' for o in others)}, null, {v}.{c})"
+
+    def rows(v: Text) -> Text:
+        lines = (
+            ("URL host", f"{v}.host", None), ("Title", f"{v}.title", 400), ("H1", f"{v}.h1", 200), ("Site name", f"{v}.site", 200), ("OG title", f"{v}.og", 400),
+            ("OG description", f"{v}.about", 400), ("Meta description", unless(v, "described", "about"), 400), ("Schema.org name", unless(v, "name", "og", "site"), 200),
+            ("Schema.org description", unless(v, "summary", "about", "described"), 400), ("Author", f"{v}.author", 200), ("Stats", f"{v}.stats", None),
+        )
+        return "array_compact(array(" + ", ".join(let(c, lambda x, label=label, most=most: f"if({x} != '', concat({lit(f'{label}: ')}, {short(x, most) if most else x}), null)") for label, c, most in lines) + "))"
+
+    def values(metas: Text, data: Text) -> Text:
+        of_ = {
+            "host": host, "title": said("title"), "h1": said("h1"), "site": meta(metas, "og:site_name"), "og": meta(metas, "og:title", "twitter:title"), "about": meta(metas, "og:description", "twitter:description"),
+            "described": meta(metas, "description"), "name": from_linked_data(data, "name", "headline"), "summary": from_linked_data(data, "description"), "author": author_text(page, metas, data),
+            "stats": f"array_join({stats(page)}, ' | ')",
+        }
+        return "struct(" + ", ".join(f"{c} as {n}" for n, c in of_.items()) + ")"
+
+    found = let(metas_of(page), lambda m: let(linked(page), lambda d: values(m, d)))
+    return F.expr(let(let(found, rows), lambda x: f"if(size({x}) > 0, concat('## Page Identifiers\\n', array_join({x}, '\\n')), '')"))
+
+
+def descriptions(page: Text, most: int = 4) -> Column:
+    """Up to `most` texts that may describe the page, the longest first; empty without any."""
+    elements, pieces = f"{page}.elements", f"{page}.pieces"
+
+    def paragraph(e: Text, texts: Text) -> Text:
+        """The text of a paragraph without notes, from 40 characters on."""
+        notes = intervals(inside(e, elements), lambda x: tagged(x, "sup", "sub"))
+        own = let(notes, lambda ns: of("transform", part(texts, f"{e}.begin", f"{e}.stop"), lambda t, i: f"if({within(f'({i} + {e}.begin)', ns)}, null, {strip(t)})", index=True))
+        return let(plain(f"array_join({only(own, lambda t: f'{t} != {lit(str())}')}, ' ')"), lambda t: f"if(length({t}) >= 40, {t}, null)")
+
+    def found(texts: Text) -> Text:
+        box = f"coalesce({first_tag(elements, 'main')}, {first(elements, lambda e: f'coalesce({attr(e, str('role'))} = {lit("main")}, false)')}, {first_tag(elements, 'article')})"
+        of_box = lambda b: only(each(only(inside(b, elements), lambda e: tagged(e, "p")), lambda e: paragraph(e, texts)), lambda t: f"{t} is not null")
+        lead = let(box, lambda b: f"if({b} is null, null, get({of_box(b)}, 0))")
+        next_p = lambda h: first(elements, lambda e: f"{e}.number > {h}.number and {tagged(e, 'p')}")
+        after = let(first_tag(elements, "h1"), lambda h: let(f"if({h} is null, null, {next_p(h)})", lambda e: f"if({e} is null, null, {paragraph(e, texts)})"))
+        metas = lambda m: f"array({meta(m, 'og:description', 'twitter:description')}, {meta(m, 'description')}, {from_linked_data(linked(page), 'description')}, {lead}, {after})"
+        return let(metas_of(page), metas)
+
+    texts = only(each(let(shown(pieces, unseen(elements)), found), strip), lambda t: f"{t} != ''")
+    # the longest first, of equals the earlier one
+    ranked = let(texts, lambda ts: f"array_sort({of('transform', ts, lambda t, i: f'struct(-length({t}) as n, {i} as i, {plain(t)} as t)', index=True)})")
+    best = f"slice({once(ranked, lambda x: f'lower(left({x}.t, 80))')}, 1, {most})"
+    lines = each(best, lambda x: f"concat('- ', {short(f'{x}.t', 1500)})")
+    return F.expr(let(lines, lambda x: f"if(size({x}) > 0, concat('## Candidate descriptions\\n', array_join({x}, '\\n')), '')"))
 
 
 def wants_description(fields: list[Field]) -> bool:
     return any(x in f.name.lower() for f in fields for x in DESCRIPTION_FIELDS)
 
 
-READ = "page_id long, cleaned string, identifiers string, descriptions string"
-
-
 def read_pages(pages: DataFrame, fields: list[Field]) -> DataFrame:
     """(page_id, cleaned, identifiers, descriptions) for every row of pages (page_id, url, html); one parse each.
 
-    descriptions is empty unless a field wants one. Null html: nulls.
+    descriptions is empty unless a field wants one. Null html: nulls. Null url: no host. Empty table: no rows.
     """
-    wanted = wants_description(fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-                if html is None:
-                    rows.append((None, None, None))
-                    continue
-                page = Outline.of(html)
-                said_ = identifiers(page, url), descriptions(page) if wanted else ""
-                rows.append((cleaned(page, url, fields), *said_))
-            columns = [pa.array(c, pa.string()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.string())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), *columns], names=["page_id", "cleaned", "identifiers", "descriptions"])
-
-    return pages.select("page_id", "url", "html").mapInArrow(run, READ)
+    rows = outlined(pages.select("page_id", "url", "html", F.col("html").isNotNull().alias("__there")))
+    made = {"cleaned": cleaned("page", "url", fields), "identifiers": identifiers("page", "url"), "descriptions": descriptions("page") if wants_description(fields) else F.lit("")}
+    return rows.select("page_id", *[F.when(F.col("__there"), c).alias(n) for n, c in made.items()])

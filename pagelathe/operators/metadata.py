@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.functions.coerce import Field, coerce
+from pagelathe.operators.outline import outlined
 
 #: Rank of each source of facts: the lower one wins.
 SOURCES = ("json-ld", "microdata", "microformat", "rdfa", "opengraph", "card", "meta", "header", "oembed")
-META_NAMES = ("description", "author", "keywords", "news_keywords", "pubdate", "date", "language", "copyright", "dc.creator", "generator")
+#: Response headers that are read (fixed values).
+HEADERS = ("last-modified", "content-language", "content-type")
 # Keys that may hold a field, the better first, by the field's lower-case name; results must equal those of other readers.
 ALIASES = {
     "title": ("name", "headline", "title", "og:title", "twitter:title"),
@@ -110,105 +107,54 @@ def is_site_name(c: Column) -> Column:
     return (F.length(s) < 6) | s.rlike(DOMAIN_LIKE)
 
 
-def flatten(value: object, prefix: str = "") -> dict[str, object]:
-    """Dotted keys of nested JSON. In a list of objects the first has each key; a list of plain values stays a list."""
-    out: dict[str, object] = {}
-    if isinstance(value, dict):
-        for k, v in value.items():
-            out.update(flatten(v, f"{prefix}.{k}" if prefix else str(k)))
-    elif isinstance(value, list):
-        plain = [v for v in value if v is not None and not isinstance(v, (dict, list))]
-        for v in value:
-            if isinstance(v, (dict, list)):
-                for k, x in flatten(v, prefix).items():
-                    out.setdefault(k, x)
-        if plain and prefix:
-            out[prefix] = plain
-    elif value is not None and prefix:
-        out[prefix] = value
-    return out
-
-
-class Facts(HTMLParser):
-    """One pass over a page: what it says of itself, as (source, key, value)."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str, str]] = []
-        self.script: list[str] | None = None
-        self.props: list[str] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {k: v or "" for k, v in attrs}
-        if tag == "html" and a.get("lang"):
-            self.found.append(("meta", "html.lang", a["lang"]))
-        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            self.script = []
-        if tag == "meta" and "content" in a:
-            name = (a.get("name") or a.get("property") or "").strip()
-            low = name.lower()
-            if low.startswith("og:"):
-                self.found.append(("opengraph", name, a["content"]))
-            if low.startswith(("twitter:", "og:", "article:")):
-                self.found.append(("card", low, a["content"]))
-            elif low in META_NAMES:
-                self.found.append(("meta", f"meta.{low}", a["content"]))
-        if tag == "link" and "oembed" in a.get("type", ""):
-            self.found.append(("link", "oembed", a.get("href", "")))
-        if "itemprop" in a:
-            value = a.get("content") or a.get("href") or a.get("src")
-            if value:
-                self.found.append(("microdata", a["itemprop"], value))
-            else:
-                self.props.append(a["itemprop"])
-
-    def handle_data(self, data: str) -> None:
-        if self.script is not None:
-            self.script.append(data)
-        elif self.props and data.strip():
-            self.found.append(("microdata", self.props.pop(), " ".join(data.split())))
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "script" and self.script is not None:
-            try:
-                items = json.loads("".join(self.script))
-            except ValueError:
-                items = []
-            for item in items if isinstance(items, list) else [items]:
-                graph = item.get("@graph", []) if isinstance(item, dict) else []
-                for node in [item, *(graph if isinstance(graph, list) else [])]:
-                    shell = {k: v for k, v in node.items() if k != "@graph"} if isinstance(node, dict) else node
-                    self.found += [("json-ld", k, v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in flatten(shell).items()]
-            self.script = None
-
-
-def facts_of(html: str) -> list[tuple[str, str, str]]:
-    parser = Facts()
-    parser.feed(html)
-    parser.close()
-    return parser.found
-
-
-def known_facts(html: str) -> dict[str, str]:
-    """merge() of one page: of the best source the first value of each key; cards, the last."""
-    ranked = sorted((SOURCES.index(s) if s in SOURCES else 99, -i if s == "card" else i, k, v) for i, (s, k, v) in enumerate(facts_of(html)))
-    out: dict[str, str] = {}
-    for _, _, k, v in ranked:
-        out.setdefault(k, v)
-    return out
+def fact_rank(source: Column) -> Column:
+    """The place of a source in SOURCES; 99 for what is not a fact of the page itself."""
+    at = F.array_position(F.array(*map(F.lit, SOURCES)), source)
+    return F.when(at > 0, at.cast("int") - 1).otherwise(99)
 
 
-def facts(pages: DataFrame) -> DataFrame:
-    """(page_id, source, rank, ord, key, value) of all pages, one parse each."""
+def header_facts(headers: Column) -> Column:
+    """Response headers that say something of a page, by their names in any case, as facts; blank ones say nothing."""
+    found = F.transform(F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>"))), lambda h: F.struct(F.lit("header").alias("source"), F.lit(0).alias("item"), F.concat(F.lit("header."), F.lower(h["key"])).alias("key"), h["value"].alias("value")))
+    return F.filter(found, lambda f: f["key"].isin(*[f"header.{h}" for h in HEADERS]) & (f["value"] != ""))
+
+
+def embed_facts(answer: Column) -> Column:
+    """The plain values of an oEmbed answer (JSON text), under their names and under oembed.name; none if it is no JSON object."""
+    entries = F.map_entries(F.coalesce(F.from_json(answer, "map<string,string>"), F.create_map().cast("map<string,string>")))
+    plain = F.filter(entries, lambda e: e["value"].isNotNull() & ~e["value"].rlike(r"^\s*[\[{]"))
+    rows = lambda prefix: F.transform(plain, lambda e: F.struct(F.lit("oembed").alias("source"), F.lit(0).alias("item"), F.concat(F.lit(prefix), e["key"]).alias("key"), e["value"].alias("value")))
+    return F.concat(rows("oembed."), rows(""))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(p, s, SOURCES.index(s) if s in SOURCES else 99, i, k, v) for p, h in zip(batch.column("page_id").to_pylist(), batch.column("html").to_pylist(), strict=True) for i, (s, k, v) in enumerate(facts_of(h or ""))]
-            if rows:
-                kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["page_id", "source", "rank", "ord", "key", "value"])
 
-    return pages.select("page_id", "html").mapInArrow(run, "page_id long, source string, rank int, ord int, key string, value string")
+def all_facts(rows: DataFrame) -> Column:
+    """The facts of the outline, then those of the columns `headers` (a map) and `oembed` (JSON text), if rows have them."""
+    parts = [F.col("page.facts")]
+    if "headers" in rows.columns:
+        parts.append(header_facts(F.col("headers")))
+    if "oembed" in rows.columns:
+        parts.append(embed_facts(F.col("oembed")))
+    return F.concat(*parts)
+
+
+def facts(pages: DataFrame) -> DataFrame:
+    """(page_id, source, item, rank, ord, key, value) of all pages (page_id, html[, url, headers, oembed]), one parse each.
+
+    A fact for each key that JSON-LD, microdata, microformats, RDFa, OpenGraph, cards, meta elements, response headers and an oEmbed answer
+    give; items that lie in items have dotted keys. `ord` counts a page's facts. Null html or a page without facts: no rows.
+    """
+    rows = outlined(pages.select("page_id", "html", *[c for c in ("url", "headers", "oembed") if c in pages.columns]))
+    rows = rows.select("page_id", F.posexplode(all_facts(rows)).alias("ord", "f"))
+    return rows.select("page_id", "f.source", "f.item", fact_rank(F.col("f.source")).alias("rank"), "ord", "f.key", "f.value")
+
+
+def known_facts(found: Column) -> Column:
+    """merge() of one page as a map: of the best source the first value of each key; cards, the last."""
+    found = F.filter(found, lambda f: f["source"] != "link")  # where an oEmbed answer is, no fact
+    order = lambda f, i: F.when(f["source"] == "card", -i).otherwise(i)
+    ranked = F.array_sort(F.transform(found, lambda f, i: F.struct(f["key"].alias("key"), fact_rank(f["source"]).alias("rank"), order(f, i).alias("ord"), f["value"].alias("value"))))
+    first = F.transform(F.array(ranked), lambda fs: F.filter(fs, lambda f, i: (i == 0) | (f["key"] != F.get(fs, i - 1)["key"])))  # sorted once
+    return F.map_from_entries(F.transform(first[0], lambda f: F.struct(f["key"], f["value"])))
 
 
 def merge(found: DataFrame) -> DataFrame:

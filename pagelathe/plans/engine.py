@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pagelathe.functions.classify import error_row, escalation_reason, null_rate_fires
 from pagelathe.functions.coerce import Field, coerce_row, failed, row_type, validate
 from pagelathe.operators import content
-from pagelathe.operators.metadata import known_facts, resolve
+from pagelathe.operators.metadata import all_facts, known_facts, resolve
+from pagelathe.operators.outline import outlined
 from pagelathe.operators.relevance import pruned, query_terms
 from pagelathe.plans.provider import PatternProvider, Provider, ProviderError, Request, call, model_for, output_budget, prompt, thinking_budget
 
@@ -24,26 +25,16 @@ BUDGETS = (12_000, 24_000)
 
 
 def parsed(rows: DataFrame, fields: list[Field], carry: tuple[str, ...] = ()) -> DataFrame:
-    """rows (page_id, url, html, code and `carry`) without html, with facts, text, identifiers and descriptions; nulls where there is a code."""
+    """rows (page_id, url, html, code[, headers, oembed] and `carry`) without html, with facts, text, identifiers and descriptions; nulls where there is a code."""
     wanted = content.wants_description(fields)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for url, html, code in zip(*(batch.column(c).to_pylist() for c in ("url", "html", "code")), strict=True):
-                if code is not None:
-                    out.append((None,) * 4)
-                    continue
-                page = content.Outline.of(html or "")
-                before = content.identifiers(page, url), content.descriptions(page) if wanted else ""
-                out.append((list(known_facts(html or "").items()), content.cleaned(page, url, fields), *before))
-            kinds = [pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.string()]
-            columns = [pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, "facts", "text", "identifiers", "descriptions"])
-
-    kept = ["page_id", "url", "code", *carry]
-    types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept)
-    return rows.select(*kept, "html").mapInArrow(run, f"{types}, facts map<string,string>, text string, identifiers string, descriptions string")
+    rows = outlined(rows.withColumn("__skip", F.col("code").isNotNull()), skip="__skip")
+    made = {
+        "facts": known_facts(all_facts(rows)),
+        "text": content.cleaned("page", "url", fields),
+        "identifiers": content.identifiers("page", "url"),
+        "descriptions": content.descriptions("page") if wanted else F.lit(""),
+    }
+    return rows.select("page_id", "url", "code", *carry, *[F.when(F.col("code").isNull(), c).alias(n) for n, c in made.items()])
 
 
 def prompts(docs: DataFrame, fields: list[Field]) -> DataFrame:

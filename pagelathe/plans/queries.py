@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,7 @@ from pagelathe.functions import classify, coerce, text, urls
 from pagelathe.functions.coerce import Field
 from pagelathe.operators import cache, content, crawl, images, metadata, relevance
 from pagelathe.functions.register import register
+from pagelathe.operators.outline import outlined
 from pagelathe.plans import engine
 from pagelathe.sources.tables import table
 
@@ -215,37 +216,57 @@ def d01_facts(spark, sf_dir):
     return metadata.merge(metadata.facts(pages)).where("key not in ('meta.description')")
 
 
-FACTS = r"""(select page_id, 'og:title' as key, nullif(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '') as value, 4 as rank, 0 as ord from pages where page_id % 2 = 0
- union all select page_id, 'og:title', nullif(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), ''), 6, 1 from pages
- union all select page_id, 'html.lang', nullif(regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1), ''), 6, 0 from pages
- union all select page_id, 'author', 'writer ' || page_id, 0, 0 from pages where page_id % 3 = 0
- union all select page_id, 'meta.author', 'someone', 6, 2 from pages)"""
+ORIGIN = rf"regexp_extract(url, {SPLIT_URL}, 1) || '://' || regexp_extract(url, {SPLIT_URL}, 2)"
 
 
-def fact_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, h, i = table(spark, sf_dir, "pages"), F.col("html"), F.col("page_id")
-    row = lambda key, value, rank, ord_: F.struct(F.lit(key).alias("key"), value.alias("value"), F.lit(rank).alias("rank"), F.lit(ord_).alias("ord"), F.lit("x").alias("source"))
-    rows = F.array(
-        F.when(i % 2 == 0, row("og:title", text.heading(h), 4, 0)), row("og:title", text.title(h), 6, 1), row("html.lang", text.lang(h), 6, 0),
-        F.when(i % 3 == 0, row("author", F.concat(F.lit("writer "), i.cast("string")), 0, 0)), row("meta.author", F.lit("someone"), 6, 2),
+def said(*parts: str | Column) -> Column:
+    """Texts with the page's number where a part is #."""
+    text = lambda p: F.col("page_id").cast("string") if p == "#" else F.lit(p)
+    return F.concat(*[text(p) if isinstance(p, str) else p for p in parts])
+
+
+def marked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pages with response headers and every syntax of structured data: JSON-LD on even pages, all others on each."""
+    data = F.when(F.col("page_id") % 2 == 0, said('<script type="application/ld+json">{"@type": "Thing", "name": "Item number ', "#", '", "offers": {"price": "', "#", '.50"}}</script>')).otherwise("")
+    head = said(
+        data, '<meta property="og:title" content="Open ', "#", '"><meta property="og:site_name" content="Shop ', "#", '"><meta name="twitter:title" content="Early"><meta name="twitter:title" content="Late ', "#",
+        '"><meta name="publisher" content="Press ', "#", '"><meta name="publisher" content="second"><meta name="ROBOTS" content="noindex"><meta name="generator" content="no fact"><meta http-equiv="Content-Language" content="xx">',
     )
-    return p.select("page_id", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select("page_id", "r.*")
+    body = said(
+        '<div itemscope itemtype="https://schema.org/Product"><b itemprop="name">Micro number <i>', "#", '</i></b><div itemprop="offers" itemscope itemtype="https://schema.org/Offer"><meta itemprop="price" content="', "#",
+        '.25"><span itemprop="priceCurrency">EUR</span><div itemprop="seller" itemscope><span itemprop="name">Seller ', "#", '</span></div></div><i itemprop="color">red</i><i itemprop="color">blue</i></div><b itemprop="lost">outside</b>',
+        '<div vocab="http://schema.org/" typeof="Person"><span property="name">Rdfa ', "#", '</span><span property="schema:jobTitle">Job ', "#", '</span><div property="address" typeof="PostalAddress"><span property="addressLocality">City ', "#",
+        '</span></div></div><div class="h-card x"><a class="p-nickname u-url" href="/card/', "#", '">Kim ', "#", '</a><div class="p-org h-card"><b class="p-name">Org ', "#", '</b></div><time class="dt-bday" datetime="1999-01-', "#", '">then</time></div>',
+    )
+    html = F.replace(F.replace(F.col("html"), F.lit("</title>"), F.concat(F.lit("</title>"), head)), F.lit("<article>"), F.concat(body, F.lit("<article>")))
+    headers = F.create_map(F.lit("Last-Modified"), said("Day ", "#"), F.lit("X-Other"), F.lit("no fact"), F.lit("content-type"), F.lit(""))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"), headers.alias("headers"))
+
 
+#: What marked_up() says, by key: the best source has it.
+MERGED = rf"""(select page_id, key, value from (select page_id, unnest(['@type', 'name', 'offers.price', 'offers.@type', 'offers.priceCurrency', 'offers.seller.name', 'color', 'jobTitle', 'address.@type', 'address.addressLocality', 'nickname', 'url', 'org.@type', 'org.name', 'bday',
+ 'og:title', 'og:site_name', 'twitter:title', 'meta.publisher', 'meta.robots', 'header.content-language', 'header.last-modified', 'html.lang']) as key,
+ unnest([case when page_id % 2 = 0 then 'Thing' else 'Product' end, case when page_id % 2 = 0 then 'Item number ' else 'Micro number ' end || page_id, page_id || case when page_id % 2 = 0 then '.50' else '.25' end, 'Offer', 'EUR', 'Seller ' || page_id, '["red", "blue"]', 'Job ' || page_id,
+ 'PostalAddress', 'City ' || page_id, 'Kim ' || page_id, {ORIGIN} || '/card/' || page_id, 'h-card', 'Org ' || page_id, '1999-01-' || page_id, 'Open ' || page_id, 'Shop ' || page_id, 'Late ' || page_id, 'Press ' || page_id, 'noindex', 'xx', 'Day ' || page_id,
+ nullif(regexp_extract(html, '(?is)<html[^>]*\blang="([^"]*)"', 1), '')]) as value from pages) where value is not null)"""
 
-@query(f"select page_id, key, arg_min(value, rank * 10 + ord) as value from {FACTS} where value is not null group by 1, 2")
+
+@query(f"select page_id, key, value from {MERGED}")
 def d05_metadata_merge(spark, sf_dir):
-    return metadata.merge(fact_rows(spark, sf_dir).where("value is not null"))
+    return metadata.merge(metadata.facts(marked_up(spark, sf_dir)))
 
 
-MERGED = f"(select page_id, key, arg_min(value, rank * 10 + ord) as value from {FACTS} where value is not null group by 1, 2)"
-SITE = r"(length(trim(value)) < 6 or regexp_matches(trim(value), '(?i)^[a-z0-9][a-z0-9-]*\.[a-z]{2,}(?:/.*)?$'))"
+@query(f"select page_id, source, count(*) as n from (select page_id, unnest(['json-ld', 'json-ld', 'json-ld', 'microdata', 'microdata', 'microdata', 'microdata', 'microdata', 'microdata', 'microdata', 'microformat', 'microformat', 'microformat', 'microformat', 'microformat', 'microformat', 'rdfa', 'rdfa', 'rdfa', 'rdfa', 'rdfa', 'opengraph', 'opengraph', 'card', 'card', 'card', 'card', 'meta', 'meta', 'meta', 'meta', 'meta', 'header']) as source from pages) where source <> 'json-ld' or page_id % 2 = 0 group by 1, 2")
+def d01_sources(spark, sf_dir):
+    return metadata.facts(marked_up(spark, sf_dir)).groupBy("page_id", "source").agg(F.count("*").alias("n"))
 
 
-@query(f"""select page_id, max(value) filter (key = 'og:title' and not {SITE}) as title, coalesce(max(value) filter (key = 'author'), max(value) filter (key = 'meta.author')) as author, max(value) filter (key = 'html.lang') as lang from {MERGED} group by 1""")
+@query("""select page_id, case when page_id % 2 = 0 then 'Item number ' else 'Micro number ' end || page_id as title, page_id || case when page_id % 2 = 0 then '.50' else '.25' end as price, 'EUR' as currency, 'City ' || page_id as city, 'Shop ' || page_id as publisher, 'Day ' || page_id as modified, 'xx' as lang, 23::bigint as n_facts from pages""")
 def d08_alias_resolve(spark, sf_dir):
-    rows = metadata.as_map(metadata.merge(fact_rows(spark, sf_dir).where("value is not null")))
-    fields = [Field("title", "string"), Field("author", "string"), Field("lang", "string")]
-    return rows.select("page_id", *[metadata.resolve(F.col("facts"), f).alias(f.name) for f in fields])
+    rows = outlined(marked_up(spark, sf_dir))
+    fields = [Field(n, "string") for n in ("title", "price", "currency", "city", "publisher", "modified", "lang")]
+    rows = rows.select("page_id", metadata.known_facts(metadata.all_facts(rows)).alias("facts"))
+    return rows.select("page_id", *[metadata.resolve(F.col("facts"), f).alias(f.name) for f in fields], F.size("facts").cast("long").alias("n_facts"))
 
 
 VALUES = "['35 years old', '$1.2M', 'PT1H30M', '€1.299,00', '10-20', '✓', 'no', '2024-12-20T08:00Z', 'a, b; c | d', 'N/A', '—', '-1,234.5', 'P1DT2H', 'PT90S', 'YES', 'x', '1, n/a, 3', '12k', '7', '0']"
@@ -372,14 +393,85 @@ ARTICLE = LINES_OF % "regexp_extract(html, '(?is)<article>(.*?)</article>', 1)"
 BODY = LINES_OF % "regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<head>.*?</head>', ''), '(?s)<!--.*?-->', '', 'g'), '(?is)<nav>.*?</nav>', ''), '(?is)<footer.*$', '')"
 
 
-@query(f"select page_id, case when length({ARTICLE}) > 50 then {ARTICLE} else {BODY} end as cleaned from pages")
+#: Pages of which every third has its story in no article, behind a link, so that its lines are scored.
+STORIES = """(select page_id, case when page_id % 3 = 0 then replace(replace(html, '<article>', '<div class="story">'), '</h1>', '</h1><p><a href="/more">read more of this here now</a></p>') else html end as html from pages)"""
+STORY_LINES = BODY.replace("(html,", "(replace(replace(html, chr(10), ' '), '<a href=\"/more\">', chr(1)),")
+
+
+@query(f"""with p as (select page_id, html, length({ARTICLE}) > 50 as has_article from {STORIES}), w as (select page_id, unnest(string_split({STORY_LINES}, chr(10))) as line, generate_subscripts(string_split({STORY_LINES}, chr(10)), 1) as i from p where not has_article),
+ l as (select page_id, i, replace(line, chr(1), '') as line, starts_with(line, chr(1)) as link, len(string_split(line, ' ')) as n from w),
+ t as (select *, coalesce(lag(n) over x, 0) as pn, coalesce(lag(link) over x, false) as pl, coalesce(lead(n) over x, 0) as nn from l window x as (partition by page_id order by i)),
+ k as (select page_id, string_agg(line, chr(10) order by i) filter (not link and case when pl then n > 40 or nn > 17 else n > 16 or nn > 15 or pn > 4 end) as scored, string_agg(line, chr(10) order by i) as whole from t group by 1)
+ select page_id, case when has_article then {ARTICLE} when length(scored) > 50 then scored else whole end as cleaned from p left join k using (page_id)""")
 def c06_clean_html(spark, sf_dir):
-    return content.read_pages(table(spark, sf_dir, "pages"), [Field("title", "string")]).select("page_id", "cleaned")
+    h = F.col("html")
+    story = F.replace(F.replace(h, F.lit("<article>"), F.lit('<div class="story">')), F.lit("</h1>"), F.lit('</h1><p><a href="/more">read more of this here now</a></p>'))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.when(F.col("page_id") % 3 == 0, story).otherwise(h).alias("html"))
+    return content.read_pages(pages, [Field("title", "string")]).select("page_id", "cleaned")
 
 
-@query()
+def with_article(spark: SparkSession, sf_dir: str, before: Column, inside: Column) -> DataFrame:
+    """pages with mark-up before the article and at its end; every article says enough to be the main text."""
+    html = F.replace(F.replace(F.col("html"), F.lit("<article>"), F.concat(before, F.lit("<article><p>This article says enough to be the main text of its page.</p>"))), F.lit("</article>"), F.concat(inside, F.lit("</article>")))
+    return table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html"))
+
+
+MAIN = "'This article says enough to be the main text of its page.' || chr(10) || " + ARTICLE
+
+
+@query(f"select page_id, {MAIN} as cleaned from pages")
+def c03_boilerplate(spark, sf_dir):
+    gone = said('<sup class="reference">[', "#", ']</sup><span class="mw-editsection">edit ', "#", '</span><table class="navbox wide"><tr><td>box</td></tr></table><span class="IPA nowrap">ab</span><h2><span id="See_also">See also</span></h2><ul><li>Other ', "#", "</li></ul><p>last</p>")
+    return content.read_pages(with_article(spark, sf_dir, F.lit(""), gone), [Field("title", "string")]).select("page_id", "cleaned")
+
+
+HOSTS = "['https://www.justia.com/a', 'https://docs.readthedocs.io/', 'https://x.com/y', 'https://www.sec.gov/z', 'https://other.org/'][(page_id % 5 + 1)::int]"
+
+
+@query(f"select page_id, {MAIN} || chr(10) || array_to_string([x for x in [case when page_id % 5 <> 0 then 'Note ' || page_id end, case when page_id % 5 <> 1 then 'Contents ' || page_id end, case when page_id % 5 <> 2 then 'Sign in ' || page_id end, case when page_id % 5 <> 3 then 'Grouping ' || page_id end] if x is not null], chr(10)) as cleaned from pages")
+def c04_host_rules(spark, sf_dir):
+    furniture = said('<div class="footnotes a">Note ', "#", '</div><div class="toc">Contents ', "#", '</div><div role="dialog">Sign in ', "#", '</div><div class="formGrouping">Grouping ', "#", "</div>")
+    url = F.element_at(F.array(*map(F.lit, ("https://www.justia.com/a", "https://docs.readthedocs.io/", "https://x.com/y", "https://www.sec.gov/z", "https://other.org/"))), (F.col("page_id") % 5 + 1).cast("int"))
+    pages = with_article(spark, sf_dir, F.lit(""), furniture).withColumn("url", url)
+    return content.read_pages(pages, [Field("title", "string")]).select("page_id", "cleaned")
+
+
+@query(f"select page_id, 'Chair ' || page_id || chr(10) || 'costs ' || page_id || '.50 euro' || chr(10) || 'in stock today' || chr(10) || chr(10) || 'A second product number ' || page_id || chr(10) || chr(10) || {MAIN} as cleaned from pages")
+def c07_product_block(spark, sf_dir):
+    shop = said('<section itemtype="https://schema.org/Product">A second product number ', "#", '</section><div class="big product_main"><h2>Chair ', "#", "</h2><p>costs ", "#", '.50 euro<b>in stock today</b></p></div><div class="product">too short</div>')
+    return content.read_pages(with_article(spark, sf_dir, shop, F.lit("")), [Field("price", "float")]).select("page_id", "cleaned")
+
+
+@query(f"select page_id, 'A quote of page ' || page_id || ' by Jo' || chr(10) || chr(10) || 'The first card of page ' || page_id || chr(10) || chr(10) || 'Item with an attribute ' || page_id || chr(10) || chr(10) || {MAIN} as cleaned from pages")
+def c08_list_block(spark, sf_dir):
+    cards = said('<div class="card">The first card of page ', "#", '</div><li class="x">Item with an attribute ', "#", '</li><div class="quote">A quote of page ', "#", ' <i>by</i> Jo</div><div class="my-card-2">The first card of page ', "#", '</div><div class="item">tiny</div>')
+    pages = with_article(spark, sf_dir, cards, F.lit("")).withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.lit("<main>")), F.lit("</article>"), F.lit("</main>")))
+    return content.read_pages(pages, [Field("quotes", "array<string>")]).select("page_id", "cleaned")
+
+
+@query("select page_id, ['Meta ', 'handle', 'Linked ', 'Rel ', 'Byline '][(page_id % 5 + 1)::int] || page_id as author from pages")
+def c13_author(spark, sf_dir):
+    marks = [
+        said('<meta property="article:author" content="Meta ', "#", '">'), said('<meta name="twitter:creator" content="@handle', "#", '">'),
+        said('<script type="application/ld+json">[{"@type": "Thing"}, {"@graph": [{"name": "no"}, {"author": [{"name": "Linked ', "#", '"}, {"name": "later"}], "creator": "worse"}]}]</script>'),
+        said('<a rel="nofollow author">Rel ', "#", "</a>"), said('<p class="story byline">Byline ', "#", "</p>"),
+    ]
+    mark = F.element_at(F.array(*marks), (F.col("page_id") % 5 + 1).cast("int"))
+    rows = outlined(table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("<h1>"), F.concat(mark, F.lit("<h1>"))).alias("html")))
+    return rows.select("page_id", content.author("page").alias("author"))
+
+
+@query("""select page_id, '## Candidate descriptions' || chr(10) || case when page_id % 2 = 0 then '- Open graph text about page ' || page_id || ' that is longer than all others by a good deal of words' || chr(10) else '' end || '- After the heading of page ' || page_id || ' there is a paragraph of its own' || chr(10)
+ || '- Lead paragraph of page ' || page_id || ' that stands first in the article' || chr(10) || '- Linked text for page ' || page_id || ' of the table' || case when page_id % 2 = 1 then chr(10) || '- Meta text about page ' || page_id else '' end as descriptions from pages""")
 def c16_descriptions(spark, sf_dir):
-    return content.read_pages(shop_pages(spark, sf_dir), [Field("summary", "string")]).select("page_id", "descriptions")
+    head = said(
+        F.when(F.col("page_id") % 2 == 0, said('<meta property="og:description" content="Open graph text about page ', "#", ' that is longer than all others by a good deal of words">')).otherwise(""),
+        '<meta name="description" content="Meta text about page ', "#", '"><script type="application/ld+json">{"description": "Linked text for page ', "#", ' of the table"}</script>',
+    )
+    html = F.replace("html", F.lit("</title>"), F.concat(F.lit("</title>"), head))
+    html = F.replace(html, F.lit("<article>"), said("<article><p>short</p><p>Lead paragraph of page ", "#", " that stands <sup>3</sup>first in the article [1]</p>"))
+    html = F.replace(html, F.lit("</h1>"), said("</h1><div><p>After the heading of page ", "#", " there is a paragraph of its own</p></div>"))
+    return content.read_pages(table(spark, sf_dir, "pages").select("page_id", "url", html.alias("html")), [Field("summary", "string")]).select("page_id", "descriptions")
 
 
 @query()

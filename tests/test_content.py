@@ -1,63 +1,89 @@
 """Cleaning, identifiers, descriptions, pruning and provider calls against literal values."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelathe.functions.coerce import Field
 from pagelathe.operators import content, relevance
+from pagelathe.operators.outline import outlined
 from pagelathe.plans import engine, provider
 from pagelathe.plans.provider import CutOff, ProviderError, Request
 
 TITLE = [Field("title", "string")]
 
 
-def clean(html, url=None, fields=TITLE):
-    return content.cleaned(content.Outline.of(html), url, fields)
+def of(spark, html, *make, url=None):
+    """Columns made of the outline of one page."""
+    rows = outlined(spark.createDataFrame([(url, html)], "url string, html string"))
+    got = rows.select(*[m("page").alias(f"c{i}") for i, m in enumerate(make)]).first()
+    return got[0] if len(make) == 1 else tuple(got)
 
 
-def test_wiki_article():
+def clean(spark, html, url=None, fields=TITLE):
+    return of(spark, html, lambda p: content.cleaned(p, content.lit(url) if url else "null", fields))
+
+
+def identifiers(spark, html, url=None):
+    return of(spark, html, lambda p: content.identifiers(p, content.lit(url) if url else "null"))
+
+
+def test_wiki_article(spark):
     html = """<html><head><title>T</title></head><body><div id=c><p>Paris<sup class="reference">[1]</sup> is a <b>city</b> <span class="IPA nowrap">/x/</span>that has [ iv ] long (ˈpæɹɪs) text to be read by all.
     <h2><span id="See_also">See also</span></h2><ul><li>Other</li></ul><p>more</div><ol class="references"><li>cited</ol><p>References<p>gone</body></html>"""
-    assert clean(html) == "Paris is a city that has long text to be read by all."
+    assert clean(spark, html) == "Paris is a city that has long text to be read by all."
 
 
-def test_host_rules_hold_unless_a_field_wants_the_section():
+def test_host_rules_hold_unless_a_field_wants_the_section(spark):
     html = "<body><div class='footnotes x'>the footnote</div><p>opinion of the court</p></body>"
-    assert clean(html, "https://www.justia.com/a") == "opinion of the court"
-    assert clean(html, "https://www.justia.com/a", [Field("footnotes", "string")]) == "the footnote\nopinion of the court"
-    assert clean(html, "https://a.com/") == "the footnote\nopinion of the court"
+    assert clean(spark, html, "https://www.justia.com/a") == "opinion of the court"
+    assert clean(spark, html, "https://www.justia.com/a", [Field("footnotes", "string")]) == "the footnote\nopinion of the court"
+    assert clean(spark, html, "https://a.com/") == "the footnote\nopinion of the court"
 
 
-def test_product_and_list_blocks():
+def test_product_and_list_blocks(spark):
     html = "<body><nav>menu</nav><div class='product big'><h1>Blue chair</h1><table><tr><td>Price<td>12.50</table></div></body>"
-    assert clean(html, None, [Field("price", "float")]) == "Blue chair\nPrice\n12.50\n\nBlue chair\nPrice\n12.50"
+    assert clean(spark, html, None, [Field("price", "float")]) == "Blue chair\nPrice\n12.50\n\nBlue chair\nPrice\n12.50"
     quotes = "".join(f"<div class=quote>words of number {i} <i>by</i> one</div>" for i in (1, 2, 2, 3)) + "<li class=x>tiny"
-    got = clean(f"<body>{quotes}</body>", None, [Field("quotes", "array<string>")])
+    got = clean(spark, f"<body>{quotes}</body>", None, [Field("quotes", "array<string>")])
     assert got.split("\n\n")[:3] == [f"words of number {i} by one" for i in (1, 2, 3)]
-    assert len(content.list_block(content.Outline.of("".join(f"<article>this is card number {i}</article>" for i in range(200)))).split("\n\n")) == 80
+    assert len(of(spark, "".join(f"<article>this is card number {i}</article>" for i in range(200)), lambda p: F.expr(content.list_block(f"{p}.elements", f"{p}.pieces.text"))).split("\n\n")) == 80
 
 
-def test_identifiers():
+def test_identifiers(spark):
     html = """<title> A &amp; B </title><meta name=description content="about it"><meta property="og:description" content="about it"><meta property="og:site_name" content="Site">
     <script type="application/ld+json">{"@graph": [{"name": "Site"}, {"headline": "H", "author": [{"name": "Jo"}]}]}</script><h1>Head <i>line</i></h1><span class="score">123 points</span><b class="votes">none</b><span class=views>7</span>"""
-    assert content.identifiers(content.Outline.of(html), "https://u@WWW.a.com:8/x").split("\n") == [
+    assert identifiers(spark, html, "https://u@WWW.a.com:8/x").split("\n") == [
         "## Page Identifiers", "URL host: www.a.com", "Title: A & B", "H1: Headline", "Site name: Site", "OG description: about it", "Author: Jo", "Stats: 123 points",
     ]
-    assert content.identifiers(content.Outline.of("<p>x"), None) == ""
+    assert identifiers(spark, "<p>x") == ""
     for mark in ("<meta name=author content=Kim>", "<meta name='twitter:creator' content='@Kim'>", "<a rel='author x'>Kim</a>", "<p class='by hnuser'>Kim</p>", "<address>Kim</address>"):
-        assert content.author(content.Outline.of(mark)) == "Kim"
+        assert of(spark, mark, content.author) == "Kim"
 
 
-def test_descriptions():
+def test_descriptions(spark):
     long = "a paragraph that is long enough to say what the page is about"
     html = f"<meta name=description content='{long.upper()} and more'><main><p>short<p>{long} <sup>9</sup>first</p></main><h1>x</h1><div><p>{long} first</div>"
-    assert content.descriptions(content.Outline.of(html)) == f"## Candidate descriptions\n- {long.upper()} and more\n- {long} first"
-    assert content.descriptions(content.Outline.of("<h1>x</h1><p>short")) == ""
-
-
-def test_broken_pages():
-    for html in ("", "<", "</p></div>", "<div><p><b>text", "<table><tr><td><p>a<td>b", "<script>never ends", "<li>" * 2000 + "x" + "</ul>" * 3):
-        clean(html)
-    assert clean("<body><p>one<p>two<div>three</div>four<br>five</body>") == "one\ntwo\nthree\nfour\nfive"
+    assert of(spark, html, content.descriptions) == f"## Candidate descriptions\n- {long.upper()} and more\n- {long} first"
+    assert of(spark, "<h1>x</h1><p>short", content.descriptions) == ""
+
+
+def test_broken_pages(spark):
+    broken = ("", "<", "</p></div>", "<div><p><b>text", "<table><tr><td><p>a<td>b", "<script>never ends", "<li>" * 2000 + "x" + "</ul>" * 3, None, "<meta><meta content><a rel><p id class>", '<script type="application/ld+json">{"a": "\\ud800", "author": 5}</script>')
+    pages = spark.createDataFrame([(i, None, h) for i, h in enumerate(broken)], "page_id long, url string, html string")
+    fields = [Field("price", "float"), Field("items", "array<string>"), Field("summary", "string")]
+    got = {r["page_id"]: r for r in content.read_pages(pages, fields).collect()}
+    assert len(got) == len(broken) and (got[7]["cleaned"], got[7]["identifiers"], got[7]["descriptions"]) == (None, None, None) and got[3]["cleaned"] == "text"
+    assert clean(spark, "<body><p>one<p>two<div>three</div>four<br>five</body>") == "one\ntwo\nthree\nfour\nfive"
+
+
+def test_main_text_without_article(spark):
+    """Lines by words and links, those between content included; link lists go, and short lines without a long one beside them."""
+    long = "this line has more than sixteen words so that it is content whatever stands before or after it on the page"
+    links = "".join(f"<li><a href=/{i}>a link number {i} of the menu</a></li>" for i in range(5))
+    html = f"<body><div><ul>{links}</ul></div><div>Log in</div><div><p>{long}</p><p>six words between two long lines</p><p>{long} too</p></div><ul>{links}</ul><div>All rights reserved</div></body>"
+    assert clean(spark, html).split("\n") == ["Log in", long, "six words between two long lines", f"{long} too"]
+    assert clean(spark, "<body><nav>menu</nav><p>few words</p></body>") == "few words"
+    assert clean(spark, f"<body><main>{long}</main><p>{long} outside</p></body>") == long
 
 
 def test_chunks_at_their_limits():

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from pagelathe.functions import coerce, text, urls
 from pagelathe.functions.coerce import Field, SchemaInvalid
-from pagelathe.operators import metadata, relevance
+from pagelathe.operators import outline, relevance
 from pagelathe.plans import engine
 
 CASTS = [
@@ -50,7 +50,7 @@ def test_json_ld_fills_fields(spark):
     page = spark.createDataFrame([(1, "https://a.com/", html + "word " * 200)], "page_id long, url string, html string")
     row = engine.extract(page, [Field("name", "string"), Field("price", "float")]).first()
     assert (row["data"]["name"], row["data"]["price"], row["source"]) == ("Blue chair", 12.5, "metadata")
-    assert metadata.flatten({"a": [{"b": 1}, {"b": 2, "c": 3}], "d": [1, 2], "e": None}) == {"a.b": 1, "a.c": 3, "d": [1, 2]}
+    assert outline.flatten({"a": [{"b": 1}, {"b": 2, "c": 3}], "d": [1, 2], "e": None}) == {"a.b": 1, "a.c": 3, "d": [1, 2]}
 
 
 def test_block_page_is_an_error_row(spark):
