@@ -2,8 +2,9 @@
 
 Counts of a corpus do not fit on one machine, so neither the vocabulary nor the n-grams are ever broadcast. Texts are
 read in batches. A batch asks for what it needs: its distinct words, and its distinct pairs of words with the words after
-each, as hashes, go to the parts of the hash range, in one row for each batch and part; a part merges what all batches
-have sent and answers each with the corpus counts. The batch's texts, read again, then have all states and arcs that they
+each, as hashes, go to the parts of the hash range, in one row for each batch and part that has any (so never more rows than
+n-grams, however many batches and parts there are); a part merges what all batches have sent and answers each with the corpus
+counts. The batch's texts then have all states and arcs that they
 can visit, and go through their automaton from left to right. One exchange of distinct n-grams there, one of counts back.
 """
 
@@ -20,41 +21,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, give_back, materialize, slices, texts, word_codes, word_spans
+from pagelathe.llm.batches import pack, pack_sorted, text_batches, text_of, unpack, unpack_sorted
+from pagelathe.llm.shared import TO_LOWER, bounded, byte_view, give_back, materialize, word_codes, word_spans
 
 #: Bits of the hash that names a pair of words, and of the one that names a word after it; on its own a word has 64.
 PAIR_BITS, NEXT_BITS = 48, 24
-#: Text of a batch, and of the corpus for each part of the hash range.
-BATCH_BYTES, PART_BYTES = 5 << 20, 16 << 20
+#: Text of the corpus for each part of the hash range.
+PART_BYTES = 16 << 20
 #: Tokens of a text that are read in one go; the next ones begin with the two tokens before them.
 SEGMENT = 256
-_CODEC = pa.Codec("zstd", 1)
-
-
-def pack(values: np.ndarray) -> bytes:
-    """Unsigned integers as bytes: planes of like bytes, compressed."""
-    a = np.ascontiguousarray(values, np.uint64)
-    width = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
-    planes = np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return len(a).to_bytes(6, "little") + width.to_bytes(1, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
-
-
-def unpack(raw: bytes) -> np.ndarray:
-    n, width = int.from_bytes(raw[:6], "little"), raw[6]
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        out[:, :width] = np.frombuffer(_CODEC.decompress(raw[7:], n * width), np.uint8).reshape(width, n).T
-    return out.reshape(-1).view(np.uint64)
-
-
-def pack_sorted(values: np.ndarray) -> bytes:
-    return pack(np.diff(values, prepend=values.dtype.type(0)))
-
-
-def unpack_sorted(raw: bytes) -> np.ndarray:
-    return np.cumsum(unpack(raw), dtype=np.uint64)
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     """A hash of 64-bit numbers."""
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
@@ -111,31 +86,7 @@ def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def gathered_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow batches put together to about BATCH_BYTES: the more texts a batch has, the fewer n-grams it asks for twice."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        held.append(batch)
-        if sum(b.nbytes for b in held) >= BATCH_BYTES:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
-    if held:
-        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-
-
-def batches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, pa.Array]]:
-    """(name, ids, texts) of batches: named by what they hold, so that another scan of the rows has the same names."""
-    for arrow in gathered_up(batches):
-        for part in slices(arrow, "text", BATCH_BYTES):
-            ids, own = part.column("doc_id"), part.column("text")
-            data, offs = byte_view(own)
-            name = xxhash.xxh64(np.ascontiguousarray(data))
-            name.update(offs.tobytes())
-            name.update(repr(ids.to_pylist()).encode())
-            yield name.intdigest() >> 1, ids, own
-
-
-def ask(docs: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFrame:
+def ask(held: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFrame:
     """For each batch and part the batch's distinct words, pairs and triples with their counts in training texts."""
     parts = np.arange(1 << part_bits, dtype=np.uint64)
 
@@ -156,31 +107,20 @@ def ask(docs: DataFrame, part_bits: int, modulus: int, left_out: int) -> DataFra
                 yield p * 2 + PAIRS, name, PAIRS, pack_sorted(batch.pairs[x:y]), pack(np.concatenate([count[x:y], after[x:y]])), pack(batch.next[i:j]), pack(triples[i:j]), None
 
     def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for name, ids, own in batches_of(arrow):
-            batch = Batch(own)
-            trains = np.repeat(fold(ids, modulus) != left_out, np.diff(batch.bounds))
-            yield _rows(list(asked(name, batch, trains)), ROWS)
-
-    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), ROWS)
-
-
-def told(docs: DataFrame) -> DataFrame:
-    """The texts of each batch, compressed, to meet the answers that it gets."""
-
-    def run(arrow: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", 3)
-        for name, ids, own in batches_of(arrow):
-            data, offs = byte_view(own)
-            yield _rows([(-1, name, TEXTS, codec.compress(data.tobytes(), asbytes=True), pack(np.diff(offs)), None, None, ids.to_pylist())], ROWS)
+        for rows in arrow:
+            for i in range(rows.num_rows):
+                row = rows.slice(i, 1).to_pylist()[0]
+                batch = Batch(text_of(row["data"], row["sizes"]))
+                trains = np.repeat(fold(pa.array(row["doc_ids"], pa.int64()), modulus) != left_out, np.diff(batch.bounds))
+                yield _rows(list(asked(row["batch"], batch, trains)), ROWS)
 
-    return texts(docs, "doc_id", "text").mapInArrow(bounded(run), ROWS)
+    return held.mapInArrow(bounded(run), ROWS)
 
 
-def text_of(data: bytes, sizes: bytes) -> pa.Array:
-    """The texts of a row of told()."""
-    offs = np.concatenate([[0], np.cumsum(unpack(sizes).astype(np.int64))])
-    raw = pa.Codec("zstd").decompress(data, int(offs[-1])) if offs[-1] else pa.py_buffer(b"")
-    return pa.Array.from_buffers(pa.large_string(), len(offs) - 1, [None, pa.py_buffer(offs), raw])
+def told(held: DataFrame) -> DataFrame:
+    """The texts of each batch, to meet the answers that it gets."""
+    none = F.lit(None).cast("binary")
+    return held.select(F.lit(-1).cast("long").alias("part"), "batch", F.lit(TEXTS).alias("kind"), F.col("data").alias("a"), F.col("sizes").alias("b"), none.alias("c"), none.alias("d"), "doc_ids")
 
 
 def answer(table: pa.Table) -> pa.Table:
@@ -321,15 +261,13 @@ SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 
 def scores(model: Model, modulus: int, left_out: int):
-    """One batch, its texts and all answers: a row of scores for each text. Batches of the same texts and ids come together."""
+    """One batch, its texts and all answers: a row of scores for each text."""
 
     def work(table: pa.Table) -> pa.Table:
         kinds, parts = table.column("kind").to_pylist(), table.column("part").to_pylist()
         raw = {c: table.column(c).to_pylist() for c in "abc"}
-        same = [i for i, k in enumerate(kinds) if k == TEXTS]
-        if not same:
-            raise ValueError("a batch was read once only: the rows of docs do not come in the same order in another scan")
-        batch, ids = Batch(text_of(raw["a"][same[0]], raw["b"][same[0]])), table.column("doc_ids")[same[0]].as_py()
+        own = kinds.index(TEXTS)
+        batch, ids = Batch(text_of(raw["a"][own], raw["b"][own])), table.column("doc_ids")[own].as_py()
         of = {kind: [i for _, i in sorted({parts[i]: i for i, k in enumerate(kinds) if k == kind}.items())] for kind in (WORDS, PAIRS)}
         joined = lambda kind, c: np.concatenate([np.zeros(0, np.int64), *(unpack(raw[c][i]).astype(np.int64) for i in of[kind])])
         words = joined(WORDS, "a")
@@ -342,34 +280,27 @@ def scores(model: Model, modulus: int, left_out: int):
         one = pa.Table.from_arrays(columns, names=[x.split()[0] for x in SCORES.split(", ")])
         del batch, automaton, raw
         give_back()  # the next batch, or another stage, gets this worker
-        return pa.concat_tables([one] * len(same))
+        return one
 
     return work
 
 
-def scans_alike(docs: DataFrame) -> bool:
-    """Whether another scan of docs gives the same rows in the same order: only columns and filters over files."""
-    nodes = [x.strip(" :+-*") for x in docs._jdf.queryExecution().optimizedPlan().toString().splitlines()]
-    return all(x.startswith(("Project ", "Filter ", "Relation ")) for x in nodes if x)
-
-
 def score(docs: DataFrame, modulus: int = 7, left_out: int = 2) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs (doc_id, text).
 
     Trained on all rows whose crc32 of the id is not `left_out` modulo `modulus`. Null, empty or blank text: the end
     token alone. Null doc_id: the id is empty text for the split. Repeated rows: rows like others, counted each.
     Empty table: no rows. Other columns are not read. A pair is named by PAIR_BITS of a hash, a word after it by NEXT_BITS; what
-    shares a name is one. docs is read twice, and written first if that may not give the same rows in the same order.
+    shares a name is one. docs is read once, into batches that are written: settings and scans may change before the result is read.
     """
-    docs = docs.select("doc_id", "text")
-    docs = docs if scans_alike(docs) else materialize(docs)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    held = text_batches(docs)
+    size = held.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     part_bits = max(3, math.ceil(math.log2(max(1, size / PART_BYTES))))
-    answered = materialize(ask(docs, part_bits, modulus, left_out).groupBy("part").applyInArrow(answer, ROWS))
+    answered = materialize(ask(held, part_bits, modulus, left_out).groupBy("part").applyInArrow(answer, ROWS))
     totals = total_rows(answered)
     words, pairs = totals.get(WORDS, [0] * (2 + len(POWERS))), totals.get(PAIRS, [0] * 5)
     model = Model(words[0], words[1], discount(*pairs[1:3]), discount(*pairs[3:5]), spread(pairs[0], words[2:]))
-    return answered.where(f"kind < {TEXTS}").unionByName(told(docs)).groupBy("batch").applyInArrow(scores(model, modulus, left_out), SCORES)
+    return answered.where(f"kind < {TEXTS}").unionByName(told(held)).groupBy("batch").applyInArrow(scores(model, modulus, left_out), SCORES)
 
 
 def total_rows(answered: DataFrame) -> dict[int, list[int]]:

@@ -65,8 +65,13 @@ TEXT_ROWS, KEY_ROWS = 1000, 10_000
 
 
 def arrow_rows(spark: SparkSession, most: int) -> None:
-    """Sets the session's spark.sql.execution.arrow.maxRecordsPerBatch for the next Arrow function."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+    """Sets the session's spark.sql.execution.arrow.maxRecordsPerBatch for the next Arrow function, unless the user has set it.
+
+    It is read when a plan runs, so it cannot be put back here. It bounds memory only: no result depends on where batches end.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) in ("10000", str(TEXT_ROWS), str(KEY_ROWS)):  # Spark's default, or ours
+        spark.conf.set(name, str(most))
 
 
 def texts(df: DataFrame, *columns: str) -> DataFrame:
