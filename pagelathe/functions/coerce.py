@@ -92,16 +92,58 @@ def to_boolean(c: Column) -> Column:
     return F.when(s.isin(*TRUE_WORDS), True).when(s.isin(*FALSE_WORDS), False)
 
 
-def to_date(c: Column, today: str = "2024-01-01") -> Column:
-    """An ISO date as text: the prefix as it stands, or day, month name and year; parts that lack come from `today`."""
-    s = F.trim(c)
-    low = F.lower(s)
-    name = F.regexp_extract(low, rf"\b({'|'.join(MONTHS)})[a-z]*\b", 1)
-    month = F.array_position(F.array(*map(F.lit, MONTHS)), name)
-    year = F.coalesce(F.nullif(F.regexp_extract(low, r"\b(\d{4})\b", 1), F.lit("")), F.lit(today[:4]))
-    day = F.coalesce(F.nullif(F.regexp_extract(low, r"(?:^|[^0-9])(\d{1,2})(?:st|nd|rd|th)?(?:[^0-9]|$)", 1), F.lit("")), F.lit(today[8:10]))
-    spelled = F.concat_ws("-", year, F.lpad(month.cast("string"), 2, "0"), F.lpad(day, 2, "0"))
-    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(s, 1, 10)).when((F.length(s) <= 256) & (name != ""), spelled)
+def to_date(c: Column, today: str = "2024-01-01", day_first: bool = False) -> Column:
+    """A date as ISO text. An ISO prefix stands as it is; else the first of these forms that is a day of the calendar, times of day and zones put aside:
+
+    year, month and day as numbers (2024/12/20, 2024.12.20, 20241220); two numbers and a year of two or four digits (12/20/2024, 20.12.24), the first
+    one a month unless it cannot be one or `day_first` is set; a month's name with a day, a year or both, in any order, weekdays and other words
+    aside. A year of two digits is the one within 50 years of `today`; parts that lack come from `today`, its day cut to the month's last.
+    Over 256 characters, or no such form: null.
+    """
+    text = F.struct(F.trim(c).alias("s"), _dates_only(F.lower(F.trim(c))).alias("low"))
+    # one element, so that the text is made once however often it is looked at
+    return F.transform(F.array(text), lambda t: _first_date(t["s"], t["low"], today, day_first))[0]
+
+
+def _dates_only(low: Column) -> Column:
+    """Without times of day and zones."""
+    low = F.regexp_replace(low, r"\b\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?\s*(?:[ap]\.?m\b\.?)?(?:\s*(?:z|utc|gmt|[a-z]{3,4})?\s*[+-]\d{2}:?\d{2})?", " ")
+    return F.regexp_replace(low, r"\b\d{1,2}\s*[ap]\.?m\b\.?", " ")
+
+
+def _first_date(s: Column, low: Column, today: str, day_first: bool) -> Column:
+    year_now = int(today[:4])
+
+    def full_year(y: Column) -> Column:
+        n = y.cast("int")
+        near = F.lit(year_now // 100 * 100) + n
+        return F.when(F.length(y) > 2, n).when(near >= year_now + 50, near - 100).when(near < year_now - 50, near + 100).otherwise(near)
+
+    def day(y: Column, m: Column, d: Column) -> Column:
+        text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
+        ok = y.isNotNull() & m.isNotNull() & d.isNotNull() & y.between(1, 9999)
+        return F.date_format(F.when(ok, F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))), "yyyy-MM-dd")
+
+    def group(pattern: str, k: int) -> Column:
+        return F.nullif(F.regexp_extract(low, pattern, k), F.lit(""))
+
+    ymd = r"(?<![\d/.-])(\d{4})([/.-])(\d{1,2})\2(\d{1,2})(?!\d)"
+    packed = r"(?<!\d)((?:19|20)\d{2})(\d{2})(\d{2})(?!\d)"
+    two = r"(?<![\d/.-])(\d{1,2})([/.-])(\d{1,2})\2(\d{4}|\d{2})(?!\d)"
+    a, b = group(two, 1).cast("int"), group(two, 3).cast("int")
+    swap = (a > 12) | (F.lit(day_first) & (b <= 12))
+    numbers = day(full_year(group(two, 4)), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b))
+
+    named = rf"\b({'|'.join(MONTHS)})(?:uary|ruary|ch|il|e|y|ust|t|tember|ober|ember)?\b"
+    month = F.array_position(F.array(*map(F.lit, MONTHS)), F.regexp_extract(low, named, 1)).cast("int")
+    year = full_year(F.coalesce(group(r"(?<!\d)(\d{4})(?!\d)", 1), group(r"['’](\d{2})(?!\d)", 1), group(rf"\d{{1,2}}(?:st|nd|rd|th)?[\s.-]+(?:of\s+)?(?:{'|'.join(MONTHS)})[a-z]*\.?[\s,.-]+(\d{{2}})(?!\d)", 1)))
+    number = group(r"(?:^|[^0-9'’])(\d{1,2})(?:st|nd|rd|th)?(?:[^0-9]|$)", 1).cast("int")
+    y = F.coalesce(year, F.lit(year_now))
+    last = F.day(F.last_day(F.try_to_timestamp(F.concat(F.lpad(y.cast("string"), 4, "0"), F.lit("-"), F.lpad(month.cast("string"), 2, "0"), F.lit("-01")), F.lit("yyyy-MM-dd"))))
+    spelled = F.when(month > 0, day(y, month, F.coalesce(number, F.least(F.lit(int(today[8:10])), last))))
+
+    any_form = F.coalesce(day(group(ymd, 1).cast("int"), group(ymd, 3).cast("int"), group(ymd, 4).cast("int")), numbers, spelled, day(group(packed, 1).cast("int"), group(packed, 2).cast("int"), group(packed, 3).cast("int")))
+    return F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), F.substring(s, 1, 10)).when(F.length(s) <= 256, any_form)
 
 
 def split_array(c: Column) -> Column:

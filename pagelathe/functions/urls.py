@@ -52,8 +52,15 @@ def cache_url(url: Column) -> Column:
     return F.concat(scheme, F.lit("://"), name, F.when((port != "") & (port != default), F.concat(F.lit(":"), port)).otherwise(""), F.when(path == "", "/").otherwise(path), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
 
 
-#: Steps up (..) of a relative link that are taken.
-UP_STEPS = 4
+def walked(path: Column) -> Column:
+    """A path without . and .. segments: a step up takes the segment before it away, at the root nothing."""
+    path_only, rest = F.regexp_extract(path, r"^[^?#]*", 0), F.regexp_extract(path, r"[?#].*$", 0)
+    steps = F.slice(F.split(path_only, "/"), 2, F.length(path) + 1)
+    none = F.array().cast("array<string>")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    kept = F.aggregate(steps, none, lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    ends = F.when(path_only.rlike(r"/\.{1,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), ends, rest)
 
 
 def resolve(base: Column, href: Column) -> Column:
@@ -61,15 +68,13 @@ def resolve(base: Column, href: Column) -> Column:
     root = F.concat(part(base, 1), F.lit("://"), part(base, 2))
     folder = F.regexp_replace(part(base, 3), r"[^/]*$", "")
     near = F.concat(F.when(folder == "", "/").otherwise(folder), href)
-    for _ in range(UP_STEPS):  # a step up takes the folder before it away
-        near = F.regexp_replace(F.regexp_replace(near, r"/(?!\.\./)[^/?#]+/\.\./", "/"), r"^/(\.\./)+", "/")
-    near = F.regexp_replace(near, r"/(\./)+", "/")
+    near = walked(near)
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(part(base, 1), F.lit(":"), href))
         .when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("?"), F.concat(root, part(base, 3), href))
-        .otherwise(F.concat(root, F.when(href.contains("./"), near).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), href))))
+        .otherwise(F.concat(root, F.when(href.rlike(r"(^|/)\.{1,2}([/?#]|$)"), near).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), href))))
     )
 
 

@@ -8,11 +8,12 @@ from pyspark.sql.window import Window
 
 from pagelathe.functions import classify, coerce, text, urls
 from pagelathe.functions.coerce import Field
-from pagelathe.operators import cache, content, crawl, images, metadata, relevance
+from pagelathe.operators import cache, content, crawl, images, intervals, metadata, relevance
 from pagelathe.functions.register import register
 from pagelathe.operators.outline import outlined
-from pagelathe.plans import engine
+from pagelathe.plans import batched, engine
 from pagelathe.sources.tables import table
+from pagelathe.streaming import store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -298,6 +299,25 @@ for _name, (_type, _sql) in SCALAR_SQL.items():
     QUERIES[_name], ORACLES[_name] = cast_query(_type), _sql
 
 
+#: Forms of a date, by the order's key.
+DATE_FORMS = ("MM/dd/yyyy", "MM.dd.yyyy", "yyyy/MM/dd", "yyyyMMdd", "EEEE, dd MMMM yyyy '10:30:00 GMT'", "MMMM d, yyyy 'at 5:07 pm'", "d'th of' MMM yyyy", "MMM d yyyy", "dd-MMM-yy", "M/d/yy", "yyyy.M.d", "'Published 08:15 on' d MMMM yyyy", "yyyy-MM-dd'T10:00:00Z'", "EEE MMM dd HH:mm:ss yyyy", "'13/13/2013'", "MMMM '31st of no year'")
+
+
+@query("select o_orderkey, case o_orderkey % 16 when 14 then null when 15 then case when month(o_orderdate) in (1, 3, 5, 7, 8, 10, 12) then '2024-' || strftime(o_orderdate, '%m') || '-31' end else strftime(o_orderdate, '%Y-%m-%d') end as date from orders")
+def e07_date_forms(spark, sf_dir):
+    forms = F.array(*[F.date_format("o_orderdate", f) for f in DATE_FORMS])
+    said_ = F.element_at(forms, (F.col("o_orderkey") % len(DATE_FORMS) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", coerce.coerce(said_, "date").alias("date"))
+
+
+@query("select p_partkey, 'http://h.com/' || array_to_string(list_concat(list_slice(['1', '2', '3', '4', '5', '6', '7'], 1, greatest(7 - k, 0)::int), [case p_partkey % 3 when 0 then 'x?y=../z' when 1 then 'a/c' else '' end]), '/') as url from (select p_partkey, p_partkey % 10 as k from part)")
+def c18_steps_up(spark, sf_dir):
+    k = F.col("p_partkey") % 10
+    tail = F.when(F.col("p_partkey") % 3 == 0, "x?y=../z").when(F.col("p_partkey") % 3 == 1, "./a/b/../c").otherwise(".")
+    href = F.concat(F.lit("./"), F.repeat(F.lit("../"), k.cast("int")), tail)
+    return table(spark, sf_dir, "part").select("p_partkey", urls.resolve(F.lit("http://h.com/1/2/3/4/5/6/7/leaf.html?q#f"), href).alias("url"))
+
+
 @query(rf"select l_orderkey, l_linenumber, case when not {NOTHING} then array_to_string([trim(x) for x in regexp_split_to_array(v, '[,;|]|\s·\s|\s•\s') if trim(x) <> ''], '#') end as items from {LITERALS}")
 def e09_split_array(spark, sf_dir):
     v = F.col("v")
@@ -523,12 +543,20 @@ def i09_overlay(spark, sf_dir):
     return r.select("l_orderkey", "l_linenumber", cache.overlay(F.when(n == 0, F.col("p_brand")), F.when(n == 1, F.col("l_returnflag")), F.lit("llm")).alias("value"))
 
 
-@query("select host, path, allowed from (select distinct 'h' || page_id % 3 as host, '/' || page_id % 5 || '/x' as path, case when page_id % 3 = 0 and page_id % 5 = 1 then false when page_id % 3 = 1 then page_id % 5 = 2 else true end as allowed from pages)")
+ROBOTS_PATH = "['/1/x', '/1/ok/x', '/2/x', '/2/open/x', '/a/b.pdf', '/a/b.pdf?x', '/'][(page_id % 7 + 1)::int]"
+
+
+@query(f"""select distinct 'h' || (page_id % 60) as host, path, case page_id % 60 % 3 when 0 then not (path = '/2/x' or path = '/a/b.pdf') when 1 then path <> '/1/x' else true end as allowed from (select page_id, {ROBOTS_PATH} as path from pages)""")
 def b18_robots(spark, sf_dir):
-    robots = spark.createDataFrame([("h0", "User-agent: *\nDisallow: /1/ # no\n"), ("h1", "User-agent: *\nDisallow: /\nAllow: /2/"), ("h2", "User-agent: other\nDisallow: /")], "host string, body string")
-    p = F.col("page_id")
-    u = table(spark, sf_dir, "pages").select(F.concat(F.lit("h"), (p % 3).cast("string")).alias("host"), F.concat(F.lit("/"), (p % 5).cast("string"), F.lit("/x")).alias("path")).distinct().withColumn("url", F.concat("host", "path"))
-    return crawl.allowed(u, crawl.robots_rules(robots)).select("host", "path", "allowed")
+    # of every three hosts one has groups for the agent, one only for all agents, one nothing to say
+    h = F.col("page_id") % 60
+    all_ = "User-agent: *\nDisallow: /1/ # not these\nAllow: /1/ok\n"
+    mine = "\nUser-agent: other\nUSER-AGENT: PageLathe/2.0\nDisallow: /2/\nDisallow: /*.pdf$\nAllow: /2/open\n"
+    body = F.when(h % 3 == 0, all_ + mine + "\nUser-agent: third\nDisallow: /\n").when(h % 3 == 1, all_ + "\nUser-agent: third\nDisallow: /\n").otherwise("User-agent: *\nDisallow:\n")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("h"), h.cast("string")).alias("host"), body.alias("body"))
+    path = F.element_at(F.array(*map(F.lit, ("/1/x", "/1/ok/x", "/2/x", "/2/open/x", "/a/b.pdf", "/a/b.pdf?x", "/"))), (F.col("page_id") % 7 + 1).cast("int"))
+    u = pages.select("host", path.alias("path")).withColumn("url", F.concat("host", "path"))
+    return crawl.allowed(u, crawl.robots_rules(pages.select("host", "body").distinct(), "pagelathe")).select("host", "path", "allowed")
 
 
 @query("select count(*) as total, count(*) filter (event_type <> 'error') as succeeded, count(*) filter (event_type = 'error') as failed from events")
@@ -565,6 +593,15 @@ def k03_host_pacing(spark, sf_dir):
     return crawl.pacing(visits(spark, sf_dir), low_ms=25_000_000, high_ms=75_000_000).select("id", "elapsed_ms", F.col("min_gap_ms").cast("long"), F.col("max_gap_ms").cast("long"), "violates")
 
 
+@query(f"""with s as (select event_id as id, host, ts, sum(case when status in (429, 503) then 1 else 0 end) over (partition by host, island order by ts, event_id) as streak from (select *, sum(case when status between 200 and 399 then 1 else 0 end) over (partition by host order by ts, event_id) as island from {ERRORS})),
+ g as (select id, host, ts, case when coalesce(lag(streak) over (partition by host order by ts, id), 0) >= 2 then 2 else 1 end * 50000000 as gap_ms from s),
+ t as (select *, sum(gap_ms) over (partition by host order by ts, id) as total from g)
+ select id, gap_ms::bigint as gap_ms, make_timestamp((1000 * (total + max(epoch_us(ts) // 1000 - total) over (partition by host order by ts, id)))::bigint) as release from t""")
+def k03_release_times(spark, sf_dir):
+    rows = crawl.pacing(visits(spark, sf_dir)).select("host", "id", "ts", F.col("streak_before").alias("streak"))
+    return crawl.release_times(rows, 50_000_000, 50_000_000).select("id", F.col("gap_ms").cast("long").alias("gap_ms"), F.col("release").cast("timestamp_ntz").alias("release"))
+
+
 @query("select l_orderkey, arg_min(l_partkey, l_linenumber * 100000000 + l_partkey) as first_part, arg_max(l_partkey, l_linenumber * 100000000 + l_partkey) as last_part from lineitem group by 1")
 def k01_first_last_wins(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("first_part"), F.max_by("l_partkey", F.struct("l_linenumber", "l_partkey")).alias("last_part"))
@@ -724,6 +761,68 @@ def q_asof_join(spark, sf_dir):
     return e.withColumn("seen_at", seen).where("event_type = 'purchase'").select("event_id", "seen_at")
 
 
+@query("select p.event_id, max(v.event_id) as entry from events p left join events v on p.user_id = v.user_id and v.event_type = 'view' and v.ts <= p.ts and (v.event_id % 11 = 0 or p.ts < v.ts + to_hours((v.event_id % 7 * 40 + 1)::int)) where p.event_type = 'purchase' group by 1")
+def q_valid_at(spark, sf_dir):
+    # cache entries of a user, some for ever, and what was valid at a purchase: the latest entry
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    until = F.when(F.col("event_id") % 11 != 0, F.col("ts") + F.make_dt_interval(hours=(F.col("event_id") % 7 * 40 + 1).cast("int")))
+    entries = e.where("event_type = 'view'").select("user_id", F.col("event_id").alias("entry"), F.col("ts").alias("since"), until.alias("until"))
+    moments = e.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    return intervals.valid_at(moments, entries, ["user_id"], "ts", "since", "until", "entry", "1 hour").select("event_id", "entry")
+
+
+@query("select a.event_type, count(*) as pairs, count(distinct a.event_id) as with_one from events a join events b on a.event_type = b.event_type and a.event_id % 5 = 0 and b.event_id % 5 = 1 and a.ts <= b.ts + to_minutes((b.event_id % 50)::int) and b.ts <= a.ts + to_seconds(a.event_id % 100 * 10) group by 1")
+def q_interval_overlap(spark, sf_dir):
+    # four keys hold all rows: each is dealt over its bins of time
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    a = e.where("event_id % 5 = 0").select("event_type", "event_id", F.col("ts").alias("a"), (F.col("ts") + F.make_dt_interval(secs=(F.col("event_id") % 100 * 10).cast("decimal(18,6)"))).alias("z"))
+    b = e.where("event_id % 5 = 1").select("event_type", F.col("ts").alias("b"), (F.col("ts") + F.make_dt_interval(mins=(F.col("event_id") % 50).cast("int"))).alias("y"))
+    pairs = intervals.overlapping(a, b, ["event_type"], ("a", "z"), ("b", "y"), "1 minute")
+    return pairs.groupBy("event_type").agg(F.count("*").alias("pairs"), F.count_distinct("event_id").alias("with_one"))
+
+
+@query("""with s as (select user_id, ts, case when ts <= lag(ts) over (partition by user_id order by ts) + interval 3 hour then 0 else 1 end as new from events), i as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from s)
+ select user_id, min(ts) as "start", max(ts) + interval 3 hour as "end", count(*) as n from i group by user_id, k""")
+def q_session_windows(spark, sf_dir):
+    rows = store.sessions(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")), "3 hours")
+    return rows.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+#: Events as operations of a keyed store.
+OPS = "(select event_id as id, user_id as key, ts, ['set', 'get', 'get', 'exists', 'set', 'delete', 'get'][(event_id % 7 + 1)::int] as op, event_type as value, (event_id % 5 * 3600 * 200)::bigint as ex from events)"
+
+
+@query(f"""with o as {OPS}, w as (select *, max(case when op in ('set', 'delete') then struct_pack(ts := ts, id := id, op := op, value := value, ex := ex) end) over (partition by key order by ts, id rows between unbounded preceding and 1 preceding) as last from o),
+ g as (select id, key, op, coalesce(last.op = 'set' and (last.ex = 0 or last.ts + to_seconds(last.ex) > ts), false) as found, last.value as value from w where op in ('get', 'exists'))
+ select id, key, op, case when found and op = 'get' then value end as value, found from g""")
+def n01_store_replay(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    op = F.element_at(F.array(*map(F.lit, ("set", "get", "get", "exists", "set", "delete", "get"))), (F.col("event_id") % 7 + 1).cast("int"))
+    ops = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("key"), "ts", op.alias("op"), F.col("event_type").alias("value"), (F.col("event_id") % 5 * 3600 * 200).alias("ex"))
+    return store.replayed(ops).select("id", "key", "op", "value", "found")
+
+
+class Echo:
+    """A provider of jobs that answers with the first character of a text, and loses every third job."""
+
+    def submit(self, name, requests):
+        self.held = getattr(self, "held", {}) | {name: requests}
+
+    def look(self, name):
+        asked = self.held.pop(name)
+        return batched.Job(batched.FAILED) if int(name[:2], 16) % 3 == 0 else batched.Job(batched.DONE, tuple(self.extract(r) for r in asked), tuple(7 for _ in asked))
+
+    def extract(self, request):
+        return {"first": request.text[:1], "fields": str(len(request.fields))}
+
+
+@query("select doc_id, left(text, 1) as first, 2::bigint as fields from documents")
+def g13_batched(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = batched.extract_batched(texts, [Field("first", "string"), Field("fields", "integer")], Echo(), Echo(), pages=50)
+    return rows.select("doc_id", "data.first", F.col("data.fields").cast("long").alias("fields"))
+
+
 @query("select event_type, sum(case when user_id % 2 = 0 then value else 0 end)::decimal(18, 2)::double as even, sum(case when user_id % 2 = 1 then value else 0 end)::decimal(18, 2)::double as odd from events group by 1")
 def q_pivot(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("side", F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd"))
