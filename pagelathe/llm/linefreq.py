@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelathe.llm.shared import SMALL_ROWS, bounded, byte_view, few, give_back, materialize, may_have, slices, texts, word_codes, word_spans
+from pagelathe.llm.shared import bounded, byte_view, give_back, materialize, screened, slices, texts, word_codes, word_spans
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -176,15 +176,9 @@ def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
             give_back()
 
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
-    on = F.col("__row") == F.col("__rid")
-    lines = found.agg(F.sum(F.size("__above"))).first()[0] or 0
-    if lines <= SMALL_ROWS and few(found):
-        passed = rows.join(F.broadcast(found.select("__rid")), on, "left_anti")
-        some = texts(rows).join(F.broadcast(found.where("__kept")), on)
-        return passed.select(docs.columns).unionByName(some.withColumn("text", cut("text", "__above")).select(docs.columns))
     # only rows that go or lose lines need an exchange of texts; all others are passed on where they are read
-    touched = may_have(found, "__rid")(F.col("__row"))
-    some = texts(rows.where(touched)).join(found, on, "left").where(F.coalesce("__kept", F.lit(True)))
+    touched, passed = screened(rows, "__row", found, "__rid")
+    some = texts(touched).join(found, F.col("__row") == F.col("__rid"), "left").where(F.coalesce("__kept", F.lit(True)))
     less = cut(F.when(F.col("__above").isNotNull(), F.col("text")), F.col("__above"))
     some = some.withColumn("text", F.coalesce(less, F.col("text")))
-    return rows.where(~touched).select(docs.columns).unionByName(some.select(docs.columns))
+    return passed.select(docs.columns).unionByName(some.select(docs.columns))

@@ -196,47 +196,21 @@ def prefix_sum(df: DataFrame, keys: list[str], value: Column, order: list[Column
     return rows.join(sums, cond, "left").select(*[rows[c] for c in df.columns if c != b], (rows[part] + sums[total]).alias(out))
 
 
-#: Rows of keys, about 32 bytes each, up to which small() broadcasts a table.
-SMALL_ROWS = 500_000
+#: Bits of screened()'s filter; as 64-bit words they are 2 ** 20 rows at most, whatever the number of keys.
+FILTER_BITS = 1 << 26
 
 
-def few(df: DataFrame) -> bool:
-    return df.count() <= SMALL_ROWS
+def screened(rows: DataFrame, column: str, keys: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """rows whose `column` (long) may be among the keys, and those where it is not, for sure.
 
-
-def small(df: DataFrame) -> DataFrame:
-    """df to be joined: broadcast if its counted rows are few, else left to the optimizer. Only for tables of keys that are written already."""
-    return F.broadcast(df) if few(df) else df
-
-
-#: Bits of the largest filter of may_have(): 16 MB.
-FILTER_BITS = 1 << 27
-
-
-def may_have(keys: DataFrame, key: str) -> Callable[[Column], Column]:
-    """A test of Columns (long): false only where a value is not among the keys, true for those and a few others.
-
-    A Bloom filter with 16 bits for each key, three of them set, as long as FILTER_BITS allows; beyond that more others pass, up
-    to all, and what comes after does the whole work. So it only spares rows an exchange: an exact join must follow for those
-    that pass. The set bits are gathered by word, at most FILTER_BITS / 64 rows, and broadcast. Not for a few() keys: a broadcast
-    join exchanges no rows either, and needs no Python worker.
+    A filter with one bit for each key: a join with its words, which are broadcast. Of the rows that are not among n keys, n / FILTER_BITS
+    come with the first lot too, in the end all of them: it only spares rows an exchange, so an exact join must follow. All of it
+    is in the JVM, and the same at every size. Both lots scan rows, so these should be a table or columns of one. Null: not among the keys.
     """
-    spark = keys.sparkSession
-    bits = 1 << 16
-    while bits < min(FILTER_BITS, 16 * keys.count()):
-        bits *= 2
-    places = [F.pmod(F.xxhash64(F.lit(k), key), F.lit(bits)) for k in range(3)]
-    words = keys.select(F.explode(F.array(*places)).alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("mask")).toArrow()
-    table = np.zeros(bits >> 6, np.uint64)
-    table[words.column("word").to_numpy()] = words.column("mask").to_numpy().view(np.uint64)
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.arrow_udf("boolean")
-    def test(*at: pa.Array) -> pa.Array:
-        held, ok = shared.value, True
-        for a in at:
-            p = a.to_numpy(zero_copy_only=False)
-            ok = ok & ((held[p >> 6] >> (p & 63).astype(np.uint64)) & np.uint64(1) == 1)
-        return pa.array(ok)
-
-    return lambda c: test(*[F.pmod(F.xxhash64(F.lit(k), c), F.lit(bits)) for k in range(3)])
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(F.lit(11), c), 64 - FILTER_BITS.bit_length() + 1)
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % 64).cast("int"))
+    words = keys.select(place(F.col(key)).alias("p")).groupBy(F.shiftright("p", 6).alias("__word")).agg(F.bit_or(bit(F.col("p"))).alias("__mask"))
+    at = place(F.col(column))
+    looked = rows.join(F.broadcast(words), F.shiftright(at, 6) == F.col("__word"), "left")
+    hit = F.coalesce(F.col("__mask").bitwiseAND(bit(at)) != 0, F.lit(False)) & F.col(column).isNotNull()
+    return looked.where(hit).drop("__word", "__mask"), looked.where(~hit).drop("__word", "__mask")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelathe.llm.components import components, forest, span_links, spanned
-from pagelathe.llm.shared import KEY_ROWS, TO_LOWER, arrow_rows, bounded, byte_view, few, materialize, may_have, rows_per_partition, slices, small, texts, word_spans
+from pagelathe.llm.shared import KEY_ROWS, TO_LOWER, arrow_rows, bounded, byte_view, materialize, rows_per_partition, screened, slices, texts, word_spans
 
 BITS = 64
 
@@ -341,7 +341,7 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
     groups = materialize(groups.select(F.col("component").alias("gid"), "pid", "rid", "weight"))
     named = docs.select(row_id().alias("r"), "text")
     own = groups.select("pid", "rid")
-    meant = named.join(F.broadcast(own), F.col("r") == F.col("rid")) if few(own) else named.where(may_have(groups, "rid")(F.col("r"))).join(own, F.col("r") == F.col("rid"))
+    meant = screened(named, "r", own, "rid")[0].join(own, F.col("r") == F.col("rid"))
     mine = meant.select("pid", "text")
     held = materialize(texts(mine.dropDuplicates(["pid"])).mapInArrow(bounded(sets), "pid long, shingles binary"))
     comp = materialize(components(span_links(groups.select("gid", "pid", "weight"), held, set_links(similarity), block // 2, n)))
@@ -367,16 +367,7 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     rows = docs.withColumn(row, row_id())
     gone = marked.where("not stays").select(F.col("rid").alias("__gone"))
     again = marked.where("stays").select(F.col("rid").alias("__again"))
-    if few(marked):
-        some, out = rows, []
-    else:
-        found_ = may_have(marked, "rid")(F.col(row))
-        some, out = rows.where(found_), [rows.where(~found_)]
-    passed = some.join(small(gone), F.col(row) == F.col("__gone"), "left_anti")
-    if again.isEmpty():
-        out.append(passed)
-    else:
-        again = small(again)
-        out.append(passed.join(again, F.col(row) == F.col("__again"), "left_anti"))
-        out.append(passed.join(again, F.col(row) == F.col("__again"), "left_semi").dropDuplicates([row]))
+    some, passed = screened(rows, row, marked, "rid")
+    stay = some.join(gone, F.col(row) == F.col("__gone"), "left_anti")
+    out = [passed, stay.join(again, F.col(row) == F.col("__again"), "left_anti"), stay.join(again, F.col(row) == F.col("__again"), "left_semi").dropDuplicates([row])]
     return reduce(DataFrame.unionByName, [df.select(docs.columns) for df in out])

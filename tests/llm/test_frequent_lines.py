@@ -2,6 +2,9 @@
 
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from pagelathe.llm import linefreq, shared
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,13 +44,22 @@ def test_texts_that_stay_go_on_without_frequent_lines(spark):
     assert linefreq.keep_good(spark.createDataFrame(rows + rows[:1], DOCS), LIMITS).count() == len(rows) + 1
 
 
-def test_rows_change_in_one_python_step_or_past_a_filter_alike(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_rows_change_in_one_python_step(spark, monkeypatch, bits):
+    """With a filter of 64 bits nearly all rows pass it, and the join that follows puts it right."""
     rows = [(i, f"Menu of page 12\nown {word(i)} words here", "en", "h", i) for i in range(60)] + [(70 + i, "Menu of page 12", "en", "h", 0) for i in range(2)] + [(80, None, "en", "h", 0), (None, "alone", "en", None, 0)]
     docs = spark.createDataFrame(rows + rows[:1], DOCS)
-    few = linefreq.keep_good(docs, LIMITS)
-    assert few._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1, "a task with two of them holds two workers"
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
+    good = linefreq.keep_good(docs, LIMITS)
+    assert good._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1, "a task with two of them holds two workers"
     want = Counter((i, t.removeprefix("Menu of page 12\n"), *rest) for i, t, *rest in rows + rows[:1] if t and t != "Menu of page 12")
-    assert Counter(map(tuple, few.collect())) == want
-    for module in (shared, linefreq):
-        monkeypatch.setattr(module, "SMALL_ROWS", 0)
-    assert Counter(map(tuple, linefreq.keep_good(docs, LIMITS).collect())) == want
+    assert Counter(map(tuple, good.collect())) == want
+
+
+def test_screened_rows(spark):
+    keys = spark.range(0, 1000, 7).withColumnRenamed("id", "k")
+    rows = spark.range(1000).select("id", F.when(F.col("id") != 14, F.col("id")).alias("key"))
+    maybe, others = (x.collect() for x in shared.screened(rows, "key", keys, "k"))
+    assert {r["id"] for r in maybe} >= set(range(0, 1000, 7)) - {14} and 14 in {r["id"] for r in others} and len(maybe) < 160
+    assert sorted(r["id"] for r in maybe + others) == list(range(1000))
+    assert shared.screened(rows, "key", keys.limit(0), "k")[0].count() == 0

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from pagelathe.llm import shared, simhash
 from pagelathe.llm.components import forest, span_links
@@ -91,14 +92,12 @@ def test_large_groups_keep_their_links(spark):
         assert len({max(x) for x in up if 0 in x}) == 150
 
 
-def test_rows_go_without_python_or_past_a_filter_alike(spark, monkeypatch):
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_rows_go_without_python(spark, monkeypatch, bits):
     rng = np.random.default_rng(11)
     a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 9999, 80)) for _ in range(3))
     rows = [(1, a, "en", "s", 0), (2, a + " end", "en", "s", 0), (3, b, "en", "s", 0), (3, b, "en", "s", 0), (4, c, "en", "s", 0), (None, a, "en", "s", 0)]
-    docs = spark.createDataFrame(rows, DOCS)
-    few = simhash.drop_near_duplicates(docs)
-    assert "EvalPython" not in few._jdf.queryExecution().optimizedPlan().toString(), "texts do not pass through a worker"
-    want = sorted([(1, a), (3, b), (4, c)])
-    assert sorted((r["doc_id"], r["text"]) for r in few.collect()) == want
-    monkeypatch.setattr(shared, "SMALL_ROWS", 0)
-    assert sorted((r["doc_id"], r["text"]) for r in simhash.drop_near_duplicates(docs).collect()) == want
+    monkeypatch.setattr(shared, "FILTER_BITS", bits)
+    left = simhash.drop_near_duplicates(spark.createDataFrame(rows, DOCS))
+    assert "EvalPython" not in left._jdf.queryExecution().optimizedPlan().toString(), "texts do not pass through a worker"
+    assert sorted((r["doc_id"], r["text"]) for r in left.collect()) == sorted([(1, a), (3, b), (4, c)])
