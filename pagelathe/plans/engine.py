@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pagelathe.functions.classify import error_row, escalation_reason, null_rate_fires
 from pagelathe.functions.coerce import Field, coerce_row, failed, row_type, validate
 from pagelathe.operators import content
-from pagelathe.operators.metadata import all_facts, known_facts, resolve
+from pagelathe.operators.metadata import all_facts, known_facts, resolve, skips_rest
 from pagelathe.operators.outline import outlined
 from pagelathe.operators.relevance import pruned, query_terms
 from pagelathe.plans.provider import PatternProvider, Provider, ProviderError, Request, call, model_for, output_budget, prompt, thinking_budget
@@ -24,13 +24,20 @@ from pagelathe.plans.provider import PatternProvider, Provider, ProviderError, R
 BUDGETS = (12_000, 24_000)
 
 
-def parsed(rows: DataFrame, fields: list[Field], carry: tuple[str, ...] = ()) -> DataFrame:
-    """rows (page_id, url, html, code[, headers, oembed] and `carry`) without html, with facts, text, identifiers and descriptions; nulls where there is a code."""
+def parsed(rows: DataFrame, fields: list[Field], carry: tuple[str, ...] = (), embeds: DataFrame | None = None) -> DataFrame:
+    """rows (page_id, url, html, code[, headers, cleaned] and `carry`) without html, with facts, text, identifiers and descriptions; nulls where there is a code.
+
+    embeds (endpoint, json): oEmbed answers, joined to the pages that name their endpoints. cleaned: a text that a cache has, null for none.
+    """
     wanted = content.wants_description(fields)
     rows = outlined(rows.withColumn("__skip", F.col("code").isNotNull()), skip="__skip")
+    if embeds is not None:
+        answers = embeds.groupBy(F.col("endpoint").alias("__endpoint")).agg(F.max("json").alias("oembed"))
+        named = F.get(F.filter("page.facts", lambda f: f["source"] == "link"), F.lit(0))["value"]
+        rows = rows.withColumn("__at", named).join(answers, F.col("__at") == F.col("__endpoint"), "left")
     made = {
         "facts": known_facts(all_facts(rows)),
-        "text": content.cleaned("page", "url", fields),
+        "text": F.coalesce(F.col("cleaned"), content.cleaned("page", "url", fields)) if "cleaned" in rows.columns else content.cleaned("page", "url", fields),
         "identifiers": content.identifiers("page", "url"),
         "descriptions": content.descriptions("page") if wanted else F.lit(""),
     }
@@ -74,13 +81,14 @@ def asked(rows: DataFrame, fields: list[Field], provider: Provider, query: list[
     return rows.mapInArrow(run, f"{kept}, said map<string,string>, failure string")
 
 
-def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = None, threshold: float = 0.7, query: list[str] | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """pages (page_id, url, html[, status_code]) as rows (page_id, url, status, data, warnings, error, source), one for each page.
+def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = None, threshold: float = 0.7, query: list[str] | None = None, carry: tuple[str, ...] = (), embeds: DataFrame | None = None) -> DataFrame:
+    """pages (page_id, url, html[, status_code, headers, cleaned, cached]) as rows (page_id, url, status, data, warnings, error, source), one for each page.
 
     Facts of the page come first; the provider is asked only where they leave more open than `threshold` allows or a field
     that a shop must say, and again with more text if too much of its answer is null. Values that are known stay. Block pages
     and failed calls are rows with an error, not exceptions. Null html is an empty page. Empty table: no rows. Columns named in
-    `carry` go along.
+    `carry` go along. headers: response headers, facts like others. cleaned: a cached text of the page. cached: a map of values that the field cache has, which
+    count for what the page's own facts leave open. embeds: see parsed(). A column `code` that is there already is an error that stays.
     """
     validate(fields)
     provider = provider or PatternProvider()
@@ -88,16 +96,21 @@ def extract(pages: DataFrame, fields: list[Field], provider: Provider | None = N
     status = F.col("status_code") if "status_code" in pages.columns else F.lit(200)
     numeric = any(f.type in ("integer", "float") for f in fields)
     reason = escalation_reason(F.col("html"), status, numeric)
-    rows = pages.select("page_id", "url", "html", *carry, F.when(reason.isin("block_signature", "block_content", "soft_status"), "FETCH_BLOCKED").alias("code"))
-    rows = parsed(rows, fields, carry)
+    code = F.when(reason.isin("block_signature", "block_content", "soft_status"), "FETCH_BLOCKED")
+    code = F.coalesce(F.col("code"), code) if "code" in pages.columns else code
+    extra = [c for c in ("headers", "cleaned") if c in pages.columns and c not in carry]
+    held = ("cached",) if "cached" in pages.columns and "cached" not in carry else ()
+    rows = pages.select("page_id", "url", "html", *carry, *extra, *held, code.alias("code"))
+    rows = parsed(rows, fields, (*carry, *held), embeds)
 
     raw = {f.name: resolve(F.col("facts"), f) for f in fields}
+    if held:
+        raw = {n: F.coalesce(c, F.try_element_at("cached", F.lit(n))) for n, c in raw.items()}
     usable = [F.struct(F.lit(f.name).alias("k"), F.when(~failed(raw[f.name], f.type), raw[f.name]).alias("v")) for f in fields]
     known = F.map_from_entries(F.filter(F.array(*usable), lambda x: x["v"].isNotNull()))
     product = [f.name for f in fields if content.PRODUCT_FIELD.search(f.name)]
-    lacks = lambda of: F.exists(F.array(*map(F.lit, product)), lambda n: ~F.map_contains_key(of, n)) if product else F.lit(False)
     rows = rows.withColumn("known", known).withColumn("have", F.size("known"))
-    rows = rows.withColumn("ask", F.col("code").isNull() & ((F.col("have") < threshold * len(fields)) | lacks(F.col("known"))))
+    rows = rows.withColumn("ask", F.col("code").isNull() & ~skips_rest(F.col("have"), fields, F.filter(F.array(*[F.lit(f.name) for f in fields]), lambda n: ~F.map_contains_key(F.col("known"), n)), threshold))
     rows = asked(rows.drop("facts"), fields, provider, query)
 
     value = lambda said: {f.name: F.coalesce(F.try_element_at("known", F.lit(f.name)), F.try_element_at(said, F.lit(f.name))) for f in fields}

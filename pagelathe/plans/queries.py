@@ -11,7 +11,8 @@ from pagelathe.functions.coerce import Field
 from pagelathe.operators import cache, content, crawl, images, intervals, metadata, relevance
 from pagelathe.functions.register import register
 from pagelathe.operators.outline import outlined
-from pagelathe.plans import batched, engine
+from pagelathe.plans import batched, engine, service
+from pagelathe.plans.chain import Sources
 from pagelathe.sources.tables import table
 from pagelathe.streaming import store
 
@@ -802,6 +803,31 @@ def n01_store_replay(spark, sf_dir):
     return store.replayed(ops).select("id", "key", "op", "value", "found")
 
 
+@query("""select page_id, ['plain', 'browser', 'archive', null, null, null, 'archive'][(page_id % 7 + 1)::int] as via, [null, null, null, 'FETCH_BLOCKED', 'FETCH_BLOCKED', 'URL_UNREACHABLE', null][(page_id % 7 + 1)::int] as code,
+ ['Plain ', 'Rendered ', 'Kept ', null, null, null, 'Kept '][(page_id % 7 + 1)::int] || page_id as title, case page_id % 7 when 0 then 'Embedded ' || page_id end as author, case when page_id % 7 in (0, 1, 2, 6) then page_id end as rank from pages""")
+def a01_chain(spark, sf_dir):
+    """Of each seven requests every source supplies one, one host refuses, one page stays blocked, and one is nowhere."""
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id") % 7
+    site = F.concat(F.lit("https://h"), i.cast("string"), F.lit(".example/"), F.col("page_id").cast("string"))
+    shut = F.lit("<html><title>Just a moment...</title><body>cf-turnstile</body></html>")
+
+    def titled(word: str) -> Column:
+        return F.replace(F.col("html"), F.lit("<head>"), said('<head><meta property="og:title" content="', word, "#", '"><link rel="alternate" type="application/json+oembed" href="/oembed/', "#", '">'))
+
+    rows = p.select("page_id", site.alias("url"), "html")
+    sources = Sources(
+        pages=rows.where(~i.isin(5, 6)).withColumn("html", F.when(i == 0, titled("Plain ")).otherwise(shut)),
+        snapshots=rows.where(i == 1).select("url", titled("Rendered ").alias("html")),
+        archive=rows.where(i.isin(2, 6)).select("url", F.lit("wayback").alias("source"), F.concat(titled("Kept "), F.lit(f"<!-- {'long enough ' * 70} -->")).alias("html"), F.lit(200).alias("status_code")),
+        marks=spark.createDataFrame([("h4.example", "2024-01-01 00:00:00"), ("h0.example", "2023-01-01 00:00:00")], "host string, ts string").withColumn("ts", F.col("ts").cast("timestamp")),
+        embeds=rows.where(i == 0).select(F.concat(F.lit("https://h0.example/oembed/"), F.col("page_id").cast("string")).alias("endpoint"), said('{"author": "Embedded ', "#", '"}').alias("json")),
+        fields=rows.select(urls.cache_url(F.col("url")).alias("url_key"), F.lit("rank").alias("field"), F.lit("integer").alias("type"), F.col("page_id").cast("string").alias("value"), F.lit("2024-01-02").cast("timestamp").alias("expires_at")),
+    )
+    fields = [Field("title", "string"), Field("author", "string"), Field("rank", "integer")]
+    out = service.extract_from(rows.select(F.col("page_id").alias("ordinal"), "url"), sources, fields, now=F.lit("2024-01-01 00:05:00").cast("timestamp"))
+    return out.select(F.col("ordinal").alias("page_id"), "via", F.col("error.code").alias("code"), "data.title", "data.author", F.col("data.rank").cast("long").alias("rank"))
+
+
 class Echo:
     """A provider of jobs that answers with the first character of a text, and loses every third job."""
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagelathe.functions.coerce import Field
 from pagelathe.functions.urls import cache_url, crawl_url, host, part, url_safety
 from pagelathe.operators import cache, crawl
 from pagelathe.plans import engine
+from pagelathe.plans.chain import Sources, gathered
 from pagelathe.plans.provider import Provider
+from pagelathe.sources.tables import written
 
 
 def extract_one(spark: SparkSession, url: str, html: str | None, fields: list[Field], provider: Provider | None = None) -> dict:
@@ -24,6 +26,38 @@ class BatchFailed(RuntimeError):
     """A batch that must not have failures has one."""
 
 
+def extract_from(requests: DataFrame, sources: Sources, fields: list[Field], provider: Provider | None = None, now=None, fail_fast: bool = False) -> DataFrame:
+    """(ordinal, url, status, data, warnings, error, source, via) for each of requests (ordinal, url): the whole chain, from refusing hosts to the last call.
+
+    Pages come by chain.gathered(), cleaned texts and values that the caches of `sources` have are not made again, oEmbed answers are facts. With fail_fast the rows
+    are written once, and a failed one raises BatchFailed with the first failure in order; what is returned is what was written.
+    """
+    now = F.current_timestamp() if now is None else now
+    rows = gathered(requests, sources, now, any(f.type in ("integer", "float") for f in fields))
+    if sources.texts is not None:
+        live = sources.texts.where(F.col("expires_at") > now).groupBy(F.col("hash").alias("__hash")).agg(F.max("text").alias("cleaned"))
+        rows = rows.join(live, F.sha2("html", 256) == F.col("__hash"), "left").drop("__hash")
+    if sources.fields is not None:
+        known = cache.field_lookup(rows.select(cache_url(F.col("url")).alias("url_key")).distinct(), sources.fields, fields, now)
+        rows = rows.join(known.select(F.col("url_key").alias("__key"), F.col("known").alias("cached")), cache_url(F.col("url")) == F.col("__key"), "left").drop("__key")
+    done = engine.extract(rows, fields, provider, carry=("ordinal", "via"), embeds=sources.embeds).drop("page_id")
+    if not fail_fast:
+        return done
+    done = written(done)
+    first = done.where("status = 'error'").agg(F.min_by("error", "ordinal"), F.min("ordinal")).first()
+    if first[1] is not None:
+        raise BatchFailed(f"request {first[1]}: {first[0]['code']}")
+    return done
+
+
+def observed(results: DataFrame, name: str = "extract") -> tuple[DataFrame, Observation]:
+    """results with counters that are there once they have been read, without a job of their own: rows, failures and rows by source."""
+    seen = Observation(name)
+    of = lambda s: F.count_if(F.col("source") == s).alias(s)
+    counted = results.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "error").alias("failed"), F.sum(F.size("warnings")).alias("warnings"), *[of(s) for s in ("metadata", "metadata_partial", "provider", "fallback")])
+    return counted, seen
+
+
 def batch(requests: DataFrame, pages: DataFrame, fields: list[Field], provider: Provider | None = None, cached: DataFrame | None = None, now=None, fail_fast: bool = False) -> DataFrame:
     """A row for each of requests (ordinal, url), whatever repeats or lacks a page: (ordinal, url, status, data, warnings, error, source).
 
@@ -53,6 +87,7 @@ def batch(requests: DataFrame, pages: DataFrame, fields: list[Field], provider:
     for p in parts:
         done = done.unionByName(p)
     if fail_fast:
+        done = written(done)  # asked once: what is tested is what is returned
         first = done.where("status = 'error'").agg(F.min_by("error", "ordinal"), F.min("ordinal")).first()
         if first[1] is not None:
             raise BatchFailed(f"request {first[1]}: {first[0]['code']}")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -53,6 +55,23 @@ def sitemap_urls(maps: DataFrame, glob: str | None = None) -> DataFrame:
     return found.groupBy("host", "url").agg(F.min("ord").alias("ord")).select("host", "ord", "url")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors see; a local one only where all runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that they share")
+        base = tempfile.mkdtemp(prefix="pagelathe-")
+    return f"{base.rstrip('/')}/rows-{uuid.uuid4().hex}"
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """rows as a table in the shared folder: made once, however often they are read."""
+    path = shared_folder(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 

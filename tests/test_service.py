@@ -9,7 +9,7 @@ from pagelathe.__main__ import main
 from pagelathe.functions import urls
 from pagelathe.functions.coerce import Field
 from pagelathe.operators import cache
-from pagelathe.plans import service
+from pagelathe.plans import chain, service
 from pagelathe.sources import tables
 
 def now():
@@ -103,3 +103,50 @@ def test_command_line(spark, pages, tmp_path, capsys):
     assert main(["batch", "--pages", str(tmp_path / "pages"), "--schema", schema, "--urls", str(tmp_path / "urls")]) == 0
     rows = [json.loads(x) for x in capsys.readouterr().out.splitlines() if x.startswith("{")]
     assert [(r["status"], r["data"] and r["data"]["rank"]) for r in rows] == [("success", 2), ("error", None)]
+
+
+def test_pages_are_asked_once_with_fail_fast(spark, pages, tmp_path):
+    class Counted:
+        def extract(self, request):
+            with open(f"{folder}/asked", "a") as f:
+                f.write("x")
+            return {"title": "T", "rank": "1"}
+
+    folder = str(tmp_path)
+    requests = spark.createDataFrame([(i, f"https://a.com/{i}") for i in range(4)], "ordinal long, url string")
+    for run in (lambda: service.batch(requests, pages, FIELDS, Counted(), fail_fast=True), lambda: service.extract_from(requests, chain.Sources(pages), FIELDS, Counted(), fail_fast=True)):
+        rows = run()
+        assert rows.count() == 4 == len(rows.collect())
+    assert len(open(f"{folder}/asked").read()) == 8
+
+
+def test_the_first_good_source_supplies_a_page(spark, pages):
+    shut = "<html><title>Just a moment...</title><body>cf-turnstile</body></html>"
+    long = page(1)[2]
+    given = spark.createDataFrame([(1, "https://a.com/1", long, 200), (2, "https://a.com/1", shut, 403), (3, "https://a.com/2", shut, 403), (4, "https://a.com/3", None, None), (5, "https://b.com/", long, 200)], "page_id long, url string, html string, status_code int")
+    archive = spark.createDataFrame([("https://a.com/2", "reader", long, 200), ("https://a.com/2#x", "wayback", long + "w", 200), ("https://a.com/3", "amp", "short", 200)], "url string, source string, html string, status_code int")
+    marks = spark.createDataFrame([("b.com", "2023-12-31 23:55:00"), ("a.com", "2023-12-31 22:00:00")], "host string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    asked = ["https://a.com/1", "https://a.com/2", "https://a.com/3", "https://a.com/9", "https://b.com/", None, "http://127.0.0.1/", "https://A.com/1#f"]
+    requests = spark.createDataFrame(list(enumerate(asked)), "ordinal long, url string")
+    rows = chain.gathered(requests, chain.Sources(given, None, archive, marks), now())
+    got = {r["ordinal"]: (r["via"], r["code"], (r["html"] or "")[-1:]) for r in rows.collect()}
+    assert got == {
+        0: (None, "FETCH_BLOCKED", ""), 1: ("archive", None, "w"), 2: (None, "URL_UNREACHABLE", ""), 3: (None, "URL_UNREACHABLE", ""), 4: (None, "FETCH_BLOCKED", ""), 5: (None, "URL_UNREACHABLE", ""), 6: (None, "URL_UNREACHABLE", ""),
+        7: (None, "FETCH_BLOCKED", ""),
+    }
+    with_shots = chain.gathered(requests, chain.Sources(given, spark.createDataFrame([("https://a.com/1", long)], "url string, html string"), archive), now())
+    assert {r["ordinal"]: r["via"] for r in with_shots.collect()} == {0: "browser", 1: "archive", 2: None, 3: None, 4: "plain", 5: None, 6: None, 7: "browser"}
+    after = chain.marks_after(rows, marks, now())
+    assert {(r["host"], str(r["ts"])[:10]) for r in after.collect()} == {("b.com", "2024-01-01")}
+
+
+def test_caches_and_counters_of_a_chain(spark, pages):
+    from pyspark.sql import Row
+
+    text = spark.createDataFrame([Row(html=page(2)[2])]).select(F.sha2("html", 256).alias("hash"), F.lit("Cached title\nrank: 77\n" + "more text " * 40).alias("text"), (now() + F.expr("interval 1 hour")).alias("expires_at"))
+    known = spark.createDataFrame([("https://a.com/3", "title", "string", "Known"), ("https://a.com/3", "rank", "integer", "33")], "url_key string, field string, type string, value string").withColumn("expires_at", now() + F.expr("interval 1 hour"))
+    requests = spark.createDataFrame([(i, f"https://a.com/{i}") for i in (1, 2, 3, 77)], "ordinal long, url string")
+    rows, seen = service.observed(service.extract_from(requests, chain.Sources(pages, texts=text, fields=known), FIELDS, now=now()))
+    got = {r["ordinal"]: r["data"] and (r["data"]["title"], r["data"]["rank"]) for r in rows.collect()}
+    assert got == {1: ("Title of page 1", 1), 2: ("Cached title", 77), 3: ("Known", 33), 77: None}
+    assert seen.get["rows"] == 4 and seen.get["failed"] == 1 and seen.get["metadata"] == 1 and seen.get["provider"] == 2
