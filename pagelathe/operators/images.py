@@ -77,15 +77,16 @@ def image_score(alt: Column, stem: Column, fields: Column, same_origin: Column)
     return shared * F.when(same_origin, 1.5).otherwise(1.0)
 
 
-def candidates(found: DataFrame, missing: list[str], most: int = 3) -> DataFrame:
-    """(page_id, image, alt, score, area, place): the best `most` of each page."""
+def candidates(found: DataFrame, missing: list[str] | Column, most: int = 3) -> DataFrame:
+    """(page_id, image, alt, score, area, place): the best `most` of each page, by the names of missing fields: the same for all, or a column of found."""
+    found = found.withColumn("__missing", missing if isinstance(missing, Column) else F.lit(" ".join(missing)))
     rows = found.where((F.col("src") != "") & ~F.col("src").startswith("data:") & ~F.col("class").rlike(DECORATIVE_CLASS)).withColumn("image", resolve(F.col("url"), F.col("src")))
     file = F.regexp_extract(F.regexp_replace(part(F.col("image"), 3), "/+$", ""), r"([^/]*)$", 1)
     tiny = F.col("w").between(1, 149) & F.col("h").between(1, 149)
     rows = rows.where(~is_tracker(F.col("image")) & ~file.rlike(DECORATIVE_FILE) & ~tiny)
-    rows = rows.groupBy("page_id", "image").agg(F.min_by(F.struct("url", "alt", "w", "h", "ord"), "ord").alias("x")).select("page_id", "image", "x.*")
+    rows = rows.groupBy("page_id", "image").agg(F.min_by(F.struct("url", "alt", "w", "h", "ord", "__missing"), "ord").alias("x")).select("page_id", "image", "x.*")
     file = F.regexp_extract(F.regexp_replace(part(F.col("image"), 3), "/+$", ""), r"([^/]*)$", 1)
-    score = image_score(F.col("alt"), F.regexp_replace(file, r"\.[^.]+$", ""), F.lit(" ".join(missing)), host(F.col("image")) == host(F.col("url")))
+    score = image_score(F.col("alt"), F.regexp_replace(file, r"\.[^.]+$", ""), F.col("__missing"), host(F.col("image")) == host(F.col("url")))
     side = lambda c: F.when(F.col(c) > 0, F.col(c)).otherwise(300)
     rows = rows.withColumns({"score": score, "area": side("w") * side("h")})
     w = Window.partitionBy("page_id").orderBy(F.desc("score"), F.desc("area"), "ord")

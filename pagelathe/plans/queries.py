@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,7 +13,7 @@ from pagelathe.functions.coerce import Field
 from pagelathe.operators import cache, content, crawl, images, intervals, metadata, relevance
 from pagelathe.functions.register import register
 from pagelathe.operators.outline import outlined
-from pagelathe.plans import batched, engine, service
+from pagelathe.plans import batched, engine, service, vision
 from pagelathe.plans.chain import Sources
 from pagelathe.sources.tables import table
 from pagelathe.streaming import store
@@ -35,9 +37,11 @@ VISIBLE = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(%
 SPLIT_URL = r"'^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?(?:#.*)?$'"
 HOST = rf"lower(regexp_replace(regexp_replace(regexp_extract(url, {SPLIT_URL}, 2), '^.*@', ''), ':\d*$', ''))"
 STATUS = "[200, 403, 429, 503][(page_id % 4 + 1)::int]"
+#: Every sentence of a block page, in capitals.
+REFUSED = "upper([" + ", ".join("'" + x.replace("'", "''") + "'" for x in classify.BLOCK_PHRASES) + f"][(page_id // 8 % {len(classify.BLOCK_PHRASES)} + 1)::int]) || '.'"
 #: Pages with a status, and marks of block pages and frameworks spliced in by page_id.
 SPLICED = rf"""(select page_id, url, {STATUS} as status, case page_id % 8 when 1 then replace(html, '<body>', '<body><div class="CF-Turnstile">')
- when 2 then 'Access Denied. You are not allowed here.' when 3 then replace(html, '<body>', '<body><div id="__NEXT_DATA__">') when 4 then html when 5 then substr(html, 1, 300)
+ when 2 then {REFUSED} when 3 then replace(html, '<body>', '<body><div id="__NEXT_DATA__">') when 4 then html when 5 then substr(html, 1, 300)
  when 6 then '<html><script>' || repeat('x', 2500) || '</script><p>wait</p></html>' when 7 then '<html><script>' || repeat('y', 9000) || '</script><p>12</p></html>' else html end as html from pages)"""
 
 
@@ -45,7 +49,7 @@ def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, h, i = table(spark, sf_dir, "pages"), F.col("html"), F.col("page_id") % 8
     html = (
         F.when(i == 1, F.replace(h, F.lit("<body>"), F.lit('<body><div class="CF-Turnstile">')))
-        .when(i == 2, "Access Denied. You are not allowed here.")
+        .when(i == 2, F.concat(F.upper(F.element_at(F.array(*map(F.lit, classify.BLOCK_PHRASES)), (F.floor(F.col("page_id") / 8) % len(classify.BLOCK_PHRASES) + 1).cast("int"))), F.lit(".")))
         .when(i == 3, F.replace(h, F.lit("<body>"), F.lit('<body><div id="__NEXT_DATA__">')))
         .when(i == 5, F.substring(h, 1, 300))
         .when(i == 6, F.concat(F.lit("<html><script>"), F.repeat(F.lit("x"), 2500), F.lit("</script><p>wait</p></html>")))
@@ -57,7 +61,7 @@ def spliced(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MARKS = "cf-chl-bypass|__cf_chl_|/cdn-cgi/challenge-platform/|cf-turnstile|<title>just a moment\\.\\.\\.|datadome|dd-captcha|px-captcha|_pxhd|_px3|akam-sw\\.js|_incapsula_resource"
-PHRASES = "unable to give you access|access denied|pardon our interruption|sorry, you have been blocked|are you a robot"
+PHRASES = "|".join(re.escape(x).replace("'", "''").replace("\\ ", " ") for x in classify.BLOCK_PHRASES) + "|" + classify.REFERENCE.replace("'", "''")
 BLOCK_TEXT = f"(length(html) <= 60000 and length({VISIBLE % 'html'}) between 1 and 4000 and regexp_matches(lower({VISIBLE % 'html'}), '{PHRASES}'))"
 BODY_SIZE = r"length(regexp_replace(html, '^\s+|\s+$', '', 'g'))"
 
@@ -120,11 +124,15 @@ def b22_null_rate(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", classify.null_rate_fires(e % 4, e % 9, e % 3 == 0, e % 5 == 0, e % 2 == 0).alias("fires"))
 
 
-@query(f"select page_id, regexp_matches({HOST}, '(^|\\.)(doubleclick\\.net|google-analytics\\.com|facebook\\.com|twitter\\.com)$') as tracker from (select page_id, case page_id % 3 when 0 then 'https://px.doubleclick.net/a?b' when 1 then 'http://notfacebook.com/' else url end as url from pages)")
+TRACKED = "[" + ", ".join(f"'{x}'" for x in urls.TRACKERS) + "]"
+
+
+@query(f"select page_id, page_id % 5 <> 4 and (page_id % 3 <> 1 or len([t for t in {TRACKED} if suffix('not' || d, '.' || t)]) > 0) as tracker, d as domain from (select page_id, {TRACKED}[(page_id % {len(urls.TRACKERS)} + 1)::int] as d from pages)")
 def b24_tracking_domain(spark, sf_dir):
-    i = F.col("page_id") % 3
-    u = F.when(i == 0, "https://px.doubleclick.net/a?b").when(i == 1, "http://notfacebook.com/").otherwise(F.col("url"))
-    return table(spark, sf_dir, "pages").select("page_id", urls.is_tracker(u).alias("tracker"))
+    # each domain by itself, below a name, glued to another word, and in a path
+    i, d = F.col("page_id"), F.element_at(F.array(*map(F.lit, urls.TRACKERS)), (F.col("page_id") % len(urls.TRACKERS) + 1).cast("int"))
+    u = F.when(i % 5 == 4, F.concat(F.lit("https://a.example/"), d, F.lit("/x?"), d)).when(i % 3 == 1, F.concat(F.lit("http://not"), d, F.lit("/"))).when(i % 3 == 0, F.concat(F.lit("https://PX."), d, F.lit(":443/a?b"))).otherwise(F.concat(F.lit("http://"), d))
+    return table(spark, sf_dir, "pages").select("page_id", urls.is_tracker(u).alias("tracker"), d.alias("domain"))
 
 
 @query(f"select page_id, {VISIBLE % 'html'} as visible, length({VISIBLE % 'html'})::int as size from pages")
@@ -190,12 +198,12 @@ def c19_crawl_url(spark, sf_dir):
  select page_id, lower(regexp_extract(u, {SPLIT_URL}, 1)) as scheme, case lower(regexp_extract(u, {SPLIT_URL}, 1)) when 'http' then '80' when 'https' then '443' else '' end as dflt,
  regexp_extract(regexp_extract(u, {SPLIT_URL}, 2), ':(\d+)$', 1) as port, regexp_replace({HOST.replace('url', 'u')}, '^www\.', '') as host,
  case when length(regexp_extract(u, {SPLIT_URL}, 3)) > 1 then regexp_replace(regexp_extract(u, {SPLIT_URL}, 3), '/+$', '') else regexp_extract(u, {SPLIT_URL}, 3) end as path,
- array_to_string(list_sort([case when contains(x, '=') then x else x || '=' end for x in string_split(regexp_extract(u, {SPLIT_URL}, 4), '&') if x <> '' and lower(regexp_extract(x, '^([^=]*)', 1)) not in ('utm_source', 'gclid', 'fbclid')]), '&') as q
- from (select page_id, case page_id % 3 when 0 then replace(replace(url, '://', '://WWW.'), '.com/', '.com:443/') || case when contains(url, '?') then '&' else '?' end || 'utm_source=f&b=2&a' else url end as u from pages))""")
+ array_to_string(list_sort([case when contains(x, '=') then x else x || '=' end for x in string_split(regexp_extract(u, {SPLIT_URL}, 4), '&') if x <> '' and lower(regexp_extract(x, '^([^=]*)', 1)) not in ({', '.join(repr(x) for x in urls.TRACKING)})]), '&') as q
+ from (select page_id, case page_id % 3 when 0 then replace(replace(url, '://', '://WWW.'), '.com/', '.com:443/') || case when contains(url, '?') then '&' else '?' end || 'UTM_source=f&b=2&a&' || [{', '.join(repr(x) for x in urls.TRACKING)}][(page_id % {len(urls.TRACKING)} + 1)::int] || '=1' else url end as u from pages))""")
 def c20_cache_url(spark, sf_dir):
     u = F.col("url")
     longer = F.replace(F.replace(u, F.lit("://"), F.lit("://WWW.")), F.lit(".com/"), F.lit(".com:443/"))
-    longer = F.concat(longer, F.when(u.contains("?"), "&").otherwise("?"), F.lit("utm_source=f&b=2&a"))
+    longer = F.concat(longer, F.when(u.contains("?"), "&").otherwise("?"), F.lit("UTM_source=f&b=2&a&"), F.element_at(F.array(*map(F.lit, urls.TRACKING)), (F.col("page_id") % len(urls.TRACKING) + 1).cast("int")), F.lit("=1"))
     return table(spark, sf_dir, "pages").select("page_id", urls.cache_url(F.when(F.col("page_id") % 3 == 0, longer).otherwise(u)).alias("cache_url"))
 
 
@@ -517,6 +525,28 @@ def h01_images_top(spark, sf_dir):
     return best.select("page_id", F.concat(F.lit("image"), F.col("place").cast("string")).alias("image"), "score", F.col("area"))
 
 
+class Reader:
+    """Sees the digits that a picture's bytes are."""
+
+    def see(self, request, pictures):
+        return {f.name: pictures[0][0].decode() if f.name == "price" else len(pictures) for f in request.fields}
+
+
+@query("select page_id, case when page_id % 3 = 0 and page_id % 4 <> 1 then page_id + 0.5 when page_id % 3 <> 0 then 1.0 end::double as price, case when page_id % 2 = 0 then 7 when page_id % 4 <> 1 then 1 + (page_id % 5 = 0)::int end::bigint as shots, case when (page_id % 3 = 0 or page_id % 2 = 1) and page_id % 4 <> 1 then 1 + (page_id % 5 = 0)::int else 0 end as pictures from pages")
+def g12_vision(spark, sf_dir):
+    p, i = table(spark, sf_dir, "pages"), F.col("page_id")
+    html = said('<img src="/logo.png" width="300"><img src="/p/price-', "#", '.jpg" alt="the price" width="600" height="400"><img src="/p/other-', "#", '.jpg" width="500" height="300"><img src="https://px.doubleclick.net/x.gif">', F.col("html"))
+    pages = p.select("page_id", F.lit("https://shop.example/a").alias("url"), html.alias("html"))
+    # of every fourth page no picture has bytes, of every fifth two have
+    file = lambda name, text: F.struct(said(f"https://shop.example/p/{name}-", "#", ".jpg").alias("url"), F.lit("image/jpeg").alias("mime"), text.cast("binary").alias("bytes"))
+    files = p.where(i % 4 != 1).select(F.explode(F.filter(F.array(file("price", said("#", ".5")), F.when(i % 5 == 0, file("other", F.lit("no number")))), lambda x: x.isNotNull())).alias("f")).select("f.*")
+    fields = [Field("price", "float"), Field("shots", "integer")]
+    data = F.struct(F.when(i % 3 != 0, F.lit(1.0)).alias("price"), F.when(i % 2 == 0, F.lit(7)).alias("shots")).cast(coerce.row_type(fields))
+    results = p.select("page_id", F.lit("success").alias("status"), data.alias("data"), F.array().cast("array<string>").alias("warnings"))
+    out = vision.filled(results, pages, files, fields, Reader())
+    return out.select("page_id", "data.price", F.col("data.shots").cast("long").alias("shots"), "pictures")
+
+
 NOW = "timestamp '2024-01-15 00:00:00'"
 
 
