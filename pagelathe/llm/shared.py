@@ -141,9 +141,9 @@ TO_LOWER = np.arange(256, dtype=np.uint8)
 TO_LOWER[65:91] += 32
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends (bytes) of all words, and the number of words before each text and after the last."""
-    w = table[data]
+def word_spans(data: np.ndarray, offs: np.ndarray, table: np.ndarray = IN_WORD, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends (bytes) of all words, and the number of words before each text and after the last. inside: by place, instead of table, by byte."""
+    w = table[data] if inside is None else inside
     before = np.empty_like(w)
     before[1:], before[:1] = w[:-1], False
     after = np.empty_like(w)

@@ -60,16 +60,40 @@ class Settings:
     least_leaf: float = 2.0
 
 
+def letters_in(data: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 texts belong to letters: ASCII letters, and all beyond ASCII but signs and punctuation.
+
+    Those are U+0080 to U+00BF but for the letters among them, the signs for times and division, U+2000 to U+206F (quotes, dashes, blanks), and U+3000 to U+303F
+    but for the marks that stand for a letter.
+    """
+    w = LETTER[data]
+    if len(data) > 1:
+        a, b = data[:-1], data[1:]
+        two = np.flatnonzero(((a == 0xC2) & ~np.isin(b, (0xAA, 0xB5, 0xBA))) | ((a == 0xC3) & np.isin(b, (0x97, 0xB7))))
+        w[two] = w[two + 1] = False
+    if len(data) > 2:
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        three = np.flatnonzero(((a == 0xE2) & ((b == 0x80) | ((b == 0x81) & (c <= 0xAF)))) | ((a == 0xE3) & (b == 0x80) & ~np.isin(c, (0x85, 0x86, 0x87))))
+        w[three] = w[three + 1] = w[three + 2] = False
+    return w
+
+
+def words_in(data: np.ndarray, offs: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(starts, ends, first, codes, names) of all words, runs of letters, in lower case: what lexicon and features both count."""
+    starts, ends, first = word_spans(data, offs, inside=letters)
+    codes, distinct = word_codes(TO_LOWER[data], starts, ends)
+    return starts, ends, first, codes, [w.decode().lower() for w in distinct.to_pylist()]
+
+
 def features(texts: pa.Array, learned: dict[str, float]) -> np.ndarray:
     """The dense features of whole texts, in the order of FEATURES; 0 where there is nothing to measure.
 
-    Words are runs of letters in lower case; each distinct word of the slice is looked up once.
+    Words are those of words_in(); each distinct word of the slice is looked up once. Rates are by words, or for punctuation and digits by bytes.
     """
     data, offs = byte_view(texts)
     n = len(offs) - 1
-    starts, ends, first = word_spans(data, offs, LETTER)
-    codes, distinct = word_codes(TO_LOWER[data], starts, ends)
-    names = [w.decode().lower() for w in distinct.to_pylist()]
+    of_letters = letters_in(data)
+    starts, ends, first, codes, names = words_in(data, offs, of_letters)
     is_insult = np.array([w in INSULTS for w in names], bool)
     weight = np.array([learned.get(w, 0.0) for w in names], np.float64)
     is_you = np.array([w in SECOND_PERSON for w in names], bool)
@@ -90,13 +114,24 @@ def features(texts: pa.Array, learned: dict[str, float]) -> np.ndarray:
             near |= (np.abs(other - bad) <= NEAR) & (doc[other] == doc[bad])
     words = np.diff(first).astype(np.float64)
     some, size = np.maximum(words, 1), np.maximum(np.diff(offs), 1)
-    letters = np.maximum(marks(LETTER[data]), 1)
+    letters = np.maximum(marks(of_letters), 1)
     up = UPPER[data]
+    inner = offs[1:-1]
+
+    def crossing(k: int) -> np.ndarray:
+        """Where the next k bytes are not all of the same text."""
+        out = np.zeros(len(data), bool)
+        for d in range(1, k + 1):
+            out[inner[inner >= d] - d] = True
+        return out
+
     padded = np.concatenate([[False], up, [False, False]])
-    shouts = marks(~padded[:-3] & up & padded[2:-1] & padded[3:])
+    before = padded[:-3].copy()
+    before[inner[inner < len(data)]] = False
+    shouts = marks(~before & up & padded[2:-1] & padded[3:] & ~crossing(2))
     same = np.zeros(len(data) + 3, bool)
     same[: max(0, len(data) - 1)] = data[1:] == data[:-1]
-    repeats = marks(same[: len(data)] & same[1 : len(data) + 1] & same[2 : len(data) + 2])
+    repeats = marks(same[: len(data)] & same[1 : len(data) + 1] & same[2 : len(data) + 2] & ~crossing(3))
     # words cut by digits or signs, and words spelled out letter by letter
     gap = starts[1:] - ends[:-1]
     cut = np.zeros(len(starts), bool)
@@ -259,8 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[dict[
     train = rows.where("fold <= 2")
     totals = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"([\p{L}]+)"), F.lit(1)))
-    seen = train.select("toxic", F.explode(words).alias("w")).groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
+    seen = distinct_words(train).groupBy("w").agg(F.sum("toxic").alias("p"), F.sum(1 - F.col("toxic")).alias("n"))
     least = max(1, min(settings.word_rows, pos // 50 + 1))
     odds = F.log((F.col("p") + 0.1) / (pos + 0.2)) - F.log((F.col("n") + 0.1) / (neg + 0.2))
     chosen = seen.where(F.col("p") >= least).withColumn("odds", odds).where(F.col("odds") >= np.log(settings.odds))
@@ -276,6 +310,25 @@ def learn(docs: DataFrame, labels: DataFrame, settings: Settings) -> tuple[dict[
     return learned, model
 
 
+def distinct_words(rows: DataFrame) -> DataFrame:
+    """(toxic, w): a row for each row of rows (text, toxic) and word in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offs = byte_view(part.column("text"))
+                _, _, first, codes, names = words_in(data, offs, letters_in(data))
+                # words that agree in lower case beyond ASCII are one
+                plain = pa.array(names, pa.string()).dictionary_encode()
+                one = plain.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+                n = max(1, len(plain.dictionary))
+                own = np.unique(np.repeat(np.arange(part.num_rows), np.diff(first)) * n + (one[codes] if len(codes) else codes))
+                yield pa.RecordBatch.from_arrays([part.column("toxic").take(pa.array(own // n)), plain.dictionary.take(pa.array(own % n))], names=["toxic", "w"])
+
+    kind = rows.schema["toxic"].dataType.simpleString()
+    return texts(rows, "toxic", "text").mapInArrow(bounded(run), f"toxic {kind}, w string")
+
+
 def measured(rows: DataFrame, learned: dict[str, float], keep: list[str]) -> DataFrame:
     """keep and x (the features) for each row."""
     schema = rows.select(*keep).schema.add("x", ArrayType(DoubleType()))
