@@ -178,7 +178,7 @@ def keep_good(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
     rows = docs.withColumn("__row", F.xxhash64("doc_id", "source", "text"))
     # only rows that go or lose lines need an exchange of texts; all others are passed on where they are read
     touched, passed = screened(rows, "__row", found, "__rid")
-    some = texts(touched).join(found, F.col("__row") == F.col("__rid"), "left").where(F.coalesce("__kept", F.lit(True)))
+    some = texts(touched).join(found.hint("merge"), F.col("__row") == F.col("__rid"), "left").where(F.coalesce("__kept", F.lit(True)))
     less = cut(F.when(F.col("__above").isNotNull(), F.col("text")), F.col("__above"))
     some = some.withColumn("text", F.coalesce(less, F.col("text")))
     return passed.select(docs.columns).unionByName(some.select(docs.columns))

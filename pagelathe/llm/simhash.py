@@ -341,7 +341,7 @@ def similar_documents(docs: DataFrame, words: int = 5, seed: int = 42, lanes: in
     groups = materialize(groups.select(F.col("component").alias("gid"), "pid", "rid", "weight"))
     named = docs.select(row_id().alias("r"), "text")
     own = groups.select("pid", "rid")
-    meant = screened(named, "r", own, "rid")[0].join(own, F.col("r") == F.col("rid"))
+    meant = screened(named, "r", own, "rid")[0].join(own.hint("merge"), F.col("r") == F.col("rid"))
     mine = meant.select("pid", "text")
     held = materialize(texts(mine.dropDuplicates(["pid"])).mapInArrow(bounded(sets), "pid long, shingles binary"))
     comp = materialize(components(span_links(groups.select("gid", "pid", "weight"), held, set_links(similarity), block // 2, n)))
@@ -365,8 +365,8 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
         return docs
     row = "__row"
     rows = docs.withColumn(row, row_id())
-    gone = marked.where("not stays").select(F.col("rid").alias("__gone"))
-    again = marked.where("stays").select(F.col("rid").alias("__again"))
+    gone = marked.where("not stays").select(F.col("rid").alias("__gone")).hint("merge")
+    again = marked.where("stays").select(F.col("rid").alias("__again")).hint("merge")
     some, passed = screened(rows, row, marked, "rid")
     stay = some.join(gone, F.col(row) == F.col("__gone"), "left_anti")
     out = [passed, stay.join(again, F.col(row) == F.col("__again"), "left_anti"), stay.join(again, F.col(row) == F.col("__again"), "left_semi").dropDuplicates([row])]
