@@ -81,9 +81,11 @@ def stem(word: Column) -> Column:
 
 def tokens(c: Column) -> Column:
     """Stems of the words, with camelCase and snake_case taken apart."""
-    words = F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    split = F.transform(words, lambda w: F.split(F.regexp_replace(w, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_"), "_"))
-    return F.transform(F.filter(F.flatten(split), lambda w: w != ""), lambda w: stem(F.lower(w)))
+    # the whole text at a time, words between blanks: a call for each word costs some times as much
+    words = F.lower(F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")))
+    # stem() of each: suffixes are in order of length, so the first that fits is the one that leaves least
+    stems = F.regexp_replace(words, rf"(^| )([^ ]{{3,}}?)(?:{'|'.join(SUFFIXES)})(?= |$)", "$1$2")
+    return F.array_remove(F.split(stems, " "), "")
 
 
 def letter_tokens(c: Column) -> Column:

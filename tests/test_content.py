@@ -103,6 +103,20 @@ def test_pruned_is_what_the_tables_say(spark, sf_dir):
     assert got == {i: relevance.pruned(t, query, 300) for i, t in texts.items()} and any(got[i] != t for i, t in texts.items())
 
 
+def test_texts_are_pruned_in_their_rows(spark):
+    fields = [Field("title", "string", "The thing", "what it is")]
+    query = relevance.query_terms(fields)
+    texts = ["\n\n".join(f"{w} {k} says {'the title of a thing' if k % 3 == s else 'something else'} " * 30 for k in range(12)) for s, w in enumerate(("Alpha", "Beta", "Gamma"))]
+    rows = [(1, texts[0]), (1, texts[1]), (None, texts[2]), (2, None), (3, ""), (4, "x - y " * 4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = relevance.relevant(docs, fields, budget=800)
+    want = [(i, relevance.pruned(t or "", query, 800) if t else t) for i, t in rows]
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert all(w[1] != t for w, (_, t) in zip(want[:3], rows[:3], strict=True))
+    # nothing is exchanged
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 class Answers:
     def __init__(self, *answers):
         self.answers, self.budgets = list(answers), []

@@ -37,6 +37,15 @@ def test_tokens(spark):
     assert spark.range(1).select(text.tokens(F.lit("firstName net_worth running stories"))).first()[0] == ["first", "name", "net", "worth", "runn", "stor"]
 
 
+def test_tokens_are_those_of_each_word(spark):
+    texts = ["", " _ ", "__a_", "ΑΣ'Β ΟΔΟΣs_ΣΣ", "İNGs Ias ings things", "𝐀𝐁𝐜s 𝐀𝐁s 𝐀𝐁𝐜ing", "HTMLParser parseHTMLFast aB XMLs", "stations ations xations edlyly", "12s 1234ing", "don't $1 \\ 's ss sss ssss"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    words = F.regexp_extract_all("t", F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    parts = F.flatten(F.transform(words, lambda w: F.split(F.regexp_replace(w, r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_"), "_")))
+    want = F.transform(F.filter(parts, lambda w: w != ""), lambda w: text.stem(F.lower(w)))
+    assert all(r["got"] == r["want"] for r in df.select(text.tokens(F.col("t")).alias("got"), want.alias("want")).collect())
+
+
 def test_chunks_hold_all_text():
     body = "\n".join(f"line {i} " + "x" * (i % 90) for i in range(400))
     cut = relevance.chunk_text(body)
